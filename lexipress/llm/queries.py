@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexipress.llm import bpe
+from lexipress.llm import bpe, simhash
 from lexipress.llm.tables import spread, table
 
 
@@ -14,7 +14,12 @@ def op10_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
+    "op8_simhash_near_dup": op8_simhash_near_dup,
     "op10_bpe_merge_replay": op10_bpe_merge_replay,
 }
 
