@@ -5,8 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexipress.llm import bpe, simhash
+from lexipress.llm import bpe, simhash, token_files
 from lexipress.llm.tables import spread, table
+from lexipress.storage import fresh_path
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.corpus_token_offsets(docs, fresh_path(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 def op10_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +25,7 @@ def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_token_files": op7_token_files,
     "op8_simhash_near_dup": op8_simhash_near_dup,
     "op10_bpe_merge_replay": op10_bpe_merge_replay,
 }
