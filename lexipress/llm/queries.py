@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexipress.llm import bpe, simhash, token_files
+from lexipress.llm import bpe, decontaminate, simhash, token_files
 from lexipress.llm.tables import spread, table
 from lexipress.storage import fresh_path
 
@@ -24,10 +24,18 @@ def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op7_token_files": op7_token_files,
     "op8_simhash_near_dup": op8_simhash_near_dup,
     "op10_bpe_merge_replay": op10_bpe_merge_replay,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.SQL,
+}
