@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexipress.llm import bpe, decontaminate, simhash, token_files
+from lexipress.llm import bpe, decontaminate, quality, simhash, token_files
 from lexipress.llm.tables import spread, table
 from lexipress.storage import fresh_path
 
@@ -29,7 +29,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
+    "op9_quality_classifier": op9_quality_classifier,
     "op1_decontaminate": op1_decontaminate,
     "op7_token_files": op7_token_files,
     "op8_simhash_near_dup": op8_simhash_near_dup,
