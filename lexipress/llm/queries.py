@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexipress.llm import bpe, decontaminate, quality, simhash, token_files
+from lexipress.llm import bpe, decontaminate, language, quality, simhash, token_files
 from lexipress.llm.tables import spread, table
 from lexipress.storage import fresh_path
 
@@ -33,7 +33,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
+
+
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op9_quality_classifier": op9_quality_classifier,
     "op1_decontaminate": op1_decontaminate,
     "op7_token_files": op7_token_files,
