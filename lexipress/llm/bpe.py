@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexipress.llm._arrow import chunks, column
-from lexipress.llm.units import independent_units
+from lexipress.llm.units import Memory, independent_units
 
 NO_RANK = np.int64(1) << 40
-#: Entries of a worker's memory of encoded units; beyond it the memory starts afresh (results don't change).
-MEMORY_UNITS = 600_000
+#: Entries of each of the two generations of a worker's memory of encoded units.
+MEMORY_UNITS = 350_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -162,7 +162,7 @@ class CorpusEncoder:
     def __init__(self, ranks_path: str, pattern: str):
         self.replay = MergeReplay(read_ranks(ranks_path))
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
+        self.memory = Memory(MEMORY_UNITS)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -170,10 +170,8 @@ class CorpusEncoder:
         for text in texts:
             units = independent_units(text)
             split.append(self.pattern.findall(text) if units is None else units)
-        if len(self.known) > MEMORY_UNITS:
-            self.known = {}
-        known = self.known
-        new = set().union(*split).difference(known)
+        new = set(self.memory.missing(set().union(*split)))
+        known = self.memory.young
         find = self.pattern.findall
         whole = [u for u in new if u.isascii() and u.lstrip(" ").isalpha()]  # a run of letters is one match
         parts = [(u, find(u)) for u in new.difference(whole)]

@@ -14,6 +14,7 @@ A file holds consecutive documents, in ascending order of their ids:
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -22,21 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexipress.llm._arrow import chunks, column
 from lexipress.llm.elias_fano import EliasFano
-from lexipress.llm.units import independent_units
+from lexipress.llm.units import Memory, independent_units
 from lexipress.storage import settle
 
 MAGIC = b"LXTK"
 _HEAD = struct.Struct("<4sBQQq")
 #: A file is closed when it has this many token ids.
 FILE_TOKENS = 4 << 20
-#: Entries of a worker's memory of encoded units; beyond it the memory starts afresh (results don't change).
-MEMORY_UNITS = 500_000
+#: Entries of each of the two generations of a worker's memory of encoded units.
+MEMORY_UNITS = 600_000
+#: Units or whole texts that go to the library at once.
+ENCODE_ROWS = 8192
 #: A table of files with at most this many rows is broadcast.
 BROADCAST_FILES = 100_000
 
@@ -73,8 +78,19 @@ def pack(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
     return b"".join([head, EliasFano.of(bounds).to_bytes(), EliasFano.of(offsets).to_bytes(), *ids])
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The letters that byte-level tokenizers write for bytes: printable ones for themselves, others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class TokenEncoder:
-    """The tokenizers library over the distinct independent units of many texts."""
+    """The tokenizers library over the distinct independent units of many texts.
+
+    Strings of special tokens are ordinary text. Only a byte-level tokenizer without a normalizer and with the usual
+    pattern can take a text in units; any other gets whole texts.
+    """
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,20 +98,41 @@ class TokenEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
+        said = json.loads(self.tokenizer.to_str())
+        before = said.get("pre_tokenizer") or {}
+        self.byte_level = not said.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.bytes_of = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.memory = Memory(MEMORY_UNITS)
+        self.alphabet = byte_alphabet()
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out, table = [], self.bytes_of
+        for k in range(0, len(texts), ENCODE_ROWS):
+            out += [b"".join([table[i] for i in e.ids]) for e in self.tokenizer.encode_batch_fast(texts[k : k + ENCODE_ROWS], add_special_tokens=False)]
+        return out
+
+    def _learn(self, units: list[str]) -> None:
+        """Units fall into the pattern's matches, which the library's model encodes, each once, in the byte-level alphabet."""
+        known, table, tokenize, alphabet, find = self.memory.young, self.bytes_of, self.tokenizer.model.tokenize, self.alphabet, self.find
+        for u in units:
+            if u.isascii() and u.lstrip(" ").isalpha():  # a run of letters is one match
+                if u not in known:
+                    known[u] = b"".join([table[t.id] for t in tokenize(u.replace(" ", "\u0120"))])
+                continue
+            parts = find(u)
+            for p in parts:
+                if p not in known:
+                    known[p] = b"".join([table[t.id] for t in tokenize(p.encode().decode("latin-1").translate(alphabet))])
+            if len(parts) != 1:
+                known[u] = b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [independent_units(t) for t in texts]
-        if len(self.known) > MEMORY_UNITS:
-            self.known = {}
-        known = self.known
-        new = list(set().union(*[s for s in split if s is not None]).difference(known))
-        known.update(zip(new, self._ids(new), strict=True))
+        """Ids of each text, ``width`` bytes each."""
+        split = [independent_units(t) if self.byte_level else None for t in texts]
+        self._learn(self.memory.missing(set().union(*[s for s in split if s is not None])))
+        known = self.memory.young
         whole = iter(self._ids([t for t, s in zip(texts, split, strict=True) if s is None]))
         return [next(whole) if s is None else b"".join([known[u] for u in s]) for s in split]
 

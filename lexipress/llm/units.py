@@ -16,5 +16,26 @@ def independent_units(text: str) -> list[str] | None:
     """
     if _INNER_SPACE.search(text):
         return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if rest else [first]
+    if "\0" in text:
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+    return text.replace(" ", "\0 ").split("\0")
+
+
+class Memory:
+    """Remembers what was computed for units. Two generations: when the young one is full it becomes the old one,
+    so units that come again soon stay and rare ones go; results don't depend on it."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, units: set[str]) -> list[str]:
+        """Those of ``units`` that aren't known; afterwards ``young`` has all others."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        new = units.difference(self.young)
+        if self.old:
+            again = new.intersection(self.old)
+            self.young.update((u, self.old[u]) for u in again)
+            new -= again
+        return list(new)

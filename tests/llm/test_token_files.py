@@ -66,3 +66,11 @@ def test_random_access():
     docs = [[5, 6, 2], [2], [], [65535, 1, 2]]
     file = token_files.TokenFile(token_files.pack([None, -4, 9, 9], [np.array(d, "<u2").tobytes() for d in docs], 2))
     assert [file.tokens(i).tolist() for i in range(4)] == docs and [file.doc_id(i) for i in range(4)] == [None, -4, 9, 9]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from([" ", "  ", "\n", "'s", "don't", "\x1c", "\x85", "\0", "été", "<|endoftext|>", "½", "a1b2"])), max_size=12))
+def test_encoder_agrees_with_whole_texts(parts):
+    coder = test_encoder_agrees_with_whole_texts.coder = getattr(test_encoder_agrees_with_whole_texts, "coder", None) or token_files.TokenEncoder(PATH)
+    text = "".join(parts)
+    assert np.frombuffer(coder.encode([text])[0], "<u2").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
