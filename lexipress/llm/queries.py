@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexipress.llm import bpe, decontaminate, language, quality, simhash, token_files
+from lexipress.llm import bpe, decontaminate, language, license_scan, quality, simhash, token_files
 from lexipress.llm.tables import spread, table
 from lexipress.storage import fresh_path
 
@@ -37,7 +37,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
+    "op5_license_scan": op5_license_scan,
     "op3_language_id": op3_language_id,
     "op9_quality_classifier": op9_quality_classifier,
     "op1_decontaminate": op1_decontaminate,
@@ -48,4 +53,5 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
+    "op5_license_scan": license_scan.oracle(),
 }
