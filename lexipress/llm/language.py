@@ -260,6 +260,19 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return source.mapInArrow(run, f"id long, lang_pred string, score double, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
+def select_single(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that have letters, over ``least`` of them in one language."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(sent.value)
+        for batch in chunks(batches, text_col):
+            found = labeller.label(column(batch, text_col).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and share > least for lang, share, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score, n_spans): ``fit`` and ``identify`` over the same table."""
     found = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)

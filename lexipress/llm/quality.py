@@ -239,6 +239,23 @@ def score(docs: DataFrame, model: LabelModel, weights: np.ndarray, id_col: str =
     return _source(docs, id_col, text_col).mapInArrow(run, "id long, score double, weak_label double, accepted boolean").withColumnRenamed("id", id_col)
 
 
+def select_accepted(docs: DataFrame, model: LabelModel, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the scorer accepts; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, make = sent.value, Features()
+        for batch in chunks(batches, text_col):
+            keep = []
+            for text in column(batch, text_col).to_pylist():
+                stats, words = statistics(text)
+                at, value = make.of(stats, words)
+                keep.append(bool(words) and float(w[at] @ value + w[-1]) >= np.log(ACCEPT / (1 - ACCEPT)))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = TRAIN_DOCS) -> DataFrame:
     """(id, score, weak_label, accepted), a row per row of ``docs``.
 

@@ -18,6 +18,11 @@ from lexipress.operators.graph import connected_components
 from lexipress.storage import settle
 
 BITS = 64
+#: MinHash values of a text's shingles: bands of rows. Texts 0.8 alike share a band with a chance of 0.9997.
+BANDS, ROWS = 20, 5
+_RNG = np.random.default_rng(20240607)
+_MULTIPLY = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 SEED = 42
 #: A bucket with more distinct fingerprints than this isn't paired up; its members link through shared neighbours.
 BUCKET_PAIRS = 64
@@ -32,21 +37,31 @@ def text_fingerprint(text: str | None, width: int) -> int:
     repeats included (fewer words: the whole sequence; none: the fingerprint is 0). A bit is 1 if more than half
     of the shingles' XXH64 values (seed 42) have it.
     """
+    parts = shingles(text, width)
+    count = np.zeros(BITS, np.int64)
+    for k in range(0, len(parts), COUNT_ROWS):
+        count += _bit_counts(_hashes(parts[k : k + COUNT_ROWS]))
+    return int(np.packbits(2 * count > len(parts), bitorder="little").view("<u8")[0])
+
+
+def _hashes(parts: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
+
+
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def shingles(text: str | None, width: int) -> list[bytes]:
+    """The text's shingles in order, repeats included."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = list(itertools.accumulate(len(w) + 1 for w in words))
     if len(words) <= width:
-        parts = [joined]
-    else:
-        parts = [joined[a : b - 1] for a, b in zip([0, *ends], ends[width - 1 :], strict=False)]
-    count = np.zeros(BITS, np.int64)
-    for k in range(0, len(parts), COUNT_ROWS):
-        some = parts[k : k + COUNT_ROWS]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(SEED)), np.uint64, len(some))
-        count += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > len(parts), bitorder="little").view("<u8")[0])
+        return [joined]
+    return [joined[a : b - 1] for a, b in zip([0, *ends], ends[width - 1 :], strict=False)]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -222,3 +237,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(component.hint("shuffle_merge"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = settle(named, "simhash-components")
     return rows.join(named.hint("shuffle_merge"), "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _sketch(text: str | None, width: int) -> tuple[int, int, int, list[int]]:
+    """Fingerprint, digest and size of the set of shingles, and a key per band."""
+    parts = shingles(text, width)
+    if not parts:
+        return 0, 0, 0, []
+    h = _hashes(parts)
+    count = sum(_bit_counts(h[k : k + COUNT_ROWS]) for k in range(0, len(h), COUNT_ROWS))
+    fp = int(np.packbits(2 * count > len(h), bitorder="little").view("<i8")[0])
+    h = np.unique(h)
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(h), 2048):
+        low = np.minimum(low, ((h[k : k + 2048, None] * _MULTIPLY + _ADD) >> np.uint64(11)).min(axis=0))
+    keys = [_signed(xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes())) for b in range(BANDS)]
+    return fp, _signed(xxhash.xxh64_intdigest(h.tobytes())), len(h), keys
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id), a row per distinct non-null id: groups of texts of which each is at least ``similarity``
+    alike (Jaccard, on sets of shingles of ``width`` words) to another of its group.
+
+    64 bits can't tell this: texts 0.8 to 1 alike differ in 4 to 18 bits, as many as some unlike ones. So texts
+    whose fingerprints link are candidates, and so are those that share a band of MinHash values; each pair of
+    candidates is verified on its shingles. Texts with the same set are one before that. In buckets of over
+    BUCKET_PAIRS different texts, each meets the bucket's first, last and middle text (by hash) rather than all.
+    Texts without a word are one group. Repeated ids count as one document, with the text of least hash.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            found = [_sketch(t, width) for t in column(batch, "text").to_pylist()]
+            fp, digest, n, keys = zip(*found, strict=True) if found else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(fp, pa.int64()), pa.array(digest, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "digest", "n", "keys"])
+
+    rows = settle(source.mapInArrow(run, "id long, fp long, digest long, n long, keys array<long>"), "sketches")
+    first = rows.groupBy("id").agg(F.min("digest").alias("digest"))
+    sets = settle(rows.groupBy("digest", "n").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sketch-sets")
+    bands = settle(sets.select("rep", "n", F.posexplode("keys").alias("band", "key")), "sketch-bands")
+    size = bands.groupBy("band", "key").agg(F.count("*").alias("c"), F.array(F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep"))).alias("pivots")).where("c > 1")
+    size = settle(size, "sketch-buckets")
+    small = bands.join(size.where(F.col("c") <= BUCKET_PAIRS).select("band", "key").hint("shuffle_merge"), ["band", "key"])
+    other = small.select("band", "key", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
+    alike = "least(n, n2) >= {0} * greatest(n, n2)".format(similarity - 1e-9)
+    pairs = small.join(other.hint("shuffle_merge"), ["band", "key"]).where("rep < rep2").where(alike).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    large = size.where(F.col("c") > BUCKET_PAIRS).select("band", "key", "pivots")
+    stars = bands.join(large.hint("shuffle_merge"), ["band", "key"]).select("rep", F.explode("pivots").alias("pivot")).where("rep <> pivot")
+    nodes = sets.where("n > 0").groupBy("fp").agg(F.min("rep").alias("rep"))
+    near = links(settle(nodes, "simhash-nodes"))
+    twins = sets.where("n > 0").join(nodes.withColumnRenamed("rep", "low").hint("shuffle_merge"), "fp").where("rep <> low")
+    every = pairs.unionByName(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))).unionByName(near.select(F.col("src").alias("a"), F.col("dst").alias("b"))).unionByName(twins.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    every = settle(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "left"):
+            keep = []
+            for x, y in zip(column(batch, "left").to_pylist(), column(batch, "right").to_pylist(), strict=True):
+                x, y = set(shingles(x, width)), set(shingles(y, width))
+                keep.append(len(x & y) >= (similarity - 1e-9) * len(x | y))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = every.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = source.join(wanted.hint("shuffle_merge"), "id", "left_semi")
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        texts = texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = settle(texts, "candidate-texts")
+    both = every.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")).hint("shuffle_merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")).hint("shuffle_merge"), "b")
+    edges = settle(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"), "similar")
+    component = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
+    named = sets.select("digest", "rep").join(component.hint("shuffle_merge"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    return first.join(settle(named, "similar-sets").hint("shuffle_merge"), "digest").select(F.col("id").alias(id_col), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id): of each group of ``similar_components`` the smallest id."""
+    return similar_components(docs, id_col, text_col, width, similarity).where(F.col(id_col) == F.col("component_id")).select(id_col)
