@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexipress.llm import bpe, decontaminate, language, license_scan, quality, simhash, token_files
+from lexipress.llm import bpe, decontaminate, language, license_scan, quality, simhash, token_files, topk
 from lexipress.llm.tables import spread, table
 from lexipress.storage import fresh_path
 
@@ -41,7 +41,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES = {
+    "op2_exact_topk": op2_exact_topk,
     "op5_license_scan": op5_license_scan,
     "op3_language_id": op3_language_id,
     "op9_quality_classifier": op9_quality_classifier,
@@ -53,5 +59,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
+    "op2_exact_topk": topk.SQL,
     "op5_license_scan": license_scan.oracle(),
 }

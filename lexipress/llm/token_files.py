@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lexipress.llm._arrow import chunks, column
 from lexipress.llm.elias_fano import EliasFano
-from lexipress.llm.units import Memory, independent_units
+from lexipress.llm.units import UnitMemory, independent_units
 from lexipress.storage import settle
 
 MAGIC = b"LXTK"
@@ -103,7 +103,7 @@ class TokenEncoder:
         self.byte_level = not said.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.bytes_of = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.memory = Memory(MEMORY_UNITS)
+        self.memory = UnitMemory(MEMORY_UNITS, self._unit)
         self.alphabet = byte_alphabet()
         self.find = regex.compile(public_tokenizers.PATTERN).findall
 
@@ -113,28 +113,25 @@ class TokenEncoder:
             out += [b"".join([table[i] for i in e.ids]) for e in self.tokenizer.encode_batch_fast(texts[k : k + ENCODE_ROWS], add_special_tokens=False)]
         return out
 
-    def _learn(self, units: list[str]) -> None:
-        """Units fall into the pattern's matches, which the library's model encodes, each once, in the byte-level alphabet."""
-        known, table, tokenize, alphabet, find = self.memory.young, self.bytes_of, self.tokenizer.model.tokenize, self.alphabet, self.find
-        for u in units:
-            if u.isascii() and u.lstrip(" ").isalpha():  # a run of letters is one match
-                if u not in known:
-                    known[u] = b"".join([table[t.id] for t in tokenize(u.replace(" ", "\u0120"))])
-                continue
-            parts = find(u)
-            for p in parts:
-                if p not in known:
-                    known[p] = b"".join([table[t.id] for t in tokenize(p.encode().decode("latin-1").translate(alphabet))])
-            if len(parts) != 1:
-                known[u] = b"".join([known[p] for p in parts])
+    def _unit(self, u: str) -> bytes:
+        """A unit falls into the pattern's matches; the library's model encodes each in the byte-level alphabet."""
+        table, tokenize = self.bytes_of, self.tokenizer.model.tokenize
+        if u.isascii() and u.lstrip(" ").isalpha():  # a run of letters is one match
+            return b"".join([table[t.id] for t in tokenize(u.replace(" ", "\u0120"))])
+        parts = self.find(u)
+        if len(parts) != 1:
+            return b"".join(map(self.memory.__getitem__, parts))
+        return b"".join([table[t.id] for t in tokenize(u.encode().decode("latin-1").translate(self.alphabet))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, ``width`` bytes each."""
-        split = [independent_units(t) if self.byte_level else None for t in texts]
-        self._learn(self.memory.missing(set().union(*[s for s in split if s is not None])))
-        known = self.memory.young
+        if not self.byte_level:
+            return self._ids(texts)
+        self.memory.age()
+        split = [independent_units(t) for t in texts]
         whole = iter(self._ids([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [next(whole) if s is None else b"".join([known[u] for u in s]) for s in split]
+        known = self.memory.__getitem__
+        return [next(whole) if s is None else b"".join(map(known, s)) for s in split]
 
 
 _ENCODERS: dict[str, TokenEncoder] = {}
@@ -209,7 +206,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 bounds = file.bounds.all()
                 known = file.doc_ids.all().astype(np.uint64) + np.uint64(file.first_id % (1 << 64))
                 doc_ids = pa.concat_arrays([pa.nulls(file.n_null, pa.int64()), pa.array(known.view(np.int64))])
-                crc = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                wide, cuts = memoryview(file.ids.astype("<u4")).cast("B"), (4 * bounds).tolist()
+                crc = [zlib.crc32(wide[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
                 part, seq = (int(x) for x in name.removesuffix(".tok").split("-"))
                 n = file.n_docs
                 yield pa.RecordBatch.from_arrays(

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lexipress.storage import settle
 
-#: Vectors of a block, blocks of a range (what a task holds at once), and queries of a batch.
+#: Below any score; its negative is a 64-bit integer too.
+NOTHING = -(1 << 63) + 1
+#: Vectors of a block, vectors of a range (what a task holds at once), and queries of a batch.
 BLOCK, RANGE_ROWS, QUERY_ROWS = 256, 32_768, 8_192
 
 
@@ -46,7 +48,7 @@ def block_search(q_ids: np.ndarray, queries: np.ndarray, v_ids: np.ndarray, vect
     high = np.maximum.reduceat(vectors, starts, axis=0)
     low = np.minimum.reduceat(vectors, starts, axis=0)
     bounds = _exact(np.maximum(queries, 0), high) + _exact(np.minimum(queries, 0), low)  # query, block
-    best_s = np.full((len(q_ids), k), np.iinfo(np.int64).min)
+    best_s = np.full((len(q_ids), k), NOTHING)
     best_v = np.full((len(q_ids), k), np.iinfo(np.int64).max)
     first = np.argmax(bounds, axis=1)
     turn = [*dict.fromkeys(first.tolist()), *np.argsort(-bounds.max(axis=0), kind="stable").tolist()]
@@ -58,7 +60,7 @@ def block_search(q_ids: np.ndarray, queries: np.ndarray, v_ids: np.ndarray, vect
         ids = v_ids[rows]
         s = _exact(queries[want], vectors[rows])
         own = ids[None, :] == q_ids[want][:, None]
-        s = np.where(own, np.iinfo(np.int64).min, s)
+        s = np.where(own, NOTHING, s)
         v = np.where(own, np.iinfo(np.int64).max, np.broadcast_to(ids, s.shape))
         every_s, every_v = np.concatenate((best_s[want], s), axis=1), np.concatenate((best_v[want], v), axis=1)
         if every_s.shape[1] > 4 * k:  # those below the k-th best score can't stay
@@ -69,7 +71,7 @@ def block_search(q_ids: np.ndarray, queries: np.ndarray, v_ids: np.ndarray, vect
             every_s, every_v = np.take_along_axis(every_s, at, 1), np.take_along_axis(every_v, at, 1)
         order = np.lexsort((every_v, -every_s), axis=1)[:, :k]
         best_s[want], best_v[want] = np.take_along_axis(every_s, order, 1), np.take_along_axis(every_v, order, 1)
-    return [(q, v, s) for q, vs, ss in zip(q_ids.tolist(), best_v.tolist(), best_s.tolist(), strict=True) for v, s in zip(vs, ss, strict=True) if s > np.iinfo(np.int64).min]
+    return [(q, v, s) for q, vs, ss in zip(q_ids.tolist(), best_v.tolist(), best_s.tolist(), strict=True) for v, s in zip(vs, ss, strict=True) if s > NOTHING]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -100,7 +102,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     used = [F.lit(i) for i in range(ranges)] if ranges <= 64 else None
     every_range = F.array(*used) if used else F.sequence(F.lit(0), F.lit(ranges - 1))
     left = wanted.select(F.explode(every_range).alias("range"), batch_of.alias("batch"), "id", "v")
-    right = dealt.select("range", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).cast("long").alias("batch"), "id", "v")
+    right = dealt.select("range", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))).alias("batch"), "id", "v")
 
     def matrix(frame: pd.DataFrame, width: int) -> np.ndarray:
         out = np.zeros((len(frame), width), np.int64)

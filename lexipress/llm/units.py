@@ -39,3 +39,23 @@ class Memory:
             self.young.update((u, self.old[u]) for u in again)
             new -= again
         return list(new)
+
+
+class UnitMemory(dict):
+    """``Memory`` that computes what it doesn't know, one unit at a time."""
+
+    def __init__(self, most: int, compute):
+        super().__init__()
+        self.most, self.compute, self.old = most, compute, {}
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.old.get(unit)
+        if found is None:
+            found = self.compute(unit)
+        self[unit] = found
+        return found
