@@ -17,25 +17,47 @@ EQUIVALENT: tuple[tuple[str, str], ...] = (
 )
 #: In lower case: lines that say who has the copyright, and that rights are reserved.
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}©\n]*(copyright[ \t]*(\(c\)|©|[0-9]|by )|\(c\)|©|all rights reserved)[^\n]*"
+#: What such a line has in it.
+COPYRIGHT_SIGNS: tuple[str, ...] = ("copyright", "(c)", "©", "all rights reserved")
 PUNCTUATION = r"[^\p{L}\p{N}]+"
+PUNCTUATION_IN_LINES = r"[^\p{L}\p{N}\n]+"
+#: Equivalent spellings shorten a text to no less than this share of it.
+SHRINK = 0.75
 #: A table of known texts of at most this many rows is broadcast.
 BROADCAST_ROWS = 100_000
 
 
+def _plain(text: Column) -> Column:
+    """Lower case, without copyright lines, with punctuation other than line ends as one space."""
+    low = F.lower(text)
+    marked = F.lit(False)
+    for sign in COPYRIGHT_SIGNS:
+        marked = marked | F.contains(low, F.lit(sign))
+    return F.regexp_replace(F.when(marked, F.regexp_replace(low, COPYRIGHT_LINE, "\n")).otherwise(low), PUNCTUATION_IN_LINES, " ")
+
+
+def _joined(plain: Column) -> Column:
+    return F.trim(F.regexp_replace(plain, "[ \n]+", " "))
+
+
+def _spelled(unit: Column) -> Column:
+    for a, b in EQUIVALENT:
+        unit = F.replace(unit, F.lit(a), F.lit(b))
+    return unit
+
+
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, punctuation as one space, equivalent spellings as one."""
-    out = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n"), PUNCTUATION, " "))
-    for a, b in EQUIVALENT:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return _spelled(_joined(_plain(text)))
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """(digest, license_id) of the known licences, or of a table (license_id, text) in their place."""
+    """(digest, license_id, size: characters of the canonical text) of the known licences, or of a table (license_id,
+    text) in their place."""
     if known is None:
         known = spark.createDataFrame([(i, t) for i, _, t in licences.known()], "license_id string, text string")
-    digests = known.where("text is not null and license_id is not null").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id")
-    return digests.where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    texts = known.where("text is not null and license_id is not null").select("license_id", canonical(F.col("text")).alias("t")).where("t <> ''")
+    return texts.groupBy(F.sha2("t", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.max(F.length("t")).alias("size"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,14 +72,15 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     digests = known_digests(spark, known)
-    if digests.count() <= BROADCAST_ROWS:
-        digests = F.broadcast(digests)
-    else:
-        digests = digests.hint("shuffle_merge")
+    size = digests.agg(F.count("*").alias("n"), F.coalesce(F.max("size"), F.lit(0)).alias("longest")).first()
+    digests = digests.drop("size")
+    digests = F.broadcast(digests) if size.n <= BROADCAST_ROWS else digests.hint("shuffle_merge")
     key = F.xxhash64("id", "text").alias("row")
-    units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))
+    unit = lambda whole, text: F.struct(F.lit(whole).alias("whole"), text.alias("unit"))
+    units = F.flatten(F.transform(F.array(_plain(F.col("text"))), lambda p: F.concat(F.array(unit(True, _joined(p))), F.transform(F.split(p, "\n"), lambda x: unit(False, F.trim(x))))))
     rows = source.where("text is not null").select("id", key, F.inline(units))
-    rows = rows.select("id", "row", "whole", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
+    rows = rows.where("unit <> ''").where(F.length("unit") * F.lit(SHRINK) <= size.longest)  # a longer one can't be equal
+    rows = rows.select("id", "row", "whole", F.sha2(_spelled(F.col("unit")), 256).alias("digest"))
     hits = rows.join(digests, "digest").groupBy(F.col("row"), F.col("id").alias("hit_id")).agg(
         F.min(F.when(F.col("whole"), F.col("license_id"))).alias("text_license"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",").alias("notice_licenses"),
