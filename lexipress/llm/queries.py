@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexipress.llm import bpe, decontaminate, language, license_scan, quality, simhash, token_files, topk
+from lexipress.llm import bpe, decontaminate, html_text, language, license_scan, quality, simhash, token_files, topk
 from lexipress.llm.tables import spread, table
 from lexipress.storage import fresh_path
 
@@ -46,7 +46,12 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
 QUERIES = {
+    "op6_html_main_text": op6_html_main_text,
     "op2_exact_topk": op2_exact_topk,
     "op5_license_scan": op5_license_scan,
     "op3_language_id": op3_language_id,
