@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexipress.llm import bpe, decontaminate, html_text, language, license_scan, quality, simhash, token_files, topk
+from lexipress.llm import bpe, decontaminate, html_text, language, license_scan, lm_score, quality, simhash, token_files, topk
 from lexipress.llm.tables import spread, table
 from lexipress.storage import fresh_path
 
@@ -50,7 +50,12 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
+    "op4_lm_score": op4_lm_score,
     "op6_html_main_text": op6_html_main_text,
     "op2_exact_topk": op2_exact_topk,
     "op5_license_scan": op5_license_scan,
