@@ -1,0 +1 @@
+"""Column expressions and small projections; built-in functions only."""

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lexipress.plans import table_queries, text_queries
 
 
 def queries() -> dict:
-    return QUERIES
+    return text_queries.QUERIES | table_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return SQL
+    return text_queries.SQL | table_queries.SQL

@@ -1,0 +1,58 @@
+"""Readers and writers (S*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MESSAGE = "conv_id long, turn long, role string, text string"
+REQUEST = "id string, ts timestamp, model string, headers map<string,string>, params map<string,string>, messages array<struct<role:string,content:string>>, extras map<string,string>"
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """(conv_id, turn, role, text); null text is empty."""
+    return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _schema(MESSAGE)]).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def _schema(ddl: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl).fields
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Request logs as JSON lines, a row per message: (id, ts, model, headers, params, extras, idx, role, content).
+    Fields that the schema doesn't name are in no column; broken lines have null ids."""
+    rows = spark.read.schema(REQUEST).json(path)
+    return rows.select(*[c for c in rows.columns if c != "messages"], F.posexplode_outer("messages").alias("idx", "m")).select("*", "m.role", F.coalesce("m.content", F.lit("")).alias("content")).drop("m")
+
+
+def read_sse(spark: SparkSession, folder: str) -> DataFrame:
+    """S3: a stream of lines (request, value); the file's path is the request."""
+    return spark.readStream.text(folder).select(F.input_file_name().alias("request"), "value")
+
+
+def write_dictionary(dictionary: DataFrame, path: str, scope_cols: list[str] = [], prompt_chars: Column | None = None) -> None:  # noqa: B006
+    """Parquet by scope, with what the header says: entries' lengths and when it was made. Entries that are the wrong
+    way round (a short pattern for a long symbol) are turned."""
+    turned = (F.length("pattern") <= 3) & (F.length("symbol") > 3)
+    rows = dictionary.withColumn("s", F.when(turned, F.col("pattern")).otherwise(F.col("symbol"))).withColumn("p", F.when(turned, F.col("symbol")).otherwise(F.col("pattern")))
+    rows = rows.drop("symbol", "pattern").withColumnRenamed("s", "symbol").withColumnRenamed("p", "pattern")
+    rows = rows.withColumn("pattern_len", F.length("pattern")).withColumn("created_at", F.current_timestamp()).withColumn("prompt_chars", prompt_chars if prompt_chars is not None else F.lit(None).cast("long"))
+    rows.write.mode("append").partitionBy(*scope_cols).parquet(path)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """S5"""
+    return spark.read.parquet(path)
+
+
+def expire(df: DataFrame, ts: str, now: Column, hours: int = 24) -> DataFrame:
+    """Rows not older than so many hours."""
+    return df.where(F.col(ts) >= now - F.expr(f"interval {int(hours)} hours"))
+
+
+def read_op_log(spark: SparkSession, path: str) -> DataFrame:
+    """(ts, level, phase, message, correlation_id, duration) of an events table."""
+    rows = spark.read.parquet(path)
+    return rows.select("ts", F.lit("INFO").alias("level"), F.col("event_type").alias("phase"), F.coalesce("props", F.lit("")).alias("message"), F.col("user_id").cast("string").alias("correlation_id"), F.col("value").alias("duration"))
