@@ -24,6 +24,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct()
     )
     state = settle(pairs, "edges")
+    if state.isEmpty():
+        return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(max_rounds):
         state = settle(_small_star(_large_star(state)), "edges")
@@ -40,7 +42,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")  # read back, so that hubs' joins can be split
     return (
         both.where("v > u").join(low.hint("shuffle_merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     )
@@ -48,6 +50,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Here every edge points from the larger node u to the smaller node v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = settle(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
     moved = edges.join(low.hint("shuffle_merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).select("u", "v").distinct()
