@@ -39,7 +39,7 @@ _HEAD = struct.Struct("<4sBQQq")
 #: A file is closed when it has this many token ids.
 FILE_TOKENS = 4 << 20
 #: Entries of each of the two generations of a worker's memory of encoded units.
-MEMORY_UNITS = 600_000
+MEMORY_UNITS = 300_000
 #: Units or whole texts that go to the library at once.
 ENCODE_ROWS = 8192
 #: A table of files with at most this many rows is broadcast.
@@ -127,11 +127,12 @@ class TokenEncoder:
         """Ids of each text, ``width`` bytes each."""
         if not self.byte_level:
             return self._ids(texts)
-        self.memory.age()
-        split = [independent_units(t) for t in texts]
-        whole = iter(self._ids([t for t, s in zip(texts, split, strict=True) if s is None]))
-        known = self.memory.__getitem__
-        return [next(whole) if s is None else b"".join(map(known, s)) for s in split]
+        out = []
+        for text in texts:  # one text's units at a time
+            self.memory.age()
+            units = independent_units(text)
+            out.append(self._ids([text])[0] if units is None else b"".join(map(self.memory.__getitem__, units)))
+        return out
 
 
 _ENCODERS: dict[str, TokenEncoder] = {}
