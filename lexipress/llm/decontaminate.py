@@ -18,7 +18,7 @@ from lexipress.storage import settle
 WIDTH = 5
 THRESHOLD = 0.8
 #: Items up to this many rows and characters go to every task; beyond either, sketches are joined by a shuffle.
-TASK_ITEMS, TASK_CHARS = 50_000, 16_000_000
+TASK_ITEMS, TASK_CHARS = 20_000, 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
