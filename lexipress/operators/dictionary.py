@@ -119,7 +119,7 @@ def compare_families(costs: DataFrame, a: str, b: str, k: int = 20) -> DataFrame
     left = costs.where(F.col("family") == a).select("symbol", F.col("tokens").alias("x"))
     right = costs.where(F.col("family") == b).select("symbol", F.col("tokens").alias("y"))
     diff = left.join(right.hint("shuffle_merge"), "symbol").select("symbol", (F.col("x") - F.col("y")).alias("diff"))
-    whole = diff.agg(F.count_if("diff < 0").alias("better"), F.count_if("diff > 0").alias("worse"), F.count_if("diff = 0").alias("equal"), F.round(F.avg("diff"), 4).alias("mean_diff"))
+    whole = diff.agg(F.count_if(F.col("diff") < 0).alias("better"), F.count_if(F.col("diff") > 0).alias("worse"), F.count_if(F.col("diff") == 0).alias("equal"), F.round(F.avg("diff"), 4).alias("mean_diff"))
     return diff.orderBy(F.abs("diff").desc(), "symbol").limit(k).join(F.broadcast(whole))
 
 

@@ -71,10 +71,12 @@ def mine_word_ngrams(df: DataFrame, n_lo: int = 2, n_hi: int = 5, scope: list[st
     """A4: (scope, pattern, n, df, confidence) of runs of words; confidence is n / 10, at most 1."""
     w = X.words(F.col(text_col))
     base = df.select(*scope, id_col, w.alias("w"))
-    runs = [
-        F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i, k=k: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>"))
-        for k in range(n_lo, n_hi + 1)
-    ]
+
+    def run(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))
+        return F.when(F.size("w") >= k, every).otherwise(F.array().cast("array<string>"))
+
+    runs = [run(k) for k in range(n_lo, n_hi + 1)]
     rows = base.select(*scope, id_col, F.explode(F.concat(*runs)).alias("pattern")).where(F.length("pattern") >= min_len)
     return _counted(rows, scope, id_col).where(F.col("n") >= min_n).withColumn("confidence", F.least(F.lit(1.0), F.col("n") / 10))
 
@@ -82,10 +84,12 @@ def mine_word_ngrams(df: DataFrame, n_lo: int = 2, n_hi: int = 5, scope: list[st
 def mine_code(df: DataFrame, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", simple: bool = False, min_n: int = 2) -> DataFrame:  # noqa: B006
     """(scope, kind, pattern, n, df) of code constructs of the catalog, all in one pass over the texts."""
     text = X.text_of(F.col(text_col))
-    found = [
-        F.transform(F.filter(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, lo=lo, hi=hi: F.length(m).between(lo, hi)), lambda m, k=kind: F.struct(F.lit(k).alias("kind"), m.alias("pattern")))
-        for kind, p, lo, hi in (catalogs.SIMPLE_CODE_PATTERNS if simple else catalogs.CODE_PATTERNS)
-    ]
+
+    def matches(kind: str, p: str, lo: int, hi: int) -> Column:
+        fit = F.filter(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: F.length(m).between(lo, hi))
+        return F.transform(fit, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("pattern")))
+
+    found = [matches(*rule) for rule in (catalogs.SIMPLE_CODE_PATTERNS if simple else catalogs.CODE_PATTERNS)]
     rows = df.select(*scope, id_col, F.inline(F.concat(*found)))
     return _counted(rows, scope, id_col, ("kind", "pattern")).where(F.col("n") >= min_n)
 
@@ -95,13 +99,14 @@ TEMPLATES = (("call", r"([A-Za-z0-9_]+)\(([^()\n]{1,100})\)", "{}({{}})"), ("sub
 
 def _instances(text: Column) -> Column:
     """Array of (kind, template, instance) of a text's parameterized constructs."""
-    parts = []
-    for kind, p, form in TEMPLATES:
+
+    def found(kind: str, p: str, form: str) -> Column:
         stems, whole = F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.regexp_extract_all(text, F.lit(p), F.lit(0))
         head, tail = form.split("{}", 1)
-        tail = tail.replace("{{}}", "{}")
-        parts.append(F.zip_with(stems, whole, lambda s, m, k=kind, h=head, t=tail: F.struct(F.lit(k).alias("kind"), F.concat(F.lit(h), s, F.lit(t)).alias("template"), m.alias("instance"))))
-    return F.concat(*parts)
+        template = lambda s: F.concat(F.lit(head), s, F.lit(tail.replace("{{}}", "{}")))
+        return F.zip_with(stems, whole, lambda s, m: F.struct(F.lit(kind).alias("kind"), template(s).alias("template"), m.alias("instance")))
+
+    return F.concat(*[found(*rule) for rule in TEMPLATES])
 
 
 def mine_templates(df: DataFrame, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", min_n: int = 3) -> DataFrame:  # noqa: B006
@@ -180,17 +185,22 @@ def contexts(df: DataFrame, patterns: DataFrame, width: int = 20, k: int = 10, i
     found = [r.pattern for r in patterns.select("pattern").distinct().orderBy("pattern").limit(1000).collect()]
     if patterns.select("pattern").distinct().count() > len(found):
         raise ValueError("contexts are for lists of at most 1000 patterns")
-    text = X.text_of(F.col(text_col))
-    spots = lambda p: F.filter(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.when(F.substring(text, i, F.lit(len(p))) == p, i)), lambda i: i.isNotNull())
+    base = df.select(F.col(id_col), X.text_of(F.col(text_col)).alias("body"))
+    body = F.col("body")
+
+    def spots(p: str) -> Column:
+        """Where p starts, from 1, overlaps too."""
+        return F.filter(F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.when(F.substring(body, i, F.lit(len(p))) == p, i)), lambda i: i.isNotNull())
+
     rows = None
     for p in found:
-        one = df.where(text.contains(p)).select(F.lit(p).alias("pattern"), F.col(id_col), text.alias("text"), F.explode(spots(p)).alias("pos"))
+        one = base.where(body.contains(p)).select(F.lit(p).alias("pattern"), F.col(id_col), body, F.explode(spots(p)).alias("pos"))
         rows = one if rows is None else rows.unionByName(one)
     if rows is None:
         return df.sparkSession.createDataFrame([], f"pattern string, {id_col} long, pos int, context string")
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy(id_col, "pos"))).where(F.col("r") <= k)
     start = F.greatest(F.lit(1), F.col("pos") - width)
-    return first.select("pattern", id_col, "pos", F.substring(F.col("text"), start, F.col("pos") - start + F.length("pattern") + width).alias("context"))
+    return first.select("pattern", id_col, "pos", F.substring(body, start, F.col("pos") - start + F.length("pattern") + width).alias("context"))
 
 
 def filter_entropy(patterns: DataFrame, entropy: DataFrame, least: float = 0.3) -> DataFrame:

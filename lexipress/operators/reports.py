@@ -58,6 +58,6 @@ def op_frequency(log: DataFrame, tracked: tuple[str, ...] = TRACKED) -> DataFram
     hit = F.lit(False)
     for word in tracked:
         hit = hit | F.contains(F.lower("phase"), F.lit(word))
-    out = log.where(hit).groupBy("phase").agg(F.count("*").alias("n"), (F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))).alias("us")).where("n >= 2")
+    out = log.where(hit).groupBy("phase").agg(F.count("*").alias("n"), (F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))).alias("us")).where("n >= 2")
     span = F.greatest(F.col("us") / 1e6, F.lit(1.0))
     return out.select("phase", "n", F.round(span, 4).alias("span_s"), F.round(F.col("n") / span, 6).alias("per_s"))

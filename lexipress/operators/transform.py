@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,17 +69,21 @@ DASH_COMMENT = r"""^((?:[^"'\\-]|-(?!-)|\\.|"(?:[^"\\]|\\.)*+"?|'(?:[^'\\]|\\.)*
 def strip_comments(text: Column, language: Column, min_len: int = 3, sql_comments: bool = False) -> Column:
     """C4: without comments: block comments, then line comments outside quotes; changed lines lose white space at their end,
     and those shorter than ``min_len`` then become empty. Texts of no known language stay."""
+    rules = {"#": LINE_COMMENT.replace("{0}", "#"), "//": SLASH_COMMENT, "--": DASH_COMMENT}
+
+    def line(x: Column, mark: str) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(x, rules[mark], "$1"), r"\s+$", "")
+        return F.when(~F.contains(x, F.lit(mark)), x).when(F.length(X.strip(bare)) < min_len, F.lit("")).otherwise(bare)
+
+    def stripped(blocks: tuple[str, ...], mark: str | None) -> Column:
+        out = text
+        for b in blocks:
+            out = F.regexp_replace(out, b, "")
+        return F.array_join(F.transform(F.split(out, "\n"), lambda x: line(x, mark)), "\n") if mark else out
+
     chain = F.when(F.lit(False), text)
-    line_rules = {"#": LINE_COMMENT.replace("{0}", "#"), "//": SLASH_COMMENT, "--": DASH_COMMENT}
     for name, _, _, blocks, mark in catalogs.LANGUAGES:
-        out = reduce(lambda c, b: F.regexp_replace(c, b, ""), blocks, text)
-        mark = "--" if name == "sql" and sql_comments else mark
-        if mark:
-            rule = line_rules[mark]
-            cut = lambda x, r=rule: F.regexp_replace(F.regexp_replace(x, r, "$1"), r"\s+$", "")
-            short = lambda x, c=cut: F.when(F.length(X.strip(c(x))) < min_len, F.lit("")).otherwise(c(x))
-            out = F.array_join(F.transform(F.split(out, "\n"), lambda x, m=mark, s=short: F.when(F.contains(x, F.lit(m)), s(x)).otherwise(x)), "\n")
-        chain = chain.when(language == name, out)
+        chain = chain.when(language == name, stripped(blocks, "--" if name == "sql" and sql_comments else mark))
     return chain.otherwise(text)
 
 

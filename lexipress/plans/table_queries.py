@@ -29,7 +29,7 @@ def _dictionary(s, d, k: int = 100):
 
 def _pool_sql() -> str:
     values = ", ".join(f"('{x}', {i + 1}, '{k}', { {'unicode': 1, 'ascii': 2, 'private': 3}[k]})" for i, (x, k) in enumerate(catalogs.symbols(False)))
-    return f"(select * from (values {values}) t(symbol, rank, kind, cost) union all select chr(57344 + i), {len(catalogs.symbols(False))} + 1 + i, 'private', 3 from range(0, 6400) r(i))"
+    return f"(select * from (values {values}) t(symbol, rank, kind, cost) union all select chr((57344 + i)::int), {len(catalogs.symbols(False))} + 1 + i, 'private', 3 from range(0, 6400) r(i))"
 
 
 def _dictionary_sql(k: int = 100) -> str:
@@ -194,7 +194,7 @@ QUERIES = {
     "c7_fields": lambda s, d: C.expand_fields(C.substitute_fields(_calls(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", F.md5(F.col("fields")["content"]).alias("content_md5")),
     "c8_multipass": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 2)[0].select("doc_id", F.length("text").alias("chars")),
     "c9_adaptive": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 3, adaptive=True)[0].select("doc_id", F.length("text").alias("chars")),
-    "c10_renest": lambda s, d: C.renest_content(V.messages(s, d).select("conv_id", "turn", F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("parts")), V.messages(s, d).select("conv_id", "turn", F.lit(0).alias("idx"), F.upper("text").alias("text")), ["conv_id", "turn"]).select("conv_id", "turn", F.md5(F.col("parts")[0]["text"]).alias("md5")),
+    "c10_renest": lambda s, d: C.renest_content(V.messages(s, d).select("conv_id", "turn", F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("parts")), V.messages(s, d).select("conv_id", "turn", F.lit(0).alias("idx"), F.concat(F.lit("x"), "text").alias("text")), ["conv_id", "turn"]).select("conv_id", "turn", F.md5(F.col("parts")[0]["text"]).alias("md5")),
     "c11_compress": lambda s, d: C.compress(V.documents(s, d)).select("doc_id", "gate", "accepted", F.length("final_text").alias("chars")),
     "c12_estimate_ratio": lambda s, d: C.estimate_ratio(C.substitute(V.documents(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", "ratio"),
     "w1_w2_context": lambda s, d: W.short_turn(W.request_context(V.messages(s, d))),
@@ -256,7 +256,7 @@ SQL = {
     "c4_strip_html_comments": r"select page_id, md5(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g')) as md5 from pages",
     "c6_tool_calls": f"select doc_id, 'read_file' as name, {PATH_} as path, md5({CLEAN}) as content_md5 from documents",
     "c7_fields": f"select doc_id, md5({CLEAN}) as content_md5 from documents",
-    "c10_renest": "select conv_id, turn, md5(upper(text)) as md5 from conversations",
+    "c10_renest": "select conv_id, turn, md5('x' || text) as md5 from conversations",
     "c12_estimate_ratio": f"{SUB} select doc_id, round(greatest(0, least(1, 1 - length(compressed_text) / greatest(length(text), 1))), 4) as ratio from sub",
     "w1_w2_context": "with c as (select conv_id, turn, count(*) over w as messages, (sum(case when role in ('user', 'assistant', 'system') then length(text) else 0 end) over w)::bigint as total_chars, coalesce(last_value(case when role = 'user' then length(text) end ignore nulls) over w, 0)::int as last_user_chars from conversations window w as (partition by conv_id order by turn rows unbounded preceding)) select *, messages > 1 and last_user_chars > 0 and last_user_chars < 250 and total_chars < 20000 as short_turn from c",
     "w3_additive_rules": f"with {RULES_SQL} select * from rules",
