@@ -186,10 +186,16 @@ TOOL_TAGS = r"(?s)<(tool_call|function_call|invoke|execute|use_tool)[^>]*>.*?</\
 FLAT_OBJECT = r"\{[^{}]*\}"
 
 
+def json_fields(x: Column) -> Column:
+    """A flat JSON object as a map; raw line ends and tabs in it are repaired where it doesn't parse as it is."""
+    repaired = F.replace(F.replace(x, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    return F.coalesce(F.from_json(x, "map<string,string>"), F.from_json(repaired, "map<string,string>"))
+
+
 def has_tool_call(text: Column) -> Column:
     """an execution tag, or a flat JSON object with a tool key and a path or structure key, or two keys."""
     text = text_of(text)
-    objects = F.transform(F.regexp_extract_all(text, F.lit(FLAT_OBJECT), F.lit(0)), lambda x: F.map_keys(F.from_json(x, "map<string,string>")))
+    objects = F.transform(F.regexp_extract_all(text, F.lit(FLAT_OBJECT), F.lit(0)), lambda x: F.map_keys(json_fields(x)))
     lit = lambda some: F.array(*[F.lit(x) for x in some])
     tool = lambda keys: F.arrays_overlap(keys, lit(catalogs.TOOL_KEYS)) & (F.arrays_overlap(keys, lit(catalogs.PATH_KEYS + catalogs.STRUCTURE_KEYS)) | (F.size(keys) >= 2))
     quoted = contains_any(text, [f'"{k}"' for k in catalogs.TOOL_KEYS])

@@ -7,6 +7,7 @@ scope that holds a third of all rows doesn't fill a task.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -189,8 +190,11 @@ def contexts(df: DataFrame, patterns: DataFrame, width: int = 20, k: int = 10, i
     body = F.col("body")
 
     def spots(p: str) -> Column:
-        """Where p starts, from 1, overlaps too."""
-        return F.filter(F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.when(F.substring(body, i, F.lit(len(p))) == p, i)), lambda i: i.isNotNull())
+        """Where p starts, from 1, overlaps too: the text is cut before each place, and the pieces' lengths add up."""
+        start = F.struct(F.lit(1).alias("pos"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["pos"] + F.length(x)).alias("pos"), F.array_append(acc["out"], acc["pos"]).alias("out"))
+        every = F.aggregate(F.split(body, "(?=" + re.escape(p) + ")"), start, step)["out"]
+        return F.filter(every, lambda i: (i > 1) | body.startswith(p))
 
     rows = None
     for p in found:

@@ -98,11 +98,9 @@ def comment_savings(df: DataFrame, by: list[str], text_col: str = "text", langua
 
 def extract_tool_calls(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, call, name, fields): flat JSON objects with a tool's name. Raw line ends and tabs within are repaired."""
-    repaired = lambda x: F.replace(F.replace(x, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
     found = F.regexp_extract_all(X.text_of(F.col(text_col)), F.lit(X.FLAT_OBJECT), F.lit(0))
     rows = df.select(F.col(id_col), F.posexplode(found).alias("call", "object"))
-    plain = F.from_json(F.col("object"), "map<string,string>")
-    fields = F.coalesce(plain, F.from_json(repaired(F.col("object")), "map<string,string>"))
+    fields = X.json_fields(F.col("object"))
     name = F.coalesce(*[F.col("fields")[k] for k in catalogs.TOOL_KEYS[:5]])
     return rows.withColumn("fields", fields).withColumn("name", name).where("name is not null").select(id_col, "call", "name", "fields")
 
@@ -130,7 +128,7 @@ def build_dictionary(df: DataFrame, scope: list[str] = [], k: int = 262, min_n:
     mined = M.mine_patterns(df, scope, strategies=strategies, min_n=min_n)
     ranked = M.rank_patterns(mined, scope, k=2 * k, min_n=min_n, min_len=min_len)
     pool = D.free_symbols(catalogs.symbol_pool(df.sparkSession, private_use), df)
-    return D.assign_symbols(ranked, D.rank_symbols(pool, k=k), scope, k)
+    return settle(D.assign_symbols(ranked, D.rank_symbols(pool, k=k), scope, k), "dictionary")
 
 
 def compress(df: DataFrame, scope: list[str] = [], threshold: float = 0.01, strip: bool = False) -> DataFrame:  # noqa: B006
@@ -140,7 +138,7 @@ def compress(df: DataFrame, scope: list[str] = [], threshold: float = 0.01, stri
     rows = df.withColumn("text", strip_comments(text, F.coalesce(X.detect_language(text), F.lit("")))) if strip else df.withColumn("text", text)
     gate = F.when(X.has_tool_call(F.col("text")), "tool_call").when(X.has_markdown(F.col("text")), "markdown").otherwise("open")
     rows = settle(rows.withColumn("gate", gate), "gated")
-    dictionary = settle(build_dictionary(rows.where("gate = 'open'"), scope), "dictionary")
+    dictionary = build_dictionary(rows.where("gate = 'open'"), scope)
     done = substitute(rows, dictionary, scope)
     done = done.withColumn("compressed_text", F.when(F.col("gate") == "open", F.col("compressed_text")).otherwise(F.col("text")))
     return D.token_efficiency(D.accept(done, threshold))
@@ -155,7 +153,7 @@ def compress_multipass(df: DataFrame, passes: int = 3, adaptive: bool = False) -
     history: list[dict] = []
     for p in range(passes):
         options = {"min_n": max(2, 3 - p // 3), "min_len": max(3, 8 - p)} if adaptive else {}
-        dictionary = settle(build_dictionary(rows, **options), "pass-dictionary")
+        dictionary = build_dictionary(rows, **options)
         done = settle(substitute(rows, dictionary).drop("text", "used").withColumnRenamed("compressed_text", "text"), "pass")
         sums = done.agg(F.coalesce(F.sum("original_chars"), F.lit(0)).alias("before"), F.coalesce(F.sum("compressed_chars"), F.lit(0)).alias("after")).first()
         entries = dictionary.count()
