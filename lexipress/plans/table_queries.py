@@ -245,6 +245,10 @@ SQL = {
     "d1_rank_symbols": f"with {COSTS_SQL}, c as (select symbol, coalesce(max(tokens) filter (family = 'f1'), floor(avg(tokens)))::int as cost, min(substr(symbol, 2)::int) as r from costs group by 1) select symbol, cost, row_number() over (order by cost, length(symbol), r)::int as srank from c qualify srank <= 100",
     "d2_free_symbols": f"select symbol, rank from {_pool_sql()} p where kind <> 'private' and not exists (select 1 from documents where contains(text, p.symbol))",
     "d4_dictionary": f"{DICT} select * from dictionary",
+    "d3_value": f"with rows as (select doc_id, unnest({TOKENS_SQL}) as pattern from documents), c as ({COUNTED.format(by='')}), r as (select pattern, n from c where n >= 3 and {QUALITY_SQL} qualify row_number() over (order by n * length(pattern) desc, pattern) <= 300), v as (select *, least({EST.format('pattern')} - 1, length(pattern) // 3) as each, least({EST.format('pattern')} - 1, length(pattern) // 3) * n - {EST.format("(chr(10) || pattern || '=α')")} as net from r) select pattern, round(case when each <= 0 then -1 when n >= 5 and net > -2 then greatest(net, 0.1) else net end, 4)::double as by_tokens, round(greatest(0, (length(pattern) - 1) * n - (length(pattern) + 4)) / 4.0, 4)::double as by_chars from v",
+    "d7_rejected": f"{DICT}, r as (select pattern, n from counted where n >= 3 and {QUALITY_SQL} qualify row_number() over (order by n * length(pattern) desc, pattern) <= 300) select pattern, n, n * length(pattern) as value from r where pattern not in (select pattern from dictionary) order by value desc, pattern limit 20",
+    "r6_op_frequency": "with g as (select event_type as phase, count(*) as n, greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 1) as span from events where contains(lower(event_type), 'c') or contains(lower(event_type), 'p') group by 1 having count(*) >= 2) select phase, n, round(span, 4) as span_s, round(n / span, 6) as per_s from g",
+    "w14_skipped_turns": f"with {TURNS_SQL}, r as (select conv_id, case when role = 'user' or original_chars = 0 then 0 else round(1 - compressed_chars / original_chars, 4) end as ratio from turns) select conv_id, count(*) as turns, round(avg(ratio), 4) as ratio from r group by 1",
     "d8_accept": f"{SUB}, a as (select *, 1 - length(compressed_text) / greatest(length(text), 1) >= 0.05 - 1e-6 and 1 - {EST.format('compressed_text')} / {EST.format('text')} >= 0.05 - 1e-6 as accepted from sub) select doc_id, accepted, md5(case when accepted then compressed_text else text end) as final_md5 from a",
     "d9_token_efficiency": f"{SUB}, e as (select doc_id, {EST.format('text')}::int as original_tokens, {EST.format('compressed_text')}::int as compressed_tokens from sub) select *, original_tokens - compressed_tokens as saved, round((original_tokens - compressed_tokens) / greatest(original_tokens, 1), 4) as ratio, original_tokens > compressed_tokens as valid from e",
     "d10_symbol_stats": f"with {COSTS_SQL}, r as (select *, row_number() over (partition by family order by tokens, symbol) as b, row_number() over (partition by family order by tokens desc, symbol) as w from costs) select family, count(*) as n, min(tokens) as least, max(tokens) as most, round(avg(tokens), 4) as mean, count(*) filter (tokens = 1) as single, count(*) filter (tokens > 1) as multi, string_agg(symbol, ' ' order by b) filter (b <= 10) as best, string_agg(symbol, ' ' order by w) filter (w <= 10) as worst from r group by 1",

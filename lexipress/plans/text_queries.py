@@ -66,9 +66,9 @@ def _gate(spark, d):
     return W.analysis_gate(V.documents(spark, d)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def _code_rows_sql() -> str:
-    parts = " union all ".join(f"select doc_id, '{k}' as kind, unnest(list_filter(regexp_extract_all(text, '{p}'), lambda m: length(m) between {lo} and {hi})) as pattern from code_docs" for k, p, lo, hi in catalogs.CODE_PATTERNS)
-    return f"with {CODE_SQL}, rows as ({parts}) select kind, pattern, sum(k)::bigint as n, count(*) as df from (select kind, pattern, doc_id, count(*) as k from rows group by all) r group by all having sum(k) >= 2"
+def _code_rows_sql(patterns=catalogs.CODE_PATTERNS, least: int = 2) -> str:
+    parts = " union all ".join(f"select doc_id, '{k}' as kind, unnest(list_filter(regexp_extract_all(text, '{p}'), lambda m: length(m) between {lo} and {hi})) as pattern from code_docs" for k, p, lo, hi in patterns)
+    return f"with {CODE_SQL}, rows as ({parts}) select kind, pattern, sum(k)::bigint as n, count(*) as df from (select kind, pattern, doc_id, count(*) as k from rows group by all) r group by all having sum(k) >= {least}"
 
 
 def _templates_sql() -> str:
@@ -167,6 +167,8 @@ SQL = {
     "a3_line_pairs": f"with l as (select doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) as pos, {STRIP.format('unnest(string_split(text, chr(10)))')} as pattern from documents), w as (select pattern, count(*) over (partition by doc_id, pattern order by pos range between 1 following and 50 following) as later from l where length(pattern) >= 3) select pattern, sum(later)::bigint as pairs from w group by 1 having sum(later) > 0",
     "a4_word_ngrams": r"with b as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') as w from documents), r as (select doc_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i:i+1], ' '))) as pattern from b union all select doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i+2], ' '))) from b), rows as (select * from r where length(pattern) >= 5) select *, round(least(1.0, n / 10), 4) as confidence from (" + COUNTED.format(by="") + " having sum(k) >= 3)",
     "a5_a6_code": _code_rows_sql(),
+    "a19_simple_code": _code_rows_sql(catalogs.SIMPLE_CODE_PATTERNS, 3),
+    "f7_f8_quality": r"with b as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') as w from documents), r as (select unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i:i+1], ' '))) as pattern from b), g as (select pattern from r where length(pattern) >= 5 group by 1 having count(*) >= 5) select pattern, regexp_matches(pattern, '\p{L}') as meaningful, " + QUALITY_SQL + " as quality from g",
     "a7_templates": _templates_sql(),
     "a9_rank": f"with rows as (select doc_id, unnest({TOKENS_SQL}) as pattern from documents), c as ({COUNTED.format(by='')}) select pattern, n, n * length(pattern) as value, row_number() over (order by n * length(pattern) desc, pattern)::int as rank from c where n >= 3 and {QUALITY_SQL} qualify rank <= 200",
     "a18_chunks": "select doc_id, start::int as start, substring(text, start, 500) as chunk from (select doc_id, text, unnest(generate_series(1, greatest(1, length(text)), 450)) as start from documents) x",
