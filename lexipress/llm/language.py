@@ -150,7 +150,7 @@ class Labeller:
         self.letters = np.zeros(1 << 12, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > 400_000 and self.known:
+        if len(self.known) + len(new) > 150_000 and self.known:
             raise MemoryError
         plain = [letters_of(w) for w in new]
         a, b = len(self.known), len(self.known) + len(new)
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((BUCKETS + len(_NAMES), len(names)), np.int64)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 3 << 20):
             words: dict[str, Counter] = {}
             for text, lang in zip(column(batch, "text").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(text.split())
@@ -250,7 +250,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 3 << 20):
             found = labeller.label(column(batch, "text").to_pylist())
             kind = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())]))
             spans = pa.array([[{"first_word": a, "n_words": n, "lang": lang} for a, n, lang in f[2]] for f in found], kind)
@@ -266,7 +266,7 @@ def select_single(docs: DataFrame, model: LanguageModel, least: float = 0.5, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value)
-        for batch in chunks(batches, text_col):
+        for batch in chunks(batches, text_col, 3 << 20):
             found = labeller.label(column(batch, text_col).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and share > least for lang, share, _ in found], pa.bool_()))
 

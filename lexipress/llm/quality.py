@@ -139,7 +139,7 @@ class Features:
 
     def of(self, stats: list[float], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 120_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = (_bucket("s:" + _shape(w)), _bucket("w:" + w.lower()))
