@@ -26,6 +26,8 @@ _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 SEED = 42
 #: A bucket with more distinct fingerprints than this isn't paired up; its members link through shared neighbours.
 BUCKET_PAIRS = 64
+#: Counters of shingles by hash, which only order them, and rounds of stars before what is left is compared exactly.
+CELLS, STAR_ROUNDS = 1 << 17, 2
 #: Shingles whose bits are counted at once.
 COUNT_ROWS = 1 << 15
 
@@ -255,6 +257,62 @@ def _sketch(text: str | None, width: int) -> tuple[int, int, int, list[int]]:
     return fp, _signed(xxhash.xxh64_intdigest(h.tobytes())), len(h), keys
 
 
+def _crowd_prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(rep, n, at, h): the first shingles of each text in an order that all texts share, about the rarest first.
+
+    Two texts at least ``similarity`` alike have one of them in common whatever the order is: n - ceil(similarity * n) + 1
+    of n. The order is by counts over all ``texts``, summed by hash into CELLS counters, then by the hash itself.
+    """
+
+    def hashed(text: str | None) -> np.ndarray:
+        return np.unique(_hashes(shingles(text, width)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for batch in chunks(batches, "text"):
+            for t in column(batch, "text").to_pylist():
+                n += np.bincount((hashed(t) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+    rank = np.zeros(CELLS, np.uint8)
+    for r in texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        rank[r.cell] = round(4 * np.log2(r.n))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 20):
+            for i, t in zip(column(batch, "id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
+                h = hashed(t)
+                first = np.lexsort((h, rank[(h % np.uint64(CELLS)).astype(np.int64)]))[: len(h) - int(np.ceil((similarity - 1e-9) * len(h))) + 1]
+                m = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, i, np.int64)), pa.array(np.full(m, len(h), np.int64)), pa.array(np.arange(m)), pa.array(h[first].view(np.int64))], names=["rep", "n", "at", "h"])
+
+    return settle(texts.select("id", "text").mapInArrow(cut, "rep long, n long, at long, h long"), "crowd-prefixes")
+
+
+def _across(prefixes: DataFrame, component: DataFrame, similarity: float, exact: bool) -> DataFrame:
+    """(a, b): pairs of texts of different groups that may be alike by their prefixes, sizes and places.
+
+    If ``exact``, all of them. Else shingles with over BUCKET_PAIRS texts give two pairs a text, with a text of the
+    smallest group and one of the largest, so that groups grow before everything that is left is paired up.
+    """
+    label = component.select(F.col("node").alias("rep"), "component")
+    rows = prefixes.join(label.hint("shuffle_merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = settle(rows, "crowd-rows")
+    one = F.struct("component", "rep", "n", "at")
+    mixed = rows.groupBy("h").agg(F.count("*").alias("c"), F.min(one).alias("low"), F.max(one).alias("high")).where("low.component <> high.component")
+    if exact:
+        rows = settle(rows.join(mixed.select("h").hint("shuffle_merge"), "h", "left_semi"), "crowd-mixed")
+        met = rows.join(rows.select("h", *[F.col(c).alias(f"{c}2") for c in ("component", "rep", "n", "at")]).hint("shuffle_merge"), "h").where("rep < rep2")
+    else:
+        pivots = settle(mixed.where(F.col("c") > BUCKET_PAIRS).select("h", "low", "high"), "crowd-pivots")
+        met = rows.join(pivots.hint("shuffle_merge"), "h").select("rep", "n", "at", "component", F.explode(F.array("low", "high")).alias("p"))
+        met = met.select("rep", "n", "at", "component", *[F.col(f"p.{c}").alias(f"{c}2") for c in ("component", "rep", "n", "at")])
+    t = similarity - 1e-9
+    met = met.where("component <> component2").where(f"least(n, n2) >= {t} * greatest(n, n2)")
+    return met.where(f"(least(n - at, n2 - at2)) * (1 + {t}) >= {t} * (n + n2)").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id), a row per distinct non-null id: groups of texts of which each is at least ``similarity``
     alike (Jaccard, on sets of shingles of ``width`` words) to another of its group.
@@ -262,7 +320,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     64 bits can't tell this: texts 0.8 to 1 alike differ in 4 to 18 bits, as many as some unlike ones. So texts
     whose fingerprints link are candidates, and so are those that share a band of MinHash values; each pair of
     candidates is verified on its shingles. Texts with the same set are one before that. In buckets of over
-    BUCKET_PAIRS different texts, each meets the bucket's first, last and middle text (by hash) rather than all.
+    BUCKET_PAIRS different texts, each meets the bucket's first, last and middle text (by hash) first; then all texts of
+    such buckets that aren't in one group by now are compared exactly (``_crowd_prefixes``, ``_across``).
     Texts without a word are one group. Repeated ids count as one document, with the text of least hash.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
@@ -289,7 +348,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = links(settle(nodes, "simhash-nodes"))
     twins = sets.where("n > 0").join(nodes.withColumnRenamed("rep", "low").hint("shuffle_merge"), "fp").where("rep <> low")
     every = pairs.unionByName(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))).unionByName(near.select(F.col("src").alias("a"), F.col("dst").alias("b"))).unionByName(twins.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    every = settle(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    repeated = not rows.groupBy("id").count().where("count > 1").isEmpty()
+
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        texts = source.join(ids.hint("shuffle_merge"), "id", "left_semi")
+        if repeated:
+            texts = texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        return settle(texts, name)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "left"):
@@ -299,13 +364,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 keep.append(len(x & y) >= (similarity - 1e-9) * len(x | y))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = every.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = source.join(wanted.hint("shuffle_merge"), "id", "left_semi")
-    if not rows.groupBy("id").count().where("count > 1").isEmpty():
-        texts = texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    texts = settle(texts, "candidate-texts")
-    both = every.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")).hint("shuffle_merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")).hint("shuffle_merge"), "b")
-    edges = settle(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"), "similar")
+    def verified(some: DataFrame) -> DataFrame:
+        some = settle(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        texts = texts_of(some.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-texts")
+        both = some.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")).hint("shuffle_merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")).hint("shuffle_merge"), "b")
+        return settle(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"), "similar")
+
+    edges = verified(every)
+    if not large.isEmpty():
+        crowd = bands.join(large.select("band", "key").hint("shuffle_merge"), ["band", "key"], "left_semi").select(F.col("rep").alias("id")).distinct()
+        prefixes = _crowd_prefixes(texts_of(crowd, "crowd-texts"), width, similarity)
+        for turn in range(STAR_ROUNDS + 1):
+            last = turn == STAR_ROUNDS
+            found = settle(_across(prefixes, connected_components(edges, "a", "b"), similarity, exact=last), "crowd-pairs")
+            if last or not found.isEmpty():
+                edges = settle(edges.unionByName(verified(found)), "similar")
     component = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
     named = sets.select("digest", "rep").join(component.hint("shuffle_merge"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return first.join(settle(named, "similar-sets").hint("shuffle_merge"), "digest").select(F.col("id").alias(id_col), "component_id")

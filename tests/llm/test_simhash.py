@@ -91,3 +91,16 @@ def test_thresholds_cover_the_distance(spark):
         assert sorted(b for g in groups for b in g) == list(range(64))
         _, parts = simhash.allot(groups, [100.0] * m, n, both, 2)
         assert sum(p.threshold for p in parts) == 2 - m + 1 and min(p.threshold for p in parts) >= -1
+
+
+def test_crowded_bands_lose_no_pair(spark, monkeypatch):
+    """Pairs of near copies among texts that share most of their words, in buckets far over the limit."""
+    common = [f"t{i}" for i in range(180)]
+    texts = [" ".join([*common, *(f"p{i // 2}w{k}" for k in range(10)), *(f"d{i}w{k}" for k in range(20))]) for i in range(160)]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    alike = {(j, i) for i in range(160) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert alike == {(i, i + 1) for i in range(0, 160, 2)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "BUCKET_PAIRS", 4)
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
+    assert found == {i: i // 2 * 2 for i in range(160)}
