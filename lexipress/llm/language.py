@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,8 +21,12 @@ TRAIN_DOCS = 1500
 MOST_LANGUAGES = 500
 #: Log odds that a change of language between two words costs.
 SWITCH = 7.0
-#: The least log odds of a word, so that no single word outweighs its neighbours.
+#: The least log odds of a word in a language that its script allows, so that no single word outweighs its neighbours.
 FLOOR = -6.0
+#: What a word costs in a language that its script bars, more than changes there and back.
+BARRED = -1e4
+#: Scripts written without spaces, and the most characters of a run of them, or the like, that are scored as one word.
+UNSPACED, PIECE = ("han", "kana", "bopomofo", "thai", "lao", "khmer", "burmese", "tibetan"), 4
 #: A language takes part in a word's candidates if at least this share of its training letters is of the word's script.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
@@ -75,6 +80,30 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys).astype(np.int64), np.concatenate(owners)
 
 
+_UNSPACED = np.array([n in UNSPACED for n in _NAMES])
+_NOT_LATIN = re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for (a, n), b in zip(SCRIPTS, [*(x for x, _ in SCRIPTS[1:]), 0x110000], strict=True) if n != "latin") + "]")
+
+
+def pieces_of(token: str) -> tuple[str, ...]:
+    """The token cut where the script of its letters changes, and runs of scripts without spaces into PIECE letters at most.
+
+    What isn't a letter, marks on letters among it, stays with the letters before it, or at the start with those after it.
+    """
+    if token.isascii() or not _NOT_LATIN.search(token):
+        return (token,)
+    script = _SCRIPT[np.searchsorted(_STARTS, np.frombuffer(token.encode("utf-32-le"), np.uint32), side="right") - 1]
+    cuts, last, count = [0], -1, 0
+    for i, c in enumerate(token):
+        if not c.isalpha():
+            continue
+        now = int(script[i])
+        if last >= 0 and (now != last and not (_UNSPACED[now] and _UNSPACED[last]) or _UNSPACED[now] and count >= PIECE):
+            cuts.append(i)
+            count = 0
+        last, count = now, count + 1
+    return tuple(token[a:b] for a, b in zip(cuts, [*cuts[1:], len(token)], strict=True))
+
+
 def scripts(words: list[str]) -> np.ndarray:
     """The script of each word's first letter; -1 without a letter."""
     first = np.array([ord(w.lstrip()[:1] or "\0") for w in words], np.int64)
@@ -88,7 +117,7 @@ class LanguageModel:
     script_ok: np.ndarray  # [script, language]
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Log odds of each language for each word (letters only): 0 for the best, FLOOR at least."""
+        """Log odds of each language for each word (letters only): 0 for the best, FLOOR at least, BARRED if the script bars it."""
         out = np.zeros((len(words), len(self.names)), np.float32)
         if not words or not self.names:
             return out
@@ -98,8 +127,9 @@ class LanguageModel:
         out *= 0.5  # grams overlap
         script = scripts(words)
         allowed = np.where((script >= 0)[:, None], self.script_ok[script], True)
-        out -= np.where(allowed | ~allowed.any(axis=1, keepdims=True), 0, 1e4).astype(np.float32)
-        return np.maximum(out - out.max(axis=1, keepdims=True), FLOOR)
+        allowed |= ~allowed.any(axis=1, keepdims=True)
+        out[~allowed] = -np.inf
+        return np.where(allowed, np.maximum(out - out.max(axis=1, keepdims=True), FLOOR), BARRED).astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -137,6 +167,17 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     return out
 
 
+def _by_word(labels: np.ndarray, letters: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """The label of most letters of each word, from those of its pieces."""
+    sizes = np.array(sizes)
+    first = np.cumsum(sizes) - sizes
+    out = labels[first]
+    for i in np.flatnonzero(sizes > 1).tolist():
+        a, b = first[i], first[i] + sizes[i]
+        out[i] = np.bincount(labels[a:b], letters[a:b]).argmax()
+    return out
+
+
 class Labeller:
     """Labels the words of texts; remembers words."""
 
@@ -163,9 +204,15 @@ class Labeller:
         self.known.update(zip(new, range(a, b), strict=True))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """(language, share of letters in it, spans (first word, words, language)) of each text."""
-        words = [(t or "").split() for t in texts]
-        new = list(set().union(*words).difference(self.known))
+        """(language, share of letters in it, spans (first word, words, language)) of each text.
+
+        Words in more than one script, and those without spaces, are labelled in pieces; in spans such a word counts
+        for the language of most of its letters."""
+        whole = [(t or "").split() for t in texts]
+        new = set().union(*whole).difference(self.known)
+        cut = {w: p for w in new if len(p := pieces_of(w)) > 1}
+        words = [[p for w in ws for p in cut.get(w, (w,))] for ws in whole] if cut else whole
+        new = list(new.difference(cut).union(*cut.values()).difference(self.known))
         try:
             self._learn(new)
         except MemoryError:
@@ -176,7 +223,7 @@ class Labeller:
         labels = viterbi(self.scores[at], lengths, SWITCH) if self.model.names else at
         letters = self.letters[at]
         names, out, end = self.model.names, [], 0
-        for n in lengths.tolist():
+        for ws, n in zip(whole, lengths.tolist(), strict=True):
             some, count = labels[end : end + n], letters[end : end + n]
             end += n
             total = int(count.sum())
@@ -185,7 +232,9 @@ class Labeller:
                 continue
             by = np.bincount(some, count, len(names))
             best = int(by.argmax())
-            cuts = [0, *(np.flatnonzero(np.diff(some)) + 1).tolist(), n]
+            if n > len(ws):
+                some = _by_word(some, count, [len(cut.get(w, (w,))) for w in ws])
+            cuts = [0, *(np.flatnonzero(np.diff(some)) + 1).tolist(), len(ws)]
             spans = [(a, b - a, names[some[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
             out.append((names[best], float(by[best] / total), spans))
         return out
@@ -218,7 +267,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             for text, lang in zip(column(batch, "text").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(text.split())
             for lang, found in words.items():
-                plain, n, k = [letters_of(w) for w in found], np.array(list(found.values())), names.index(lang)
+                pairs = [(letters_of(p), c) for w, c in found.items() for p in pieces_of(w)]
+                plain, n, k = [p for p, _ in pairs], np.array([c for _, c in pairs]), names.index(lang)
                 keys, owners = grams(plain)
                 table[:BUCKETS, k] += np.bincount(keys, n[owners], BUCKETS).astype(np.int64)
                 script = scripts(plain)

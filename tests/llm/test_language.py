@@ -67,3 +67,20 @@ def test_memory_of_words_starts_afresh(model, monkeypatch):
     first = lab.label(["the thing", "слово"])
     lab._forget()
     assert lab.label(["the thing", "слово"]) == first
+
+
+def test_scripts_bar_languages(spark):
+    """A learned language that a word's script bars never gets it, however few or long the words are."""
+    rng = random.Random(3)
+    words = {"en": ["the", "thing", "with", "shown"], "ru": ["это", "слово", "язык", "который"]}
+    han = [chr(c) for c in range(0x4E00, 0x4E40)]
+    rows = [(3 * i + k, " ".join(rng.choice(w) for _ in range(40)), lang) for i in range(60) for k, (lang, w) in enumerate(words.items())]
+    rows += [(3 * i + 2, "".join(rng.choices(han, k=80)), "zh") for i in range(60)]
+    lab = L.Labeller(L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    lang, share, spans = lab.label(["the thing " + "".join(rng.choices(han, k=500))])[0]
+    assert lang == "zh" and share == 500 / 508 and spans == [(0, 2, "en"), (2, 1, "zh")]
+    assert lab.label(["the thing слово with shown"])[0][2] == [(0, 2, "en"), (2, 1, "ru"), (3, 2, "en")]
+    lang, share, spans = lab.label(["thing" + "".join(han[:20]) + "слово the"])[0]
+    assert lang == "zh" and share == 20 / 33 and spans == [(0, 1, "zh"), (1, 1, "en")]
+    assert L.pieces_of("über-größe") == ("über-größe",) and "".join(L.pieces_of("«язык»abc1日本語の文字x")) == "«язык»abc1日本語の文字x"
+    assert L.pieces_of("«язык»abc1日本語の文字x") == ("«язык»", "abc1", "日本語の", "文字", "x")
