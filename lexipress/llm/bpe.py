@@ -13,12 +13,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexipress.llm._arrow import chunks, column
+from lexipress.llm._arrow import chunks, column, kept
 from lexipress.llm.units import Memory, independent_units
 
 NO_RANK = np.int64(1) << 40
-#: Entries of each of the two generations of a worker's memory of encoded units.
-MEMORY_UNITS = 350_000
+#: Bytes of text that go through the replay together, and of each of the two generations of remembered units.
+CHUNK, MEMORY_BYTES = 4 << 20, 64 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -162,7 +162,7 @@ class CorpusEncoder:
     def __init__(self, ranks_path: str, pattern: str):
         self.replay = MergeReplay(read_ranks(ranks_path))
         self.pattern = regex.compile(pattern)
-        self.memory = Memory(MEMORY_UNITS)
+        self.memory = Memory(MEMORY_BYTES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -170,32 +170,22 @@ class CorpusEncoder:
         for text in texts:
             units = independent_units(text)
             split.append(self.pattern.findall(text) if units is None else units)
-        new = set(self.memory.missing(set().union(*split)))
-        known = self.memory.young
-        find = self.pattern.findall
-        whole = [u for u in new if u.isascii() and u.lstrip(" ").isalpha()]  # a run of letters is one match
-        parts = [(u, find(u)) for u in new.difference(whole)]
-        pieces = list({w for _, part in parts for w in part}.union(whole))
-        ids = dict(zip(pieces, self.replay.encode([w.encode() for w in pieces]), strict=True))
-        known.update((u, ids[u]) for u in whole)
-        known.update((u, b"".join([ids[w] for w in part])) for u, part in parts)
+        known = self.memory.values(set().union(*split), self._units)
         return [b"".join([known[u] for u in units]) for units in split]
 
+    def _units(self, new: list[str]) -> list[bytes]:
+        """Units fall into the pattern's matches; different ones go through the replay once."""
+        find = self.pattern.findall
+        parts = [(u,) if u.isascii() and u.lstrip(" ").isalpha() else find(u) for u in new]  # a run of letters is one match
+        words = list(set().union(*parts))
+        ids = dict(zip(words, self.replay.encode([w.encode() for w in words]), strict=True))
+        return [ids[part[0]] if len(part) == 1 else b"".join([ids[w] for w in part]) for part in parts]
+
     def decode(self, ids: bytes) -> bytes:
         table = self.replay.table
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_ENCODERS: dict[tuple, CorpusEncoder] = {}
-
-
-def encoder(ranks_path: str, pattern: str) -> CorpusEncoder:
-    """The encoder of this worker process."""
-    if (ranks_path, pattern) not in _ENCODERS:
-        _ENCODERS[ranks_path, pattern] = CorpusEncoder(ranks_path, pattern)
-    return _ENCODERS[ranks_path, pattern]
-
-
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary, n_tokens, decoded binary): every text encoded, and the ids decoded again.
 
@@ -204,10 +194,11 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     rows; other columns are ignored. An empty table gives an empty table. No row is shuffled: the work is one
     pass over the input, chunk by chunk, so memory does not depend on the size of a partition.
     """
+    key = ("bpe", ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(ranks_path, pattern)
-        for batch in chunks(batches, "text"):
+        coder = kept(key, lambda: CorpusEncoder(ranks_path, pattern))
+        for batch in chunks(batches, "text", CHUNK, key):
             ids = coder.encode([t or "" for t in column(batch, "text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([coder.decode(x) for x in ids], pa.binary())],
@@ -220,10 +211,11 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
 def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of ``bpe_encode``, hashed in the task so that no text comes back."""
+    key = ("bpe", ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(ranks_path, pattern)
-        for batch in chunks(batches, "text"):
+        coder = kept(key, lambda: CorpusEncoder(ranks_path, pattern))
+        for batch in chunks(batches, "text", CHUNK, key):
             ids = coder.encode([t or "" for t in column(batch, "text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [

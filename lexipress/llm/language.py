@@ -30,6 +30,8 @@ UNSPACED, PIECE = ("han", "kana", "bopomofo", "thai", "lao", "khmer", "burmese",
 #: A language takes part in a word's candidates if at least this share of its training letters is of the word's script.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
+#: Bytes that a task's remembered words take, about.
+MEMORY_BYTES = 48 << 20
 
 # First code point of each script range; 0 is Latin and everything not listed.
 SCRIPTS: tuple[tuple[int, str], ...] = (
@@ -191,7 +193,8 @@ class Labeller:
         self.letters = np.zeros(1 << 12, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > 150_000 and self.known:
+        most = max(10_000, min(150_000, MEMORY_BYTES // (4 * self.scores.shape[1] + 200)))
+        if len(self.known) + len(new) > most and self.known:
             raise MemoryError
         plain = [letters_of(w) for w in new]
         a, b = len(self.known), len(self.known) + len(new)
@@ -250,14 +253,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Labels are the non-null values of ``lang_col``; counts come from tasks as sums by gram and language."""
     rows = docs.where(in_training(id_col)).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(1_000_000)).alias("h"))
+    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
     names = sorted(sizes)
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
-    share = F.create_map(*[F.lit(x) for n in names for x in (n, int(1_000_000 * min(1.0, sample / sizes[n])) + 1)])
+    share = F.create_map(*[F.lit(x) for n in names for x in (n, int((1 << 40) * min(1.0, sample / sizes[n])) + 1)])
     rows = rows.where(F.col("h") < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +314,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def select_single(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that have letters, over ``least`` of them in one language."""
+    """The rows of ``docs``, all columns, that have letters, over ``least`` of them in one language.
+
+    Null texts and texts without a letter go. Repeated rows and null ids stay or go by their texts alone; columns keep
+    their names and values, whatever they are called; an empty table gives an empty table."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +330,10 @@ def select_single(docs: DataFrame, model: LanguageModel, least: float = 0.5, tex
 
 
 def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, held_out, lang_pred, score, n_spans): ``fit`` and ``identify`` over the same table."""
+    """(id, held_out, lang_pred, score, n_spans): ``fit`` and ``identify`` over the same table.
+
+    Nulls, empty texts, ties, repeated rows and other columns as in ``identify``; a null id isn't held out, and an empty
+    table gives an empty table."""
     found = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
     held = F.coalesce(~in_training(id_col), F.lit(False)).alias("held_out")
     return found.select(id_col, held, "lang_pred", "score", F.size("spans").alias("n_spans"))

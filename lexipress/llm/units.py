@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 #: A space that a match of the tokenizers' pattern may hold elsewhere than at its start: white space before it and
 #: white space or the end after it. \\s of Python covers all of Unicode's white space.
@@ -22,40 +23,51 @@ def independent_units(text: str) -> list[str] | None:
     return text.replace(" ", "\0 ").split("\0")
 
 
+#: Bytes of each of the two generations of what a task remembers (about), and what an entry takes besides its unit and value.
+MEMORY_BYTES, ENTRY_BYTES = 40 << 20, 200
+
+
 class Memory:
-    """Remembers what was computed for units. Two generations: when the young one is full it becomes the old one,
-    so units that come again soon stay and rare ones go; results don't depend on it."""
+    """Remembers what was computed for units. Two generations of a bounded size: when the young one is full it becomes
+    the old one, so units that come again soon stay and rare ones go; results don't depend on it."""
+
+    def __init__(self, most: int = MEMORY_BYTES):
+        self.most, self.young, self.old, self.size = most, {}, {}, 0
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+    def _keep(self, units: list[str], values: list[bytes]) -> None:
+        self.young.update(zip(units, values, strict=True))
+        self.size += sum(map(len, units)) + sum(map(len, values)) + ENTRY_BYTES * len(units)
 
-    def missing(self, units: set[str]) -> list[str]:
-        """Those of ``units`` that aren't known; afterwards ``young`` has all others."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
+    def values(self, units: set[str], compute: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """Has all of ``units``, those that aren't remembered computed together; good until the next call."""
+        if self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
         new = units.difference(self.young)
         if self.old:
-            again = new.intersection(self.old)
-            self.young.update((u, self.old[u]) for u in again)
-            new -= again
-        return list(new)
+            again = list(new.intersection(self.old))
+            self._keep(again, [self.old[u] for u in again])
+            new.difference_update(again)
+        new = list(new)
+        self._keep(new, compute(new))
+        return self.young
 
 
 class UnitMemory(dict):
     """``Memory`` that computes what it doesn't know, one unit at a time."""
 
-    def __init__(self, most: int, compute):
+    def __init__(self, compute: Callable[[str], object], most: int = MEMORY_BYTES):
         super().__init__()
-        self.most, self.compute, self.old = most, compute, {}
+        self.most, self.compute, self.old, self.size = most, compute, {}, 0
 
     def age(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
+        if self.size > self.most:
+            self.old, self.size = dict(self), 0
             self.clear()
 
-    def __missing__(self, unit: str) -> bytes:
+    def __missing__(self, unit: str) -> object:
         found = self.old.get(unit)
         if found is None:
             found = self.compute(unit)
         self[unit] = found
+        self.size += len(unit) + ENTRY_BYTES
         return found
