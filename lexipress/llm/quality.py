@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexipress.llm._arrow import chunks, column
+from lexipress.llm.units import UnitMemory
 from lexipress.storage import settle
 
 #: Documents that train the scorer, and the share of them that is set aside for the half with bad posteriors.
@@ -28,7 +29,7 @@ ACCEPT = 0.5
 _ASCII_WORD = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _SPACE = b" \t\n\r\x0b\x0c"
 _END = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", b"\xbb", b"\x9d", b"\x82")
-_MESSY = re.compile(rb"[!-/:-@\[-`{-~]{2,}$")
+_MESSY = re.compile(rb"[!-/:-@\[-`{-~]{2,}(?=[ \t\n\r\x0b\x0c]|\Z)")
 _RUN = re.compile(r"(.)\1+")
 
 #: Labellers that find one kind of junk: a statistic, and the range in which they say bad; else they don't vote.
@@ -65,9 +66,9 @@ def statistics(text: str | None) -> tuple[list[float], list[str]]:
         packed = (packed * k + len(zlib.compress(raw[k : k + (1 << 20)], 1))) / min(len(raw), k + (1 << 20))
     return [
         len(solid.translate(None, _ASCII_WORD)) / max(1, len(solid)),
-        sum(1 for w in words if len(w) > 1 and w.isupper()) / n,
+        len([w for w in words if w.isupper() and len(w) > 1]) / n,
         raw.count(b"|") / n,
-        sum(1 for w in raw.split() if _MESSY.search(w)) / n,
+        len(_MESSY.findall(raw)) / n,
         sum(map(eq, words, words[1:])) / n,
         1 - len(set(lines)) / max(1, len(lines)),
         packed,
@@ -126,29 +127,65 @@ def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) % BUCKETS
 
 
-def _shape(word: str) -> str:
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return _RUN.sub(r"\1", kinds)[:12]
+class Kinds(dict):
+    """Each character's kind: capital, other letter, digit; any other character is its own."""
 
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = found = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return found
 
-class Features:
-    """Hashed features of a text: shapes of words and words by their share, and each statistic's step."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+class Shapes(dict):
+    """The bucket of a word's kinds of characters, runs of one kind as one; remembers kinds."""
 
-    def of(self, stats: list[float], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.known
-        if len(known) > 120_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = (_bucket("s:" + _shape(w)), _bucket("w:" + w.lower()))
-        pairs = np.array([known[w] for w in words], np.int64).reshape(-1, 2)
-        shapes, n_shapes = np.unique(pairs[:, 0], return_counts=True)
-        terms, n_terms = np.unique(pairs[:, 1], return_counts=True)
-        steps = np.array([_bucket(f"x:{i}:{min(20, int(x * 20))}") for i, x in enumerate(stats)], np.int64)
-        n = max(1, len(words))
-        return np.concatenate((shapes, terms, steps)), np.concatenate((3 * n_shapes / n, n_terms / n, np.full(len(steps), 0.5)))
+    def __missing__(self, kinds: str) -> int:
+        if len(self) > 20_000:
+            self.clear()
+        self[kinds] = found = _bucket("s:" + _RUN.sub(r"\1", kinds)[:12])
+        return found
+
+
+KINDS, SHAPES = Kinds(), Shapes()
+
+
+def word_buckets(word: str) -> tuple[int, int]:
+    """The buckets of a word's shape and of the word itself, in lower case."""
+    return SHAPES[word.translate(KINDS)], zlib.crc32(b"w:" + word.lower().encode()) % BUCKETS
+
+
+def _steps(stats: list[float]) -> list[int]:
+    return [_bucket(f"x:{i}:{min(20, int(x * 20))}") for i, x in enumerate(stats)]
+
+
+def features(stats: list[float], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of a text: shapes of words (thrice) and words by their share, and each statistic's step."""
+    pairs = np.array([word_buckets(w) for w in words], np.int64).reshape(-1, 2)
+    shapes, n_shapes = np.unique(pairs[:, 0], return_counts=True)
+    terms, n_terms = np.unique(pairs[:, 1], return_counts=True)
+    steps = np.array(_steps(stats), np.int64)
+    n = max(1, len(words))
+    return np.concatenate((shapes, terms, steps)), np.concatenate((3 * n_shapes / n, n_terms / n, np.full(len(steps), 0.5)))
+
+
+class Scorer:
+    """The linear scorer. As it's linear, a word adds the weights of its shape (thrice) and of itself over the number
+    of words; the sum of both is remembered for words that come again soon."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights.tolist()
+        self.words = UnitMemory(self._word)
+
+    def _word(self, word: str) -> float:
+        shape, term = word_buckets(word)
+        return 3 * self.weights[shape] + self.weights[term]
+
+    def log_odds(self, stats: list[float], words: list[str]) -> float:
+        """That the text is good; 30 against it if it has no word."""
+        if not words:
+            return -30.0
+        self.words.age()
+        return sum(map(self.words.__getitem__, words)) / len(words) + 0.5 * sum([self.weights[s] for s in _steps(stats)]) + self.weights[-1]
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
@@ -197,20 +234,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     half = [voted.where(b).select("h", "votes").distinct().orderBy("h", "votes").limit(sample // 2) for b in (bad, ~bad)]
     picked = {r.h: r["votes"] for part in half for r in part.collect()}
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features()
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            h, rows = [], []
-            for x, text in zip(column(batch, "h").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-                if x in picked:
-                    h.append(x)
-                    rows.append(make.of(*statistics(text)))
+            found = [features(*statistics(text)) for text in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))],
+                [column(batch, "h"), pa.array([r[0].astype(np.int32) for r in found], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in found], pa.list_(pa.float32()))],
                 names=["h", "at", "value"],
             )
 
-    some = source.mapInArrow(features, "h long, at array<int>, value array<float>").dropDuplicates(["h"]).collect()
+    wanted = docs.sparkSession.createDataFrame([(h,) for h in picked], "h long")
+    some = source.join(F.broadcast(wanted), "h", "left_semi")  # at most ``sample`` hashes
+    some = some.mapInArrow(rows, "h long, at array<int>, value array<float>").dropDuplicates(["h"]).collect()
     some.sort(key=lambda r: r.h)
     target = model.posterior([picked[r.h] for r in some]) if some else np.zeros(0)
     return model, train([(np.array(r["at"], np.int64), np.array(r.value)) for r in some], target)
@@ -221,8 +255,8 @@ def score(docs: DataFrame, model: LabelModel, weights: np.ndarray, id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast((model, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, w = sent.value
-        make, seen = Features(), {}
+        labels, weights = sent.value
+        scorer, seen = Scorer(weights), {}
         for batch in chunks(batches, "text"):
             scores, weak = [], []
             for text in column(batch, "text").to_pylist():
@@ -231,26 +265,27 @@ def score(docs: DataFrame, model: LabelModel, weights: np.ndarray, id_col: str =
                 if pattern not in seen:
                     seen[pattern] = float(labels.posterior([pattern])[0])
                 weak.append(seen[pattern])
-                at, value = make.of(stats, words)
-                z = float(w[at] @ value + w[-1]) if words else -30.0
-                scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                z = scorer.log_odds(stats, words)
+                scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))) if words else 0.0)
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(scores, pa.float64()), pa.array(weak, pa.float64()), pa.array([x >= ACCEPT for x in scores], pa.bool_())], names=["id", "score", "weak_label", "accepted"])
 
     return _source(docs, id_col, text_col).mapInArrow(run, "id long, score double, weak_label double, accepted boolean").withColumnRenamed("id", id_col)
 
 
 def select_accepted(docs: DataFrame, model: LabelModel, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the scorer accepts; nothing is shuffled."""
+    """The rows of ``docs``, all columns, that the scorer accepts; nothing is shuffled.
+
+    Null texts and texts without a word go. Repeated rows and null ids stay or go by their texts alone; columns keep
+    their names and values, whatever they are called; an empty table gives an empty table."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, make = sent.value, Features()
+        scorer, least = Scorer(sent.value), np.log(ACCEPT / (1 - ACCEPT))
         for batch in chunks(batches, text_col):
             keep = []
             for text in column(batch, text_col).to_pylist():
                 stats, words = statistics(text)
-                at, value = make.of(stats, words)
-                keep.append(bool(words) and float(w[at] @ value + w[-1]) >= np.log(ACCEPT / (1 - ACCEPT)))
+                keep.append(bool(words) and scorer.log_odds(stats, words) >= least)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -261,8 +296,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
     ``score``: the scorer's chance that the text is good; ``weak_label``: the labellers' posterior. Null texts and
     texts without a word are rejected with score 0. Null ids and repeated rows are kept as rows, equal texts get
-    equal scores, an empty table gives an empty table, other columns are ignored. Texts are read three times
-    and never shuffled; to the driver go vote patterns (at most 2 to the number of labellers) and the features of
-    at most ``sample`` documents.
+    equal scores, an empty table gives an empty table, other columns are ignored. Texts are read three times,
+    of which the second keeps the sample's only, and never shuffled; to the driver go vote patterns (at most 2 to the
+    number of labellers) and the features of at most ``sample`` documents.
     """
     return score(docs, *fit(docs, id_col, text_col, sample), id_col, text_col)
