@@ -17,6 +17,8 @@ from lexipress.storage import settle
 
 #: A subtree is a site's template if it is on at least so many pages of a host and on this share of them.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 10, 0.2
+#: Bytes of a table that is broadcast, at most.
+SMALL = 4 << 20
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -225,7 +227,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     First every page's subtrees are hashed and counted by host over all pages; those on at least ``least_pages``
     pages and ``share`` of a host's are its template. Then each page loses its template, its menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, comments and hidden parts, and the article's blocks are read:
-    character references decoded, white space as one space, blocks joined by line ends. An article or main element
+    character references decoded, white space inside a block as one space, blocks joined by two line ends (``n_chars``
+    counts these too). An article or main element
     is the article where there is one; it is never template as a whole. Null and empty pages give an empty text; null
     urls are a host of their own; null ids and repeated rows stay rows; other columns are ignored.
 
@@ -246,16 +249,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     counted = settle(source.select("host", "html").mapInArrow(digests, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pages), "subtrees")
     totals = counted.where("digest = 0").select("host", F.col("n").alias("pages"))
-    template = counted.where("digest <> 0").join(totals.hint("shuffle_merge"), "host").where(F.col("n") >= share * F.col("pages"))
+    hosts = totals.agg(F.coalesce(F.sum(F.length("host") + 16), F.lit(0)).alias("bytes")).first()
+    totals = F.broadcast(totals) if hosts.bytes <= SMALL else totals.hint("shuffle_merge")
+    template = counted.where("digest <> 0").join(totals, "host").where(F.col("n") >= share * F.col("pages"))
     template = settle(template.groupBy("host").agg(F.collect_set("digest").alias("template")), "templates")
     size = template.agg(F.coalesce(F.sum(F.length("host") + 8 * F.size("template")), F.lit(0)).alias("bytes")).first()
-    joined = source.join(F.broadcast(template) if size.bytes <= 4 << 20 else template.hint("shuffle_merge"), "host", "left")
+    joined = source.join(F.broadcast(template) if size.bytes <= SMALL else template.hint("shuffle_merge"), "host", "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html"):
             texts = []
             for page, gone in zip(column(batch, "html").to_pylist(), column(batch, "template").to_pylist(), strict=True):
-                texts.append("\n".join(blocks(page, {d % (1 << 64) for d in gone or ()})))
+                texts.append("\n\n".join(blocks(page, {d % (1 << 64) for d in gone or ()})))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     kind = source.schema["id"].dataType.simpleString()
