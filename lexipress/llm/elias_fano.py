@@ -82,11 +82,22 @@ class EliasFano:
             low = int((bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum())
         return high << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """Every value, decoded at once."""
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        v = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def slice(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1: select finds the first one's place, and no more of either part is read than they take."""
+        b = min(b, self.n)
+        if a >= b:
+            return np.zeros(0, np.int64)
+        first, last = self._select(a), self._select(b - 1)
+        byte = first // 8
+        ones = np.flatnonzero(np.unpackbits(self.upper[byte : last // 8 + 1], bitorder="little")) + 8 * byte
+        ones = ones[np.searchsorted(ones, first) :][: b - a]
+        v = (ones - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-            v |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+            start = a * self.low_bits
+            bits = np.unpackbits(self.low[start // 8 : -(-b * self.low_bits // 8)], bitorder="little")[start % 8 :][: (b - a) * self.low_bits]
+            v |= (bits.reshape(b - a, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return v.astype(np.int64)
+
+    def all(self) -> np.ndarray:
+        """Every value, decoded at once."""
+        return self.slice(0, self.n)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexipress.llm._arrow import chunks, column
+from lexipress.llm._arrow import chunks, column, kept
 from lexipress.llm.elias_fano import EliasFano
 from lexipress.llm.units import UnitMemory, independent_units
 from lexipress.storage import settle
@@ -38,10 +38,12 @@ MAGIC = b"LXTK"
 _HEAD = struct.Struct("<4sBQQq")
 #: A file is closed when it has this many token ids.
 FILE_TOKENS = 4 << 20
-#: Entries of each of the two generations of a worker's memory of encoded units.
-MEMORY_UNITS = 300_000
-#: Units or whole texts that go to the library at once.
-ENCODE_ROWS = 8192
+#: Texts that go to the library at once, and bytes of text that a task looks at at once.
+ENCODE_ROWS, CHUNK = 8192, 3 << 20
+#: Bytes of each of the two generations of remembered units.
+MEMORY_BYTES = 96 << 20
+#: Documents whose boundaries are read from a file at once.
+WINDOW_DOCS = 4096
 #: A table of files with at most this many rows is broadcast.
 BROADCAST_FILES = 100_000
 
@@ -103,25 +105,29 @@ class TokenEncoder:
         self.byte_level = not said.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.bytes_of = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.memory = UnitMemory(MEMORY_UNITS, self._unit)
+        self.memory = UnitMemory(self._unit, MEMORY_BYTES)
         self.alphabet = byte_alphabet()
         self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.tokenize = self.tokenizer.model.tokenize
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        out, table = [], self.bytes_of
+        out = []
         for k in range(0, len(texts), ENCODE_ROWS):
-            out += [b"".join([table[i] for i in e.ids]) for e in self.tokenizer.encode_batch_fast(texts[k : k + ENCODE_ROWS], add_special_tokens=False)]
+            out += [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + ENCODE_ROWS], add_special_tokens=False)]
         return out
 
     def _unit(self, u: str) -> bytes:
         """A unit falls into the pattern's matches; the library's model encodes each in the byte-level alphabet."""
-        table, tokenize = self.bytes_of, self.tokenizer.model.tokenize
-        if u.isascii() and u.lstrip(" ").isalpha():  # a run of letters is one match
-            return b"".join([table[t.id] for t in tokenize(u.replace(" ", "\u0120"))])
+        table = self.bytes_of
+        if u.isascii():
+            if u.isalpha():  # a run of letters is one match
+                return b"".join([table[t.id] for t in self.tokenize(u)])
+            if u[:1] == " " and u[1:].isalpha():
+                return b"".join([table[t.id] for t in self.tokenize("\u0120" + u[1:])])
         parts = self.find(u)
         if len(parts) != 1:
-            return b"".join(map(self.memory.__getitem__, parts))
-        return b"".join([table[t.id] for t in tokenize(u.encode().decode("latin-1").translate(self.alphabet))])
+            return b"".join([self.memory[x] for x in parts])
+        return b"".join([table[t.id] for t in self.tokenize(u.encode().decode("latin-1").translate(self.alphabet))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, ``width`` bytes each."""
@@ -135,9 +141,6 @@ class TokenEncoder:
         return out
 
 
-_ENCODERS: dict[str, TokenEncoder] = {}
-
-
 def _put(uri: str, data: bytes) -> None:
     """Writes a file under another name first, so that it is whole or absent; a repeated task puts it again."""
     from pyarrow import fs
@@ -164,9 +167,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     system.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _ENCODERS:
-            _ENCODERS[tokenizer_path] = TokenEncoder(tokenizer_path)
-        coder = _ENCODERS[tokenizer_path]
+        coder = kept(("token-files", tokenizer_path), lambda: TokenEncoder(tokenizer_path))
         end = b"" if end_id is None else end_id.to_bytes(coder.width, "little")
         part, seq, size = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
@@ -177,7 +178,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             row = [[part], [seq], [len(names)], [size // coder.width]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["part", "seq", "n_docs", "n_tokens"])
 
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK, ("token-files", tokenizer_path)):
             encoded = coder.encode([t or "" for t in column(batch, "text").to_pylist()])
             for name, x in zip(column(batch, "id").to_pylist(), encoded, strict=True):
                 names.append(name)
@@ -204,17 +205,18 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(column(batch, "name").to_pylist(), column(batch, "content"), strict=True):
                 file = TokenFile(data.as_buffer())
-                bounds = file.bounds.all()
-                known = file.doc_ids.all().astype(np.uint64) + np.uint64(file.first_id % (1 << 64))
-                doc_ids = pa.concat_arrays([pa.nulls(file.n_null, pa.int64()), pa.array(known.view(np.int64))])
-                wide, cuts = memoryview(file.ids.astype("<u4")).cast("B"), (4 * bounds).tolist()
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
                 part, seq = (int(x) for x in name.removesuffix(".tok").split("-"))
-                n = file.n_docs
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), doc_ids, pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
-                    names=["part", "seq", "doc_id", "start_in_file", "n_tokens", "ids_crc32"],
-                )
+                for k in range(0, file.n_docs, WINDOW_DOCS):  # select gives a window's offsets; no table of all is made
+                    n = min(WINDOW_DOCS, file.n_docs - k)
+                    bounds, null = file.bounds.slice(k, k + n + 1), min(max(file.n_null - k, 0), n)
+                    known = file.doc_ids.slice(k + null - file.n_null, k + n - file.n_null).astype(np.uint64) + np.uint64(file.first_id % (1 << 64))
+                    doc_ids = pa.concat_arrays([pa.nulls(null, pa.int64()), pa.array(known.view(np.int64))])
+                    wide, cuts = memoryview(file.ids[bounds[0] : bounds[-1]].astype("<u4")).cast("B"), (4 * (bounds - bounds[0])).tolist()
+                    crc = [zlib.crc32(wide[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), doc_ids, pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                        names=["part", "seq", "doc_id", "start_in_file", "n_tokens", "ids_crc32"],
+                    )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")

@@ -23,6 +23,7 @@ def test_elias_fano(values, scale):
     assert used == len(EliasFano.of(v).to_bytes())
     assert ef.all().tolist() == v.tolist()
     assert [ef[i] for i in range(0, len(v), 7)] == v[::7].tolist()
+    assert all(ef.slice(a, a + 9).tolist() == v[a : a + 9].tolist() for a in range(0, len(v) + 3, 5))
 
 
 def test_elias_fano_is_small():
@@ -50,6 +51,7 @@ def test_round_trip(spark, monkeypatch):
     rows += [(5_000_000_000, "long text " * 20_000), (1, None), (2, ""), (None, "no id")]
     df = spark.createDataFrame([(i, t, "a", 3) for i, t in rows], "doc_id long, text string, part string, start int")
     monkeypatch.setattr(token_files, "FILE_TOKENS", 500)
+    monkeypatch.setattr(token_files, "WINDOW_DOCS", 7)
     got = token_files.corpus_token_offsets(df, fresh_path(spark, "tok"), PATH, 2).collect()
     assert sorted(map(tuple, got), key=lambda r: (r[0] is not None, r[0] or 0)) == plain(rows)
     assert token_files.corpus_token_offsets(df.limit(0), fresh_path(spark, "tok"), PATH, 2).count() == 0
