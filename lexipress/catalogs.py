@@ -81,6 +81,7 @@ SIMPLE_CODE_PATTERNS = (
     ("definition", r"(?:def|class) [A-Za-z0-9_]+", 5, 100),
 )
 CODE_INDICATORS = ("def ", "class ", "import ", "function", "{", "}", "()", ";")
+ALL_CODE_INDICATORS = ("def ", "class ", "import ", "from ", "if ", "for ", "while ", "()", "{}", "[]", "=>", "===", "!==", "&&", "||", "function", "var ", "let ", "const ", "return")
 CODE_TERMS = ("log", "msg", "data", "config", "file", "json", "def", "class")
 
 # Providers and the prompt format of each; others take chatml.

@@ -52,6 +52,7 @@ def normalize_role(role: Column) -> Column:
     return F.when(role.isin(*catalogs.ROLES), role).otherwise(F.coalesce(alias[role], F.lit("user")))
 
 
+# Spacing rules, in order.
 NORMALIZE_RULES = (
     (r"([\p{L}\p{N}_]+)\s*=\s*", "$1 = "), (r",\s+", ", "), (r"\(\s+", "("), (r"\s+\)", ")"), (r"\.([\p{L}\p{N}_]+)\s*\(", ".$1("),
     (r"\)\s*:", "):"), ('"\\s*([^"]*)\\s*"', '"$1"'), ("'\\s*([^']*)\\s*'", "'$1'"),
@@ -165,21 +166,33 @@ def has_reasoning(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [text_of(text).rlike(f"(?s)<{t}>.*?</{t}>") for t in catalogs.REASONING_TAGS])
 
 
-MARKDOWN = (r"(?s)```.*?```", r"`[^`\n]+`", r"\*\*[^*\n]+\*\*", r"__[^_\n]+__", r"~~[^~\n]+~~", r"!?\[[^\]]+\]\([^)]+\)", r"(?m)^#{1,6}\s+.*$", r"(?m)^\s*[-*+]\s+.*$", r"(?m)^\s*\d+\.\s+.*$", r"(?m)^>\s+.*$", r"(?m)^\|.+\|\s*$")
-CRITICAL_MARKDOWN = (MARKDOWN[0], MARKDOWN[5], MARKDOWN[6], MARKDOWN[10], MARKDOWN[9])
-CODE_LINE = r"^\s*(def |class |import |from |if |for |while |return |function |var |let |const |public |private |#include)|[;{}]\s*$"
-MARKDOWN_LINE = r"^(#{1,6}\s|\s*[-*+]\s|\s*\d+\.\s|>\s|\|.+\|)"
+# Marks whose loss would change how a text reads. Dots cross lines only in fenced code, HTML and critic marks.
+MARKDOWN = (
+    r"(?s)```.*?```", r"`[^`\n]+`",
+    r"\*\*\*[^*\n]+\*\*\*", r"\*\*[^*\n]+\*\*", r"__[^_\n]+__", r"~~[^~\n]+~~", r"(?s)==.+?==", r"(?s)\^\^.+?\^\^", r"\[[^\]]+\]\([^)]+\)", r"!\[[^\]]*\]\([^)]+\)",
+    r"(?m)^#{1,6}\s+.*$", r"(?m)^\s*[-*+]\s+.*$", r"(?m)^\s*[0-9]+\.\s+.*$", r"(?m)^\s*\[[ x]\]\s+.*$", r"(?m)^>\s+.*$",
+    r"(?s)<b>.*?</b>", r"(?s)<i>.*?</i>", r"(?s)<em>.*?</em>", r"(?s)<strong>.*?</strong>", r"<br\s*/?>", r"(?s)<pre>.*?</pre>",
+    r"[A-Za-z0-9]+~[^~\s]+~", r"[A-Za-z0-9]+\^[^\^\s]+\^", r"(?s)\+\+.+?\+\+",
+    r"(?s)\{--.*?--\}", r"(?s)\{\+\+.*?\+\+\}", r"(?s)\{==.*?==\}", r"(?s)\{>>.*?<<\}",
+    r"(?m)^\s*!!!\s+[\p{L}\p{N}_]+.*$", r"(?m)^\s*:::[\p{L}\p{N}_]+.*$", r"(?m)^\s*>\s*\[![\p{L}\p{N}_]+\].*$",
+    r"(?m)^\s*\|.*\|.*$", r"(?m)^\s*\|[-:\s]+\|.*$", r"(?m)^---+\s*$", r"(?m)^\*\*\*+\s*$", r"(?m)^___+\s*$",
+)
+# What counts in texts with reasoning tags, and in code.
+CRITICAL_MARKDOWN = (r"(?m)^\s*\|.*\|.*\|.*$", r"(?m)^---+\s*$", r"(?m)^\*\*\*+\s*$", r"(?m)^___+\s*$", r"\[.*?\]\(https?://.*?\)")
+STRICT_MARKDOWN = (MARKDOWN[0], r"(?m)^\s*>\s+[A-Za-z].*$", *CRITICAL_MARKDOWN)
+# Lines that look like code, and like markdown.
+CODE_LINE = r"^\s*(?:import |from |def |class |if |for |while |with |try:)|^(?:    |\t)\s*\S|[:{};]\s*$|=|\(\)|\[\]|\{\}|\S -> \S|\S in \S|\S and \S|\S or \S"
+MARKDOWN_LINE = r"^\s*#(?:$|[^!]|![^/])|^\s*[-*+] +\S|^\s*> +\S|\*\*.*\*\*|^\s*```|\[.*\]\(|\]\(.*\["
 
 
 def has_markdown(text: Column) -> Column:
-    """texts with reasoning tags: only critical marks count. Else the first 50 lines vote: twice as many lines of
-    code as of markdown make it code, in which only critical marks count."""
+    """texts with reasoning tags: only critical marks count. Else the first 50 lines vote: over twice as many lines of
+    code as of markdown make it code, in which only strict marks count."""
     text = text_of(text)
     some = lambda patterns: reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
     lines = F.slice(F.split(text, "\n"), 1, 50)
     code, marks = F.size(F.filter(lines, lambda x: x.rlike(CODE_LINE))), F.size(F.filter(lines, lambda x: x.rlike(MARKDOWN_LINE)))
-    strict = has_reasoning(text) | ((code > 0) & (code > 2 * marks))
-    return F.when(strict, some(CRITICAL_MARKDOWN)).otherwise(some(MARKDOWN))
+    return F.when(has_reasoning(text), some(CRITICAL_MARKDOWN)).when(code > 2 * marks, some(STRICT_MARKDOWN)).otherwise(some(MARKDOWN))
 
 
 TOOL_TAGS = r"(?s)<(tool_call|function_call|invoke|execute|use_tool)[^>]*>.*?</\1>"
@@ -203,9 +216,9 @@ def has_tool_call(text: Column) -> Column:
 
 
 def looks_like_code(text: Column, variant: str = "head") -> Column:
-    """head: at least 3 of 8 signs in the first 1000 characters; full: in all of the text."""
+    """head: at least 3 of 8 signs in the first 1000 characters; full: 3 of 20 signs in all of the text."""
     text = text_of(text)
-    return count_of(F.left(text, F.lit(1000)) if variant == "head" else text, catalogs.CODE_INDICATORS) >= 3
+    return (count_of(F.left(text, F.lit(1000)), catalogs.CODE_INDICATORS) if variant == "head" else count_of(text, catalogs.ALL_CODE_INDICATORS)) >= 3
 
 
 def alnum_count(col: Column) -> Column:
@@ -217,6 +230,11 @@ def meaningful(col: Column, min_len: int = 3) -> Column:
     return col.rlike(r"\p{L}") & (F.length(strip(col)) >= min_len // 2)
 
 
+def meaningful_share(col: Column, min_len: int = 5, most: int = 100) -> Column:
+    """F7, the other form: ``min_len`` to ``most`` characters, of which 30 % letters and digits."""
+    return F.length(col).between(min_len, most) & (alnum_count(col) * 10 >= F.length(col) * 3)
+
+
 def quality(col: Column) -> Column:
     """F8: whether a pattern is worth a symbol."""
     bare = strip(col)

@@ -139,7 +139,7 @@ def conversation_summary(metrics: DataFrame) -> DataFrame:
     """Per conversation, from W5 to W8: turns, totals, mean ratio, net tokens, last trend and decision, short turns."""
     last = lambda c: F.max_by(c, "turn")
     return metrics.groupBy("conv_id").agg(
-        F.count("*").alias("turns"), F.sum("original_chars").alias("original_chars"), F.sum("compressed_chars").alias("compressed_chars"), F.round(F.avg("compression_ratio"), 4).alias("avg_ratio"),
+        F.count("*").alias("turns"), F.sum("original_chars").alias("original_chars"), F.sum("compressed_chars").alias("compressed_chars"), (F.round(F.sum(F.round(F.col("compression_ratio") * 10_000).cast("long")) / F.count("*")) / 10_000).alias("avg_ratio"),
         (F.sum("tokens_saved") - F.sum("overhead_tokens")).alias("net_tokens"), last("trend").alias("trend"), last("should_continue").alias("should_continue"), F.count_if("short_turn").alias("short_turns"),
     )
 

@@ -80,7 +80,7 @@ def _conflicts(s, d):
 def _sse(s, d):
     """(request, seq, ts, value): a response per conversation, a line per turn, some empty, done or broken."""
     m = V.messages(s, d)
-    body = F.to_json(F.struct(F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("id"), F.array(F.struct(F.lit(0).alias("index"), F.struct(F.left("text", F.lit(80)).alias("content")).alias("delta"))).alias("choices"), F.when(F.col("turn") % 2 == 1, F.struct(F.col("turn").alias("prompt_tokens"), F.length("text").cast("long").alias("completion_tokens"), (F.col("turn") + F.length("text")).cast("long").alias("total_tokens"))).alias("usage")))
+    body = F.to_json(F.struct(F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("id"), F.array(F.struct(F.lit(0).alias("index"), F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"), F.when(F.col("turn") % 2 == 1, F.struct(F.col("turn").alias("prompt_tokens"), F.length("text").cast("long").alias("completion_tokens"), (F.col("turn") + F.length("text")).cast("long").alias("total_tokens"))).alias("usage")))
     value = F.when(F.col("turn") == 5, "data: {broken").when(F.col("turn") == 6, "").when(F.col("turn") == 7, "event: x").when(F.col("turn") == 3, "data: [DONE]").otherwise(F.concat(F.lit("data: "), body))
     return m.select(F.col("conv_id").alias("request"), F.col("turn").alias("seq"), F.timestamp_seconds(F.col("turn") + 1_700_000_000).alias("ts"), value.alias("value"))
 
@@ -148,12 +148,12 @@ def _summary(s, d):
 
 
 def _prompts(s, d):
-    m = V.messages(s, d).withColumn("role", F.when(F.col("turn") == 0, "system").otherwise(F.col("role"))).withColumn("text", F.left("text", F.lit(60)))
+    m = V.messages(s, d).withColumn("role", F.when(F.col("turn") == 0, "system").otherwise(F.col("role")))
     decoders = m.select("conv_id").distinct().where("conv_id % 2 = 0").withColumn("decoder", F.lit("Decode symbols."))
     return m, P.merge_prompts(P.system_prompts(m), decoders)
 
 
-PROMPT_SQL = r"""m as (select conv_id, turn, case when turn = 0 then 'system' else role end as role, left(text, 60) as text from conversations),
+PROMPT_SQL = r"""m as (select conv_id, turn, case when turn = 0 then 'system' else role end as role, text from conversations),
 said as (select conv_id, regexp_replace(regexp_replace(text, '^(Human|Assistant|System):\s*', ''), '^\s+|\s+$', '', 'g') as clean from m where role = 'system'),
 ids as (select distinct conv_id, case when conv_id % 2 = 0 then 'Decode symbols.' else '' end as decoder from conversations),
 p as (select conv_id, decoder, string_agg(clean, chr(10) || chr(10)) as ps from ids left join said using (conv_id) group by all),
@@ -163,7 +163,7 @@ QUERIES = {
     "slice_savings": slice_savings,
     "s1_messages": lambda s, d: sources.read_messages(s, f"{d}/conversations.parquet").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")),
     "s2_requests": _requests,
-    "s4_symbol_pool": lambda s, d: V.table(s, d, "documents").agg(*[F.max(F.contains("text", F.lit(x))).alias(f"c{i}") for i, (x, _) in enumerate(catalogs.symbols()[:40])]),
+    "s4_symbol_pool": lambda s, d: catalogs.symbol_pool(s).join(V.documents(s, d).select(F.explode(F.array_distinct(F.split("text", ""))).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("docs")).hint("shuffle_merge"), "symbol", "left").select("symbol", "rank", "kind", "cost", F.coalesce("docs", F.lit(0)).alias("docs")),
     "s5_stored_dictionary": _stored,
     "s6_expire": lambda s, d: sources.expire(V.table(s, d, "events"), "ts", F.lit("2024-01-03 00:00:00").cast("timestamp"), 24).agg(F.count("*").alias("n")),
     "s7_op_log": lambda s, d: V.op_log(s, d).groupBy("phase", "level").agg(F.count("*").alias("n")),
@@ -202,7 +202,7 @@ QUERIES = {
     "w4_conflicts": _conflicts,
     "w5_stateless": lambda s, d: _metrics(s, d).drop("role"),
     "w5_stateful": lambda s, d: _metrics(s, d, mode="stateful").drop("role"),
-    "w14_skipped_turns": lambda s, d: W.turn_metrics(V.turns(s, d).where("role <> 'user'"), all_turns=V.turns(s, d)).groupBy("conv_id").agg(F.count("*").alias("turns"), F.round(F.avg("compression_ratio"), 4).alias("ratio")),
+    "w14_skipped_turns": lambda s, d: W.turn_metrics(V.turns(s, d).where("role <> 'user'"), all_turns=V.turns(s, d)).groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.round(F.col("compression_ratio") * 10_000).cast("long")).alias("ratio_sum_e4")),
     "w6_running_tally": lambda s, d: W.running_tally(_metrics(s, d)).select("conv_id", "turn", "cumulative_messages", "cumulative_original", "cumulative_compressed", "cumulative_saved", "cumulative_overhead", "cumulative_ratio", "cumulative_net"),
     "w7_trend": lambda s, d: W.efficiency_trend(_metrics(s, d)).select("conv_id", "turn", "trend"),
     "w8_continue": lambda s, d: W.should_continue(W.efficiency_trend(_metrics(s, d)).withColumn("symbols_used", F.lit(10))).select("conv_id", "turn", "should_continue"),
@@ -220,12 +220,12 @@ QUERIES = {
     "r2_throughput": lambda s, d: R.throughput(_requests_table(s, d)).select("conv_id", "total_rate", "prompt_rate", "generation_rate", "first_token_s"),
     "r3_net_savings": lambda s, d: R.net_savings(_requests_table(s, d)).select("conv_id", "net_tokens", "net_percent", "negative"),
     "r4_timing_shares": lambda s, d: R.timing_shares(_requests_table(s, d), ["prompt_s", "generation_s"], ["conv_id"]),
-    "r5_op_timing": lambda s, d: R.op_timing(V.op_log(s, d).withColumn("duration", F.floor(F.col("duration") * 100) / 100)).select("phase", "n", "min_s", "max_s"),
+    "r5_op_timing": lambda s, d: R.op_timing(V.op_log(s, d).withColumn("duration", F.floor(F.col("duration") * 100) / 100)),
     "r6_op_frequency": lambda s, d: R.op_frequency(V.op_log(s, d), ("c", "p")),
     "t1_parse_sse": lambda s, d: T.parse_sse(_sse(s, d)).groupBy("kind").agg(F.count("*").alias("n")),
     "t2_t3_chunks": lambda s, d: _flat(_chunks(s, d)),
     "t4_response_metrics": lambda s, d: T.response_metrics(_chunks(s, d)),
-    "t7_log_rates": lambda s, d: T.log_rates(V.op_log(s, d), "1 hour").select("start", "phase", "category", "n"),
+    "t7_log_rates": lambda s, d: T.log_rates(V.op_log(s, d), "1 hour").withColumn("seconds", F.round("seconds", 3)),
 }
 
 PATH_ = "'f' || doc_id || '.txt'"
@@ -248,7 +248,7 @@ SQL = {
     "d3_value": f"with rows as (select doc_id, unnest({TOKENS_SQL}) as pattern from documents), c as ({COUNTED.format(by='')}), r as (select pattern, n from c where n >= 3 and {QUALITY_SQL} qualify row_number() over (order by n * length(pattern) desc, pattern) <= 300), v as (select *, least({EST.format('pattern')} - 1, length(pattern) // 3) as each, least({EST.format('pattern')} - 1, length(pattern) // 3) * n - {EST.format("(chr(10) || pattern || '=α')")} as net from r) select pattern, round(case when each <= 0 then -1 when n >= 5 and net > -2 then greatest(net, 0.1) else net end, 4)::double as by_tokens, round(greatest(0, (length(pattern) - 1) * n - (length(pattern) + 4)) / 4.0, 4)::double as by_chars from v",
     "d7_rejected": f"{DICT}, r as (select pattern, n from counted where n >= 3 and {QUALITY_SQL} qualify row_number() over (order by n * length(pattern) desc, pattern) <= 300) select pattern, n, n * length(pattern) as value from r where pattern not in (select pattern from dictionary) order by value desc, pattern limit 20",
     "r6_op_frequency": "with g as (select event_type as phase, count(*) as n, greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 1) as span from events where contains(lower(event_type), 'c') or contains(lower(event_type), 'p') group by 1 having count(*) >= 2) select phase, n, round(span, 4) as span_s, round(n / span, 6) as per_s from g",
-    "w14_skipped_turns": f"with {TURNS_SQL}, r as (select conv_id, case when role = 'user' or original_chars = 0 then 0 else round(1 - compressed_chars / original_chars, 4) end as ratio from turns) select conv_id, count(*) as turns, round(avg(ratio), 4) as ratio from r group by 1",
+    "w14_skipped_turns": f"with {TURNS_SQL}, r as (select conv_id, case when role = 'user' or original_chars = 0 then 0 else round(1 - compressed_chars / original_chars, 4) end as ratio from turns) select conv_id, count(*) as turns, sum(round(ratio * 10000)::bigint)::bigint as ratio_sum_e4 from r group by 1",
     "d8_accept": f"{SUB}, a as (select *, 1 - length(compressed_text) / greatest(length(text), 1) >= 0.05 - 1e-6 and 1 - {EST.format('compressed_text')} / {EST.format('text')} >= 0.05 - 1e-6 as accepted from sub) select doc_id, accepted, md5(case when accepted then compressed_text else text end) as final_md5 from a",
     "d9_token_efficiency": f"{SUB}, e as (select doc_id, {EST.format('text')}::int as original_tokens, {EST.format('compressed_text')}::int as compressed_tokens from sub) select *, original_tokens - compressed_tokens as saved, round((original_tokens - compressed_tokens) / greatest(original_tokens, 1), 4) as ratio, original_tokens > compressed_tokens as valid from e",
     "d10_symbol_stats": f"with {COSTS_SQL}, r as (select *, row_number() over (partition by family order by tokens, symbol) as b, row_number() over (partition by family order by tokens desc, symbol) as w from costs) select family, count(*) as n, min(tokens) as least, max(tokens) as most, round(avg(tokens), 4) as mean, count(*) filter (tokens = 1) as single, count(*) filter (tokens > 1) as multi, string_agg(symbol, ' ' order by b) filter (b <= 10) as best, string_agg(symbol, ' ' order by w) filter (w <= 10) as worst from r group by 1",
@@ -276,7 +276,7 @@ select conv_id, text, symbol, first_turn, value from kept union all select l.con
     "w10_top_tokens": f"with t as (select conv_id, unnest({TOKENS_SQL}) as token from conversations) select conv_id, token, count(*) as n, row_number() over (partition by conv_id order by count(*) desc, token)::int as rank from t group by 1, 2 qualify rank <= 5",
     "w11_global": f"with {TURNS_SQL}, p as (select conv_id, count(*) as t, sum(original_chars) as o, sum(compressed_chars) as c from turns group by 1) select count(*) as conversations, sum(t)::bigint as turns, round(avg(t), 4) as avg_turns, sum(o)::bigint as original_chars, sum(c)::bigint as compressed_chars from p",
     "w12_retain_recent": "with l as (select user_id, max(ts) as last, count(*) as n, count(*) over () as users from events group by 1) select user_id, n from l qualify users <= 50 or row_number() over (order by last desc, user_id) <= 40",
-    "m1_system_prompts": "select conv_id, 'messages_array' as source, 2000000 + turn as pos, left(text, 60) as content from conversations where turn = 0 or role = 'system'",
+    "m1_system_prompts": "select conv_id, 'messages_array' as source, 2000000 + turn as pos, text as content from conversations where turn = 0 or role = 'system'",
     "m2_merge_prompts": f"with {PROMPT_SQL} select conv_id, merged from merged",
     "m3_apply_prompt": f"with {PROMPT_SQL} select m.* from m left join merged using (conv_id) where merged is null or role <> 'system' union all select conv_id, -1, 'system', merged from merged",
     "m4_format_prompt": f"with {PROMPT_SQL} select conv_id, merged, case conv_id % 3 when 0 then 'chatml' when 1 then 'gemma' else 'own' end as format, case conv_id % 3 when 0 then '<|im_start|>system' || chr(10) || merged || '<|im_end|>' when 1 then '<start_of_turn>system' || chr(10) || merged || '<end_of_turn>' else merged end as formatted from merged",
@@ -284,8 +284,8 @@ select conv_id, text, symbol, first_turn, value from kept union all select l.con
     "r2_throughput": f"{REQ_SQL} select conv_id, round(case when total_s > 0 then (prompt_tokens + completion_tokens) / total_s else 0 end, 4) as total_rate, round(prompt_tokens / prompt_s, 4) as prompt_rate, round(case when generation_s > 0 then completion_tokens / generation_s else 0 end, 4) as generation_rate, prompt_s as first_token_s from q",
     "r3_net_savings": f"{REQ_SQL}, n as (select *, (original_chars - compressed_chars) // 4 - overhead_tokens as net_tokens from q) select conv_id, net_tokens, round(100 * greatest(0, net_tokens) / greatest(original_chars // 4, 1), 2) as net_percent, net_tokens < 0 as negative from n",
     "r4_timing_shares": f"{REQ_SQL} select conv_id, phase, seconds, round(seconds / (prompt_s + generation_s), 4) as share from (select *, unnest(['prompt_s', 'generation_s']) as phase, unnest([prompt_s, generation_s]) as seconds from q) x",
-    "r5_op_timing": "select event_type as phase, count(*) as n, min(floor(value * 100) / 100) as min_s, max(floor(value * 100) / 100) as max_s from events group by 1",
+    "r5_op_timing": "with e as (select event_type as phase, ts, user_id::varchar as who, floor(value * 100) / 100 as s from events), r as (select *, row_number() over (partition by phase order by ts desc, who, s) as r from e) select phase, count(*) as n, round(avg(s), 4) as avg_s, min(s) as min_s, max(s) as max_s, round(avg(s) filter (r <= 10), 4) as recent_avg_s from r group by 1",
     "t1_parse_sse": "select case turn when 5 then 'bad' when 6 then 'empty' when 7 then 'field' when 3 then 'done' else 'data' end as kind, count(*) as n from conversations group by 1",
-    "t2_t3_chunks": "select conv_id as request, turn as seq, case turn when 5 then 'bad' when 6 then 'empty' when 7 then 'field' when 3 then 'done' else 'data' end as kind, case when turn in (3, 5, 6, 7) then '' else left(text, 80) end as content from conversations",
-    "t7_log_rates": "select date_trunc('hour', ts) as start, event_type as phase, 'request_processing' as category, count(*) as n from events group by all",
+    "t2_t3_chunks": "select conv_id as request, turn as seq, case turn when 5 then 'bad' when 6 then 'empty' when 7 then 'field' when 3 then 'done' else 'data' end as kind, case when turn in (3, 5, 6, 7) then '' else text end as content from conversations",
+    "t7_log_rates": "select date_trunc('hour', ts) as start, event_type as phase, 'request_processing' as category, count(*) as n, round(sum(value), 3) as seconds from events group by all",
 }

@@ -9,7 +9,7 @@ from lexipress.functions import text as X
 from lexipress.operators import conversations as W
 from lexipress.operators import mining as M
 from lexipress.plans import derived as V
-from lexipress.plans.derived import CODE_SQL
+from lexipress.plans.derived import CODE_SQL, TOOL_SQL
 
 TOKENS_SQL = r"""list_concat(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_matches(x, '^[\p{L}_].{2,}$')),
   list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+\.[\p{L}\p{N}_]+'), lambda x: not regexp_matches(x, '^[\p{L}_][\p{L}\p{N}_]{2,}\.')))"""
@@ -71,14 +71,46 @@ def _code_rows_sql(patterns=catalogs.CODE_PATTERNS, least: int = 2) -> str:
     return f"with {CODE_SQL}, rows as ({parts}) select kind, pattern, sum(k)::bigint as n, count(*) as df from (select kind, pattern, doc_id, count(*) as k from rows group by all) r group by all having sum(k) >= {least}"
 
 
-def _templates_sql() -> str:
+def _templates_cte() -> str:
     parts = []
     for kind, p, form in M.TEMPLATES:
         head, tail = form.split("{}", 1)
         tail = tail.replace("{{}}", "{}")
         parts.append(f"select doc_id, '{kind}' as kind, unnest(list_transform(regexp_extract_all(text, '{p}', 1), lambda s: '{head}' || s || '{tail}')) as template, unnest(regexp_extract_all(text, '{p}', 0)) as instance from code_docs")
-    return f"""with {CODE_SQL}, rows as ({" union all ".join(parts)}), g as (select kind, template, count(*) as n, sum(length(instance))::bigint as total_len from rows group by all)
-select *, greatest(0, total_len - length(template) * n) - (length(template) + 9) as savings from g where n >= 3 and length(template) >= 8 and greatest(0, total_len - length(template) * n) - (length(template) + 9) > 0"""
+    return f"""{CODE_SQL}, rows as ({" union all ".join(parts)}), g0 as (select kind, template, count(*) as n, sum(length(instance))::bigint as total_len from rows group by all),
+g as (select *, greatest(0, total_len - length(template) * n) - (length(template) + 9) as savings from g0 where n >= 3 and length(template) >= 8 and greatest(0, total_len - length(template) * n) - (length(template) + 9) > 0)"""
+
+
+def _language_sql() -> str:
+    chain = " ".join(f"when {' or '.join(f'ends_with(lower(filename), {chr(39)}{e}{chr(39)})' for e in ends)} then '{name}'" for name, ends, *_ in catalogs.LANGUAGES)
+    chain += " " + " ".join(f"when {_any('text', some)} then '{name}'" for name, _, some, *_ in catalogs.LANGUAGES if some)
+    return f"""with {CODE_SQL}, a as (select text, null::varchar as filename from documents union all select text, case when doc_id % 3 = 0 then filename end from code_docs union all select html, null from pages)
+select case {chain} when starts_with(text, '#!') and {_any("left(text, 100)", ("/bin/bash", "/bin/sh", "/usr/bin/env"))} then 'shell' else 'none' end as language, count(*) as n from a group by 1"""
+
+
+def _tool_sql(col: str = "text") -> str:
+    keys = lambda some: "[" + ", ".join(f"'{k}'" for k in some) + "]"
+    tags = " or ".join(f"regexp_matches({col}, '(?s)<{t}[^>]*>.*?</{t}>')" for t in ("tool_call", "function_call", "invoke", "execute", "use_tool"))
+    names = "list_transform(regexp_extract_all({0}, '\\{{[^{{}}]*\\}}'), lambda x: case when json_valid(x) then json_keys(x) else [] end)".format(col)
+    quoted = " or ".join(f"contains({col}, '\"{k}\"')" for k in catalogs.TOOL_KEYS)
+    return f"({tags} or (({quoted}) and len(list_filter({names}, lambda k: list_has_any(k, {keys(catalogs.TOOL_KEYS)}) and (len(k) >= 2 or list_has_any(k, {keys(catalogs.PATH_KEYS + catalogs.STRUCTURE_KEYS)})))) > 0))"
+
+
+def _markdown_sql(col: str = "text") -> str:
+    some = lambda patterns: "(" + " or ".join(f"regexp_matches({col}, '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + ")"
+    lines = f"string_split({col}, chr(10))[1:50]"
+    votes = lambda p: f"len(list_filter({lines}, lambda x: regexp_matches(x, '{p.replace(chr(39), chr(39) * 2)}')))"
+    code, marks = votes(X.CODE_LINE), votes(X.MARKDOWN_LINE)
+    reasoning = "(" + " or ".join(f"regexp_matches({col}, '(?s)<{t}>.*?</{t}>')" for t in catalogs.REASONING_TAGS) + ")"
+    return f"(case when {reasoning} then {some(X.CRITICAL_MARKDOWN)} when {code} > 2 * {marks} then {some(X.STRICT_MARKDOWN)} else {some(X.MARKDOWN)} end)"
+
+
+def _gate_sql() -> str:
+    return rf"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) as w from documents), c as (select doc_id, w, count(*) as n from w group by all),
+s as (select doc_id, sum(n) as total, (count(*) filter (n >= 3)) / count(*) as share from c group by 1),
+r as (select doc_id, case when {_tool_sql()} then 'tool_call' when {_markdown_sql()} then 'markdown' when length(text) < 100 then 'too_short' when total > 50 and share > 0.1 then 'repetitive'
+  when len(regexp_extract_all(text, '[A-Za-z0-9_]+\(|(?:def|class|import|return) |[A-Za-z0-9_]+\.[A-Za-z0-9_]+')) > 20 then 'structured' else 'default' end as reason from documents left join s using (doc_id))
+select reason, count(*) as n from r group by 1"""
 
 
 QUERIES = {
@@ -103,12 +135,12 @@ QUERIES = {
     "p14_detect_language": lambda s, d: V.documents(s, d).select("doc_id", F.col("text"), F.lit(None).cast("string").alias("filename")).unionByName(V.code_docs(s, d).select((-F.col("doc_id")).alias("doc_id"), "text", F.when(F.col("doc_id") % 3 == 0, F.col("filename")).alias("filename"))).unionByName(V.table(s, d, "pages").select((F.col("page_id") + 10_000_000_000).alias("doc_id"), F.col("html").alias("text"), F.lit(None).cast("string").alias("filename"))).select(F.coalesce(X.detect_language(F.col("text"), F.col("filename")), F.lit("none")).alias("language")).groupBy("language").agg(F.count("*").alias("n")),
     "p15_char_entropy": lambda s, d: X.char_entropy(V.documents(s, d), "text", ["doc_id"]).select("doc_id", F.round("entropy", 6).alias("entropy")),
     "f1_min_chars": lambda s, d: W.gate_min_chars(V.messages(s, d), 2000).select("conv_id", "turn"),
-    "f2_tool_call": lambda s, d: V.tool_docs(s, d).unionByName(V.documents(s, d).select((-1 - F.col("doc_id")).alias("doc_id"), "text")).select("doc_id", X.has_tool_call(F.col("text")).alias("hit")),
-    "f3_markdown": lambda s, d: V.documents(s, d).select("doc_id", X.has_markdown(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("# Title\n\n- a **b** item\n"), "text")).otherwise(F.col("text"))).alias("hit")).groupBy("hit").agg(F.count("*").alias("n")),
-    "f4_reasoning": lambda s, d: V.documents(s, d).select("doc_id", X.has_reasoning(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>"))).otherwise(F.col("text"))).alias("hit")),
+    "f2_tool_call": lambda s, d: V.tool_docs(s, d).unionByName(V.documents(s, d).select((-1 - F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<invoke name=x>"), "text", F.lit("</invoke>"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit('{"tool": 1} '), "text")).when(F.col("doc_id") % 4 == 2, F.concat(F.lit('{"name": 1, "path": 2} '), "text")).otherwise(F.col("text")).alias("text"))).select("doc_id", X.has_tool_call(F.col("text")).alias("hit")),
+    "f3_markdown": lambda s, d: V.documents(s, d).select("doc_id", X.has_markdown(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("# Title\n\n- a **b** item\n"), "text")).when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit("\nH~2~O and <b>x</b>"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("def f(x):\n    return x\n"), "text")).otherwise(F.col("text"))).alias("hit")).groupBy("hit").agg(F.count("*").alias("n")),
+    "f4_reasoning": lambda s, d: V.documents(s, d).select("doc_id", X.has_reasoning(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>"))).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("<think>"), "text", F.lit("</thought>"))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("<analysis>\n"), "text", F.lit("</analysis>"))).otherwise(F.col("text"))).alias("hit")),
     "f5_looks_like_code": lambda s, d: V.code_docs(s, d).unionByName(V.documents(s, d).select((-1 - F.col("doc_id")).alias("doc_id"), "text", F.lit("").alias("filename"))).select("doc_id", X.looks_like_code(F.col("text")).alias("head"), X.looks_like_code(F.col("text"), "full").alias("full")),
     "f6_analysis_gate": _gate,
-    "f7_f8_quality": lambda s, d: M.mine_word_ngrams(V.documents(s, d), 2, 2, min_n=5).select("pattern", X.meaningful(F.col("pattern")).alias("meaningful"), X.quality(F.col("pattern")).alias("quality")),
+    "f7_f8_quality": lambda s, d: M.mine_word_ngrams(V.documents(s, d), 2, 2, min_n=5).select("pattern", X.meaningful(F.col("pattern")).alias("meaningful"), X.meaningful_share(F.col("pattern"), 5, 12).alias("by_share"), X.quality(F.col("pattern")).alias("quality")),
     "f9_continuation": lambda s, d: W.is_continuation(V.messages(s, d)),
     "f10_exclude_clients": lambda s, d: W.exclude_clients(V.table(s, d, "customer").withColumn("user_agent", F.concat(F.lit("Agent-"), (F.col("c_custkey") % 7).cast("string"))), ["agent-3", "AGENT-5"]).select("c_custkey"),
     "f11_validate_sequence": lambda s, d: W.validate_sequence(V.messages(s, d)),
@@ -119,7 +151,7 @@ QUERIES = {
     "a2_char_ngrams": lambda s, d: M.mine_char_ngrams(V.documents(s, d), (8, 16), min_n=20),
     "a3_lines": lambda s, d: M.mine_lines(V.documents(s, d)),
     "a3_line_pairs": lambda s, d: M.line_pairs(V.documents(s, d)),
-    "a4_word_ngrams": lambda s, d: M.mine_word_ngrams(V.documents(s, d), 2, 3).select("pattern", "n", "df", F.round("confidence", 4).alias("confidence")),
+    "a4_word_ngrams": lambda s, d: M.mine_word_ngrams(V.documents(s, d)).select("pattern", "n", "df", F.round("confidence", 4).alias("confidence")),
     "a5_a6_code": lambda s, d: M.mine_code(V.code_docs(s, d)),
     "a19_simple_code": lambda s, d: M.mine_code(V.code_docs(s, d), simple=True, min_n=3),
     "a7_templates": lambda s, d: M.mine_templates(V.code_docs(s, d)),
@@ -153,9 +185,10 @@ SQL = {
     "p13_log_category": _log_sql(),
     "p15_char_entropy": "with c as (select doc_id, unnest(string_split(text, '')) as ch from documents where text <> ''), n as (select doc_id, ch, count(*) as n from c group by all), t as (select doc_id, sum(n) as total, sum(n * log2(n)) as s from n group by 1) select d.doc_id, round(coalesce(log2(total) - s / total, 0), 6) as entropy from documents d left join t using (doc_id)",
     "f1_min_chars": "select conv_id, turn from conversations where conv_id in (select conv_id from conversations where role in ('user', 'assistant', 'system') group by 1 having sum(length(text)) >= 2000)",
-    "f2_tool_call": "select doc_id, true as hit from documents union all select -1 - doc_id, false from documents",
-    "f4_reasoning": "select doc_id, doc_id % 5 = 0 as hit from documents",
-    "f5_looks_like_code": f"with {CODE_SQL}, a as (select doc_id, text from code_docs union all select -1 - doc_id, text from documents) select doc_id, {_count('left(text, 1000)', catalogs.CODE_INDICATORS)} >= 3 as head, {_count('text', catalogs.CODE_INDICATORS)} >= 3 as full from a",
+    "f2_tool_call": f"with {TOOL_SQL}, a as (select doc_id, text from tool_docs union all select -1 - doc_id, case doc_id % 4 when 0 then '<invoke name=x>' || text || '</invoke>' when 1 then '{{\"tool\": 1}} ' || text when 2 then '{{\"name\": 1, \"path\": 2}} ' || text else text end from documents) select doc_id, {_tool_sql()} as hit from a",
+    "f3_markdown": f"with m as (select case when doc_id % 4 = 0 then '# Title' || chr(10) || chr(10) || '- a **b** item' || chr(10) || text when doc_id % 4 = 1 then text || chr(10) || 'H~2~O and <b>x</b>' when doc_id % 4 = 2 then 'def f(x):' || chr(10) || '    return x' || chr(10) || text else text end as text from documents) select {_markdown_sql()} as hit, count(*) as n from m group by 1",
+    "f4_reasoning": "with m as (select doc_id, case doc_id % 5 when 0 then '<think>' || text || '</think>' when 1 then '<think>' || text || '</thought>' when 2 then '<analysis>' || chr(10) || text || '</analysis>' else text end as text from documents) select doc_id, " + " or ".join(f"regexp_matches(text, '(?s)<{t}>.*?</{t}>')" for t in catalogs.REASONING_TAGS) + " as hit from m",
+    "f5_looks_like_code": f"with {CODE_SQL}, a as (select doc_id, text from code_docs union all select -1 - doc_id, text from documents) select doc_id, {_count('left(text, 1000)', catalogs.CODE_INDICATORS)} >= 3 as head, {_count('text', catalogs.ALL_CODE_INDICATORS)} >= 3 as full from a",
     "f9_continuation": "select conv_id, (count(*) filter (role = 'user') > 1 or count(*) filter (role = 'assistant') > 0) as is_continuation from conversations group by 1",
     "f10_exclude_clients": "select c_custkey from customer where c_custkey % 7 not in (3, 5)",
     "f11_validate_sequence": "select conv_id, bool_and(role in ('user', 'assistant')) as roles_ok, min_by(role, turn) = 'user' as starts_with_user from conversations where role <> 'system' group by 1",
@@ -165,11 +198,17 @@ SQL = {
     "a2_char_ngrams": r"with rows as (select doc_id, unnest(list_transform(generate_series(1, length(text) - 7), lambda i: substring(text, i, 8))) as pattern from documents union all select doc_id, unnest(list_transform(generate_series(1, length(text) - 15), lambda i: substring(text, i, 16))) from documents) select * from (" + COUNTED.format(by="") + r" having sum(k) >= 20) where regexp_matches(pattern, '\p{L}') and length(regexp_replace(pattern, '^\s+|\s+$', '', 'g')) >= 1",
     "a3_lines": f"with lines as (select doc_id, {STRIP.format('unnest(string_split(text, chr(10)))')} as pattern from documents), rows as (select * from lines where length(pattern) >= 3) " + COUNTED.format(by="") + " having sum(k) >= 2",
     "a3_line_pairs": f"with l as (select doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) as pos, {STRIP.format('unnest(string_split(text, chr(10)))')} as pattern from documents), w as (select pattern, count(*) over (partition by doc_id, pattern order by pos range between 1 following and 50 following) as later from l where length(pattern) >= 3) select pattern, sum(later)::bigint as pairs from w group by 1 having sum(later) > 0",
-    "a4_word_ngrams": r"with b as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') as w from documents), r as (select doc_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i:i+1], ' '))) as pattern from b union all select doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i+2], ' '))) from b), rows as (select * from r where length(pattern) >= 5) select *, round(least(1.0, n / 10), 4) as confidence from (" + COUNTED.format(by="") + " having sum(k) >= 3)",
+    "a4_word_ngrams": r"with b as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') as w from documents), r as (" + " union all ".join(f"select doc_id, unnest(list_transform(generate_series(1, len(w) - {k - 1}), lambda i: array_to_string(w[i:i+{k - 1}], ' '))) as pattern from b" for k in (2, 3, 4, 5)) + "), rows as (select * from r where length(pattern) >= 5) select *, round(least(1.0, n / 10), 4) as confidence from (" + COUNTED.format(by="") + " having sum(k) >= 3)",
     "a5_a6_code": _code_rows_sql(),
     "a19_simple_code": _code_rows_sql(catalogs.SIMPLE_CODE_PATTERNS, 3),
-    "f7_f8_quality": r"with b as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') as w from documents), r as (select unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i:i+1], ' '))) as pattern from b), g as (select pattern from r where length(pattern) >= 5 group by 1 having count(*) >= 5) select pattern, regexp_matches(pattern, '\p{L}') as meaningful, " + QUALITY_SQL + " as quality from g",
-    "a7_templates": _templates_sql(),
+    "f7_f8_quality": r"with b as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') as w from documents), r as (select unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i:i+1], ' '))) as pattern from b), g as (select pattern from r where length(pattern) >= 5 group by 1 having count(*) >= 5) select pattern, regexp_matches(pattern, '\p{L}') as meaningful, length(pattern) between 5 and 12 and length(regexp_replace(pattern, '[^\p{L}\p{N}]', '', 'g')) * 10 >= length(pattern) * 3 as by_share, " + QUALITY_SQL + " as quality from g",
+    "a7_templates": f"with {_templates_cte()} select * from g",
+    "a8_expand_templates": f"with {_templates_cte()}, c as (select kind, template, instance as pattern, count(*) as n from rows group by all), t as (select c.* from c join g using (kind, template) where c.n >= greatest(2, g.n // 4) qualify row_number() over (partition by kind, template order by c.n desc, pattern) <= 3) select kind, template, template as pattern, n from g union all select * from t",
+    "a10_merge_whitespace": f"with l as (select unnest(string_split(text, chr(10))) as x from documents), p as (select case when length(x) % 2 = 0 then ' ' || x else x end as pattern, count(*) as n from l where x <> '' group by 1), b as (select *, {STRIP.format('pattern')} as bare, sum(n) over (partition by {STRIP.format('pattern')}) as total, max(n) over (partition by {STRIP.format('pattern')}) as df from p qualify row_number() over (partition by {STRIP.format('pattern')} order by n desc, length(pattern) desc, pattern desc) = 1) select pattern, total::bigint as n, df from b",
+    "a15_structural_score": f"with c as ({_code_rows_sql()}) select kind, pattern, greatest(0, least(10, case when regexp_matches(pattern, '\\b(def|class|import|return|if|for|while|function)\\b') then 4 else 0 end + case when regexp_matches(pattern, '[:;{{}}\\[\\]]|\\n') then 3 else 0 end + case when regexp_matches(pattern, '[A-Za-z0-9_]\\(') then 3 else 0 end - case when regexp_matches(pattern, '[0-9]{{3,}}|@|https?:') then 3 else 0 end)) / 10.0::double as score from c",
+    "f12_filter_log": f"with c as (select event_id, category, case when event_id % 3 = 0 then 'INFO' else 'DEBUG' end as level from ({_log_sql().replace('select case', 'select event_id, case').replace(', count(*) as n from logs group by 1', ' from logs')}) x) select level, category, count(*) as n from c where level = 'INFO' or category in ('system_fixes', 'kv_cache_optimization') group by all",
+    "p14_detect_language": _language_sql(),
+    "f6_analysis_gate": _gate_sql(),
     "a9_rank": f"with rows as (select doc_id, unnest({TOKENS_SQL}) as pattern from documents), c as ({COUNTED.format(by='')}) select pattern, n, n * length(pattern) as value, row_number() over (order by n * length(pattern) desc, pattern)::int as rank from c where n >= 3 and {QUALITY_SQL} qualify rank <= 200",
     "a18_chunks": "select doc_id, start::int as start, substring(text, start, 500) as chunk from (select doc_id, text, unnest(generate_series(1, greatest(1, length(text)), 450)) as start from documents) x",
 }
