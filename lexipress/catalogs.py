@@ -59,22 +59,34 @@ LANGUAGES = (
 
 # Code constructs: kind, pattern, shortest and longest match.
 RECEIVERS = "self logger config analyzer data result item obj ctx req res app client server db model parser handler manager service utils helpers tools api cache".split()
-CODE_PATTERNS = (
-    ("logging", r"(?:logger|log)\.(?:info|debug|warning|error)\([^)]*\)", 4, 119),
-    ("method_call", r"(?:" + "|".join(RECEIVERS) + r")\.[A-Za-z0-9_]+\([^)]*\)", 4, 99),
-    ("attribute", r"(?:" + "|".join(RECEIVERS) + r")\.[A-Za-z0-9_]+", 4, 49),
-    ("definition", r"(?:async )?def [A-Za-z0-9_]+\([^)]*\):", 4, 119),
-    ("class", r"class [A-Za-z0-9_]+(?:\([^)]*\))?:", 4, 119),
-    ("call", r"[A-Za-z0-9_]+\([^)]{1,80}\)", 4, 119),
-    ("import", r"(?:from [A-Za-z0-9_.]+ )?import [A-Za-z0-9_., ]+", 4, 99),
-    ("assignment", r"[A-Za-z0-9_]+ = [^=\n]{1,60}", 11, 79),
-    ("annotation", r"[A-Za-z0-9_]+: [A-Za-z0-9_\[\]]+", 11, 79),
-    ("subscript", r"[A-Za-z0-9_]+\[[^\]\n]{1,50}\]", 4, 79),
-    ("block_header", r"(?:if|for|while|with|elif) [^:\n]{1,80}:", 6, 99),
-    ("return", r"return [^\n]{1,60}", 8, 79),
-    ("param_config", r"[A-Za-z0-9_]+\.get\([^)\n]{1,60}\)", 6, 99),
-    ("param_fstring", r"f\"[^\"\n]{1,80}\"", 6, 99),
+_RECEIVER = "(?:" + "|".join(RECEIVERS) + ")"
+_CODE_GROUPS = (
+    ("logging", 0, 119, (r"logger\.info\([^)]*\)", r"logger\.debug\([^)]*\)", r"logger\.warning\([^)]*\)", r"logger\.error\([^)]*\)", r"logging\.getLogger\([^)]*\)", r"log\.info\([^)]*\)", r"log\.debug\([^)]*\)", r"log\.error\([^)]*\)")),
+    ("method_call", 0, 99, (_RECEIVER + r"\.\w+\([^)]*\)",)),
+    ("attribute", 0, 49, (_RECEIVER + r"\.\w+",)),
+    ("function", 0, 119, (r"(?:async )?def \w+\([^)]*\):", r"lambda [^:]+:", r"\w+\([^)]{1,80}\)")),
+    ("import", 0, 99, (r"from [\w.]+ import [\w., ]+", r"import [\w., ]+", r"from \. import \w+", r"from \.[\w.]+ import \w+")),
+    ("assignment", 11, 79, (r"\w+ = [^=\n]{1,60}", r"\w+: [\w\[\]]+", r"\w+: [\w\[\]]+ = [^=\n]{1,40}")),
+    ("control", 0, 999, (r"if [^:]{1,50}:", r"elif [^:]{1,50}:", r"for \w+ in [^:]{1,50}:", r"while [^:]{1,50}:", r"try:", r"except \w+ as \w+:", r"except \w+:", r"finally:", r"with [^:]{1,50}:")),
+    ("string", 0, 99, (r'f"[^"]*\{[^}]+\}[^"]*"', r"f'[^']*\{[^}]+\}[^']*'", r'"[^"]*"\.format\([^)]*\)', r"'[^']*'\.format\([^)]*\)", r"\.join\([^)]+\)", r"\.split\([^)]*\)", r"\.strip\(\)", r"\.replace\([^)]+\)")),
+    ("collection", 0, 9999, (r"\.get\([^)]+\)", r"\.items\(\)", r"\.keys\(\)", r"\.values\(\)", r"\.append\([^)]+\)", r"\.extend\([^)]+\)", r"\.update\([^)]+\)", r"len\([^)]+\)", r"enumerate\([^)]+\)", r"zip\([^)]+\)", r"range\([^)]+\)")),
+    ("class", 0, 99, (r"class \w+\([^)]*\):", r"@\w+", r"@\w+\([^)]*\)", r"super\(\)\.\w+\([^)]*\)", r"self\.\w+ = [^=\n]{1,40}")),
+    ("operator", 0, 99, (r"is not None", r"is None", r"not in ", r" in ", r" and ", r" or ", r" == ", r" != ", r" >= ", r" <= ", r" > ", r" < ")),
+    ("config", 0, 79, (r"config\['[^']+'\]", r'config\["[^"]+"\]', r"\.get\('[^']+', [^)]+\)", r'\.get\("[^"]+", [^)]+\)', r"json\.loads\([^)]+\)", r"json\.dumps\([^)]+\)")),
+    ("file", 0, 99, (r"open\([^)]+\)", r"with open\([^)]+\) as \w+:", r"\.read\(\)", r"\.write\([^)]+\)", r"\.close\(\)", r"Path\([^)]+\)", r"os\.path\.\w+\([^)]+\)", r"\.exists\(\)", r"\.mkdir\([^)]*\)")),
+    ("param_call", 0, 9999, (r"\w+\.get\([^,]+,\s*[^)]+\)", r'\w+\.get\("[^"]+",\s*[^)]+\)', r"\w+\s*=\s*\w+\.get\([^)]+\)", r'log_message\(f"[^"]*\{[^}]+\}[^"]*"\)', r"timing_breakdown\.get\([^)]+\)")),
+    ("param_assignment", 0, 99, (r"\w+_chars_saved = [^=\n]+", r"\w+_tokens_saved = [^=\n]+", r"\w+_stats\.get\([^)]+\)", r"comment_\w+ = [^=\n]+", r"config_data\.get\([^)]+\)", r'logger\.\w+\(f"[^"]*"\)')),
+    ("param_fstring", 0, 119, (r'f"[^"]*→[^"]*: \{[^}]+\}s \(\{[^}]+\}%\)"', r'f"[^"]*: \{[^}]+\}s"', r'f"[^"]*\{[^}]+\}[^"]*characters"', r'f"[^"]*\{[^}]+\}[^"]*patterns"')),
+    ("block", 0, 99, (r"(?:if|for|while|with|elif) [^:\n]{1,80}:", r"return [^\n]{1,60}")),
 )
+
+
+def _unicode_words(pattern: str) -> str:
+    """Word characters of any script, in both engines' terms."""
+    return pattern.replace(r"[\w", r"[\p{L}\p{N}_").replace(r"\w", r"[\p{L}\p{N}_]")
+
+
+CODE_PATTERNS = tuple((kind, _unicode_words(p), least, most) for kind, least, most, some in _CODE_GROUPS for p in some)
 SIMPLE_CODE_PATTERNS = (
     ("call", r"[A-Za-z0-9_]+\([^)]*\)", 5, 100),
     ("attribute", r"[A-Za-z0-9_]+\.[A-Za-z0-9_]+", 5, 100),

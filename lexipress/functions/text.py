@@ -274,7 +274,8 @@ def session_key(session: Column, first_user: Column) -> Column:
 def content_hash(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, content_hash, is_new): hash of the user and assistant turns so far; whether it changed."""
     spoken = F.when(F.col("role").isin("user", "assistant"), F.concat("role", F.lit(":"), text_of(F.col("text")), F.lit("\n"))).otherwise(F.lit(""))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    so_far = F.array_join(F.collect_list(spoken).over(w.rowsBetween(Window.unboundedPreceding, 0)), "")
-    rows = messages.select("conv_id", "turn", F.left(F.sha2(so_far, 256), F.lit(16)).alias("content_hash"))
-    return rows.withColumn("is_new", F.coalesce(F.col("content_hash") != F.lag("content_hash").over(w), F.lit(True)))
+    rows = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", spoken.alias("s")))).alias("t"))
+    so_far = lambda i: F.array_join(F.transform(F.slice("t", 1, i + 1), lambda x: x["s"]), "")
+    hashes = F.transform("t", lambda x, i: F.struct(x["turn"].alias("turn"), F.left(F.sha2(so_far(i), 256), F.lit(16)).alias("content_hash")))
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    return rows.select("conv_id", F.inline(hashes)).withColumn("is_new", F.coalesce(F.col("content_hash") != F.lag("content_hash").over(before), F.lit(True)))

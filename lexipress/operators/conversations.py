@@ -103,16 +103,18 @@ def should_continue(metrics: DataFrame, min_eff: float = 0.01, most_rules: int =
 
 
 def symbol_usage(rules: DataFrame, uses: DataFrame, k: int = 5) -> DataFrame:
-    """(conv_id, available, used, avg_per_turn, efficiency, top): symbols of a conversation's rules, how many were used,
-    uses a turn, share used, and the k most used, joined by spaces. uses: (conv_id, turn, symbol, n)."""
+    """(conv_id, available, added, used, avg_per_turn, efficiency, top): symbols of a conversation's rules (conv_id,
+    symbol, first_turn), how many of them came after its first turn with rules, how many were used, uses a turn, share used, and the k most used, joined by spaces. uses: (conv_id, turn, symbol, n)."""
     some = uses.groupBy("conv_id", "symbol").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("n").desc(), "symbol"))
     top = some.withColumn("r", rank).groupBy("conv_id").agg(F.count("*").alias("used"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= k, F.struct("r", "symbol")))), lambda x: x["symbol"]), " ").alias("top"))
     turns = uses.groupBy("conv_id", "turn").agg(F.countDistinct("symbol").alias("s")).groupBy("conv_id").agg(F.round(F.avg("s"), 4).alias("avg_per_turn"))
-    have = rules.groupBy("conv_id").agg(F.countDistinct("symbol").alias("available"))
+    born = rules.groupBy("conv_id", "symbol").agg(F.min("first_turn").alias("born"))
+    have = born.groupBy("conv_id").agg(F.count("*").alias("available"), F.min("born").alias("start"), F.array_agg("born").alias("borns"))  # at most the pool
+    have = have.select("conv_id", "available", F.size(F.filter("borns", lambda b: b > F.col("start"))).alias("added"))
     out = have.join(top.hint("shuffle_merge"), "conv_id", "left").join(turns.hint("shuffle_merge"), "conv_id", "left")
     used = F.coalesce("used", F.lit(0))
-    return out.select("conv_id", "available", used.alias("used"), F.coalesce("avg_per_turn", F.lit(0.0)).alias("avg_per_turn"), F.round(used / F.greatest("available", F.lit(1)), 4).alias("efficiency"), F.coalesce("top", F.lit("")).alias("top"))
+    return out.select("conv_id", "available", "added", used.alias("used"), F.coalesce("avg_per_turn", F.lit(0.0)).alias("avg_per_turn"), F.round(used / F.greatest("available", F.lit(1)), 4).alias("efficiency"), F.coalesce("top", F.lit("")).alias("top"))
 
 
 def top_tokens(messages: DataFrame, k: int = 5) -> DataFrame:
@@ -122,10 +124,12 @@ def top_tokens(messages: DataFrame, k: int = 5) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def global_stats(metrics: DataFrame) -> DataFrame:
-    """One row (conversations, turns, avg_turns, original_chars, compressed_chars)."""
+def global_stats(metrics: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """One row (conversations, turns, avg_turns, original_chars, compressed_chars; with rules (conv_id, symbol) also
+    symbols: different ones in use)."""
     per = metrics.groupBy("conv_id").agg(F.count("*").alias("t"), F.sum("original_chars").alias("o"), F.sum("compressed_chars").alias("c"))
-    return per.agg(F.count("*").alias("conversations"), F.coalesce(F.sum("t"), F.lit(0)).alias("turns"), F.round(F.avg("t"), 4).alias("avg_turns"), F.sum("o").alias("original_chars"), F.sum("c").alias("compressed_chars"))
+    out = per.agg(F.count("*").alias("conversations"), F.coalesce(F.sum("t"), F.lit(0)).alias("turns"), F.round(F.avg("t"), 4).alias("avg_turns"), F.sum("o").alias("original_chars"), F.sum("c").alias("compressed_chars"))
+    return out if rules is None else out.join(F.broadcast(rules.agg(F.countDistinct("symbol").alias("symbols"))))  # one row each
 
 
 def retain_recent(df: DataFrame, n: int = 1000, slack: int = 100, ts: str = "ts", key: str = "conv_id") -> DataFrame:
@@ -170,7 +174,7 @@ def exclude_clients(requests: DataFrame, names: list[str], agent: str = "user_ag
 def filter_log(log: DataFrame, enabled: DataFrame) -> DataFrame:
     """without DEBUG rows whose category isn't in ``enabled`` (category)."""
     rows = log.withColumn("category", X.log_category(F.col("message")))
-    debug = rows.where("level = 'DEBUG'").join(F.broadcast(enabled.select("category").distinct()), "category", "left_semi")  # a catalog
+    debug = rows.where("level = 'DEBUG'").join(enabled.select("category").distinct().hint("shuffle_merge"), "category", "left_semi")
     return rows.where("level <> 'DEBUG'").unionByName(debug.select(*rows.columns))
 
 

@@ -120,13 +120,14 @@ def mine_templates(df: DataFrame, scope: list[str] = [], id_col: str = "doc_id",
     return some.where((F.col("n") >= min_n) & (size >= 8)).withColumn("savings", saved).where("savings > 0")
 
 
-def expand_templates(df: DataFrame, templates: DataFrame, text_col: str = "text", k: int = 3) -> DataFrame:
-    """(kind, template, pattern, n): each template, and its k most frequent instances of at least max(2, n div 4)."""
-    counts = df.select(F.inline(_instances(X.text_of(F.col(text_col))))).groupBy("kind", "template", F.col("instance").alias("pattern")).agg(F.count("*").alias("n"))
-    least = templates.select("kind", "template", F.greatest(F.lit(2), F.floor(F.col("n") / 4)).alias("least"))
-    rank = F.row_number().over(Window.partitionBy("kind", "template").orderBy(F.col("n").desc(), "pattern"))
-    top = counts.join(least.hint("shuffle_merge"), ["kind", "template"]).where("n >= least").withColumn("r", rank).where(F.col("r") <= k)
-    return templates.select("kind", "template", F.col("template").alias("pattern"), "n").unionByName(top.select("kind", "template", "pattern", "n"))
+def expand_templates(df: DataFrame, templates: DataFrame, text_col: str = "text", k: int = 3, scope: list[str] = []) -> DataFrame:  # noqa: B006
+    """(scope, kind, template, pattern, n): each template, and its k most frequent instances of at least max(2, n div 4)."""
+    keys = [*scope, "kind", "template"]
+    counts = df.select(*scope, F.inline(_instances(X.text_of(F.col(text_col))))).groupBy(*keys, F.col("instance").alias("pattern")).agg(F.count("*").alias("n"))
+    least = templates.select(*keys, F.greatest(F.lit(2), F.floor(F.col("n") / 4)).alias("least"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "pattern"))
+    top = counts.join(least.hint("shuffle_merge"), keys).where("n >= least").withColumn("r", rank).where(F.col("r") <= k)
+    return templates.select(*keys, F.col("template").alias("pattern"), "n").unionByName(top.select(*keys, "pattern", "n"))
 
 
 def rank_patterns(patterns: DataFrame, scope: list[str] = [], k: int | None = None, min_n: int = 3, min_len: int = 3) -> DataFrame:  # noqa: B006
@@ -135,16 +136,34 @@ def rank_patterns(patterns: DataFrame, scope: list[str] = [], k: int | None = No
     order = [F.col("value").desc(), F.col("pattern")]
     if k is not None and not scope:
         good = good.orderBy(*order).limit(k)  # a bounded report; ranks below are within it
+    if k is None and not scope:
+        return _ranked_in_parts(good, order)
     ranked = good.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def _ranked_in_parts(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds rank over all rows: ranges of the order rank their own, then add what is in ranges before (a row a range)."""
+    parts = settle(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = parts.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return inner.join(F.broadcast(sizes.select("part", "before")), "part").withColumn("rank", (F.col("rank") + F.col("before")).cast("int")).drop("part", "before")
+
+
 def merge_whitespace(patterns: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
     """A10: patterns that differ in white space at the ends become one: counts add up, the best variant stands for them."""
     best = F.max_by("pattern", F.struct("n", F.length("pattern"), "pattern"))
     return patterns.groupBy(*scope, X.strip(F.col("pattern")).alias("bare")).agg(best.alias("pattern"), F.sum("n").alias("n"), F.max("df").alias("df")).drop("bare")
 
 
+def _inside(rows: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
+    """(scope, inner, inner_n, outer, outer_n): patterns of 4 characters and more inside longer ones, found by their first 4."""
+    parts = F.transform(F.sequence(F.lit(1), F.length("pattern") - F.lit(3)), lambda i: F.substring(F.col("pattern"), i, F.lit(4)))
+    inner = rows.select(*scope, F.col("pattern").alias("inner"), F.col("n").alias("inner_n"), F.left("pattern", F.lit(4)).alias("key")).where("length(inner) >= 4")
+    outer = rows.where("length(pattern) >= 5").select(*scope, F.col("pattern").alias("outer"), F.col("n").alias("outer_n"), F.explode(F.array_distinct(parts)).alias("key"))
+    return inner.join(outer.hint("shuffle_merge"), [*scope, "key"]).where((F.length("outer") > F.length("inner")) & F.col("outer").contains(F.col("inner"))).drop("key")
+
+
 def resolve_containment(patterns: DataFrame, scope: list[str] = [], most: int = 2000) -> DataFrame:  # noqa: B006
     """A pattern inside a longer one goes, and its count with it to the longest such one, unless it's over twice as
     frequent. For ranked lists: at most ``most`` patterns a scope, which is checked; within a scope every pattern's
@@ -152,10 +171,7 @@ def resolve_containment(patterns: DataFrame, scope: list[str] = [], most: int =
     rows = settle(patterns.select(*scope, "pattern", "n"), "ranked")
     if not rows.groupBy(*scope).count().where(F.col("count") > most).isEmpty():
         raise ValueError(f"over {most} patterns in a scope; rank them first")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("pattern") - F.lit(3)), lambda i: F.array(F.substring(F.col("pattern"), i, F.lit(4)))))
-    inner = rows.select(*scope, F.col("pattern").alias("inner"), F.col("n").alias("inner_n"), F.left("pattern", F.lit(4)).alias("key")).where("length(inner) >= 4")
-    outer = rows.where("length(pattern) >= 5").select(*scope, F.col("pattern").alias("outer"), F.col("n").alias("outer_n"), F.explode(F.array_distinct(parts)).alias("key"))
-    inside = inner.join(outer.hint("shuffle_merge"), [*scope, "key"]).where((F.length("outer") > F.length("inner")) & F.col("outer").contains(F.col("inner")) & (F.col("inner_n") <= 2 * F.col("outer_n")))
+    inside = _inside(rows, scope).where(F.col("inner_n") <= 2 * F.col("outer_n"))
     home = inside.groupBy(*scope, "inner", "inner_n").agg(F.min_by("outer", F.struct(-F.length("outer"), "outer")).alias("outer"))
     gain = home.groupBy(*scope, F.col("outer").alias("pattern")).agg(F.sum("inner_n").alias("gain"))
     gone = home.select(*scope, F.col("inner").alias("pattern"))
@@ -186,29 +202,25 @@ def contexts(df: DataFrame, patterns: DataFrame, width: int = 20, k: int = 10, i
     found = [r.pattern for r in patterns.select("pattern").distinct().orderBy("pattern").limit(1000).collect()]
     if patterns.select("pattern").distinct().count() > len(found):
         raise ValueError("contexts are for lists of at most 1000 patterns")
-    base = df.select(F.col(id_col), X.text_of(F.col(text_col)).alias("body"))
-    body = F.col("body")
-
-    def spots(p: str) -> Column:
-        """Where p starts, from 1, overlaps too: the text is cut before each place, and the pieces' lengths add up."""
-        start = F.struct(F.lit(1).alias("pos"), F.array().cast("array<int>").alias("out"))
-        step = lambda acc, x: F.struct((acc["pos"] + F.length(x)).alias("pos"), F.array_append(acc["out"], acc["pos"]).alias("out"))
-        every = F.aggregate(F.split(body, "(?=" + re.escape(p) + ")"), start, step)["out"]
-        return F.filter(every, lambda i: (i > 1) | body.startswith(p))
-
-    rows = None
-    for p in found:
-        one = base.where(body.contains(p)).select(F.lit(p).alias("pattern"), F.col(id_col), body, F.explode(spots(p)).alias("pos"))
-        rows = one if rows is None else rows.unionByName(one)
-    if rows is None:
+    if not found:
         return df.sparkSession.createDataFrame([], f"pattern string, {id_col} long, pos int, context string")
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy(id_col, "pos"))).where(F.col("r") <= k)
-    start = F.greatest(F.lit(1), F.col("pos") - width)
-    return first.select("pattern", id_col, "pos", F.substring(body, start, F.col("pos") - start + F.length("pattern") + width).alias("context"))
+    body, p = F.col("body"), F.col("pattern")
+    held = F.filter(F.array(*[F.lit(x) for x in found]), lambda x: body.contains(x))
+    rows = df.select(F.col(id_col), X.text_of(F.col(text_col)).alias("body")).select("*", F.explode(held).alias("pattern"))
+    # The text is cut before each place where the pattern starts, overlaps too, and the pieces' lengths add up.
+    start = F.struct(F.lit(1).alias("pos"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct((acc["pos"] + F.length(x)).alias("pos"), F.when(F.size(acc["out"]) <= k, F.array_append(acc["out"], acc["pos"])).otherwise(acc["out"]).alias("out"))
+    every = F.aggregate(F.split(body, F.concat(F.lit("(?=\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))), start, step)["out"]
+    rows = rows.select("*", F.explode(F.filter(every, lambda i: (i > 1) | body.startswith(p))).alias("pos"))
+    at = F.greatest(F.lit(1), F.col("pos") - width)
+    rows = rows.select("pattern", id_col, "pos", F.substring(body, at, F.col("pos") - at + F.length("pattern") + width).alias("context"))
+    first = F.row_number().over(Window.partitionBy("pattern").orderBy(id_col, "pos"))  # cut in each task before the shuffle
+    return rows.withColumn("r", first).where(F.col("r") <= k).drop("r")
 
 
 def filter_entropy(patterns: DataFrame, entropy: DataFrame, least: float = 0.3) -> DataFrame:
-    """Patterns whose characters' entropy is at least a share of their scope's (one row: entropy)."""
+    """Patterns whose characters' entropy is at least a share of their corpus's: the mean over texts (id, entropy), as
+    of their first 1000 characters."""
     own = X.char_entropy(patterns.select("pattern").distinct().withColumn("p", F.col("pattern")), "p", ["pattern"])
     base = F.broadcast(entropy.agg(F.avg("entropy").alias("base")))  # one row
     return patterns.join(own.hint("shuffle_merge"), "pattern").join(base).where(F.col("entropy") >= least * F.col("base")).drop("base")
@@ -249,10 +261,11 @@ def cluster_patterns(patterns: DataFrame, eps: float = 0.5, dims: int = 1 << 14)
 
 
 def rank_candidates(candidates: DataFrame) -> DataFrame:
-    """One row a pattern, quality = .3 confidence + .4 structure + .2 min(1, n/10) + .1 min(1, entropy/5), best first."""
+    """One row a pattern, without those inside a longer one of the list (a ranked list), quality = .3 confidence + .4 structure + .2 min(1, n/10) + .1 min(1, entropy/5), best first."""
     one = candidates.groupBy("pattern").agg(F.max("n").alias("n"), F.max("confidence").alias("confidence"), F.max("entropy").alias("entropy"))
     score = 0.3 * F.col("confidence") + 0.4 * structural_score(F.col("pattern")) + 0.2 * F.least(F.lit(1.0), F.col("n") / 10) + 0.1 * F.least(F.lit(1.0), F.col("entropy") / 5)
-    return one.withColumn("quality", F.round(score, 4))
+    gone = _inside(one).select(F.col("inner").alias("pattern")).distinct()
+    return one.join(gone.hint("shuffle_merge"), "pattern", "left_anti").withColumn("quality", F.round(score, 4))
 
 
 def chunk_text(df: DataFrame, size: int = 2000, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,14 +275,21 @@ def chunk_text(df: DataFrame, size: int = 2000, overlap: int = 200, id_col: str
     return df.select(id_col, text.alias("t"), F.explode(starts).alias("start")).select(id_col, "start", F.substring(F.col("t"), F.col("start"), F.lit(size)).alias("chunk"))
 
 
-def mine_patterns(df: DataFrame, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", strategies=None, min_n: int = 3, ngrams: tuple[int, ...] = ()) -> DataFrame:  # noqa: B006
-    """(scope, pattern, n, df): tokens, lines, code constructs (texts that look like code) and what further
-    strategies (DataFrame to rows (scope, pattern, n, df)) find; the largest count of each pattern."""
-    found = [mine_tokens(df, scope, id_col, text_col), mine_lines(df, scope, id_col, text_col)]
-    code = df.where(X.looks_like_code(F.col(text_col)))
-    found.append(mine_code(code, scope, id_col, text_col).groupBy(*scope, "pattern").agg(F.max("n").alias("n"), F.max("df").alias("df")))
-    if ngrams:
-        found.append(mine_char_ngrams(df, ngrams, scope, id_col, text_col))
-    found += [s(df) for s in strategies or ()]
+def mine_patterns(df: DataFrame, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", strategies=None, min_n: int = 3, ngrams: tuple[int, ...] = (8, 16, 32), only: bool = False) -> DataFrame:  # noqa: B006
+    """(scope, pattern, n, df): tokens, character n-grams, lines, code constructs and templates' instances (of texts
+    that look like code), and what further strategies (U3: DataFrame to rows (scope, pattern, n, df)) find; counts of a
+    pattern add up, df is the largest. ``only``: the further strategies alone."""
+    found = [s(df) for s in strategies or ()]
+    if not only:
+        code = df.where(X.looks_like_code(F.col(text_col)))
+        found += [mine_tokens(df, scope, id_col, text_col), mine_lines(df, scope, id_col, text_col), mine_code(code, scope, id_col, text_col)]
+        found.append(expand_templates(code, mine_templates(code, scope, id_col, text_col), text_col, scope=scope).withColumn("df", F.lit(None).cast("long")))
+        if ngrams:
+            found.append(mine_char_ngrams(df, ngrams, scope, id_col, text_col))
     every = reduce(DataFrame.unionByName, [f.select(*scope, "pattern", "n", "df") for f in found])
-    return every.groupBy(*scope, "pattern").agg(F.max("n").alias("n"), F.max("df").alias("df")).where(F.col("n") >= min_n)
+    return every.groupBy(*scope, "pattern").agg(F.sum("n").alias("n"), F.max("df").alias("df")).where(F.col("n") >= min_n)
+
+
+def consolidate(ranked: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
+    """A10 to A12 on a ranked list: (scope, pattern, n) without variants in white space, contained and similar patterns."""
+    return merge_similar(resolve_containment(merge_whitespace(ranked, scope), scope), scope)

@@ -7,23 +7,29 @@ from pyspark.sql import functions as F
 
 from lexipress.functions import text as X
 
+#: A caller's catalog of at most so many rows is broadcast.
+CATALOG_ROWS = 10_000
 # Formats of a system prompt.
 FORMATS = {"chatml": "<|im_start|>system\n{}<|im_end|>", "claude": "{}", "gemini": "{}", "gemma": "<start_of_turn>system\n{}<end_of_turn>", "qwen": "<|im_start|>system\n{}<|im_end|>", "deepseek": "{}", "claude_legacy": "Human: {}", "chatgpt": "{}"}
-# Lines of guidance: when (core, code, or a word that calls for it), and the line.
+# Guidance in order: what calls for it (nothing: always; code: a text in a programming language; else any of
+# the words), and the lines.
 GUIDANCE = (
-    ("core", "Answer briefly."), ("core", "Leave out greetings and repeats."), ("code", "Show only code that changes."), ("code", "Keep names as they are."),
-    ("explain", "Explain in few sentences."), ("list", "Use short list items."), ("error", "Name the cause first."), ("compare", "Give the differences only."), ("summary", "Sum up in one paragraph."),
+    ((), ("Be concise and direct in your responses", "Respond as briefly and precisely as possible", "Provide only essential information unless specifically asked for details", "Limit explanations unless explicitly requested")),
+    (("code",), ("Use minimal but descriptive function and variable names", "Minimize comments unless they clarify complex logic", "Prefer concise code patterns over verbose alternatives", "Avoid unnecessary intermediate variables")),
+    (("explain", "describe", "how to", "what is", "tutorial", "guide"), ("Structure your response with clear headings", "Lead with the key takeaway or conclusion", "Use numbered steps for processes")),
+    (("debug", "error", "fix", "broken", "not working", "issue"), ("Identify the specific problem first", "Provide the corrected code immediately after diagnosis", "Explain the fix in one concise sentence")),
 )
+# Sets that a caller may add.
+CUSTOM_GUIDANCE = {
+    "ultra_brief": ("Respond in the fewest words possible", "Use sentence fragments if they convey the meaning", "Omit pleasantries and filler words", "Provide direct answers without context unless essential"),
+    "code_only": ("Provide only executable code without explanations", "Include minimal inline comments only for complex logic", "Omit example usage unless specifically requested"),
+}
 
 
 def formats(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FORMATS.items()), "format string, template string")
 
 
-def guidance_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, w, t) for i, (w, t) in enumerate(GUIDANCE)], "pos int, trigger string, line string")
-
-
 def system_prompts(messages: DataFrame, params: DataFrame | None = None) -> DataFrame:
     """M1: (conv_id, source, pos, content): from a system parameter, a system instruction (conv_id, system,
     system_instruction), and system messages, in this order."""
@@ -56,17 +62,19 @@ def apply_prompt(messages: DataFrame, merged: DataFrame) -> DataFrame:
 
 def format_prompt(prompts: DataFrame, kinds: DataFrame, col: str = "merged") -> DataFrame:
     """M4: adds formatted: the text in its format's template (column format); unknown formats as it is."""
-    out = prompts.join(F.broadcast(kinds), "format", "left")  # a catalog
+    small = kinds.limit(CATALOG_ROWS + 1).count() <= CATALOG_ROWS
+    out = prompts.join(F.broadcast(kinds) if small else kinds.hint("shuffle_merge"), "format", "left")
     return out.withColumn("formatted", F.coalesce(F.replace(F.col("template"), F.lit("{}"), F.col(col)), F.col(col))).drop("template")
 
 
-def guidance(messages: DataFrame, rules: DataFrame, k: int = 6) -> DataFrame:
-    """M5: (conv_id, guidance): a conversation's lines: core ones, those for code where its text looks like code, and those
-    whose word it holds; different ones in order, k at most."""
-    user = messages.where("role = 'user'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", X.text_of(F.col("text")).alias("t")))), lambda x: x["t"]), "\n").alias("said"))
-    rows = user.join(F.broadcast(rules))  # a catalog: each conversation meets its few rules
-    hit = (F.col("trigger") == "core") | ((F.col("trigger") == "code") & X.detect_language(F.col("said")).isNotNull()) | F.contains(F.lower("said"), F.col("trigger"))
-    some = rows.where(hit).groupBy("conv_id", "line").agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("pos"))
-    top = some.withColumn("r", rank).where(F.col("r") <= k)
-    return top.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("guidance"))
+def guidance(messages: DataFrame, rules: tuple = GUIDANCE, custom: tuple[str, ...] = (), k: int = 6) -> DataFrame:
+    """M5: (conv_id, guidance): the lines that a conversation's user messages call for, then those of the sets named in
+    ``custom``; the first k, different ones in order. Messages become a flag for each rule, so no conversation's texts
+    are gathered."""
+    text = X.text_of(F.col("text"))
+    calls = [X.detect_language(text).isNotNull() if words == ("code",) else X.contains_any(F.lower(text), words) if words else F.lit(True) for words, _ in rules]
+    flags = messages.where("role = 'user'").groupBy("conv_id").agg(*[F.max(c).alias(f"f{i}") for i, c in enumerate(calls)])
+    none = F.array().cast("array<string>")
+    lines = [F.when(F.col(f"f{i}"), F.array(*[F.lit(x) for x in some])).otherwise(none) for i, (_, some) in enumerate(rules)]
+    lines += [F.array(*[F.lit(x) for x in CUSTOM_GUIDANCE[name]]) for name in custom]
+    return flags.select("conv_id", F.array_join(F.array_distinct(F.slice(F.concat(*lines), 1, k)), "\n").alias("guidance"))

@@ -124,9 +124,9 @@ def expand_fields(calls: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def build_dictionary(df: DataFrame, scope: list[str] = [], k: int = 262, min_n: int = 3, min_len: int = 3, private_use: bool = True, strategies=None) -> DataFrame:  # noqa: B006
-    """The dictionary of a table of documents (doc_id, text)."""
+    """The dictionary of a table of documents (doc_id, text)."""
     mined = M.mine_patterns(df, scope, strategies=strategies, min_n=min_n)
-    ranked = M.rank_patterns(mined, scope, k=2 * k, min_n=min_n, min_len=min_len)
+    ranked = M.rank_patterns(M.consolidate(M.rank_patterns(mined, scope, k=2 * k, min_n=min_n, min_len=min_len), scope), scope, k=2 * k, min_n=min_n, min_len=min_len)
     pool = D.free_symbols(catalogs.symbol_pool(df.sparkSession, private_use), df)
     return settle(D.assign_symbols(ranked, D.rank_symbols(pool, k=k), scope, k), "dictionary")
 

@@ -159,7 +159,51 @@ ids as (select distinct conv_id, case when conv_id % 2 = 0 then 'Decode symbols.
 p as (select conv_id, decoder, string_agg(clean, chr(10) || chr(10)) as ps from ids left join said using (conv_id) group by all),
 merged as (select conv_id, case when decoder = '' then ps when coalesce(ps, '') = '' then decoder else decoder || chr(10) || chr(10) || ps end as merged from p where decoder <> '' or coalesce(ps, '') <> '')"""
 
+def _streamed(s, rows, run):
+    """The rows written to a folder, read as a stream, put through ``run`` and what comes out read back."""
+    source, out = fresh_path(s, "stream-in"), fresh_path(s, "stream-out")
+    rows.coalesce(1).write.parquet(source)
+    query = run(s.readStream.schema(rows.schema).parquet(source)).writeStream.format("parquet").option("checkpointLocation", fresh_path(s, "stream-cp")).outputMode("append").trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return s.read.parquet(out)
+
+
+def _conversation_stream(s, d):
+    """T5: the running tally and trend from state; SQL has them from windows."""
+    s.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else time-outs of state keep the query going
+    try:
+        return _streamed(s, V.turns(s, d).select("conv_id", "turn", "original_chars", "compressed_chars"), T.conversation_stream)
+    finally:
+        s.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def _read_sse(s, d):
+    """S3: the lines of each response as a text file, read as a stream."""
+    folder, out = fresh_path(s, "sse-in"), fresh_path(s, "sse-out")
+    _sse(s, d).select("value").write.text(folder)
+    query = T.parse_sse(sources.read_sse(s, folder)).select("kind", F.length("value").alias("chars")).writeStream.format("parquet").option("checkpointLocation", fresh_path(s, "stream-cp")).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return s.read.parquet(out).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _upper_fields(s, d):
+    """A caller's compressor that drops vowels."""
+    done = C.substitute_fields(_calls(s, d), _dictionary(s, d, 5), 300, lambda text, rules: F.regexp_replace(text, "[aeiou]", ""))
+    return done.select("doc_id", F.md5(F.col("compressed")["content"]).alias("content_md5"))
+
+
+def _long_words(df):
+    """A caller's strategy: words of 12 letters and more."""
+    rows = df.select("doc_id", F.explode(F.filter(X.words(F.col("text")), lambda w: F.length(w) >= 12)).alias("pattern"))
+    return rows.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("df"))
+
+
 QUERIES = {
+    "s3_sse_stream": _read_sse,
+    "t5_conversation_stream": _conversation_stream,
+    "u1_tokenizer": lambda s, d: D.token_efficiency(V.documents(s, d).select("doc_id", "text", F.regexp_replace("text", "[aeiou]", "").alias("compressed_text")), tokenizer=lambda c: F.length(F.regexp_replace(c, r"\s", ""))).select("doc_id", "original_tokens", "compressed_tokens", "saved", "valid"),
+    "u2_compressor": _upper_fields,
+    "u3_strategy": lambda s, d: M.mine_patterns(V.documents(s, d), strategies=[_long_words], only=True),
     "slice_savings": slice_savings,
     "s1_messages": lambda s, d: sources.read_messages(s, f"{d}/conversations.parquet").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")),
     "s2_requests": _requests,
@@ -192,8 +236,8 @@ QUERIES = {
     "c5_comment_savings": lambda s, d: C.comment_savings(V.code_docs(s, d).withColumn("language", X.detect_language(F.col("text"), F.col("filename"))), ["language"]),
     "c6_tool_calls": lambda s, d: _calls(s, d).select("doc_id", "name", F.col("fields")["path"].alias("path"), F.md5(F.col("fields")["content"]).alias("content_md5")),
     "c7_fields": lambda s, d: C.expand_fields(C.substitute_fields(_calls(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", F.md5(F.col("fields")["content"]).alias("content_md5")),
-    "c8_multipass": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 2)[0].select("doc_id", F.length("text").alias("chars")),
-    "c9_adaptive": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 3, adaptive=True)[0].select("doc_id", F.length("text").alias("chars")),
+    "c8_multipass": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 3)[0].select("doc_id", F.length("text").alias("chars")),
+    "c9_adaptive": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 10, adaptive=True)[0].select("doc_id", F.length("text").alias("chars")),
     "c10_renest": lambda s, d: C.renest_content(V.messages(s, d).select("conv_id", "turn", F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("parts")), V.messages(s, d).select("conv_id", "turn", F.lit(0).alias("idx"), F.concat(F.lit("x"), "text").alias("text")), ["conv_id", "turn"]).select("conv_id", "turn", F.md5(F.col("parts")[0]["text"]).alias("md5")),
     "c11_compress": lambda s, d: C.compress(V.documents(s, d)).select("doc_id", "gate", "accepted", F.length("final_text").alias("chars")),
     "c12_estimate_ratio": lambda s, d: C.estimate_ratio(C.substitute(V.documents(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", "ratio"),
@@ -205,17 +249,17 @@ QUERIES = {
     "w14_skipped_turns": lambda s, d: W.turn_metrics(V.turns(s, d).where("role <> 'user'"), all_turns=V.turns(s, d)).groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.round(F.col("compression_ratio") * 10_000).cast("long")).alias("ratio_sum_e4")),
     "w6_running_tally": lambda s, d: W.running_tally(_metrics(s, d)).select("conv_id", "turn", "cumulative_messages", "cumulative_original", "cumulative_compressed", "cumulative_saved", "cumulative_overhead", "cumulative_ratio", "cumulative_net"),
     "w7_trend": lambda s, d: W.efficiency_trend(_metrics(s, d)).select("conv_id", "turn", "trend"),
-    "w8_continue": lambda s, d: W.should_continue(W.efficiency_trend(_metrics(s, d)).withColumn("symbols_used", F.lit(10))).select("conv_id", "turn", "should_continue"),
+    "w8_continue": lambda s, d: W.should_continue(W.efficiency_trend(_metrics(s, d)).withColumn("symbols_used", 250 + F.col("turn").cast("int"))).select("conv_id", "turn", "should_continue"),
     "w9_symbol_usage": lambda s, d: W.symbol_usage(W.additive_rules(_rules(s, d), 40), _rules(s, d).groupBy("conv_id", "turn", "symbol").agg(F.count("*").alias("n"))),
     "w10_top_tokens": lambda s, d: W.top_tokens(V.messages(s, d)),
-    "w11_global": lambda s, d: W.global_stats(V.turns(s, d)),
+    "w11_global": lambda s, d: W.global_stats(V.turns(s, d), W.additive_rules(_rules(s, d), 40)),
     "w12_retain_recent": lambda s, d: W.retain_recent(V.table(s, d, "events"), 50, 10, key="user_id").groupBy("user_id").agg(F.count("*").alias("n")),
     "w13_summary": _summary,
     "m1_system_prompts": lambda s, d: P.system_prompts(_prompts(s, d)[0]),
     "m2_merge_prompts": lambda s, d: _prompts(s, d)[1],
     "m3_apply_prompt": lambda s, d: P.apply_prompt(*_prompts(s, d)),
     "m4_format_prompt": lambda s, d: P.format_prompt(_prompts(s, d)[1].withColumn("format", F.when(F.col("conv_id") % 3 == 0, "chatml").when(F.col("conv_id") % 3 == 1, "gemma").otherwise("own")), P.formats(s)),
-    "m5_guidance": lambda s, d: P.guidance(V.messages(s, d).withColumn("text", F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Explain the ERROR: "), "text")).otherwise(F.col("text"))), P.guidance_rules(s)),
+    "m5_guidance": lambda s, d: P.guidance(V.messages(s, d).withColumn("text", F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Explain the ERROR: "), "text")).otherwise(F.col("text"))), custom=("code_only",)),
     "r1_savings_cube": lambda s, d: R.savings_report(V.turns(s, d).withColumn("half", F.col("conv_id") % 2), ["role", "half"], "cube"),
     "r2_throughput": lambda s, d: R.throughput(_requests_table(s, d)).select("conv_id", "total_rate", "prompt_rate", "generation_rate", "first_token_s"),
     "r3_net_savings": lambda s, d: R.net_savings(_requests_table(s, d)).select("conv_id", "net_tokens", "net_percent", "negative"),
@@ -234,14 +278,55 @@ DICT = "with " + _dictionary_sql()
 SUB = DICT + ", " + SUBSTITUTED_SQL
 EST = "greatest(1, length({0}) // 4)"
 
+VALUE_SQL = f"least({EST.format('pattern')} - {EST.format('symbol')}, length(pattern) // 3)"
+ENTRY_SQL = EST.format("(chr(10) || pattern || '=' || symbol)")
+TOKEN_VALUE_SQL = f"case when {VALUE_SQL} <= 0 then -1 when n >= 5 and {VALUE_SQL} * n - {ENTRY_SQL} > -2 then greatest({VALUE_SQL} * n - {ENTRY_SQL}, 0.1) else {VALUE_SQL} * n - {ENTRY_SQL} end"
+SYMBOLS_SQL = f"select symbol, row_number() over (order by cost + (kind = 'ascii')::int, length(symbol), rank)::int as srank from {_pool_sql()} p where kind <> 'private' qualify srank <= "
+PROMPT_TEXT = """prompt as (select case when count(*) >= 3 then '#DICT ' || case when bool_or(regexp_matches(pattern, '[;:]')) then string_agg(symbol || '⟦' || pattern, '‖' order by seq) else string_agg(symbol || ':' || pattern, ';' order by seq) end || '#DICT_END'
+  else 'Symbols stand for text:' || chr(10) || string_agg(symbol || ' = ' || pattern, chr(10) order by seq) end as prompt from dictionary)"""
+PY, JS = "regexp_replace(text, '(?m) *#.*$', '', 'g')", "regexp_replace(text, '(?m)^//.*$', '', 'g')"
+WORDS_SQL = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> ''))"
+
+
+def _guidance_sql() -> str:
+    quote = lambda some: "[" + ", ".join(f"'{x}'" for x in some) + "]"
+    code = " or ".join([*(f"({' or '.join(f'contains(text, {chr(39)}{w}{chr(39)})' for w in some)})" for _, _, some, *_ in catalogs.LANGUAGES if some), "(starts_with(text, '#!') and regexp_matches(left(text, 100), '/bin/bash|/bin/sh|/usr/bin/env'))"])
+    calls = [code if words == ("code",) else " or ".join(f"contains(lower(text), '{w}')" for w in words) or "true" for words, _ in P.GUIDANCE]
+    lines = [f"case when f{i} then {quote(some)} else []::varchar[] end" for i, (_, some) in enumerate(P.GUIDANCE)] + [quote(P.CUSTOM_GUIDANCE["code_only"])]
+    every = lines[0]
+    for x in lines[1:]:
+        every = f"list_concat({every}, {x})"
+    return f"with u as (select conv_id, case when conv_id % 2 = 0 then 'Explain the ERROR: ' || text else text end as text from conversations where role = 'user'), f as (select conv_id, {', '.join(f'bool_or({c}) as f{i}' for i, c in enumerate(calls))} from u group by 1) select conv_id, array_to_string(({every})[1:6], chr(10)) as guidance from f"
+
+
+SSE_KIND = "case turn when 5 then 'bad' when 6 then 'empty' when 7 then 'field' when 3 then 'done' else 'data' end"
+
 SQL = {
+    "s3_sse_stream": f"select {SSE_KIND} as kind, count(*) as n from conversations group by 1",
+    "t5_conversation_stream": f"with {TURNS_SQL}, r as (select *, round(1 - compressed_chars / greatest(1, original_chars), 4) as e from turns) select conv_id, turn, count(*) over a as turns, (sum(original_chars) over a)::bigint as original_chars, (sum(compressed_chars) over a)::bigint as compressed_chars, round((sum(original_chars) over a - sum(compressed_chars) over a) / greatest(sum(original_chars) over a, 1), 4) as cumulative_ratio, case when count(*) over w < 3 then 'insufficient_data' when e - first_value(e) over w > 0.01 then 'improving' when e - first_value(e) over w < -0.01 then 'declining' else 'stable' end as trend from r window a as (partition by conv_id order by turn rows unbounded preceding), w as (partition by conv_id order by turn rows between 2 preceding and current row)",
+    "u1_tokenizer": r"with t as (select doc_id, length(regexp_replace(text, '\s', '', 'g'))::int as original_tokens, length(regexp_replace(regexp_replace(text, '[aeiou]', '', 'g'), '\s', '', 'g'))::int as compressed_tokens from documents) select *, original_tokens - compressed_tokens as saved, original_tokens > compressed_tokens as valid from t",
+    "u2_compressor": f"with c as (select doc_id, {CLEAN} as c, regexp_replace({CLEAN}, '[aeiou]', '', 'g') as v from documents) select doc_id, md5(case when length(c) >= 300 and length(v) * 10 <= length(c) * 9 then v else c end) as content_md5 from c",
+    "u3_strategy": r"with w as (select doc_id, unnest(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: length(x) >= 12)) as pattern from documents) select pattern, count(*) as n, count(distinct doc_id) as df from w group by 1 having count(*) >= 3",
+    "s4_symbol_pool": f"with d as (select unnest(list_distinct(string_split(text, ''))) as symbol from documents), n as (select symbol, count(*) as docs from d group by 1) select p.symbol, p.rank, p.kind, p.cost, coalesce(docs, 0) as docs from {_pool_sql()} p left join n using (symbol) where kind <> 'private'",
+    "d5_by_priority": f"with rows as (select doc_id, unnest({TOKENS_SQL}) as pattern from documents), c as ({COUNTED.format(by='')}), r as (select pattern, n from c where n >= 3 and {QUALITY_SQL} qualify row_number() over (order by n * length(pattern) desc, pattern) <= 300), q as (select *, row_number() over (order by length(pattern) * n desc, pattern)::int as srank from r qualify srank <= 200), s as ({SYMBOLS_SQL} 262) select srank, symbol, pattern, n from q join s using (srank) where length(symbol) = 1",
+    "d6_metrics": f"{DICT}, o as (select sum(length(text))::bigint as original_chars from documents), v as (select *, least(greatest({TOKEN_VALUE_SQL}, 0), (original_chars // 4) * 0.1::double)::double as each from dictionary, o), g as (select count(*) as entries, sum((length(pattern) - length(symbol)) * n)::bigint as chars_saved, greatest(0, least(floor(sum(each)), floor((original_chars // 4) * 0.8), original_chars // 4 - 1))::bigint as tokens_saved, original_chars from v group by original_chars) select *, round(least(0.95, tokens_saved / greatest(original_chars // 4, 1)), 4)::double as ratio from g",
+    "d12_context_efficiency": f"with {COSTS_SQL}, x as (select distinct symbol from costs), y as (select symbol, unnest([{WORDS_SQL.format("('the ' || symbol || ' of')")} - {WORDS_SQL.format("'the  of'")}, {WORDS_SQL.format("('x=' || symbol || ';')")} - {WORDS_SQL.format("'x=;'")}]) as added from x) select symbol, round(avg(1.0 / greatest(1, added + 1)), 4)::double as efficiency from y group by 1",
+    "d13_d14_dictionary_text": f"with rows as (select source, doc_id, unnest({TOKENS_SQL}) as pattern from documents), c as ({COUNTED.format(by='source,')}), r as (select source, pattern, n from c where n >= 3 and {QUALITY_SQL} qualify row_number() over (partition by source order by n * length(pattern) desc, pattern) <= 10), s as ({SYMBOLS_SQL} 10), b as (select *, row_number() over (partition by source order by greatest(0, (length(pattern) - 1) * n - (length(pattern) + 4)) desc, length(pattern) desc, pattern)::int as srank from r where (length(pattern) - 1) * n > length(pattern) + 4) select source, row_number() over (partition by source order by length(pattern) desc, pattern)::int as seq, symbol, pattern from b join s using (srank) where (length(pattern) - length(symbol)) * n > length(pattern) + length(symbol) + 3",
+    "d15_prompt": f"with {_dictionary_sql(20)}, {PROMPT_TEXT} select prompt from prompt",
+    "d16_overhead": f"with {_dictionary_sql(20)}, {PROMPT_TEXT} select floor(length(prompt) / 3.5 * 1.15)::int as overhead_tokens from prompt",
+    "c4_strip_comments": f"with {CODE_SQL} select doc_id, md5(case when doc_id % 2 = 0 then {PY} else {JS} end) as md5 from code_docs",
+    "c5_comment_savings": f"with {CODE_SQL}, t as (select case when ends_with(filename, '.py') then 'python' else 'javascript' end as language, text, case when ends_with(filename, '.py') then {PY} else {JS} end as stripped from code_docs), g as (select language, count(*) as docs, sum(length(text))::bigint as original_chars, sum(length(stripped))::bigint as stripped_chars, sum({EST.format('text')} - {EST.format('stripped')})::bigint as saved_tokens from t group by 1) select *, original_chars - stripped_chars as saved_chars, round(100 * (original_chars - stripped_chars) / greatest(original_chars, 1), 2) as percent from g",
+    "w9_symbol_usage": f"with {RULES_SQL}, uses as (select conv_id, turn, symbol, count(*) as n from cand group by all), totals as (select conv_id, symbol, sum(n) as n from uses group by all), top as (select conv_id, count(*) as used, string_agg(symbol, ' ' order by r) filter (r <= 5) as top from (select *, row_number() over (partition by conv_id order by n desc, symbol) as r from totals) x group by 1), per as (select conv_id, round(avg(s), 4) as avg_per_turn from (select conv_id, turn, count(distinct symbol) as s from uses group by all) x group by 1), born as (select conv_id, symbol, min(first_turn) as born from rules group by all), have as (select conv_id, count(*) as available, (count(*) filter (born > start))::int as added from (select *, min(born) over (partition by conv_id) as start from born) x group by 1) select conv_id, available, added, coalesce(used, 0) as used, coalesce(avg_per_turn, 0) as avg_per_turn, round(coalesce(used, 0) / greatest(available, 1), 4) as efficiency, coalesce(top, '') as top from have left join top using (conv_id) left join per using (conv_id)",
+    "w13_summary": f"with {METRICS}, t as (select *, {TREND_SQL} from m {WIN3}), p as (select *, row_number() over v as place, lag(net_efficiency) over v as prior from t window v as (partition by conv_id order by turn)), d as (select *, case when place <= 2 then true when net_efficiency < 0.01 and prior < 0.01 then false when trend = 'declining' and net_efficiency < 0.02 then false when place > 20 and net_efficiency < 0.02 then false else true end as go from p), c as (select conv_id, turn, count(*) over w > 1 and coalesce(last_value(case when role = 'user' then length(text) end ignore nulls) over w, 0) between 1 and 249 and sum(case when role in ('user', 'assistant', 'system') then length(text) else 0 end) over w < 20000 as short from conversations window w as (partition by conv_id order by turn rows unbounded preceding)) select conv_id, count(*) as turns, sum(original_chars)::bigint as original_chars, sum(compressed_chars)::bigint as compressed_chars, round(sum(round(compression_ratio * 10000)::bigint) / count(*)) / 10000 as avg_ratio, (sum(tokens_saved) - sum(overhead_tokens))::bigint as net_tokens, arg_max(trend, turn) as trend, arg_max(go, turn) as should_continue, count(*) filter (short) as short_turns from d join c using (conv_id, turn) group by 1",
+    "m5_guidance": _guidance_sql(),
+    "t4_response_metrics": f"with k as (select conv_id as request, turn, make_timestamp((turn + 1700000000) * 1000000) as ts, {SSE_KIND} as kind, case when turn in (3, 5, 6, 7) then '' else text end as content, turn not in (3, 5, 6, 7) and turn % 2 = 1 as counted, length(text) as n from conversations) select request, min(ts) filter (content <> '') as first_token_ts, arg_max(turn, turn) filter (counted) as prompt_tokens, arg_max(n, turn) filter (counted) as completion_tokens, arg_max(turn + n, turn) filter (counted) as total_tokens, coalesce(string_agg(content, '' order by turn), '') as text, bool_or(kind = 'done') as done from k group by 1",
     "slice_savings": f"{SUB}, g as (select source, lang, {SAVED} from sub group by all) select {SAVED_REST} from g",
     "s1_messages": "select role, count(*) as n, sum(length(text))::bigint as chars from conversations group by 1",
     "s2_requests": "select conv_id::varchar as id, 'm' as model, (row_number() over (partition by conv_id order by turn) - 1)::int as idx, role, length(text)::int as chars from conversations",
     "s5_stored_dictionary": "with " + _dictionary_sql(50) + " select seq, symbol, pattern, length(pattern)::int as pattern_len from dictionary",
     "s6_expire": "select count(*) as n from events where ts >= timestamp '2024-01-02 00:00:00'",
     "s7_op_log": "select event_type as phase, 'INFO' as level, count(*) as n from events group by 1",
-    "s8_catalogs": f"with {CODE_SQL} " + " union all ".join(f"select '{k}' as kind, count(*) filter (regexp_matches(text, '{p}')) as n from code_docs" for k, p, *_ in catalogs.CODE_PATTERNS),
+    "s8_catalogs": f"with {CODE_SQL}, k as (" + " union all ".join(f"select '{k}' as kind, count(*) filter (regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')) as n from code_docs group by 1" for k, p, *_ in catalogs.CODE_PATTERNS) + ") select kind, sum(n)::bigint as n from k group by 1",
     "d1_rank_symbols": f"with {COSTS_SQL}, c as (select symbol, coalesce(max(tokens) filter (family = 'f1'), floor(avg(tokens)))::int as cost, min(substr(symbol, 2)::int) as r from costs group by 1) select symbol, cost, row_number() over (order by cost, length(symbol), r)::int as srank from c qualify srank <= 100",
     "d2_free_symbols": f"select symbol, rank from {_pool_sql()} p where kind <> 'private' and not exists (select 1 from documents where contains(text, p.symbol))",
     "d4_dictionary": f"{DICT} select * from dictionary",
@@ -272,9 +357,9 @@ select conv_id, text, symbol, first_turn, value from kept union all select l.con
     "w5_stateful": f"with {STATEFUL} select * exclude (role) from m",
     "w6_running_tally": f"with {METRICS}, t as (select conv_id, turn, count(*) over w as cumulative_messages, (sum(original_chars) over w)::bigint as cumulative_original, (sum(compressed_chars) over w)::bigint as cumulative_compressed, (4 * sum(overhead_tokens) over w)::bigint as cumulative_overhead from m window w as (partition by conv_id order by turn rows unbounded preceding)) select *, cumulative_original - cumulative_compressed as cumulative_saved, round((cumulative_original - cumulative_compressed) / greatest(cumulative_original, 1), 4) as cumulative_ratio, round((cumulative_original - cumulative_compressed - cumulative_overhead) / greatest(cumulative_original, 1), 4) as cumulative_net from t",
     "w7_trend": f"with {METRICS} select conv_id, turn, {TREND_SQL} from m {WIN3}",
-    "w8_continue": f"with {METRICS}, t as (select *, {TREND_SQL} from m {WIN3}), p as (select *, row_number() over v as place, lag(net_efficiency) over v as prior from t window v as (partition by conv_id order by turn)) select conv_id, turn, case when place <= 2 then true when net_efficiency < 0.01 and prior < 0.01 then false when trend = 'declining' and net_efficiency < 0.02 then false when place > 20 and net_efficiency < 0.02 then false else true end as should_continue from p",
+    "w8_continue": f"with {METRICS}, t as (select *, {TREND_SQL} from m {WIN3}), p as (select *, row_number() over v as place, lag(net_efficiency) over v as prior from t window v as (partition by conv_id order by turn)) select conv_id, turn, case when place <= 2 then true when 250 + turn >= 262 then false when net_efficiency < 0.01 and prior < 0.01 then false when trend = 'declining' and net_efficiency < 0.02 then false when place > 20 and net_efficiency < 0.02 then false else true end as should_continue from p",
     "w10_top_tokens": f"with t as (select conv_id, unnest({TOKENS_SQL}) as token from conversations) select conv_id, token, count(*) as n, row_number() over (partition by conv_id order by count(*) desc, token)::int as rank from t group by 1, 2 qualify rank <= 5",
-    "w11_global": f"with {TURNS_SQL}, p as (select conv_id, count(*) as t, sum(original_chars) as o, sum(compressed_chars) as c from turns group by 1) select count(*) as conversations, sum(t)::bigint as turns, round(avg(t), 4) as avg_turns, sum(o)::bigint as original_chars, sum(c)::bigint as compressed_chars from p",
+    "w11_global": f"with {TURNS_SQL}, {RULES_SQL}, p as (select conv_id, count(*) as t, sum(original_chars) as o, sum(compressed_chars) as c from turns group by 1) select count(*) as conversations, sum(t)::bigint as turns, round(avg(t), 4) as avg_turns, sum(o)::bigint as original_chars, sum(c)::bigint as compressed_chars, (select count(distinct symbol) from rules) as symbols from p",
     "w12_retain_recent": "with l as (select user_id, max(ts) as last, count(*) as n, count(*) over () as users from events group by 1) select user_id, n from l qualify users <= 50 or row_number() over (order by last desc, user_id) <= 40",
     "m1_system_prompts": "select conv_id, 'messages_array' as source, 2000000 + turn as pos, text as content from conversations where turn = 0 or role = 'system'",
     "m2_merge_prompts": f"with {PROMPT_SQL} select conv_id, merged from merged",

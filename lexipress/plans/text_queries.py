@@ -67,7 +67,7 @@ def _gate(spark, d):
 
 
 def _code_rows_sql(patterns=catalogs.CODE_PATTERNS, least: int = 2) -> str:
-    parts = " union all ".join(f"select doc_id, '{k}' as kind, unnest(list_filter(regexp_extract_all(text, '{p}'), lambda m: length(m) between {lo} and {hi})) as pattern from code_docs" for k, p, lo, hi in patterns)
+    parts = " union all ".join(f"select doc_id, '{k}' as kind, unnest(list_filter(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}'), lambda m: length(m) between {lo} and {hi})) as pattern from code_docs" for k, p, lo, hi in patterns)
     return f"with {CODE_SQL}, rows as ({parts}) select kind, pattern, sum(k)::bigint as n, count(*) as df from (select kind, pattern, doc_id, count(*) as k from rows group by all) r group by all having sum(k) >= {least}"
 
 
@@ -161,7 +161,7 @@ QUERIES = {
     "a11_containment": lambda s, d: M.resolve_containment(M.rank_patterns(M.mine_word_ngrams(V.documents(s, d), 2, 4), k=400)),
     "a12_merge_similar": lambda s, d: M.merge_similar(M.rank_patterns(M.mine_tokens(V.documents(s, d)), k=300)),
     "a13_contexts": lambda s, d: M.contexts(V.documents(s, d), M.rank_patterns(M.mine_lines(V.documents(s, d), min_len=10), k=5)),
-    "a14_entropy_filter": lambda s, d: M.filter_entropy(M.rank_patterns(M.mine_tokens(V.documents(s, d)), k=300), X.char_entropy(V.documents(s, d), "text", ["doc_id"]), 0.6).select("pattern", "n", F.round("entropy", 6).alias("entropy")),
+    "a14_entropy_filter": lambda s, d: M.filter_entropy(M.rank_patterns(M.mine_tokens(V.documents(s, d)), k=300), X.char_entropy(V.documents(s, d).withColumn("head", F.left("text", F.lit(1000))), "head", ["doc_id"]), 0.6).select("pattern", "n", F.round("entropy", 6).alias("entropy")),
     "a15_structural_score": lambda s, d: M.mine_code(V.code_docs(s, d)).select("kind", "pattern", M.structural_score(F.col("pattern")).alias("score")),
     "a16_clusters": lambda s, d: M.cluster_patterns(M.rank_patterns(M.mine_tokens(V.documents(s, d)), k=500)),
     "a17_candidates": lambda s, d: M.rank_candidates(M.mine_word_ngrams(V.documents(s, d), 2, 2, min_n=8).withColumn("entropy", F.length("pattern") / 4.0)).select("pattern", "n", "quality"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,6 +60,11 @@ STATE = "turns long, original long, compressed long, efficiencies array<double>"
 CONVERSATION = "conv_id long, turn long, turns long, original_chars long, compressed_chars long, cumulative_ratio double, trend string"
 
 
+def _rounded(x: float) -> float:
+    """Four places, halves up, as Spark rounds."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+
 def conversation_stream(turns: DataFrame, idle_ms: int = 3_600_000, n: int = 3, step: float = 0.01) -> DataFrame:
     """A row per arriving turn (conv_id, turn, original_chars, compressed_chars): the conversation's running tally
     and trend; equal to W6 and W7 where turns arrive in order. State is a few numbers a conversation and goes after
@@ -74,10 +80,10 @@ def conversation_stream(turns: DataFrame, idle_ms: int = 3_600_000, n: int = 3,
         out = []
         for r in rows.itertuples():
             count, original, compressed = count + 1, original + int(r.original_chars), compressed + int(r.compressed_chars)
-            last = [*last, round(1 - r.compressed_chars / max(1, r.original_chars), 4)][-n:]
+            last = [*last, _rounded(1 - r.compressed_chars / max(1, r.original_chars))][-n:]
             change = last[-1] - last[0]
             trend = "insufficient_data" if len(last) < n else "improving" if change > step else "declining" if change < -step else "stable"
-            out.append((key[0], int(r.turn), count, original, compressed, round((original - compressed) / max(1, original), 4), trend))
+            out.append((key[0], int(r.turn), count, original, compressed, _rounded((original - compressed) / max(1, original)), trend))
         state.update((count, original, compressed, last))
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "turns", "original_chars", "compressed_chars", "cumulative_ratio", "trend"])
