@@ -49,3 +49,32 @@ def test_oracle(spark):
     df = spark.read.parquet(d)
     got = T.top_k(df, df.where(F.col("vec_id") % 50 == 0))
     assert sorted(con.sql(T.SQL).fetchall()) == sorted(map(tuple, got.collect()))
+
+
+def test_blocks_are_left_out():
+    """Where vectors lie in clusters under half of the pairs of a query and a block are scored, with the same result."""
+    rng = np.random.default_rng(6)
+    spots = rng.normal(0, 1, (40, 32))
+    x = np.floor(256 * (spots[rng.integers(0, 40, 8000)] + rng.normal(0, 0.15, (8000, 32)))).astype(np.int64)
+    cell = T.nearest(x, T.centres(x[:2000], 40))
+    order = np.argsort(cell, kind="stable")
+    ids, seen = np.arange(8000), []
+    got = T.block_search(ids[:200], x[:200], ids[order], x[order], 5, seen=seen)
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = T.NOTHING
+    want = [(q, v, int(s[q, v])) for q in range(200) for v in sorted(range(8000), key=lambda v: (-s[q, v], v))[:5]]
+    assert got == want and seen[0][1] < seen[0][0] / 2
+
+
+@pytest.mark.parametrize("bound_bytes", [64 << 20, 0])
+def test_many_ranges(spark, monkeypatch, bound_bytes):
+    monkeypatch.setattr(T, "RANGE_ROWS", 150)
+    monkeypatch.setattr(T, "QUERY_ROWS", 30)
+    monkeypatch.setattr(T, "BOUND_BYTES", bound_bytes)
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(0, 1, (10, 6))[rng.integers(0, 10, 700)] + rng.normal(0, 0.2, (700, 6)), 2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = np.floor(256 * x).astype(np.int64)
+    s = q @ q.T
+    want = sorted((i, r + 1, v, int(s[i, v])) for i in range(0, 700, 7) for r, v in enumerate(sorted((v for v in range(700) if v != i), key=lambda v: (-s[i, v], v))[:5]))
+    assert sorted(map(tuple, T.top_k(df, df.where("vec_id % 7 = 0")).collect())) == want
