@@ -21,8 +21,10 @@ COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}©\n]*(copyright[ \t]*(\(c\)|©|[0-9]|by )|
 COPYRIGHT_SIGNS: tuple[str, ...] = ("copyright", "(c)", "©", "all rights reserved")
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 PUNCTUATION_IN_LINES = r"[^\p{L}\p{N}\n]+"
-#: Equivalent spellings shorten a text to no less than this share of it.
+#: Equivalent spellings shorten a text to no less than this share of it (and lengthen it by a sixteenth at most).
 SHRINK = 0.75
+#: Lengths and first words of known texts filter units where there are at most so many; characters of a unit's start.
+FILTER_VALUES, HEAD = 1000, 80
 #: A table of known texts of at most this many rows is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -52,12 +54,43 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """(digest, license_id, size: characters of the canonical text) of the known licences, or of a table (license_id,
-    text) in their place."""
-    if known is None:
+    """(digest, license_id, size: characters, head: first word of the canonical text) of the known licences, or of a table
+    (license_id, text) in their place."""
+    more = known is None
+    if more:
         known = spark.createDataFrame([(i, t) for i, _, t in licences.known()], "license_id string, text string")
     texts = known.where("text is not null and license_id is not null").select("license_id", canonical(F.col("text")).alias("t")).where("t <> ''")
-    return texts.groupBy(F.sha2("t", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.max(F.length("t")).alias("size"))
+    rows = texts.select(F.sha2("t", 256).alias("digest"), "license_id", F.length("t").alias("size"), _head(F.col("t")).alias("head"))
+    if more:
+        rows = rows.unionByName(spark.createDataFrame([(d, i, n, h) for i, n, h, d in licences.DIGESTS], "digest string, license_id string, size int, head string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.max("size").alias("size"), F.min("head").alias("head"))
+
+
+def _head(canon: Column) -> Column:
+    return F.substring_index(canon, " ", 1)
+
+
+def _may_be_known(unit: Column, digests: DataFrame) -> Column:
+    """Whether a unit, before equivalent spellings, can be a known text: its length is near one's, and its first word,
+    with equivalent spellings (which reach less than HEAD characters), is one's. Nothing known is left out."""
+    sizes = [r.size for r in digests.select("size").distinct().orderBy("size").limit(FILTER_VALUES + 1).collect()]
+    heads = [r.head for r in digests.select("head").distinct().limit(FILTER_VALUES + 1).collect()]
+    fits = F.lit(bool(sizes))
+    if 0 < len(sizes) <= FILTER_VALUES:
+        spans: list[list[float]] = []
+        for n in sizes:
+            low, high = n * 15 / 16 - 1, n / SHRINK + 1
+            if spans and low <= spans[-1][1]:
+                spans[-1][1] = high
+            else:
+                spans.append([low, high])
+        near = F.lit(False)
+        for low, high in spans:
+            near = near | F.length(unit).between(int(low), int(high))
+        fits = fits & near
+    if len(heads) <= FILTER_VALUES and max(map(len, heads), default=0) < HEAD // 2:
+        fits = fits & _head(_spelled(F.left(unit, F.lit(HEAD)))).isin(heads)
+    return fits
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,14 +105,15 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     digests = known_digests(spark, known)
-    size = digests.agg(F.count("*").alias("n"), F.coalesce(F.max("size"), F.lit(0)).alias("longest")).first()
-    digests = digests.drop("size")
-    digests = F.broadcast(digests) if size.n <= BROADCAST_ROWS else digests.hint("shuffle_merge")
+    fits = _may_be_known(F.col("unit"), digests)
+    small = digests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    digests = digests.drop("size", "head")
+    digests = F.broadcast(digests) if small else digests.hint("shuffle_merge")
     key = F.xxhash64("id", "text").alias("row")
     unit = lambda whole, text: F.struct(F.lit(whole).alias("whole"), text.alias("unit"))
     units = F.flatten(F.transform(F.array(_plain(F.col("text"))), lambda p: F.concat(F.array(unit(True, _joined(p))), F.transform(F.split(p, "\n"), lambda x: unit(False, F.trim(x))))))
     rows = source.where("text is not null").select("id", key, F.inline(units))
-    rows = rows.where("unit <> ''").where(F.length("unit") * F.lit(SHRINK) <= size.longest)  # a longer one can't be equal
+    rows = rows.where("unit <> ''").where(fits)
     rows = rows.select("id", "row", "whole", F.sha2(_spelled(F.col("unit")), 256).alias("digest"))
     hits = rows.join(digests, "digest").groupBy(F.col("row"), F.col("id").alias("hit_id")).agg(
         F.min(F.when(F.col("whole"), F.col("license_id"))).alias("text_license"),
@@ -103,9 +137,10 @@ def _sql_canonical(text: str) -> str:
 def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ",\n".join(f"({quote(i)}, {quote(t)})" for i, _, t in licences.known())
+    digests = ", ".join(f"('{d}', '{i}')" for i, _, _, d in licences.DIGESTS)
     return f"""
 with known(license_id, t) as (values {values}),
-digests as (select sha256({_sql_canonical("t")}) as digest, min(license_id) as license_id from known group by 1),
+digests as (select digest, min(license_id) as license_id from (select sha256({_sql_canonical("t")}) as digest, license_id from known union all values {digests}) x group by 1),
 units as (
   select doc_id, true as whole, text as unit from documents where text is not null
   union all select doc_id, false, unnest(string_split(text, chr(10))) from documents where text is not null

@@ -1,4 +1,7 @@
+import os
+
 import duckdb
+import pytest
 
 from lexipress.llm import licences
 from lexipress.llm import license_scan as S
@@ -42,3 +45,26 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = S.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+FOLDER = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no published texts on this machine")
+def test_published_texts(spark):
+    """Whole published texts, other case, line ends and copyright lines aside; not a text with a word more."""
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    texts = {i: open(f"{FOLDER}/{f}", encoding="utf-8", errors="replace").read() for i, f in names.items() if os.path.exists(f"{FOLDER}/{f}")}
+    rows = [(i, t) for i, t in texts.items()] + [(i, "Copyright (c) 2020 Someone\n" + t.upper().replace(", ", " - ").replace("license", "licence")) for i, t in texts.items()]
+    rows += [(None, t + " more") for t in texts.values()]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.text_license for r in S.scan(df).collect()}
+    assert [got[k] for k in range(len(rows))] == [i for i, _ in rows]
+
+
+def test_filter_loses_nothing(spark):
+    """Known texts whose first word or length equivalent spellings change."""
+    known = [("a", "Sub license granted"), ("b", "copyright owner " * 40), ("c", "Per cent rules"), ("d", "licence"), ("e", "non infringement, whilst organised")]
+    df = spark.createDataFrame([(k, t.replace("license", "licence").upper()) for k, (_, t) in enumerate(known)], "doc_id long, text string")
+    got = {r.doc_id: r.text_license for r in S.scan(df, spark.createDataFrame(known, "license_id string, text string")).collect()}
+    assert got == {k: i for k, (i, _) in enumerate(known)}
