@@ -237,7 +237,7 @@ QUERIES = {
     "c6_tool_calls": lambda s, d: _calls(s, d).select("doc_id", "name", F.col("fields")["path"].alias("path"), F.md5(F.col("fields")["content"]).alias("content_md5")),
     "c7_fields": lambda s, d: C.expand_fields(C.substitute_fields(_calls(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", F.md5(F.col("fields")["content"]).alias("content_md5")),
     "c8_multipass": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 3)[0].select("doc_id", F.length("text").alias("chars")),
-    "c9_adaptive": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 10, adaptive=True)[0].select("doc_id", F.length("text").alias("chars")),
+    "c9_adaptive": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 4, adaptive=True)[0].select("doc_id", F.length("text").alias("chars")),
     "c10_renest": lambda s, d: C.renest_content(V.messages(s, d).select("conv_id", "turn", F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("parts")), V.messages(s, d).select("conv_id", "turn", F.lit(0).alias("idx"), F.concat(F.lit("x"), "text").alias("text")), ["conv_id", "turn"]).select("conv_id", "turn", F.md5(F.col("parts")[0]["text"]).alias("md5")),
     "c11_compress": lambda s, d: C.compress(V.documents(s, d)).select("doc_id", "gate", "accepted", F.length("final_text").alias("chars")),
     "c12_estimate_ratio": lambda s, d: C.estimate_ratio(C.substitute(V.documents(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", "ratio"),
