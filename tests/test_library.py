@@ -1,5 +1,7 @@
 """Literal fixtures and invariants of the library."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lexipress.functions import text as X
 from lexipress.operators import conversations as W
 from lexipress.operators import dictionary as D
 from lexipress.operators import mining as M
+from lexipress.operators import prompts as P
 from lexipress.operators import transform as C
 from lexipress.operators.graph import connected_components
 from lexipress.storage import fresh_path
@@ -96,6 +99,39 @@ def test_containment_and_similar(spark):
     assert sum(same.values()) == 72 and len(same) < 5
 
 
+def test_contexts_against_plain_search(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aab.\\E ") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", None]
+    patterns = ["aa", "a.", "\\E", "ab", "zz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, M.contexts(df, spark.createDataFrame([(p,) for p in patterns], "pattern string"), 3, 4).collect()))
+    want = []
+    for p in patterns:
+        places = [(i, k) for i, t in enumerate(texts) for k in range(len(t or "")) if t.startswith(p, k)]
+        want += [(p, i, k + 1, texts[i][max(0, k - 3) : k + len(p) + 3]) for i, k in places[:4]]
+    assert got == sorted(want)
+
+
+def test_ranks_without_a_bound(spark):
+    """Ranks over all patterns come from ranges and agree with a plain sort."""
+    rows = [(f"pattern {i:04d}", 3 + i * 7919 % 13) for i in range(500)]
+    got = [(r["rank"], r.pattern) for r in M.rank_patterns(spark.createDataFrame(rows, "pattern string, n long")).collect()]
+    assert sorted(got) == [(k + 1, p) for k, (p, n) in enumerate(sorted(rows, key=lambda r: (-r[1] * len(r[0]), r[0])))]
+
+
+def test_candidates_inside_longer_ones_go(spark):
+    df = spark.createDataFrame([("alpha beta", 9, 0.9, 2.0), ("alpha beta gamma", 3, 0.3, 2.0), ("delta", 4, 0.4, 1.0)], "pattern string, n long, confidence double, entropy double")
+    assert {r.pattern for r in M.rank_candidates(df).collect()} == {"alpha beta gamma", "delta"}
+
+
+def test_guidance(spark):
+    rows = [(1, 0, "user", "Explain this, please"), (1, 1, "assistant", "debug"), (2, 0, "user", "def f(x): # broken"), (3, 0, "user", "hello")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.guidance.split("\n") for r in P.guidance(df, k=9).collect()}
+    line = [x for _, some in P.GUIDANCE for x in some]
+    assert got == {1: line[:4] + line[8:11], 2: line[:8] + line[11:12], 3: line[:4]}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 199), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
