@@ -35,13 +35,14 @@ def count_of(col: Column, some: tuple[str, ...] | list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(col, F.lit(s)).cast("int") for s in some], F.lit(0))
 
 
-def flatten_content(parts: Column) -> Column:
-    """One text from message parts (type, text, name, data, url); empty parts go, lines join the others."""
+def flatten_content(parts: Column, keys: tuple[str, ...] = ("text", "data")) -> Column:
+    """One text from message parts (type, text, name, data, url); other types give the first of their ``keys`` that isn't
+    empty (text, content, data where parts have them all); empty parts go, lines join the others."""
     one = lambda p: (
         F.when(p["type"] == "text", text_of(p["text"]))
         .when(p["type"] == "attachment", F.concat(F.lit("[Attachment: "), text_of(p["name"]), F.lit("]\n"), text_of(p["data"])))
         .when(p["type"].isin("image_url", "image"), F.lit("[Image attachment]"))
-        .otherwise(F.coalesce(F.nullif(p["text"], F.lit("")), F.nullif(p["data"], F.lit("")), F.lit("")))
+        .otherwise(F.coalesce(*[F.nullif(p[k], F.lit("")) for k in keys], F.lit("")))
     )
     return F.array_join(F.filter(F.transform(parts, one), lambda x: x != ""), "\n")
 
@@ -271,6 +272,15 @@ def session_key(session: Column, first_user: Column) -> Column:
     return F.concat(F.lit("sess_"), clean, F.lit("_"), F.left(F.md5(F.concat(clean, F.lit(":"), F.left(text_of(first_user), F.lit(100)))), F.lit(12)))
 
 
+def auto_session(messages: DataFrame) -> DataFrame:
+    """(conv_id, session): a name for conversations of several messages, md5 over the start of the first two."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    part = F.concat("role", F.lit(":"), F.left(text_of(F.col("text")), F.lit(30)))
+    first = messages.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2).select("conv_id", "r", part.alias("p"))
+    both = first.groupBy("conv_id").agg(F.max(F.when(F.col("r") == 1, F.col("p"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("p"))).alias("b"))
+    return both.where("b is not null").select("conv_id", F.concat(F.lit("auto_"), F.left(F.md5(F.concat("a", "b")), F.lit(12))).alias("session"))
+
+
 def content_hash(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, content_hash, is_new): hash of the user and assistant turns so far; whether it changed."""
     spoken = F.when(F.col("role").isin("user", "assistant"), F.concat("role", F.lit(":"), text_of(F.col("text")), F.lit("\n"))).otherwise(F.lit(""))

@@ -38,6 +38,28 @@ def additive_rules(candidates: DataFrame, k: int = 262, min_len: int = 5) -> Dat
     return rows.withColumn("r", rank).where(F.col("r") <= k).select("conv_id", "text", "symbol", F.col("turn").alias("first_turn"), "value")
 
 
+def needs_analysis(turns: DataFrame, min_chars: int = 250, threshold: int = 20, room: int = 262) -> DataFrame:
+    """Adds rules_before and may_add to turns (conv_id, turn, compressed_chars, new_chars, new_rules): whether a turn may
+    add rules. Its text is over twice ``min_chars`` after the rules so far, and it's the first turn, or there are under
+    ``room`` rules; texts of over 500 thresholds go on up to 350 rules, turns with over 750 of new text up to 500. Rules that
+    come with turns which aren't analysed don't count."""
+    c = F.col
+    large = c("compressed_chars") > 2 * min_chars
+    limit = F.greatest(F.lit(room), F.when(c("compressed_chars") > 500 * threshold, 350).otherwise(0), F.when(c("new_chars") > 750 * threshold, 500).otherwise(0))
+    # Whether a turn counts depends on the ones before it, so a conversation's turns (numbers only) are folded in order.
+    turn = F.struct("turn", large.alias("large"), limit.cast("long").alias("limit"), F.coalesce(c("new_rules"), F.lit(0)).cast("long").alias("new_rules"))
+    seen = "struct<turn:bigint,rules_before:bigint,may_add:boolean>"
+    start = F.struct(F.lit(0).cast("long").alias("rules"), F.array().cast(f"array<{seen}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        go = x["large"] & ((F.size(acc["out"]) == 0) | (acc["rules"] < x["limit"]))
+        row = F.struct(x["turn"].cast("long").alias("turn"), acc["rules"].alias("rules_before"), go.alias("may_add"))
+        return F.struct((acc["rules"] + F.when(go, x["new_rules"]).otherwise(0)).alias("rules"), F.array_append(acc["out"], row).alias("out"))
+
+    marks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).select("conv_id", F.inline(F.aggregate("turns", start, step)["out"]))
+    return turns.join(marks.hint("shuffle_merge"), ["conv_id", "turn"])
+
+
 def reassign_conflicts(rules: DataFrame, pool: DataFrame) -> DataFrame:
     """Rules where no symbol has two texts in a conversation: the earliest keeps it, later ones take the conversation's
     free symbols in pool order; without one left, symbol is null."""
@@ -139,13 +161,22 @@ def retain_recent(df: DataFrame, n: int = 1000, slack: int = 100, ts: str = "ts"
     return df.join(keep.select(key).hint("shuffle_merge"), key, "left_semi")
 
 
-def conversation_summary(metrics: DataFrame) -> DataFrame:
-    """Per conversation, from W5 to W8: turns, totals, mean ratio, net tokens, last trend and decision, short turns."""
+def conversation_summary(metrics: DataFrame, usage: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
+    """Per conversation, from W5 to W8: turns, totals, mean ratio, net tokens, last trend and decision, short turns;
+    with seconds a turn in the metrics also their mean (avg_seconds), with W9's rows (usage) its columns, and with W10's
+    (tokens) top_tokens, most used first."""
     last = lambda c: F.max_by(c, "turn")
-    return metrics.groupBy("conv_id").agg(
+    timed = [F.round(F.avg("seconds"), 6).alias("avg_seconds")] if "seconds" in metrics.columns else []
+    out = metrics.groupBy("conv_id").agg(
         F.count("*").alias("turns"), F.sum("original_chars").alias("original_chars"), F.sum("compressed_chars").alias("compressed_chars"), (F.round(F.sum(F.round(F.col("compression_ratio") * 10_000).cast("long")) / F.count("*")) / 10_000).alias("avg_ratio"),
-        (F.sum("tokens_saved") - F.sum("overhead_tokens")).alias("net_tokens"), last("trend").alias("trend"), last("should_continue").alias("should_continue"), F.count_if("short_turn").alias("short_turns"),
+        (F.sum("tokens_saved") - F.sum("overhead_tokens")).alias("net_tokens"), last("trend").alias("trend"), last("should_continue").alias("should_continue"), F.count_if("short_turn").alias("short_turns"), *timed,
     )
+    if usage is not None:
+        out = out.join(usage.hint("shuffle_merge"), "conv_id", "left")
+    if tokens is not None:
+        top = tokens.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("top_tokens"))  # k a conversation
+        out = out.join(top.hint("shuffle_merge"), "conv_id", "left")
+    return out
 
 
 def is_continuation(messages: DataFrame, session: Column | None = None) -> DataFrame:

@@ -157,20 +157,20 @@ def merge_whitespace(patterns: DataFrame, scope: list[str] = []) -> DataFrame:
 
 
 def _inside(rows: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
-    """(scope, inner, inner_n, outer, outer_n): patterns of 4 characters and more inside longer ones, found by their first 4."""
-    parts = F.transform(F.sequence(F.lit(1), F.length("pattern") - F.lit(3)), lambda i: F.substring(F.col("pattern"), i, F.lit(4)))
-    inner = rows.select(*scope, F.col("pattern").alias("inner"), F.col("n").alias("inner_n"), F.left("pattern", F.lit(4)).alias("key")).where("length(inner) >= 4")
-    outer = rows.where("length(pattern) >= 5").select(*scope, F.col("pattern").alias("outer"), F.col("n").alias("outer_n"), F.explode(F.array_distinct(parts)).alias("key"))
+    """(scope, inner, inner_n, outer, outer_n): patterns of 4 characters and more inside longer ones, found by their first 4
+    characters, or first 12 where they have as many, so that common beginnings of words don't fill a key."""
+    text, size = F.col("pattern"), F.length("pattern")
+    starts = lambda k: F.transform(F.sequence(F.lit(1), size - F.lit(k - 1)), lambda i: F.substring(text, i, F.lit(k)))
+    parts = F.when(size >= 13, F.concat(starts(4), starts(12))).otherwise(starts(4))
+    inner = rows.select(*scope, text.alias("inner"), F.col("n").alias("inner_n"), F.left(text, F.when(size >= 12, 12).otherwise(4)).alias("key")).where("length(inner) >= 4")
+    outer = rows.where("length(pattern) >= 5").select(*scope, text.alias("outer"), F.col("n").alias("outer_n"), F.explode(F.array_distinct(parts)).alias("key"))
     return inner.join(outer.hint("shuffle_merge"), [*scope, "key"]).where((F.length("outer") > F.length("inner")) & F.col("outer").contains(F.col("inner"))).drop("key")
 
 
-def resolve_containment(patterns: DataFrame, scope: list[str] = [], most: int = 2000) -> DataFrame:  # noqa: B006
+def resolve_containment(patterns: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
     """A pattern inside a longer one goes, and its count with it to the longest such one, unless it's over twice as
-    frequent. For ranked lists: at most ``most`` patterns a scope, which is checked; within a scope every pattern's
-    starts are looked up among the substrings' hashes of the longer ones only where their lengths allow."""
+    frequent. Lists of any length: patterns meet longer ones by a join on their first characters."""
     rows = settle(patterns.select(*scope, "pattern", "n"), "ranked")
-    if not rows.groupBy(*scope).count().where(F.col("count") > most).isEmpty():
-        raise ValueError(f"over {most} patterns in a scope; rank them first")
     inside = _inside(rows, scope).where(F.col("inner_n") <= 2 * F.col("outer_n"))
     home = inside.groupBy(*scope, "inner", "inner_n").agg(F.min_by("outer", F.struct(-F.length("outer"), "outer")).alias("outer"))
     gain = home.groupBy(*scope, F.col("outer").alias("pattern")).agg(F.sum("inner_n").alias("gain"))
@@ -181,32 +181,43 @@ def resolve_containment(patterns: DataFrame, scope: list[str] = [], most: int =
 
 def merge_similar(patterns: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
     """Patterns of similar length (30 %) and characters (Jaccard over 0.7; 0.8 for short ones) join the best-ranked
-    similar pattern that itself joins none. For ranked lists; lengths meet by bands of a third."""
+    similar pattern that itself joins none. Patterns meet in a band of lengths by one of their rarest characters: two sets
+    of which over 0.7 is shared have one of the first floor(0.3 * size) + 1 of both in common."""
     chars = F.array_distinct(F.filter(F.split(F.lower("pattern"), ""), lambda x: x != ""))
     order = F.struct(-F.col("n") * F.length("pattern"), F.col("pattern"))
     band = F.floor(F.log(F.length("pattern").cast("double")) / F.log(F.lit(1.5))).cast("int")
-    rows = patterns.select(*scope, "pattern", "n", chars.alias("chars"), F.length("pattern").alias("len"), order.alias("o"), band.alias("band"))
-    other = rows.select(*scope, *[F.col(c).alias(f"{c}2") for c in ("pattern", "chars", "len", "o")], F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    base = settle(patterns.select(*scope, "pattern", "n", chars.alias("chars"), F.length("pattern").alias("len"), order.alias("o"), band.alias("band")), "similar")
+    seen = base.select(F.explode("chars").alias("c")).groupBy("c").agg(F.count("*").alias("k"))  # a row a character in use
+    rarity = seen.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("rarity"))
+    first = F.slice(F.array_intersect("rarity", "chars"), 1, F.ceil(F.size("chars") * 0.3 + 1e-9).cast("int"))
+    rows = base.join(F.broadcast(rarity)).withColumn("key", F.explode(first)).drop("rarity")  # one row
+    other = rows.select(*scope, "key", *[F.col(c).alias(f"{c}2") for c in ("pattern", "chars", "len", "o")], F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     jaccard = F.size(F.array_intersect("chars", "chars2")) / F.size(F.array_union("chars", "chars2"))
     most = F.greatest("len", "len2")
-    near = rows.join(other.hint("shuffle_merge"), [*scope, "band"]).where((F.col("o2") < F.col("o")) & (F.abs(F.col("len") - F.col("len2")) <= 0.3 * most) & (jaccard > F.when(most < 10, 0.8).otherwise(0.7)))
+    near = rows.join(other.hint("shuffle_merge"), [*scope, "band", "key"]).where((F.col("o2") < F.col("o")) & (F.abs(F.col("len") - F.col("len2")) <= 0.3 * most) & (jaccard > F.when(most < 10, 0.8).otherwise(0.7)))
     joined = near.select(*scope, "pattern").distinct()
     homes = near.join(joined.select(*scope, F.col("pattern").alias("pattern2")).hint("shuffle_merge"), [*scope, "pattern2"], "left_anti")
     home = homes.groupBy(*scope, "pattern").agg(F.min_by("pattern2", "o2").alias("home"))
-    return rows.join(home.hint("shuffle_merge"), [*scope, "pattern"], "left").groupBy(*scope, F.coalesce("home", "pattern").alias("pattern")).agg(F.sum("n").alias("n"))
+    return base.select(*scope, "pattern", "n").join(home.hint("shuffle_merge"), [*scope, "pattern"], "left").groupBy(*scope, F.coalesce("home", "pattern").alias("pattern")).agg(F.sum("n").alias("n"))
+
+
+#: A13 looks for about so many patterns in a list, and sends lists of about so many characters at once.
+LIST, LIST_CHARS = 1000, 16_000_000
 
 
 def contexts(df: DataFrame, patterns: DataFrame, width: int = 20, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(pattern, doc, pos from 1, context): the first k places of each pattern by document and place, with ``width``
-    characters at each side. Patterns are a ranked list; each text is scanned once for all of them."""
-    found = [r.pattern for r in patterns.select("pattern").distinct().orderBy("pattern").limit(1000).collect()]
-    if patterns.select("pattern").distinct().count() > len(found):
-        raise ValueError("contexts are for lists of at most 1000 patterns")
-    if not found:
-        return df.sparkSession.createDataFrame([], f"pattern string, {id_col} long, pos int, context string")
+    characters at each side. Each text is scanned for a list of LIST patterns at a time; lists are rows of a table, so
+    their number has no bound."""
+    each = settle(patterns.select("pattern").where("pattern <> ''").distinct(), "patterns")
+    size = each.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("chars")).first()
+    lists = max(1, -(-size.n // LIST), -(-size.chars // LIST_CHARS))
+    each = each.groupBy(F.pmod(F.xxhash64("pattern"), F.lit(lists)).alias("list")).agg(F.collect_list("pattern").alias("some"))  # about LIST a row
     body, p = F.col("body"), F.col("pattern")
-    held = F.filter(F.array(*[F.lit(x) for x in found]), lambda x: body.contains(x))
-    rows = df.select(F.col(id_col), X.text_of(F.col(text_col)).alias("body")).select("*", F.explode(held).alias("pattern"))
+    texts = df.select(F.col(id_col), X.text_of(F.col(text_col)).alias("body"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long"))).alias("list"))
+    sent = max(1, lists * LIST_CHARS // max(size.chars, 1)) if size.chars > LIST_CHARS else lists  # lists a broadcast, by size
+    both = reduce(DataFrame.unionByName, [texts.where(F.col("list").between(i, i + sent - 1)).join(F.broadcast(each.where(F.col("list").between(i, i + sent - 1))), "list") for i in range(0, lists, sent)])
+    rows = both.select(id_col, "body", F.explode(F.filter("some", lambda x: body.contains(x))).alias("pattern"))
     # The text is cut before each place where the pattern starts, overlaps too, and the pieces' lengths add up.
     start = F.struct(F.lit(1).alias("pos"), F.array().cast("array<int>").alias("out"))
     step = lambda acc, x: F.struct((acc["pos"] + F.length(x)).alias("pos"), F.when(F.size(acc["out"]) <= k, F.array_append(acc["out"], acc["pos"])).otherwise(acc["out"]).alias("out"))
@@ -235,27 +246,36 @@ def structural_score(col: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(10), score)) / F.lit(10.0)
 
 
-def cluster_patterns(patterns: DataFrame, eps: float = 0.5, dims: int = 1 << 14) -> DataFrame:
-    """(cluster pattern, size, n, confidence): patterns whose character 2- to 4-gram TF-IDF vectors are within ``eps``
-    cosine distance, closed transitively; the most frequent stands for its cluster. Pairs come from MinHash-LSH on the
-    gram sets and are verified by cosine."""
-    from pyspark.ml.feature import IDF, HashingTF, MinHashLSH, Normalizer
-    from pyspark.ml.functions import vector_to_array
+def similar_patterns(patterns: DataFrame, eps: float = 0.5) -> DataFrame:
+    """(src, dst, cosine): pairs of patterns (id, pattern) whose character 2- to 4-gram TF-IDF vectors are within ``eps``
+    cosine distance, all of them.
 
-    rows = settle(patterns.groupBy("pattern").agg(F.sum("n").alias("n")).where(F.length("pattern") >= 4).withColumn("id", F.xxhash64("pattern")), "to-cluster")
+    A vector's grams are put in order of rarity; what follows the first grams has a length below 1 - eps, so a pair that
+    shares none of the first grams of both can't reach it. Pairs that do are summed over all their common grams."""
+    least = 1 - eps
     gram = lambda k: F.regexp_extract_all(F.lower("pattern"), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
-    grams = rows.withColumn("grams", F.concat(gram(2), gram(3), gram(4)))
-    tf = HashingTF(inputCol="grams", outputCol="tf", numFeatures=dims).transform(grams)
-    if tf.isEmpty():
-        return patterns.sparkSession.createDataFrame([], "pattern string, size long, n long, confidence double")
-    unit = Normalizer(inputCol="w", outputCol="unit").transform(IDF(inputCol="tf", outputCol="w").fit(tf).transform(tf))
-    unit = settle(unit.select("id", "pattern", "n", "unit", "tf"), "vectors")
-    lsh = MinHashLSH(inputCol="tf", outputCol="hashes", numHashTables=8, seed=7).fit(unit)
-    near = lsh.approxSimilarityJoin(unit, unit, 0.85).where("datasetA.id < datasetB.id")
-    cosine = F.aggregate(F.zip_with(vector_to_array("datasetA.unit"), vector_to_array("datasetB.unit"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    edges = near.where(cosine >= 1 - eps).select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"))
-    comp = connected_components(edges).withColumnRenamed("node", "id")
-    total = F.broadcast(rows.agg(F.count("*").alias("total")))
+    tf = settle(patterns.select("id", F.explode(F.concat(gram(2), gram(3), gram(4))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf")), "grams")
+    total = tf.select("id").distinct().count()
+    df = tf.groupBy("gram").agg(F.count("*").alias("df"))
+    w = tf.join(df.hint("shuffle_merge"), "gram").withColumn("w", F.col("tf") * (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0))
+    whole = Window.partitionBy("id")
+    rare = whole.orderBy(F.col("df").desc(), F.col("gram").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    unit = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole)))
+    unit = settle(unit.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rare))).select("id", "gram", "w", "rest"), "vectors")
+    first = unit.where(F.col("rest") >= least - 1e-9)  # the gram and all more common ones still reach the threshold
+    met = first.select("gram", F.col("id").alias("src")).join(first.select("gram", F.col("id").alias("dst")).hint("shuffle_merge"), "gram").where("src < dst").select("src", "dst").distinct()
+    a, b = unit.select(F.col("id").alias("src"), "gram", F.col("w").alias("w1")), unit.select(F.col("id").alias("dst"), "gram", F.col("w").alias("w2"))
+    both = settle(met, "met").join(a.hint("shuffle_merge"), "src").join(b.hint("shuffle_merge"), ["dst", "gram"])
+    return both.groupBy("src", "dst").agg(F.sum(F.col("w1") * F.col("w2")).alias("cosine")).where(F.col("cosine") >= least)
+
+
+def cluster_patterns(patterns: DataFrame, eps: float = 0.5) -> DataFrame:
+    """(cluster pattern, size, n, confidence): patterns whose character 2- to 4-gram TF-IDF vectors are within ``eps``
+    cosine distance, closed transitively (density clusters of at least 2 are these components); the most frequent stands
+    for its cluster, confidence is its share of all patterns."""
+    rows = settle(patterns.groupBy("pattern").agg(F.sum("n").alias("n")).where(F.length("pattern") >= 4).withColumn("id", F.xxhash64("pattern")), "to-cluster")
+    comp = connected_components(similar_patterns(rows, eps).select("src", "dst")).withColumnRenamed("node", "id")
+    total = F.broadcast(rows.agg(F.count("*").alias("total")))  # one row
     joined = rows.join(comp.hint("shuffle_merge"), "id").groupBy("component").agg(F.max_by("pattern", F.struct("n", "pattern")).alias("pattern"), F.count("*").alias("size"), F.sum("n").alias("n"))
     return joined.join(total).select("pattern", "size", "n", (F.col("size") / F.col("total")).alias("confidence"))
 

@@ -144,7 +144,28 @@ WIN3 = "window w as (partition by conv_id order by turn rows between 2 preceding
 def _summary(s, d):
     m = W.should_continue(W.efficiency_trend(_metrics(s, d)).withColumn("symbols_used", F.lit(10)))
     short = W.short_turn(W.request_context(V.messages(s, d))).select("conv_id", "turn", "short_turn")
-    return W.conversation_summary(m.join(short.hint("shuffle_merge"), ["conv_id", "turn"]))
+    usage = W.symbol_usage(W.additive_rules(_rules(s, d), 40), _rules(s, d).groupBy("conv_id", "turn", "symbol").agg(F.count("*").alias("n")))
+    out = W.conversation_summary(m.join(short.hint("shuffle_merge"), ["conv_id", "turn"]), usage, W.top_tokens(V.messages(s, d)))
+    return out.withColumn("top_tokens", F.array_join("top_tokens", " "))
+
+
+def _analysed(s, d):
+    """Turns that may add rules; a turn's new rules are those that come first in it, the limits small enough to be met."""
+    new = W.additive_rules(_rules(s, d), 1 << 30).groupBy("conv_id", F.col("first_turn").alias("turn")).agg(F.count("*").alias("new_rules"))
+    turns = V.turns(s, d).select("conv_id", "turn", "compressed_chars", F.col("original_chars").alias("new_chars")).join(new.hint("shuffle_merge"), ["conv_id", "turn"], "left")
+    return W.needs_analysis(turns, 50, 1, 12).select("conv_id", "turn", "rules_before", "may_add")
+
+
+def _session_keys(s, d):
+    m = V.messages(s, d)
+    first = m.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_user"))
+    return X.auto_session(m).join(first.hint("shuffle_merge"), "conv_id").select("conv_id", "session", X.session_key(F.col("session"), F.col("first_user")).alias("key"))
+
+
+def _expired(s, d):
+    path = fresh_path(s, "expiring")
+    V.table(s, d, "events").select("event_type", "ts").write.partitionBy("event_type").parquet(path)
+    return sources.expire_stored(s, path, "ts", F.lit("2024-01-03 00:00:00").cast("timestamp"), 24, ["event_type"]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def _prompts(s, d):
@@ -168,15 +189,19 @@ def _streamed(s, rows, run):
     return s.read.parquet(out)
 
 
-def _conversation_stream(s, d):
-    """T5: the running tally and trend from state; SQL has them from windows."""
+def _stateful(s, rows, run):
     s.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else time-outs of state keep the query going
     try:
-        return _streamed(s, V.turns(s, d).select("conv_id", "turn", "original_chars", "compressed_chars"), T.conversation_stream)
+        return _streamed(s, rows, run)
     finally:
         s.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
+def _conversation_stream(s, d):
+    """T5: the running tally and trend from state; SQL has them from windows."""
+    return _stateful(s, V.turns(s, d).select("conv_id", "turn", "original_chars", "compressed_chars"), T.conversation_stream)
+
+
 def _read_sse(s, d):
     """S3: the lines of each response as a text file, read as a stream."""
     folder, out = fresh_path(s, "sse-in"), fresh_path(s, "sse-out")
@@ -201,6 +226,10 @@ def _long_words(df):
 QUERIES = {
     "s3_sse_stream": _read_sse,
     "t5_conversation_stream": _conversation_stream,
+    "t5_rule_stream": lambda s, d: _stateful(s, _rules(s, d), lambda rows: T.rule_stream(rows, 40)),
+    "w3_analyse": _analysed,
+    "p7_session_key": _session_keys,
+    "s6_rewrite": _expired,
     "u1_tokenizer": lambda s, d: D.token_efficiency(V.documents(s, d).select("doc_id", "text", F.regexp_replace("text", "[aeiou]", "").alias("compressed_text")), tokenizer=lambda c: F.length(F.regexp_replace(c, r"\s", ""))).select("doc_id", "original_tokens", "compressed_tokens", "saved", "valid"),
     "u2_compressor": _upper_fields,
     "u3_strategy": lambda s, d: M.mine_patterns(V.documents(s, d), strategies=[_long_words], only=True),
@@ -374,3 +403,13 @@ select conv_id, text, symbol, first_turn, value from kept union all select l.con
     "t2_t3_chunks": "select conv_id as request, turn as seq, case turn when 5 then 'bad' when 6 then 'empty' when 7 then 'field' when 3 then 'done' else 'data' end as kind, case when turn in (3, 5, 6, 7) then '' else text end as content from conversations",
     "t7_log_rates": "select date_trunc('hour', ts) as start, event_type as phase, 'request_processing' as category, count(*) as n, round(sum(value), 3) as seconds from events group by all",
 }
+
+SQL["t5_rule_stream"] = SQL["w3_additive_rules"]
+SQL["w3_analyse"] = f"""with recursive {TURNS_SQL}, {RULES_SQL}, new as (select conv_id, turn, count(*) as n from firsts group by all),
+t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as place, compressed_chars > 100 as large, greatest(12, case when compressed_chars > 500 then 350 else 0 end, case when original_chars > 750 then 500 else 0 end) as most, coalesce(n, 0) as n from turns left join new using (conv_id, turn)),
+f as (select conv_id, turn, place, 0::bigint as rules_before, large as may_add, (case when large then n else 0 end)::bigint as rules from t where place = 1
+union all select t.conv_id, t.turn, t.place, f.rules, t.large and f.rules < t.most, (f.rules + case when t.large and f.rules < t.most then t.n else 0 end)::bigint from f join t on t.conv_id = f.conv_id and t.place = f.place + 1)
+select conv_id, turn, rules_before, may_add from f"""
+SQL["p7_session_key"] = "with m as (select *, row_number() over (partition by conv_id order by turn) as r from conversations), a as (select conv_id, 'auto_' || left(md5(string_agg(role || ':' || left(text, 30), '' order by r)), 12) as session from m where r <= 2 group by 1 having count(*) = 2), u as (select conv_id, arg_min(text, turn) as first_user from conversations where role = 'user' group by 1) select conv_id, session, 'sess_' || session || '_' || left(md5(session || ':' || left(first_user, 100)), 12) as key from a join u using (conv_id)"
+SQL["s6_rewrite"] = "select event_type, count(*) as n from events where ts >= timestamp '2024-01-02 00:00:00' group by 1"
+SQL["w13_summary"] = f"with s as ({SQL['w13_summary']}), u as ({SQL['w9_symbol_usage']}), k as (select conv_id, string_agg(token, ' ' order by rank) as top_tokens from ({SQL['w10_top_tokens']}) x group by 1) select s.*, u.* exclude (conv_id), k.top_tokens from s left join u using (conv_id) left join k using (conv_id)"

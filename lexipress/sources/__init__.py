@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexipress.storage import settle
+
 MESSAGE = "conv_id long, turn long, role string, text string"
 REQUEST = "id string, ts timestamp, model string, headers map<string,string>, params map<string,string>, messages array<struct<role:string,content:string>>, extras map<string,string>"
 
@@ -33,12 +35,15 @@ def read_sse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_dictionary(dictionary: DataFrame, path: str, scope_cols: list[str] = [], prompt_chars: Column | None = None) -> None:  # noqa: B006
-    """Parquet by scope, with what the header says: entries' lengths and when it was made. Entries that are the wrong
-    way round (a short pattern for a long symbol) are turned."""
+    """Parquet by scope, with what the header says: entries' lengths, when it was made, and where the dictionary has counts
+    (n) the characters an entry saves and their share of the prompt. Entries that are the wrong way round (a short pattern
+    for a long symbol) are turned."""
     turned = (F.length("pattern") <= 3) & (F.length("symbol") > 3)
     rows = dictionary.withColumn("s", F.when(turned, F.col("pattern")).otherwise(F.col("symbol"))).withColumn("p", F.when(turned, F.col("symbol")).otherwise(F.col("pattern")))
     rows = rows.drop("symbol", "pattern").withColumnRenamed("s", "symbol").withColumnRenamed("p", "pattern")
     rows = rows.withColumn("pattern_len", F.length("pattern")).withColumn("created_at", F.current_timestamp()).withColumn("prompt_chars", prompt_chars if prompt_chars is not None else F.lit(None).cast("long"))
+    if "n" in rows.columns:
+        rows = rows.withColumn("savings", (F.col("pattern_len") - F.length("symbol")) * F.col("n")).withColumn("ratio", F.col("savings") / F.nullif(F.col("prompt_chars"), F.lit(0)))
     rows.write.mode("append").partitionBy(*scope_cols).parquet(path)
 
 
@@ -52,6 +57,14 @@ def expire(df: DataFrame, ts: str, now: Column, hours: int = 24) -> DataFrame:
     return df.where(F.col(ts) >= now - F.expr(f"interval {int(hours)} hours"))
 
 
+def expire_stored(spark: SparkSession, path: str, ts: str, now: Column, hours: int = 24, scope_cols: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rewrites stored rows without those older than so many hours and returns them; partitions with none left go. What
+    stays is in the shared folder before anything is overwritten, so a job that is cut off loses nothing."""
+    kept = settle(expire(spark.read.parquet(path), ts, now, hours), "kept")
+    kept.write.mode("overwrite").partitionBy(*scope_cols).parquet(path)
+    return spark.read.schema(kept.schema).parquet(path)
+
+
 def read_op_log(spark: SparkSession, path: str) -> DataFrame:
     """(ts, level, phase, message, correlation_id, duration) of an events table."""
     rows = spark.read.parquet(path)

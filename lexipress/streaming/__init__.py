@@ -91,6 +91,30 @@ def conversation_stream(turns: DataFrame, idle_ms: int = 3_600_000, n: int = 3,
     return turns.groupBy("conv_id").applyInPandasWithState(run, CONVERSATION, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+RULE = "conv_id long, text string, symbol string, first_turn long, value long"
+
+
+def rule_stream(candidates: DataFrame, k: int = 262, min_len: int = 5, idle_ms: int = 3_600_000) -> DataFrame:
+    """A row per rule that a conversation gains, from arriving candidates (conv_id, turn, text, symbol, value): equal to
+    W3 where turns arrive in order. State is the texts that have a symbol, at most k a conversation, and goes after
+    ``idle_ms`` without a candidate."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches))
+        rows = rows[rows["text"].str.len().fillna(0) >= min_len].sort_values(["turn", "value", "symbol"], ascending=[True, False, True])
+        rows = rows.drop_duplicates("text").sort_values(["turn", "value", "text"], ascending=[True, False, True])
+        new = rows[~rows["text"].isin(known)].head(max(0, k - len(known)))
+        state.update(([*known, *new["text"]],))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"conv_id": key[0], "text": new["text"], "symbol": new["symbol"], "first_turn": new["turn"], "value": new["value"]})
+
+    return candidates.groupBy("conv_id").applyInPandasWithState(run, RULE, "texts array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def log_rates(log: DataFrame, window: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """(start, phase, category, n, seconds) by window; a stream drops rows later than the delay."""
     rows = log.withWatermark("ts", delay) if log.isStreaming else log

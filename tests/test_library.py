@@ -1,6 +1,8 @@
 """Literal fixtures and invariants of the library."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,7 +101,59 @@ def test_containment_and_similar(spark):
     assert sum(same.values()) == 72 and len(same) < 5
 
 
-def test_contexts_against_plain_search(spark):
+def test_containment_against_all_pairs(spark):
+    rng = random.Random(5)
+    rows = {"".join(rng.choice("ab") for _ in range(rng.randint(2, 18))): rng.randint(1, 9) for _ in range(120)}
+    got = {r.pattern: r.n for r in M.resolve_containment(spark.createDataFrame(list(rows.items()), "pattern string, n long")).collect()}
+    home = {}
+    for p in rows:
+        outer = [q for q in rows if len(p) >= 4 and p != q and p in q and rows[p] <= 2 * rows[q]]
+        if outer:
+            home[p] = min(outer, key=lambda q: (-len(q), q))
+    want = {p: n + sum(rows[q] for q in home if home[q] == p) for p, n in rows.items() if p not in home}
+    assert got == want and home
+
+
+def test_similar_against_all_pairs(spark):
+    rng = random.Random(6)
+    rows = {"".join(rng.choice("abcdefghij"[: rng.randint(2, 10)]) for _ in range(rng.randint(1, 16))): rng.randint(1, 9) for _ in range(150)}
+    got = {r.pattern: r.n for r in M.merge_similar(spark.createDataFrame(list(rows.items()), "pattern string, n long")).collect()}
+    place = sorted(rows, key=lambda p: (-rows[p] * len(p), p))
+
+    def near(p, q):
+        a, b, most = set(p), set(q), max(len(p), len(q))
+        return abs(len(p) - len(q)) <= 0.3 * most and len(a & b) / len(a | b) > (0.8 if most < 10 else 0.7)
+
+    before = {p: [q for q in place[:i] if near(p, q)] for i, p in enumerate(place)}
+    home = {p: next((q for q in qs if not before[q]), p) for p, qs in before.items()}
+    want = {}
+    for p, q in home.items():
+        want[q] = want.get(q, 0) + rows[p]
+    assert got == want and len(want) < len(rows)
+
+
+def test_similar_patterns_against_all_pairs(spark):
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "run", "text", "of"]
+    some = sorted({"_".join(rng.choice(words) for _ in range(rng.randint(1, 4))) + rng.choice(["", "s", "9"]) for _ in range(150)})
+    grams = [Counter(p[i : i + k] for k in (2, 3, 4) for i in range(len(p) - k + 1)) for p in some]
+    df = Counter(g for c in grams for g in c)
+    vectors = []
+    for c in grams:
+        v = {g: n * (math.log((len(some) + 1) / (df[g] + 1)) + 1) for g, n in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({g: x / size for g, x in v.items()})
+    cosine = lambda a, b: sum(x * b[g] for g, x in a.items() if g in b)
+    got = {(r.src, r.dst) for r in M.similar_patterns(spark.createDataFrame(list(enumerate(some)), "id long, pattern string")).collect()}
+    want = {(i, j) for i in range(len(some)) for j in range(i + 1, len(some)) if cosine(vectors[i], vectors[j]) >= 0.5}
+    assert got == want and want
+    assert M.cluster_patterns(spark.createDataFrame([], "pattern string, n long")).count() == 0
+
+
+@pytest.mark.parametrize("chars", [16_000_000, 3])
+def test_contexts_against_plain_search(spark, monkeypatch, chars):
+    monkeypatch.setattr(M, "LIST", 2 if chars == 3 else 1000)
+    monkeypatch.setattr(M, "LIST_CHARS", chars)
     rng = random.Random(2)
     texts = ["".join(rng.choice("aab.\\E ") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", None]
     patterns = ["aa", "a.", "\\E", "ab", "zz"]
@@ -168,6 +222,51 @@ def test_streams_equal_tables(spark):
     assert got == want
 
 
+def _run(spark, folder, cp, name, op):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    out = f"{cp}-out"
+    query = op(spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)).writeStream.format("parquet").option("checkpointLocation", cp).trigger(availableNow=True).start(out)
+    query.awaitTermination(90)
+    query.stop()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    return spark.read.schema(T.CONVERSATION if name == "tally" else T.RULE).parquet(out).collect()
+
+
+@pytest.mark.parametrize(("idle", "turns"), [(1, 1), (3_600_000, 4)])
+def test_idle_conversations_start_afresh(spark, idle, turns):
+    """State of a conversation that said nothing for long is gone when others speak."""
+    folder, cp = fresh_path(spark, "idle"), fresh_path(spark, "cp")
+    last = []
+    for rows in ([(1, t) for t in range(3)], [(2, 0)], [(1, 3)]):
+        spark.createDataFrame([(c, t, 10, 5) for c, t in rows], "conv_id long, turn long, original_chars long, compressed_chars long").coalesce(1).write.mode("append").parquet(folder)
+        last = _run(spark, folder, cp, "tally", lambda s: T.conversation_stream(s, idle))
+    assert [(r.conv_id, r.turn, r.turns) for r in last if r.turn == 3] == [(1, 3, turns)]
+
+
+def test_rules_in_state(spark):
+    """Rules over several batches equal those of the table."""
+    rng = random.Random(3)
+    rows = sorted({(c, t, rng.choice(["alpha", "betas", "gamma", "delta", "omegas", "no"]), rng.choice("XYZ"), rng.randint(1, 3)) for c in range(4) for t in range(6) for _ in range(3)}, key=lambda r: r[1])
+    schema = "conv_id long, turn long, text string, symbol string, value long"
+    folder, cp, got = fresh_path(spark, "rules"), fresh_path(spark, "cp"), None
+    for part in (range(0, 1), range(1, 4), range(4, 6)):
+        spark.createDataFrame([r for r in rows if r[1] in part], schema).coalesce(1).write.mode("append").parquet(folder)
+        got = _run(spark, folder, cp, "rules", lambda s: T.rule_stream(s, 4))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, W.additive_rules(spark.createDataFrame(rows, schema), 4).collect()))
+
+
+def test_when_to_analyse(spark):
+    rows = [(1, 0, 600, 600, 262), (1, 1, 600, 600, 9), (1, 2, 10_001, 10_001, 88), (1, 3, 10_001, 15_001, 150), (1, 4, 501, 15_001, 1), (1, 5, 10_001, 10_001, 1), (1, 6, 500, 20_000, 1), (2, 0, 500, 500, 5), (2, 1, 501, 501, None)]
+    got = {(r.conv_id, r.turn): (r.rules_before, r.may_add) for r in W.needs_analysis(spark.createDataFrame(rows, "conv_id long, turn long, compressed_chars long, new_chars long, new_rules long")).collect()}
+    assert got == {(1, 0): (0, True), (1, 1): (262, False), (1, 2): (262, True), (1, 3): (350, True), (1, 4): (500, False), (1, 5): (500, False), (1, 6): (500, False), (2, 0): (0, False), (2, 1): (0, True)}
+
+
+def test_summary_with_time(spark):
+    df = spark.createDataFrame([(1, t, 100, 50, 0.5, 12, 2, "stable", True, False, float(t)) for t in range(3)], "conv_id long, turn long, original_chars long, compressed_chars long, compression_ratio double, tokens_saved long, overhead_tokens long, trend string, should_continue boolean, short_turn boolean, seconds double")
+    row = W.conversation_summary(df, tokens=spark.createDataFrame([(1, "a", 3, 1), (1, "b", 2, 2)], "conv_id long, token string, n long, rank int")).first()
+    assert row.avg_seconds == 1.0 and row.net_tokens == 30 and row.top_tokens == ["a", "b"]
+
+
 def test_sse_stream(spark, tmp_path):
     (tmp_path / "a.txt").write_text('data: {"id":"1","choices":[{"delta":{"content":"α b"}}]}\n\ndata: [DONE]\nevent: x\ndata: {bad\n')
     rules = spark.createDataFrame([(1, "α", "alpha")], "seq int, symbol string, pattern string")
