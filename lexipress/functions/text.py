@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -282,10 +285,26 @@ def auto_session(messages: DataFrame) -> DataFrame:
 
 
 def content_hash(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, content_hash, is_new): hash of the user and assistant turns so far; whether it changed."""
+    """(conv_id, turn, content_hash, is_new): hash of the user and assistant turns so far; whether it changed.
+
+    A partition holds whole conversations in order of turns and streams through with one running hash, so that a long
+    conversation is neither gathered nor hashed anew at each turn."""
     spoken = F.when(F.col("role").isin("user", "assistant"), F.concat("role", F.lit(":"), text_of(F.col("text")), F.lit("\n"))).otherwise(F.lit(""))
-    rows = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", spoken.alias("s")))).alias("t"))
-    so_far = lambda i: F.array_join(F.transform(F.slice("t", 1, i + 1), lambda x: x["s"]), "")
-    hashes = F.transform("t", lambda x, i: F.struct(x["turn"].alias("turn"), F.left(F.sha2(so_far(i), 256), F.lit(16)).alias("content_hash")))
-    before = Window.partitionBy("conv_id").orderBy("turn")
-    return rows.select("conv_id", F.inline(hashes)).withColumn("is_new", F.coalesce(F.col("content_hash") != F.lag("content_hash").over(before), F.lit(True)))
+    rows = messages.select("conv_id", "turn", spoken.alias("spoken")).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conversation, so_far, before = object(), None, None
+        for batch in batches:
+            hashes, new = [], []
+            for key, said in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key != conversation:
+                    conversation, so_far, before = key, hashlib.sha256(), None
+                so_far.update(said.encode())
+                now = so_far.hexdigest()[:16]
+                hashes.append(now)
+                new.append(now != before)
+                before = now
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.string()), pa.array(new, pa.bool_())], names=["conv_id", "turn", "content_hash", "is_new"])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"conv_id {types['conv_id']}, turn {types['turn']}, content_hash string, is_new boolean")
