@@ -21,13 +21,19 @@ def _spread(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null texts and texts without a word go; null ids, repeated rows and very long texts are judged by their whole texts;
+    columns besides those of documents are dropped, whatever their names; an empty table gives an empty table."""
     some = _spread(docs.select(*COLUMNS))
     return quality.select_accepted(some, *quality.fit(some)).select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, over half of which are of one learned language."""
+    """Documents with letters, over half of which are of one learned language.
+
+    Null texts and texts without a letter go; null ids, repeated rows, very long texts, other columns and empty tables as in
+    the stage before."""
     some = _spread(docs.select(*COLUMNS))
     return language.select_single(some, language.fit(some)).select(*COLUMNS)
 
@@ -35,8 +41,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Shingles of five words, 0.8 alike. Rows without an id can't be told apart by one and stay; of rows with the same
-    id one stays."""
+    Shingles of five words, 0.8 alike; null texts count as empty ones, and texts without a word are alike. Rows without
+    an id can't be told apart by one and stay; of rows with the same id one stays. Very long texts, other columns and
+    empty tables as in the first stage."""
     docs = docs.select(*COLUMNS)
     some = _spread(docs)
     kept = settle(simhash.representatives(some, width=5, similarity=0.8), "representatives")
@@ -47,12 +54,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Null and empty texts contain none and stay, as do null ids and repeated rows without an item; very long texts are
+    searched whole; other columns and empty tables as in the first stage."""
     return decontaminate.select_clean(_spread(docs.select(*COLUMNS)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left, as digests: a row for each row.
+
+    Null texts count as empty (no ids), null ids and repeated rows keep their rows, very long texts are encoded whole, other
+    columns are dropped, and an empty table gives an empty table."""
     return bpe.bpe_digests(_spread(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
