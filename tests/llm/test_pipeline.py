@@ -78,3 +78,25 @@ def test_null_ids_and_empty_tables(spark):
     assert sorted(str(r.doc_id) for r in C.near_duplicate_stage(spark, df, SF).collect()) == ["1", "3", "None"]
     for _, stage in C.STAGES:
         assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_odd_rows(spark):
+    """Nulls, repeated rows, a very long text and columns with names that stages use inside."""
+    text = "The quick brown fox jumps over the lazy dog and runs to the river every day of the week.\n"
+    rng = random.Random(4)
+    long = "".join(f"the {rng.choice(['river', 'forest', 'market', 'winter'])} of {rng.randrange(10**6)} was old and the people of the town went there.\n" for _ in range(20_000))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, text * 3, "en", "a", 1), (1, text * 3, "en", "a", 1), (2, long, "en", "a", 1), (3, "", "en", None, 0), (None, None, None, None, None), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    for name in ("__row", "h", "id", "item", "component_id", "rep", "fingerprint", "__key", "spans"):
+        df = df.withColumn(name, F.lit("x"))
+    kept = {}
+    for name, stage in C.STAGES:
+        out = stage(spark, df, SF)
+        if name != C.STAGES[-1][0]:
+            assert out.columns == list(C.COLUMNS)
+        kept[name] = sorted(str(r.doc_id) for r in out.select("doc_id").collect())
+    assert kept["simhash_near_dedup"] == ["1", "2", "3", "None"]
+    every = ["1", "1", "2", "3", "4", "None"]
+    assert kept["benchmark_decontamination"] == every and kept["byte_bpe"] == every
+    assert set(kept["quality_classifier"]) | set(kept["language_id"]) <= {"1", "2"} and kept["quality_classifier"].count("1") in (0, 2)
