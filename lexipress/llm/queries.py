@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexipress.llm import bpe, decontaminate, html_text, language, license_scan, lm_score, quality, simhash, token_files, topk
+from lexipress.llm import bpe, decontaminate, html_text, language, license_scan, lm_score, quality, resample, simhash, token_counts, token_files, topk, whitening
 from lexipress.llm.tables import spread, table
 from lexipress.storage import fresh_path
 
@@ -54,7 +54,24 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return resample.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_token_counts": op13_token_counts,
     "op4_lm_score": op4_lm_score,
     "op6_html_main_text": op6_html_main_text,
     "op2_exact_topk": op2_exact_topk,
@@ -71,4 +88,5 @@ SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_exact_topk": topk.SQL,
     "op5_license_scan": license_scan.oracle(),
+    "op11_importance_resampling": resample.SQL,
 }
