@@ -58,13 +58,15 @@ LANGUAGES = (
 )
 
 # Code constructs: kind, pattern, shortest and longest match.
-RECEIVERS = "self logger config analyzer data result item obj ctx req res app client server db model parser handler manager service utils helpers tools api cache".split()
-_RECEIVER = "(?:" + "|".join(RECEIVERS) + ")"
+RECEIVERS = (
+    "self", "logger", "config", "analyzer", "data", "result", "item", "obj", "ctx", "req", "res", "app", "client",
+    "server", "db", "model", "parser", "handler", "manager", "service", "utils", "helpers", "tools", "api", "cache",
+)
 _CODE_GROUPS = (
     ("logging", 0, 119, (r"logger\.info\([^)]*\)", r"logger\.debug\([^)]*\)", r"logger\.warning\([^)]*\)", r"logger\.error\([^)]*\)", r"logging\.getLogger\([^)]*\)", r"log\.info\([^)]*\)", r"log\.debug\([^)]*\)", r"log\.error\([^)]*\)")),
-    ("method_call", 0, 99, (_RECEIVER + r"\.\w+\([^)]*\)",)),
-    ("attribute", 0, 49, (_RECEIVER + r"\.\w+",)),
-    ("function", 0, 119, (r"(?:async )?def \w+\([^)]*\):", r"lambda [^:]+:", r"\w+\([^)]{1,80}\)")),
+    ("method_call", 0, 99, tuple(name + r"\.\w+\([^)]*\)" for name in RECEIVERS)),
+    ("attribute", 0, 49, tuple(name + r"\.\w+" for name in RECEIVERS)),
+    ("function", 0, 119, (r"def \w+\(self[^)]*\):", r"def \w+\([^)]*\):", r"async def \w+\([^)]*\):", r"lambda [^:]+:", r"\w+\([^)]{1,80}\)")),
     ("import", 0, 99, (r"from [\w.]+ import [\w., ]+", r"import [\w., ]+", r"from \. import \w+", r"from \.[\w.]+ import \w+")),
     ("assignment", 11, 79, (r"\w+ = [^=\n]{1,60}", r"\w+: [\w\[\]]+", r"\w+: [\w\[\]]+ = [^=\n]{1,40}")),
     ("control", 0, 999, (r"if [^:]{1,50}:", r"elif [^:]{1,50}:", r"for \w+ in [^:]{1,50}:", r"while [^:]{1,50}:", r"try:", r"except \w+ as \w+:", r"except \w+:", r"finally:", r"with [^:]{1,50}:")),
@@ -98,7 +100,21 @@ CODE_TERMS = ("log", "msg", "data", "config", "file", "json", "def", "class")
 
 # Providers and the prompt format of each; others take chatml.
 PROVIDER_FORMATS = {"anthropic": "claude", "google": "gemini", "gemini": "gemini", "qwen": "qwen", "gemma": "gemma", "openai": "chatml", "mistral": "chatml", "x-ai": "chatml", "xai": "chatml", "ollama": "chatml"}
-TIMEOUT_PARAMS = ("timeout", "request_timeout", "connect_timeout", "read_timeout", "write_timeout", "pool_timeout")
+# Request settings that are timeouts, and the fields that a message may have.
+TIMEOUT_PARAMS = (
+    "timeout", "request_timeout", "response_timeout", "connection_timeout", "read_timeout", "write_timeout",
+    "stream_timeout", "api_timeout", "client_timeout", "server_timeout", "connect_timeout", "total_timeout",
+)
+MESSAGE_FIELDS = ("role", "content", "name")
+# Signs of clients: a web client's browsers, origins and parameters, and headers and names of others.
+BROWSERS = ("mozilla", "chrome", "safari", "firefox", "edge")
+LOCAL_ORIGINS = ("localhost", "127.0.0.1", "192.168.")
+WEB_PARAMS = ("cache_prompt", "samplers", "dynatemp_range", "timings_per_token")
+ANTHROPIC_HEADERS = ("x-api-key", "anthropic-version", "anthropic-beta")
+CLINE_AGENTS = ("cline", "so/js")
+CLINE_HEADERS = ("x-task-id", "x-cline-session", "x-cline-version", "x-anthropic-version")
+CLIENTS = ("cline", "webui", "sillytavern", "anthropic", "roo", "aider", "standard")
+# Names of a tool call's fields.
 TOOL_KEYS = ("tool", "function", "action", "command", "operation", "method")
 PATH_KEYS = ("path", "file", "filename", "filepath", "directory", "location")
 STRUCTURE_KEYS = ("operationIsLocatedInWorkspace", "content", "arguments", "params", "parameters", "options", "config")

@@ -152,13 +152,28 @@ def clean_prompt(content: Column) -> Column:
     return strip(F.regexp_replace(plain, r"^(Human|Assistant|System):\s*", ""))
 
 
-def client_engine(headers: Column, params: Column) -> Column:
-    """Which client sent a request; a web client needs two of three signs."""
-    agent = F.lower(text_of(headers["user-agent"]))
-    signs = F.contains(agent, F.lit("mozilla")).cast("int") + F.contains(F.lower(text_of(headers["accept"])), F.lit("text/html")).cast("int") + headers["origin"].isNotNull().cast("int")
+def project_message(message: Column) -> Column:
+    """A message (a map of its fields) with role, content and name only."""
+    return F.map_filter(message, lambda k, _: k.isin(*catalogs.MESSAGE_FIELDS))
+
+
+def client_engine(headers: Column, params: Column, first_role: Column | None = None, configured: str = "auto") -> Column:
+    """Which client sent a request, by rules in order: a web client shows two of three signs (a browser, a local origin
+    or referer, a request with messages whose first is from the system or that has a web client's parameters); then names
+    and headers of others; else standard. headers: lower-case names; params: fields of the request as strings;
+    ``first_role``: of its first message, null without messages. ``configured``: one of CLIENTS overrides all rules."""
+    if configured.lower() in catalogs.CLIENTS:
+        return F.lit(configured.lower())
+    agent, first = F.lower(text_of(headers["user-agent"])), F.lit(None).cast("string") if first_role is None else first_role
+    has = lambda where, some: F.arrays_overlap(F.coalesce(F.map_keys(where), F.array().cast("array<string>")), F.array(*[F.lit(x) for x in some]))
+    local = contains_any(text_of(headers["origin"]), catalogs.LOCAL_ORIGINS) | contains_any(text_of(headers["referer"]), catalogs.LOCAL_ORIGINS)
+    shaped = first.isNotNull() & ((first == "system") | has(params, catalogs.WEB_PARAMS))
+    signs = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(False)).cast("int") for x in (contains_any(agent, catalogs.BROWSERS), local, shaped)])
+    model = F.lower(text_of(params["model"]))
     return (
-        F.when(signs >= 2, "webui").when(contains_any(agent, ("sillytavern", "silly")), "sillytavern").when(contains_any(agent, ("cline", "vscode")), "cline")
-        .when(params["chat_id"].isNotNull() & params["session_id"].isNotNull(), "webui").when(contains_any(agent, ("openai", "python")), "api").otherwise("unknown")
+        F.when(signs >= 2, "webui").when(contains_any(agent, ("sillytavern", "silly")), "sillytavern").when(has(headers, catalogs.ANTHROPIC_HEADERS), "anthropic")
+        .when(F.contains(model, F.lit("claude")) & ~F.contains(model, F.lit("/")), "anthropic").when(F.contains(agent, F.lit("anthropic")) & F.contains(agent, F.lit("sdk")), "anthropic")
+        .when(contains_any(agent, catalogs.CLINE_AGENTS), "cline").when(has(headers, catalogs.CLINE_HEADERS), "cline").otherwise("standard")
     )
 
 
@@ -199,24 +214,68 @@ def has_markdown(text: Column) -> Column:
     return F.when(has_reasoning(text), some(CRITICAL_MARKDOWN)).when(code > 2 * marks, some(STRICT_MARKDOWN)).otherwise(some(MARKDOWN))
 
 
-TOOL_TAGS = r"(?s)<(tool_call|function_call|invoke|execute|use_tool)[^>]*>.*?</\1>"
+# Tags of a tool that is being run.
+TOOL_TAGS = (r"(?is)<tool_use[^>]*>\s*<name>[^<]+</name>\s*<parameters>", r"(?is)<function_calls[^>]*>\s*<invoke[^>]*>")
 FLAT_OBJECT = r"\{[^{}]*\}"
+#: What the brace scanner steps over: an escaped character, a mark, or a run of anything else.
+_SCANNED = r"""(?s)\\.|["{}]|[^\\"{}]+|\\"""
+#: A quoted string, which may hold raw line ends, or what is between strings.
+_STRINGS = r"""(?s)"(?:[^"\\]|\\.)*"|[^"]+|\""""
+
+
+def balanced_objects(text: Column) -> Column:
+    """Array of the outermost {...} of a text, over any number of lines and levels.
+
+    A fold over braces and quotes: braces inside a quoted string, and escaped characters in it, don't count; outside of
+    objects quotes are ordinary text. An object that never closes gives nothing."""
+    state = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("start"), F.array().cast("array<struct<start:int,size:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens, closes = (x == "{") & ~acc["quoted"], (x == "}") & ~acc["quoted"] & (acc["depth"] > 0)
+        ends = closes & (acc["depth"] == 1)
+        after = acc["at"] + F.length(x)
+        return F.struct(
+            after.alias("at"), F.when(opens, acc["depth"] + 1).when(closes, acc["depth"] - 1).otherwise(acc["depth"]).alias("depth"),
+            F.when((x == '"') & (acc["depth"] > 0), ~acc["quoted"]).otherwise(acc["quoted"]).alias("quoted"),
+            F.when(opens & (acc["depth"] == 0), acc["at"]).otherwise(acc["start"]).alias("start"),
+            F.when(ends, F.array_append(acc["out"], F.struct(acc["start"].alias("start"), (after - acc["start"]).alias("size")))).otherwise(acc["out"]).alias("out"),
+        )
+
+    found = F.aggregate(F.regexp_extract_all(text, F.lit(_SCANNED), F.lit(0)), state, step)["out"]
+    return F.transform(found, lambda o: F.substring(text, o["start"], o["size"]))
+
+
+def repaired_json(x: Column) -> Column:
+    """JSON whose strings hold raw line ends and tabs, with these escaped; what is between strings stays."""
+    inside = lambda p: F.replace(F.replace(F.replace(p, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit("\r"), F.lit("\\r"))
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_STRINGS), F.lit(0)), lambda p: F.when(F.startswith(p, F.lit('"')), inside(p)).otherwise(p)), "")
 
 
 def json_fields(x: Column) -> Column:
-    """A flat JSON object as a map; raw line ends and tabs in it are repaired where it doesn't parse as it is."""
-    repaired = F.replace(F.replace(x, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
-    return F.coalesce(F.from_json(x, "map<string,string>"), F.from_json(repaired, "map<string,string>"))
+    """A JSON object as a map from its fields to their values, nested ones as JSON; raw line ends and tabs in strings are
+    repaired where it doesn't parse as it is."""
+    return F.coalesce(F.from_json(x, "map<string,string>"), F.from_json(repaired_json(x), "map<string,string>"))
+
+
+def tool_objects(text: Column) -> Column:
+    """Array of the JSON objects of a text that a tool call may be: the outermost ones, and flat ones with a tool key that
+    are inside others. Texts without a quoted tool key aren't scanned."""
+    quoted = contains_any(text, [f'"{k}"' for k in catalogs.TOOL_KEYS])
+    flat = F.filter(F.regexp_extract_all(text, F.lit(FLAT_OBJECT), F.lit(0)), lambda x: contains_any(x, [f'"{k}"' for k in catalogs.TOOL_KEYS]))
+    return F.when(quoted & F.contains(text, F.lit("}")), F.array_distinct(F.concat(balanced_objects(text), flat))).otherwise(F.array().cast("array<string>"))
+
+
+def is_tool_call(fields: Column) -> Column:
+    """Whether an object's fields make it a tool call: a tool key, and a path or structure key or two fields."""
+    keys = F.map_keys(fields)
+    lit = lambda some: F.array(*[F.lit(x) for x in some])
+    return F.coalesce(F.arrays_overlap(keys, lit(catalogs.TOOL_KEYS)) & (F.arrays_overlap(keys, lit(catalogs.PATH_KEYS + catalogs.STRUCTURE_KEYS)) | (F.size(keys) >= 2)), F.lit(False))
 
 
 def has_tool_call(text: Column) -> Column:
-    """an execution tag, or a flat JSON object with a tool key and a path or structure key, or two keys."""
+    """a tag of a tool being run, or a JSON object, nested or over several lines, that is a tool call."""
     text = text_of(text)
-    objects = F.transform(F.regexp_extract_all(text, F.lit(FLAT_OBJECT), F.lit(0)), lambda x: F.map_keys(json_fields(x)))
-    lit = lambda some: F.array(*[F.lit(x) for x in some])
-    tool = lambda keys: F.arrays_overlap(keys, lit(catalogs.TOOL_KEYS)) & (F.arrays_overlap(keys, lit(catalogs.PATH_KEYS + catalogs.STRUCTURE_KEYS)) | (F.size(keys) >= 2))
-    quoted = contains_any(text, [f'"{k}"' for k in catalogs.TOOL_KEYS])
-    return text.rlike(TOOL_TAGS) | (quoted & F.coalesce(F.exists(objects, tool), F.lit(False)))
+    return text.rlike(TOOL_TAGS[0]) | text.rlike(TOOL_TAGS[1]) | F.exists(tool_objects(text), lambda x: is_tool_call(json_fields(x)))
 
 
 def looks_like_code(text: Column, variant: str = "head") -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +50,25 @@ def needs_analysis(turns: DataFrame, min_chars: int = 250, threshold: int = 20,
     c = F.col
     large = c("compressed_chars") > 2 * min_chars
     limit = F.greatest(F.lit(room), F.when(c("compressed_chars") > 500 * threshold, 350).otherwise(0), F.when(c("new_chars") > 750 * threshold, 500).otherwise(0))
-    # Whether a turn counts depends on the ones before it, so a conversation's turns (numbers only) are folded in order.
-    turn = F.struct("turn", large.alias("large"), limit.cast("long").alias("limit"), F.coalesce(c("new_rules"), F.lit(0)).cast("long").alias("new_rules"))
-    seen = "struct<turn:bigint,rules_before:bigint,may_add:boolean>"
-    start = F.struct(F.lit(0).cast("long").alias("rules"), F.array().cast(f"array<{seen}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        go = x["large"] & ((F.size(acc["out"]) == 0) | (acc["rules"] < x["limit"]))
-        row = F.struct(x["turn"].cast("long").alias("turn"), acc["rules"].alias("rules_before"), go.alias("may_add"))
-        return F.struct((acc["rules"] + F.when(go, x["new_rules"]).otherwise(0)).alias("rules"), F.array_append(acc["out"], row).alias("out"))
-
-    marks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).select("conv_id", F.inline(F.aggregate("turns", start, step)["out"]))
+    rows = turns.select("conv_id", "turn", large.alias("large"), limit.cast("long").alias("limit"), F.coalesce(c("new_rules"), F.lit(0)).cast("long").alias("new_rules"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conversation, rules, first = object(), 0, True
+        for batch in batches:
+            before, may = [], []
+            for key, big, most, new in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if key != conversation:
+                    conversation, rules, first = key, 0, True
+                go = bool(big) and (first or rules < most)
+                before.append(rules)
+                may.append(go)
+                rules, first = rules + (new if go else 0), False
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.int64()), pa.array(may, pa.bool_())], names=["conv_id", "turn", "rules_before", "may_add"])
+
+    # Whether a turn counts depends on the ones before it: a partition holds whole conversations in order of turns and
+    # streams through with one running count, so memory doesn't grow with a conversation.
+    marks = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInArrow(scan, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, rules_before long, may_add boolean")
     return turns.join(marks.hint("shuffle_merge"), ["conv_id", "turn"])
 
 
@@ -209,13 +221,32 @@ def filter_log(log: DataFrame, enabled: DataFrame) -> DataFrame:
     return rows.where("level <> 'DEBUG'").unionByName(debug.select(*rows.columns))
 
 
-def analysis_gate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 100, repetition: float = 0.1, min_n: int = 3, hits: int = 20) -> DataFrame:
-    """(id, reason): tool_call, markdown, too_short, repetitive (share of different words that come min_n times, in texts
-    of over 50 words), structured (over so many code hits), default."""
-    text = X.text_of(F.col(text_col))
-    words = df.select(id_col, F.explode(X.words(F.lower(text))).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("n"))
-    share = words.groupBy(id_col).agg(F.sum("n").alias("total"), (F.count_if(F.col("n") >= min_n) / F.count("*")).alias("share"))
-    structure = F.size(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+\(|(?:def|class|import|return) |[A-Za-z0-9_]+\.[A-Za-z0-9_]+"), F.lit(0)))
-    rows = df.select(id_col, X.has_tool_call(text).alias("tool"), X.has_markdown(text).alias("marks"), F.length(text).alias("chars"), structure.alias("structure")).join(share.hint("shuffle_merge"), id_col, "left")
-    reason = F.when(F.col("tool"), "tool_call").when(F.col("marks"), "markdown").when(F.col("chars") < min_chars, "too_short").when((F.col("total") > 50) & (F.col("share") > repetition), "repetitive").when(F.col("structure") > hits, "structured").otherwise("default")
-    return rows.select(id_col, reason.alias("reason"))
+# Signs of structured content, word characters of any script.
+STRUCTURE = (r"\bdef\s+[\p{L}\p{N}_]+", r"\bclass\s+[\p{L}\p{N}_]+", r"\bimport\s+[\p{L}\p{N}_]+", r"[\p{L}\p{N}_]+\([^)]*\)", r"\{[^}]*\}", r"<[^>]+>")
+
+
+def repetition(text: Column, min_n: int) -> Column:
+    """struct(total, different, repeated): words between white space, how many different ones, and how many of these come
+    at least ``min_n`` times. One pass over the sorted words of a row; no shuffle."""
+    start = F.struct(F.lit(None).cast("string").alias("word"), *[F.lit(0).alias(c) for c in ("run", "total", "different", "repeated")])
+
+    def step(acc: Column, x: Column) -> Column:
+        same = F.coalesce(acc["word"] == x, F.lit(False))
+        run = F.when(same, acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("word"), run.alias("run"), (acc["total"] + 1).alias("total"), (acc["different"] + (~same).cast("int")).alias("different"), (acc["repeated"] + (run == min_n).cast("int")).alias("repeated"))
+
+    return F.aggregate(F.array_sort(F.filter(F.split(text, r"\s+"), lambda x: x != "")), start, step)
+
+
+def gate_reason(text: Column, min_chars: int = 100, threshold: float = 0.15, min_n: int = 2, hits: int = 20) -> Column:
+    """tool_call, markdown, too_short, repetitive (of over 50 words, the share of different ones that come min_n times
+    is above the threshold), structured (over so many signs), default."""
+    words = repetition(text, min_n)
+    signs = reduce(lambda a, b: a + b, [F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))) for p in STRUCTURE])
+    often = (words["total"] > 50) & (words["repeated"] > threshold * words["different"])
+    return F.when(X.has_tool_call(text), "tool_call").when(X.has_markdown(text), "markdown").when(F.length(text) < min_chars, "too_short").when(often, "repetitive").when(signs > hits, "structured").otherwise("default")
+
+
+def analysis_gate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, reason): why each text is analysed or not; options as in ``gate_reason``."""
+    return df.select(id_col, gate_reason(X.text_of(F.col(text_col)), **options).alias("reason"))

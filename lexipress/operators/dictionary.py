@@ -6,37 +6,63 @@ most ``k`` rows a scope, so a scope's rules fit a row as an array.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexipress.functions import text as X
+from lexipress.sources import expire_stored
 from lexipress.storage import settle
 
 
-def rank_symbols(pool: DataFrame, costs: DataFrame | None = None, family: str = "gpt-4", k: int = 262) -> DataFrame:
-    """(symbol, cost, srank): by token cost for the family, then length, then pool order. ASCII costs one more. A symbol
-    without a figure for the family takes its average over families."""
+def _symbol_order() -> Column:
+    return F.struct((F.col("cost") + F.when(F.col("kind") == "ascii", 1).otherwise(0)).cast("int").alias("cost"), F.length("symbol").alias("size"), "rank")
+
+
+def rank_symbols(pool: DataFrame, costs: DataFrame | None = None, family: str = "gpt-4", k: int = 262, scope: list[str] = []) -> DataFrame:  # noqa: B006
+    """(scope, symbol, cost, srank): by token cost for the family, then length, then pool order. ASCII costs one more. A
+    symbol without a figure for the family takes its average over families. A pool by scope is ranked in each."""
     if costs is not None:
         own = costs.groupBy("symbol").agg(F.max(F.when(F.col("family") == family, F.col("tokens"))).alias("own"), F.floor(F.avg("tokens")).alias("mean"))
         pool = pool.join(own.hint("shuffle_merge"), "symbol", "left").withColumn("cost", F.coalesce("own", "mean", "cost"))
-    cost = F.col("cost") + F.when(F.col("kind") == "ascii", 1).otherwise(0)
-    order = Window.orderBy("cost", F.length("symbol"), "rank")  # a pool is a catalog
-    return pool.select("symbol", cost.cast("int").alias("cost"), "rank").withColumn("srank", F.row_number().over(order)).where(F.col("srank") <= k).select("symbol", "cost", "srank")
+    order = Window.partitionBy(*scope).orderBy(_symbol_order())  # a pool is a catalog
+    ranked = pool.withColumn("srank", F.row_number().over(order)).where(F.col("srank") <= k)
+    return ranked.select(*scope, "symbol", _symbol_order()["cost"].alias("cost"), "srank")
+
+
+#: Bits of a bitmap of symbols, by their rank in the pool.
+POOL_BITS = 32_768
 
 
-def free_symbols(pool: DataFrame, df: DataFrame, text_col: str = "text", used: DataFrame | None = None) -> DataFrame:
-    """Symbols that occur in no text and aren't used: characters of the corpus are made distinct, and symbols of several
-    characters are searched for as such."""
+def used_bits(pool: DataFrame, df: DataFrame, scope: list[str] = [], text_col: str = "text") -> DataFrame:  # noqa: B006
+    """(scope, bits): which symbols of the pool occur in the texts of each scope, a bitmap by rank. One pass: a text's
+    distinct characters beyond ASCII, and what it holds of the pool's other symbols; tasks pass on a bitmap a scope."""
     text = X.text_of(F.col(text_col))
-    chars = df.select(F.explode(F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]", ""), ""))).alias("symbol")).distinct()
-    rest = [r.symbol for r in pool.where(F.length("symbol") > 1).select("symbol").collect()]  # a catalog
-    found = [F.max(F.when(F.contains(text, F.lit(s)), F.lit(True)).otherwise(F.lit(False))).alias(f"s{i}") for i, s in enumerate(rest)]
-    row = df.agg(*found).first() if rest else []
-    taken = pool.where(F.col("symbol").isin([s for s, hit in zip(rest, row, strict=True) if hit])) if rest and any(row) else None
-    out = pool.join(chars.hint("shuffle_merge"), "symbol", "left_anti")
-    for gone in (taken, used):
-        if gone is not None:
-            out = out.join(gone.select("symbol").hint("shuffle_merge"), "symbol", "left_anti")
+    ascii_symbols = [r.symbol for r in pool.where((F.length("symbol") > 1) | (F.col("symbol") <= "\x7f")).select("symbol").collect()]  # a catalog
+    held = F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]", ""), ""))
+    if ascii_symbols:
+        held = F.concat(held, F.filter(F.array(*[F.lit(x) for x in ascii_symbols]), lambda x: F.contains(text, x)))
+    ranks = df.select(*scope, F.explode(held).alias("symbol")).join(F.broadcast(pool.select("symbol", "rank")), "symbol")  # a catalog
+    return ranks.groupBy(*scope).agg(F.bitmap_construct_agg(F.col("rank").cast("long")).alias("bits"))
+
+
+def free_symbols(pool: DataFrame, df: DataFrame, text_col: str = "text", used: DataFrame | None = None, scope: list[str] = [], k: int | None = None) -> DataFrame:  # noqa: B006
+    """(scope, symbol, rank, kind, cost): symbols of the pool that occur in no text of the scope and aren't in ``used``
+    (symbol, or scope and symbol); with ``k`` about the first k of each scope by cost, length and rank. Symbols that only
+    other scopes' texts hold stay free. Pools are catalogs of at most POOL_BITS symbols."""
+    taken = used_bits(pool, df, scope, text_col)
+    if scope:
+        taken = df.select(*scope).distinct().join(taken.hint("shuffle_merge"), scope, "left")
+    every = pool.agg(F.array_sort(F.collect_list(F.struct(_symbol_order().alias("o"), "symbol", "rank", "kind", "cost"))).alias("pool"), F.max("rank").alias("most"))
+    every = every.withColumn("pool", F.when(F.col("most") < POOL_BITS, F.col("pool")).otherwise(F.raise_error("a pool of symbols holds at most 32,767")))
+    byte = lambda rank: F.conv(F.hex(F.substring("bits", (rank / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    free = lambda x: F.col("bits").isNull() | (F.getbit(byte(x["rank"]), x["rank"] % 8) == 0)
+    left = F.filter("pool", free)
+    rows = taken.join(F.broadcast(every))  # one row
+    some = k + (0 if used is None else POOL_BITS) if k is not None else None
+    out = rows.select(*scope, F.inline(F.slice(left, 1, some) if some is not None else left)).drop("o")
+    if used is not None:
+        on = [*(c for c in scope if c in used.columns), "symbol"]
+        out = out.join(used.select(*on).distinct().hint("shuffle_merge"), on, "left_anti")
     return out
 
 
@@ -52,12 +78,14 @@ def assignment_value(pattern: Column, n: Column, symbol: Column, method: str = "
 
 def assign_symbols(patterns: DataFrame, symbols: DataFrame, scope: list[str] = [], k: int = 262, method: str = "chars") -> DataFrame:  # noqa: B006
     """The dictionary: patterns by value take the symbols in order, rank to rank, which is greedy where symbols are in
-    order of cost; pairs of no value go. Ties: more characters saved, then the pattern."""
+    order of cost; pairs of no value go. Ties: more characters saved, then the pattern. Symbols may be by scope."""
     probe = assignment_value(F.col("pattern"), F.col("n"), F.lit("α"), method)
     scored = patterns.withColumn("probe", probe).where("probe > 0")
     order = [F.col("probe").desc(), F.length("pattern").desc(), F.col("pattern")]
     ranked = scored.withColumn("srank", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where(F.col("srank") <= k)
-    pairs = ranked.join(F.broadcast(symbols.select("symbol", "srank")), "srank")  # at most the pool
+    some = symbols.where(F.col("srank") <= k)
+    own = [c for c in scope if c in symbols.columns]
+    pairs = ranked.join(some.select(*own, "symbol", "srank").hint("shuffle_merge"), [*own, "srank"]) if own else ranked.join(F.broadcast(some.groupBy("srank").agg(F.min("symbol").alias("symbol"))), "srank")  # k rows
     pairs = pairs.withColumn("value", F.round(assignment_value(F.col("pattern"), F.col("n"), F.col("symbol"), method), 4)).where("value > 0")
     seq = F.row_number().over(Window.partitionBy(*scope).orderBy(F.length("pattern").desc(), "pattern"))
     return pairs.select(*scope, seq.alias("seq"), "symbol", "pattern", "n", "value")
@@ -67,7 +95,8 @@ def assign_by_priority(patterns: DataFrame, symbols: DataFrame, priority: str =
     """As D4, by priority * n; pairs stay where the symbol is one character."""
     rank = F.row_number().over(Window.orderBy((F.col(priority) * F.col("n")).desc(), "pattern"))
     ranked = patterns.orderBy((F.col(priority) * F.col("n")).desc(), "pattern").limit(k).withColumn("srank", rank)
-    return ranked.join(F.broadcast(symbols), "srank").where(F.length("symbol") == 1).select("srank", "symbol", "pattern", "n")
+    some = F.broadcast(symbols.where(F.col("srank") <= k).groupBy("srank").agg(F.min("symbol").alias("symbol")))  # k rows
+    return ranked.join(some, "srank").where(F.length("symbol") == 1).select("srank", "symbol", "pattern", "n")
 
 
 def dictionary_metrics(dictionary: DataFrame, totals: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
@@ -132,34 +161,43 @@ def context_efficiency(symbols: DataFrame, contexts: list[tuple[str, str]], toke
     return rows.withColumn("e", F.lit(1.0) / F.greatest(F.lit(1), added + 1)).groupBy("symbol").agg(F.round(F.avg("e"), 4).alias("efficiency"))
 
 
-ESCAPES = (("\\", "\\\\"), ("\n", "\\n"))
+#: Separators of entries, and of an entry's symbol and pattern, in the plain form and in the other one.
+PLAIN, OTHER = (";", ":"), ("‖", "⟦")
+END = "#DICT_END"
 
 
 def _escaped(col: Column) -> Column:
-    for a, b in ESCAPES:
+    """Backslashes and line ends; in the other form also its separators and what would end the dictionary."""
+    for a, b in (("\\", "\\\\"), ("\n", "\\n"), *((x, "\\" + x) for x in OTHER), (END, "\\" + END)):
         col = F.replace(col, F.lit(a), F.lit(b))
     return col
 
 
 def encode_dictionary(dictionary: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
-    """(scope, dict_text): ``#DICT s:p;s:p#DICT_END``; where a pattern of the scope holds ; or :, these are ‖ and ⟦."""
-    odd = F.bool_or(F.col("pattern").rlike("[;:]"))
+    """(scope, dict_text): ``#DICT s:p;s:p;#DICT_END``. Where a symbol or pattern of the scope holds ; or : or the end
+    mark, the separators are ‖ and ⟦; the one before the end tells which. Both forms escape backslashes, line ends,
+    ‖, ⟦ and the end mark by a backslash, so any pattern comes back."""
+    odd = F.bool_or(F.concat("symbol", F.lit(" "), "pattern").rlike("[;:]|" + END))
     entries = F.array_sort(F.collect_list(F.struct("seq", "symbol", "pattern")))
     rows = dictionary.groupBy(*scope).agg(odd.alias("odd"), entries.alias("e"))
-    text = lambda pair, end: F.array_join(F.transform("e", lambda x: F.concat(x["symbol"], F.lit(pair), _escaped(x["pattern"]))), end)
-    return rows.select(*scope, F.concat(F.lit("#DICT "), F.when(F.col("odd"), text("⟦", "‖")).otherwise(text(":", ";")), F.lit("#DICT_END")).alias("dict_text"))
+    text = lambda form: F.concat(F.array_join(F.transform("e", lambda x: F.concat(_escaped(x["symbol"]), F.lit(form[1]), _escaped(x["pattern"]))), form[0]), F.lit(form[0] + END))
+    return rows.select(*scope, F.concat(F.lit("#DICT "), F.when(F.col("odd"), text(OTHER)).otherwise(text(PLAIN))).alias("dict_text"))
+
+
+def _plain(col: Column) -> Column:
+    """Without escapes: a backslash stands for the character behind it, before an n for a line end."""
+    parts = F.regexp_extract_all(col, F.lit(r"(?s)\\.|[^\\]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x == "\\n", F.lit("\n")).when(F.startswith(x, F.lit("\\")), F.substring(x, 2, 1)).otherwise(x)), "")
 
 
 def decode_dictionary(df: DataFrame, col: str = "dict_text", keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """(keys, seq, symbol, pattern) of ``encode_dictionary``'s texts."""
-    body = F.regexp_extract(F.col(col), r"(?s)#DICT (.*)#DICT_END", 1)
-    odd = F.contains(body, F.lit("⟦"))
-    entries = F.split(body, F.when(odd, F.lit("‖")).otherwise(F.lit(";")))
-    rows = df.select(*keys, odd.alias("odd"), F.posexplode(entries).alias("pos", "entry")).where("entry <> ''")
-    at = F.when(F.col("odd"), F.locate("⟦", F.col("entry"))).otherwise(F.locate(":", F.col("entry")))
-    raw = F.substring(F.col("entry"), at + 1, F.length("entry"))
-    plain = F.replace(F.replace(F.replace(raw, F.lit("\\\\"), F.lit("\u0000")), F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
-    return rows.select(*keys, (F.col("pos") + 1).alias("seq"), F.substring(F.col("entry"), F.lit(1), at - 1).alias("symbol"), plain.alias("pattern"))
+    """(keys, seq, symbol, pattern) of ``encode_dictionary``'s texts, which may stand inside longer ones."""
+    part = lambda i: F.regexp_extract(F.col(col), rf"(?s)#DICT (.*?[{PLAIN[0]}{OTHER[0]}]){END}", i)
+    odd = F.endswith(part(1), F.lit(OTHER[0]))
+    entries = lambda form: F.regexp_extract_all(part(1), F.lit(rf"(?s)((?:[^\\{form[0]}]|\\.)*){form[0]}"), F.lit(1))
+    rows = df.select(*keys, odd.alias("odd"), F.posexplode(F.when(odd, entries(OTHER)).otherwise(entries(PLAIN))).alias("pos", "entry"))
+    side = lambda i: F.when(F.col("odd"), F.regexp_extract("entry", rf"(?s)^((?:[^\\{OTHER[1]}]|\\.)*){OTHER[1]}(.*)$", i)).otherwise(F.regexp_extract("entry", rf"(?s)^((?:[^\\{PLAIN[1]}]|\\.)*){PLAIN[1]}(.*)$", i))
+    return rows.select(*keys, (F.col("pos") + 1).alias("seq"), _plain(side(1)).alias("symbol"), _plain(side(2)).alias("pattern"))
 
 
 def dictionary_prompt(dictionary: DataFrame, scope: list[str] = [], known: DataFrame | None = None) -> DataFrame:  # noqa: B006
@@ -185,3 +223,41 @@ def update_token_counts(texts: DataFrame, store: DataFrame, now: Column, ttl_hou
     new = marked.where("known is null").select("key", X.token_estimate(F.col("text"), tokenizer).cast("long").alias("tokens"), now.alias("at"))
     report = marked.agg(F.coalesce(F.sum(F.when(F.col("known"), F.col("asked")).otherwise(F.col("asked") - 1)), F.lit(0)).alias("hits"), F.count_if(F.col("known").isNull()).alias("misses"))
     return fresh.select("key", F.col("tokens").cast("long").alias("tokens"), "at").unionByName(new), report
+
+
+#: Folders of the store of token counts that keys are dealt to, by hash.
+BUCKETS = 16
+STORE = "key string, tokens long, at timestamp"
+
+
+def read_token_store(spark: SparkSession, path: str, now: Column, ttl_hours: int = 24) -> DataFrame:
+    """(key, tokens, at, day, bucket) of what a store holds that isn't older than so many hours; days before aren't read.
+    A store that isn't there yet is empty."""
+    limit = now - F.expr(f"interval {int(ttl_hours)} hours")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], f"{STORE}, day date, bucket int")
+    return spark.read.schema(f"{STORE}, day date, bucket int").parquet(path).where((F.col("day") >= F.to_date(limit)) & (F.col("at") >= limit))
+
+
+def update_token_store(texts: DataFrame, path: str, now: Column, ttl_hours: int = 24, tokenizer: str = "chars", text_col: str = "text") -> DataFrame:
+    """Counts the texts that a store on disk doesn't know, adds them to it, drops what is too old, and returns a report
+    (hits, misses). Each different text is counted once; a second run over the same texts counts none.
+
+    Keys lie in folders by day and by hash bucket. Counts of today are put there by overwriting only the buckets that
+    gain some, with what they had, so a run that is repeated changes nothing; folders of days gone by leave with the
+    rows that are too old."""
+    spark = texts.sparkSession
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
+    text = X.text_of(F.col(text_col))
+    asked = texts.select(F.md5(F.concat(F.lit(tokenizer + ":"), text)).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("asked"))
+    fresh = read_token_store(spark, path, now, ttl_hours)
+    marked = settle(asked.join(fresh.select("key", F.lit(True).alias("known")).hint("shuffle_merge"), "key", "left"), "token-keys")
+    new = marked.where("known is null").select("key", X.token_estimate(F.col("text"), tokenizer).cast("long").alias("tokens"), now.alias("at"), F.to_date(now).alias("day"), bucket.alias("bucket"))
+    new = settle(new, "new-tokens")
+    gaining = new.select("day", "bucket").distinct()  # at most BUCKETS
+    had = fresh.join(F.broadcast(gaining), ["day", "bucket"], "left_semi").select(*new.columns)
+    both = settle(had.unionByName(new).groupBy("key", "day", "bucket").agg(F.max(F.struct("at", "tokens")).alias("x")).select("key", "x.tokens", "x.at", "day", "bucket"), "token-buckets")
+    both.repartition("day", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "bucket").parquet(path)
+    expire_stored(spark, path, "at", now, ttl_hours, ["day", "bucket"])
+    return marked.agg(F.coalesce(F.sum(F.when(F.col("known"), F.col("asked")).otherwise(F.col("asked") - 1)), F.lit(0)).alias("hits"), F.count_if(F.col("known").isNull()).alias("misses"))

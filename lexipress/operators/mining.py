@@ -7,6 +7,7 @@ scope that holds a third of all rows doesn't fill a task.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -16,13 +17,20 @@ from pyspark.sql import functions as F
 from lexipress import catalogs
 from lexipress.functions import text as X
 from lexipress.operators.graph import connected_components
+from lexipress.operators.ngrams import contexts, gram_changes, mine_char_ngrams  # noqa: F401
 from lexipress.storage import settle
 
 
-def _counted(rows: DataFrame, scope: list[str], id_col: str, by: tuple[str, ...] = ("pattern",)) -> DataFrame:
-    """(scope, by, n, df) of rows that have an occurrence each: first per document, then over documents."""
-    per_doc = rows.groupBy(*scope, *by, id_col).agg(F.count("*").alias("k"))
-    return per_doc.groupBy(*scope, *by).agg(F.sum("k").alias("n"), F.count("*").alias("df"))
+def _counted(df: DataFrame, scope: list[str], items: Column, by: tuple[str, ...] = ("pattern",)) -> DataFrame:
+    """(scope, by, n, df) of the items of each row, an array: of strings, or of structs with the fields ``by``.
+
+    A row's items are sorted and its first one of each kind is marked, so that counts of items and of rows with them
+    come from one aggregation, which is partial in each task."""
+    rows = df.select(*scope, F.sort_array(items).alias("__items"))
+    marked = F.transform("__items", lambda x, i: F.struct(x.alias("item"), (~F.get("__items", i - 1).eqNullSafe(x)).cast("int").alias("first")))
+    each = rows.select(*scope, F.inline(marked))
+    each = each.withColumnRenamed("item", "pattern") if by == ("pattern",) else each.select(*scope, "item.*", "first")
+    return each.groupBy(*scope, *by).agg(F.count("*").alias("n"), F.sum("first").alias("df"))
 
 
 def tokens(text: Column) -> Column:
@@ -35,30 +43,16 @@ def tokens(text: Column) -> Column:
 
 def mine_tokens(df: DataFrame, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", min_n: int = 1) -> DataFrame:  # noqa: B006
     """A1: (scope, pattern, n, df)."""
-    rows = df.select(*scope, id_col, F.explode(tokens(F.col(text_col))).alias("pattern"))
-    return _counted(rows, scope, id_col).where(F.col("n") >= min_n)
-
+    return _counted(df, scope, tokens(F.col(text_col))).where(F.col("n") >= min_n)
 
-def mine_char_ngrams(df: DataFrame, lengths: tuple[int, ...] = (8, 16, 32), scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", min_n: int = 2, min_len: int = 3) -> DataFrame:  # noqa: B006
-    """A2: (scope, pattern, n, df) of repeated character n-grams, overlapping windows counted.
 
-    Lengths go from short to long: a longer n-gram can repeat only where its shorter start does, so only windows whose
-    start survived are counted; the test is a join on the start, not a list on the driver."""
-    out, kept, before = None, None, 0
-    for length in sorted(lengths):
-        grams = df.select(*scope, id_col, F.explode(F.regexp_extract_all(X.text_of(F.col(text_col)), F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))).alias("pattern"))
-        if kept is not None:
-            starts = kept.select(*scope, F.col("pattern").alias("start"))
-            grams = grams.withColumn("start", F.left("pattern", F.lit(before))).join(starts.hint("shuffle_merge"), [*scope, "start"], "left_semi").drop("start")
-        kept, before = settle(_counted(grams, scope, id_col).where(F.col("n") >= min_n), "ngrams"), length
-        out = kept if out is None else out.unionByName(kept)
-    return out.where(X.meaningful(F.col("pattern"), min_len))
+def _lines(text: Column, min_len: int) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), X.strip), lambda x: F.length(x) >= min_len)
 
 
 def mine_lines(df: DataFrame, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", min_len: int = 3, min_n: int = 2) -> DataFrame:  # noqa: B006
     """A3: (scope, pattern, n, df) of repeated lines, white space at the ends aside."""
-    rows = df.select(*scope, id_col, F.explode(F.split(X.text_of(F.col(text_col)), "\n")).alias("line")).select(*scope, id_col, X.strip(F.col("line")).alias("pattern"))
-    return _counted(rows.where(F.length("pattern") >= min_len), scope, id_col).where(F.col("n") >= min_n)
+    return _counted(df, scope, _lines(X.text_of(F.col(text_col)), min_len)).where(F.col("n") >= min_n)
 
 
 def line_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lookahead: int = 50, min_len: int = 3) -> DataFrame:
@@ -70,29 +64,61 @@ def line_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo
 
 def mine_word_ngrams(df: DataFrame, n_lo: int = 2, n_hi: int = 5, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", min_n: int = 3, min_len: int = 5) -> DataFrame:  # noqa: B006
     """A4: (scope, pattern, n, df, confidence) of runs of words; confidence is n / 10, at most 1."""
-    w = X.words(F.col(text_col))
-    base = df.select(*scope, id_col, w.alias("w"))
+    base = df.select(*scope, X.words(F.col(text_col)).alias("w"))
 
     def run(k: int) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))
         return F.when(F.size("w") >= k, every).otherwise(F.array().cast("array<string>"))
 
-    runs = [run(k) for k in range(n_lo, n_hi + 1)]
-    rows = base.select(*scope, id_col, F.explode(F.concat(*runs)).alias("pattern")).where(F.length("pattern") >= min_len)
-    return _counted(rows, scope, id_col).where(F.col("n") >= min_n).withColumn("confidence", F.least(F.lit(1.0), F.col("n") / 10))
+    runs = F.filter(F.concat(*[run(k) for k in range(n_lo, n_hi + 1)]), lambda x: F.length(x) >= min_len)
+    return _counted(base, scope, runs).where(F.col("n") >= min_n).withColumn("confidence", F.least(F.lit(1.0), F.col("n") / 10))
+
+
+def literal_of(pattern: str) -> str:
+    """The longest plain text that every match of a pattern holds, "" if there is none: runs of characters that are neither
+    optional nor in a class or group."""
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "|":
+            return ""
+        if c in "[(":  # a class or group: anything may stand there
+            depth, opened = 1, c
+            while depth:
+                i += 1
+                if pattern[i] == "\\":
+                    i += 1
+                elif opened == "(" and pattern[i] == "(":
+                    depth += 1
+                elif pattern[i] == ("]" if opened == "[" else ")"):
+                    depth -= 1
+            run, runs = "", [*runs, run]
+        elif c in "?*{":  # what stands before it may be absent
+            run, runs = "", [*runs, run[:-1]]
+            i = pattern.index("}", i) if c == "{" else i
+        elif c in ".^$+" or (c == "\\" and pattern[i + 1].isalnum()):
+            run, runs = "", [*runs, run]
+            if c == "\\":
+                i = pattern.index("}", i) if pattern[i + 1] == "p" else i + 1
+        else:
+            i += c == "\\"
+            run += pattern[i]
+        i += 1
+    return max([*runs, run], key=len)
+
+
+def _constructs(text: Column, simple: bool = False) -> Column:
+    """Array of (kind, pattern) of a text's code constructs: a fold over the catalog, an array of rules. A text is scanned
+    for a rule only where it holds the rule's plain part."""
+    listed = [{"kind": kind, "p": p, "part": literal_of(p), "lo": lo, "hi": hi} for kind, p, lo, hi in (catalogs.SIMPLE_CODE_PATTERNS if simple else catalogs.CODE_PATTERNS)]
+    rules = F.from_json(F.lit(json.dumps(listed)), "array<struct<kind:string,p:string,part:string,lo:int,hi:int>>")  # one constant
+    fit = lambda r: F.filter(F.regexp_extract_all(text, r["p"], F.lit(0)), lambda m: F.length(m).between(r["lo"], r["hi"]))
+    return F.flatten(F.transform(F.filter(rules, lambda r: F.contains(text, r["part"])), lambda r: F.transform(fit(r), lambda m: F.struct(r["kind"].alias("kind"), m.alias("pattern")))))
 
 
 def mine_code(df: DataFrame, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", simple: bool = False, min_n: int = 2) -> DataFrame:  # noqa: B006
     """(scope, kind, pattern, n, df) of code constructs of the catalog, all in one pass over the texts."""
-    text = X.text_of(F.col(text_col))
-
-    def matches(kind: str, p: str, lo: int, hi: int) -> Column:
-        fit = F.filter(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: F.length(m).between(lo, hi))
-        return F.transform(fit, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("pattern")))
-
-    found = [matches(*rule) for rule in (catalogs.SIMPLE_CODE_PATTERNS if simple else catalogs.CODE_PATTERNS)]
-    rows = df.select(*scope, id_col, F.inline(F.concat(*found)))
-    return _counted(rows, scope, id_col, ("kind", "pattern")).where(F.col("n") >= min_n)
+    return _counted(df, scope, _constructs(X.text_of(F.col(text_col)), simple), ("kind", "pattern")).where(F.col("n") >= min_n)
 
 
 TEMPLATES = (("call", r"([A-Za-z0-9_]+)\(([^()\n]{1,100})\)", "{}({{}})"), ("subscript", r"([A-Za-z0-9_]+)\[([^\[\]\n]{1,50})\]", "{}[{{}}]"), ("logger", r"((?:logger|log)\.[a-z]+)\(([^()\n]{11,119})\)", "{}({{}})"))
@@ -110,26 +136,35 @@ def _instances(text: Column) -> Column:
     return F.concat(*[found(*rule) for rule in TEMPLATES])
 
 
+def _worth(templates: DataFrame, min_n: int) -> DataFrame:
+    """Templates (kind, template, n, total_len) with their savings, where these are above 0."""
+    size = F.length("template")
+    saved = F.greatest(F.lit(0), F.col("total_len") - size * F.col("n")) - (size + F.lit(len("=SYMBOL, ")))
+    return templates.where((F.col("n") >= min_n) & (size >= 8)).withColumn("savings", saved).where("savings > 0")
+
+
 def mine_templates(df: DataFrame, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", min_n: int = 3) -> DataFrame:  # noqa: B006
     """(scope, kind, template, n, total_len, savings): calls, subscripts and log calls grouped by what stands before
     the parameter; savings = (mean length - template length) * n - the entry's own cost, where that's above 0."""
     rows = df.select(*scope, F.inline(_instances(X.text_of(F.col(text_col)))))
-    some = rows.groupBy(*scope, "kind", "template").agg(F.count("*").alias("n"), F.sum(F.length("instance")).alias("total_len"))
-    size = F.length("template")
-    saved = F.greatest(F.lit(0), F.col("total_len") - size * F.col("n")) - (size + F.lit(len("=SYMBOL, ")))
-    return some.where((F.col("n") >= min_n) & (size >= 8)).withColumn("savings", saved).where("savings > 0")
+    return _worth(rows.groupBy(*scope, "kind", "template").agg(F.count("*").alias("n"), F.sum(F.length("instance")).alias("total_len")), min_n)
 
 
-def expand_templates(df: DataFrame, templates: DataFrame, text_col: str = "text", k: int = 3, scope: list[str] = []) -> DataFrame:  # noqa: B006
-    """(scope, kind, template, pattern, n): each template, and its k most frequent instances of at least max(2, n div 4)."""
+def _shown(instances: DataFrame, templates: DataFrame, k: int, scope: list[str]) -> DataFrame:
+    """Templates, and of their instances (kind, template, pattern, n) the k most frequent of at least max(2, n div 4)."""
     keys = [*scope, "kind", "template"]
-    counts = df.select(*scope, F.inline(_instances(X.text_of(F.col(text_col))))).groupBy(*keys, F.col("instance").alias("pattern")).agg(F.count("*").alias("n"))
     least = templates.select(*keys, F.greatest(F.lit(2), F.floor(F.col("n") / 4)).alias("least"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "pattern"))
-    top = counts.join(least.hint("shuffle_merge"), keys).where("n >= least").withColumn("r", rank).where(F.col("r") <= k)
+    top = instances.join(least.hint("shuffle_merge"), keys).where("n >= least").withColumn("r", rank).where(F.col("r") <= k)
     return templates.select(*keys, F.col("template").alias("pattern"), "n").unionByName(top.select(*keys, "pattern", "n"))
 
 
+def expand_templates(df: DataFrame, templates: DataFrame, text_col: str = "text", k: int = 3, scope: list[str] = []) -> DataFrame:  # noqa: B006
+    """(scope, kind, template, pattern, n): each template, and its k most frequent instances of at least max(2, n div 4)."""
+    rows = df.select(*scope, F.inline(_instances(X.text_of(F.col(text_col)))))
+    return _shown(rows.groupBy(*scope, "kind", "template", F.col("instance").alias("pattern")).agg(F.count("*").alias("n")), templates, k, scope)
+
+
 def rank_patterns(patterns: DataFrame, scope: list[str] = [], k: int | None = None, min_n: int = 3, min_len: int = 3) -> DataFrame:  # noqa: B006
     """Adds value = n * length and rank: frequent, long enough patterns of quality, best first, ties by pattern."""
     good = patterns.where((F.col("n") >= min_n) & (F.length("pattern") >= min_len)).where(X.quality(F.col("pattern"))).withColumn("value", F.col("n") * F.length("pattern"))
@@ -201,40 +236,21 @@ def merge_similar(patterns: DataFrame, scope: list[str] = []) -> DataFrame:  # n
     return base.select(*scope, "pattern", "n").join(home.hint("shuffle_merge"), [*scope, "pattern"], "left").groupBy(*scope, F.coalesce("home", "pattern").alias("pattern")).agg(F.sum("n").alias("n"))
 
 
-#: A13 looks for about so many patterns in a list, and sends lists of about so many characters at once.
-LIST, LIST_CHARS = 1000, 16_000_000
-
-
-def contexts(df: DataFrame, patterns: DataFrame, width: int = 20, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(pattern, doc, pos from 1, context): the first k places of each pattern by document and place, with ``width``
-    characters at each side. Each text is scanned for a list of LIST patterns at a time; lists are rows of a table, so
-    their number has no bound."""
-    each = settle(patterns.select("pattern").where("pattern <> ''").distinct(), "patterns")
-    size = each.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("chars")).first()
-    lists = max(1, -(-size.n // LIST), -(-size.chars // LIST_CHARS))
-    each = each.groupBy(F.pmod(F.xxhash64("pattern"), F.lit(lists)).alias("list")).agg(F.collect_list("pattern").alias("some"))  # about LIST a row
-    body, p = F.col("body"), F.col("pattern")
-    texts = df.select(F.col(id_col), X.text_of(F.col(text_col)).alias("body"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long"))).alias("list"))
-    sent = max(1, lists * LIST_CHARS // max(size.chars, 1)) if size.chars > LIST_CHARS else lists  # lists a broadcast, by size
-    both = reduce(DataFrame.unionByName, [texts.where(F.col("list").between(i, i + sent - 1)).join(F.broadcast(each.where(F.col("list").between(i, i + sent - 1))), "list") for i in range(0, lists, sent)])
-    rows = both.select(id_col, "body", F.explode(F.filter("some", lambda x: body.contains(x))).alias("pattern"))
-    # The text is cut before each place where the pattern starts, overlaps too, and the pieces' lengths add up.
-    start = F.struct(F.lit(1).alias("pos"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, x: F.struct((acc["pos"] + F.length(x)).alias("pos"), F.when(F.size(acc["out"]) <= k, F.array_append(acc["out"], acc["pos"])).otherwise(acc["out"]).alias("out"))
-    every = F.aggregate(F.split(body, F.concat(F.lit("(?=\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))), start, step)["out"]
-    rows = rows.select("*", F.explode(F.filter(every, lambda i: (i > 1) | body.startswith(p))).alias("pos"))
-    at = F.greatest(F.lit(1), F.col("pos") - width)
-    rows = rows.select("pattern", id_col, "pos", F.substring(body, at, F.col("pos") - at + F.length("pattern") + width).alias("context"))
-    first = F.row_number().over(Window.partitionBy("pattern").orderBy(id_col, "pos"))  # cut in each task before the shuffle
-    return rows.withColumn("r", first).where(F.col("r") <= k).drop("r")
-
-
-def filter_entropy(patterns: DataFrame, entropy: DataFrame, least: float = 0.3) -> DataFrame:
-    """Patterns whose characters' entropy is at least a share of their corpus's: the mean over texts (id, entropy), as
-    of their first 1000 characters."""
+def scope_entropy(df: DataFrame, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", chars: int = 1000) -> DataFrame:  # noqa: B006
+    """(scope, entropy) of the first characters of each scope's first text that isn't empty, by id: what A14 compares with."""
+    head = F.left(X.text_of(F.col(text_col)), F.lit(chars))
+    first = df.where(head != "").groupBy(*scope).agg(F.min_by(head, F.struct(id_col, head)).alias("head"))
+    return X.char_entropy(first.where("head is not null"), "head", scope)
+
+
+def filter_entropy(patterns: DataFrame, entropy: DataFrame, least: float = 0.3, scope: list[str] = []) -> DataFrame:  # noqa: B006
+    """Adds entropy; patterns whose characters' entropy is at least a share of their scope's: of ``scope_entropy``'s rows
+    (scope, entropy), or without a scope the mean over the rows given. Patterns of scopes without a row stay."""
     own = X.char_entropy(patterns.select("pattern").distinct().withColumn("p", F.col("pattern")), "p", ["pattern"])
-    base = F.broadcast(entropy.agg(F.avg("entropy").alias("base")))  # one row
-    return patterns.join(own.hint("shuffle_merge"), "pattern").join(base).where(F.col("entropy") >= least * F.col("base")).drop("base")
+    rows = patterns.join(own.hint("shuffle_merge"), "pattern")
+    base = entropy.groupBy(*scope).agg(F.avg("entropy").alias("base"))
+    both = rows.join(base.hint("shuffle_merge"), scope, "left") if scope else rows.join(F.broadcast(base))  # one row
+    return both.where(F.col("entropy") >= least * F.coalesce("base", F.lit(0.0))).select(*patterns.columns, "entropy")
 
 
 def structural_score(col: Column) -> Column:
@@ -295,19 +311,71 @@ def chunk_text(df: DataFrame, size: int = 2000, overlap: int = 200, id_col: str
     return df.select(id_col, text.alias("t"), F.explode(starts).alias("start")).select(id_col, "start", F.substring(F.col("t"), F.col("start"), F.lit(size)).alias("chunk"))
 
 
+ITEM = "struct<strategy:string,kind:string,template:string,pattern:string>"
+
+
+def _items(text: Column, code: bool = True) -> Column:
+    """Array of (strategy, kind, template, pattern) of a text: tokens, lines, and of code-like texts constructs and templates'
+    instances."""
+    item = lambda strategy, x, kind=None, template=None: F.struct(F.lit(strategy).alias("strategy"), (F.lit(None).cast("string") if kind is None else kind).alias("kind"), (F.lit(None).cast("string") if template is None else template).alias("template"), x.alias("pattern"))
+    plain = [F.transform(tokens(text), lambda x: item("token", x)), F.transform(_lines(text, 3), lambda x: item("line", x))]
+    if not code:
+        return F.concat(*plain)
+    built = F.concat(F.transform(_constructs(text), lambda x: item("code", x["pattern"], x["kind"])), F.transform(_instances(text), lambda x: item("instance", x["instance"], x["kind"], x["template"])))
+    return F.concat(*plain, F.when(X.looks_like_code(text), built).otherwise(F.array().cast(f"array<{ITEM}>")))
+
+
+COUNT_KEYS = ("strategy", "kind", "template", "pattern")
+
+
+def raw_counts(df: DataFrame, scope: list[str] = [], text_col: str = "text") -> DataFrame:  # noqa: B006
+    """(scope, strategy, kind, template, pattern, n, df): all that A20 counts but n-grams, without thresholds, in one pass."""
+    return _counted(df, scope, _items(X.text_of(F.col(text_col))), COUNT_KEYS)
+
+
+def count_changes(texts: DataFrame, ngrams: tuple[int, ...] = ()) -> DataFrame:
+    """(strategy, kind, template, pattern, n, df): by how much ``raw_counts``, with character n-grams of ``ngrams`` lengths,
+    change if texts (before, after) do; null before: a text that is new."""
+    off = raw_counts(texts.select("before").where("before is not null"), text_col="before").withColumn("n", -F.col("n")).withColumn("df", -F.col("df"))
+    parts = [off, raw_counts(texts.select("after"), text_col="after")]
+    if ngrams:
+        none = F.lit(None).cast("string")
+        parts.append(gram_changes(texts, ngrams).select(F.concat(F.lit("gram"), F.col("length").cast("string")).alias("strategy"), none.alias("kind"), none.alias("template"), "pattern", "n", "df"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def add_counts(*parts: DataFrame) -> DataFrame:
+    """Counts and changes of counts added up."""
+    return reduce(DataFrame.unionByName, parts).groupBy(*COUNT_KEYS).agg(F.sum("n").alias("n"), F.sum("df").alias("df")).where("n <> 0")
+
+
+def patterns_of(counts: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
+    """(scope, pattern, n, df) that A20 takes from ``raw_counts``: tokens; lines, constructs and n-grams that come twice; templates
+    worth an entry, and their most frequent instances."""
+    some = lambda *which: counts.where(F.col("strategy").isin(*which))
+    grams = counts.where(F.startswith("strategy", F.lit("gram")) & (F.col("n") >= 2) & X.meaningful(F.col("pattern")))
+    twice = some("line", "code").where("n >= 2")
+    instances = some("instance").select(*scope, "kind", "template", F.col("pattern").alias("instance"), "n")
+    templates = _worth(instances.groupBy(*scope, "kind", "template").agg(F.sum("n").alias("n"), F.sum(F.length("instance") * F.col("n")).alias("total_len")), 3)
+    shown = _shown(instances.select(*scope, "kind", "template", F.col("instance").alias("pattern"), "n"), templates, 3, scope).withColumn("df", F.lit(None).cast("long"))
+    return reduce(DataFrame.unionByName, [x.select(*scope, "pattern", "n", "df") for x in (some("token"), twice, grams, shown)])
+
+
 def mine_patterns(df: DataFrame, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", strategies=None, min_n: int = 3, ngrams: tuple[int, ...] = (8, 16, 32), only: bool = False) -> DataFrame:  # noqa: B006
     """(scope, pattern, n, df): tokens, character n-grams, lines, code constructs and templates' instances (of texts
     that look like code), and what further strategies (U3: DataFrame to rows (scope, pattern, n, df)) find; counts of a
     pattern add up, df is the largest. ``only``: the further strategies alone."""
     found = [s(df) for s in strategies or ()]
     if not only:
-        code = df.where(X.looks_like_code(F.col(text_col)))
-        found += [mine_tokens(df, scope, id_col, text_col), mine_lines(df, scope, id_col, text_col), mine_code(code, scope, id_col, text_col)]
-        found.append(expand_templates(code, mine_templates(code, scope, id_col, text_col), text_col, scope=scope).withColumn("df", F.lit(None).cast("long")))
+        found.append(patterns_of(settle(raw_counts(df, scope, text_col), "raw-counts"), scope))
         if ngrams:
             found.append(mine_char_ngrams(df, ngrams, scope, id_col, text_col))
-    every = reduce(DataFrame.unionByName, [f.select(*scope, "pattern", "n", "df") for f in found])
-    return every.groupBy(*scope, "pattern").agg(F.sum("n").alias("n"), F.max("df").alias("df")).where(F.col("n") >= min_n)
+    return sum_patterns(reduce(DataFrame.unionByName, [f.select(*scope, "pattern", "n", "df") for f in found]), scope, min_n)
+
+
+def sum_patterns(rows: DataFrame, scope: list[str] = [], min_n: int = 3) -> DataFrame:  # noqa: B006
+    """(scope, pattern, n, df): counts of a pattern from several strategies add up, df is the largest."""
+    return rows.groupBy(*scope, "pattern").agg(F.sum("n").alias("n"), F.max("df").alias("df")).where(F.col("n") >= min_n)
 
 
 def consolidate(ranked: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006

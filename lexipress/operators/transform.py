@@ -11,6 +11,7 @@ from lexipress import catalogs
 from lexipress.functions import text as X
 from lexipress.operators import dictionary as D
 from lexipress.operators import mining as M
+from lexipress.operators.conversations import gate_reason
 from lexipress.storage import settle
 
 RULES = "array<struct<seq:int,symbol:string,pattern:string>>"
@@ -97,12 +98,13 @@ def comment_savings(df: DataFrame, by: list[str], text_col: str = "text", langua
 
 
 def extract_tool_calls(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, call, name, fields): flat JSON objects with a tool's name. Raw line ends and tabs within are repaired."""
-    found = F.regexp_extract_all(X.text_of(F.col(text_col)), F.lit(X.FLAT_OBJECT), F.lit(0))
-    rows = df.select(F.col(id_col), F.posexplode(found).alias("call", "object"))
-    fields = X.json_fields(F.col("object"))
+    """(id, call, name, fields, value): JSON objects of a text with a tool's name, over any number of lines and levels:
+    fields as strings (nested ones as JSON) and all of it as a VARIANT. Raw line ends and tabs in strings are repaired."""
+    rows = df.select(F.col(id_col), F.posexplode(X.tool_objects(X.text_of(F.col(text_col)))).alias("call", "object"))
+    rows = rows.withColumn("fields", X.json_fields(F.col("object")))
     name = F.coalesce(*[F.col("fields")[k] for k in catalogs.TOOL_KEYS[:5]])
-    return rows.withColumn("fields", fields).withColumn("name", name).where("name is not null").select(id_col, "call", "name", "fields")
+    value = F.coalesce(F.try_parse_json("object"), F.try_parse_json(X.repaired_json(F.col("object"))))
+    return rows.withColumn("name", name).withColumn("value", value).where("name is not null").select(id_col, "call", "name", "fields", "value")
 
 
 LARGE_FIELDS = ("content", "text", "code", "body", "data", "source", "script", "message", "description", "output", "input", "query", "file", "result")
@@ -123,45 +125,81 @@ def expand_fields(calls: DataFrame, dictionary: DataFrame) -> DataFrame:
     return _with_rules(calls, dictionary, []).withColumn("fields", F.transform_values("compressed", lambda k, v: expand_text(v, F.col("rules")))).drop("rules")
 
 
+def _assigned(mined: DataFrame, pool: DataFrame, scope: list[str], k: int, min_n: int, min_len: int) -> DataFrame:
+    """The dictionary of mined patterns with the symbols of a pool that is free."""
+    ranked = M.rank_patterns(M.consolidate(M.rank_patterns(mined, scope, k=2 * k, min_n=min_n, min_len=min_len), scope), scope, k=2 * k, min_n=min_n, min_len=min_len)
+    own = [c for c in scope if c in pool.columns]
+    return settle(D.assign_symbols(ranked, D.rank_symbols(pool, k=k, scope=own), scope, k), "dictionary")
+
+
 def build_dictionary(df: DataFrame, scope: list[str] = [], k: int = 262, min_n: int = 3, min_len: int = 3, private_use: bool = True, strategies=None) -> DataFrame:  # noqa: B006
-    """The dictionary of a table of documents (doc_id, text)."""
+    """The dictionary of a table of documents (doc_id, text); with a scope, one for each, with symbols
+    that no text of that scope holds."""
     mined = M.mine_patterns(df, scope, strategies=strategies, min_n=min_n)
-    ranked = M.rank_patterns(M.consolidate(M.rank_patterns(mined, scope, k=2 * k, min_n=min_n, min_len=min_len), scope), scope, k=2 * k, min_n=min_n, min_len=min_len)
-    pool = D.free_symbols(catalogs.symbol_pool(df.sparkSession, private_use), df)
-    return settle(D.assign_symbols(ranked, D.rank_symbols(pool, k=k), scope, k), "dictionary")
+    pool = settle(D.free_symbols(catalogs.symbol_pool(df.sparkSession, private_use), df, scope=scope, k=k), "pool")
+    return _assigned(mined, pool, scope, k, min_n, min_len)
+
+
+#: Reasons of F6 for which a text is analysed.
+OPEN = ("repetitive", "structured", "default")
 
 
-def compress(df: DataFrame, scope: list[str] = [], threshold: float = 0.01, strip: bool = False) -> DataFrame:  # noqa: B006
-    """C11: documents with compressed_text, accepted, final_text, gate and token figures. Texts with tool calls or
-    markdown keep their text; so do those that don't shrink by the threshold."""
+def compress(df: DataFrame, scope: list[str] = [], threshold: float = 0.01, strip: bool = False, **gate) -> DataFrame:  # noqa: B006
+    """C11: documents with compressed_text, accepted, final_text, gate (F6's reason, with its options) and token figures. Texts
+    with tool calls or markdown and short ones keep their text; so do those that don't shrink by the threshold."""
     text = X.text_of(F.col("text"))
     rows = df.withColumn("text", strip_comments(text, F.coalesce(X.detect_language(text), F.lit("")))) if strip else df.withColumn("text", text)
-    gate = F.when(X.has_tool_call(F.col("text")), "tool_call").when(X.has_markdown(F.col("text")), "markdown").otherwise("open")
-    rows = settle(rows.withColumn("gate", gate), "gated")
-    dictionary = build_dictionary(rows.where("gate = 'open'"), scope)
-    done = substitute(rows, dictionary, scope)
-    done = done.withColumn("compressed_text", F.when(F.col("gate") == "open", F.col("compressed_text")).otherwise(F.col("text")))
-    return D.token_efficiency(D.accept(done, threshold))
-
-
-def compress_multipass(df: DataFrame, passes: int = 3, adaptive: bool = False) -> tuple[DataFrame, list[dict]]:
-    """Documents after several passes, and a history of them (pass, entries, before, after). Fixed: at most 3
-    passes, until one gains under 2 %. Adaptive: at most 10, with min_n max(2, 3 - p div 3) and min_len max(3, 8 - p),
-    until one gains under 0.5 %. Only totals come to the driver; each pass is written to the shared folder."""
+    rows = settle(rows.withColumn("gate", gate_reason(F.col("text"), **gate)), "gated")
+    held = rows.where(F.col("gate").isin(*OPEN))
+    done = substitute(held, build_dictionary(held, scope), scope).drop("used")
+    kept = rows.where(~F.col("gate").isin(*OPEN)).withColumn("compressed_text", F.col("text")).withColumn("original_chars", F.length("text")).withColumn("compressed_chars", F.length("text"))
+    return D.token_efficiency(D.accept(done.unionByName(kept), threshold))
+
+
+HISTORY = "pass int, min_n int, min_len int, entries long, changed long, before long, after long"
+
+
+def compress_multipass(df: DataFrame, passes: int = 3, adaptive: bool = False, min_chars: int = 100, ngrams: tuple[int, ...] = (8, 16, 32), recount: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents after several passes, and their history, a table (pass, min_n, min_len, entries, changed documents,
+    characters before and after). Fixed: at most 3 passes, until one gains under 2 %. Adaptive: at most 10, with min_n
+    max(2, 3 - p div 3) and min_len max(3, 8 - p), until one gains under 0.5 %, or after the third under 0.1 %. Texts
+    shorter than ``min_chars`` stay as they are, and passes end where only such are left.
+
+    Counts of patterns live from pass to pass: those of texts that a pass changed are taken off and those of their new
+    texts put on; no other text is mined again (``recount``: all are, which gives the same). The pool loses the symbols
+    that a pass used."""
     passes, least = (min(passes, 10), 0.005) if adaptive else (min(passes, 3), 0.02)
+    spark = df.sparkSession
     rows = settle(df.withColumn("text", X.text_of(F.col("text"))), "pass")
-    history: list[dict] = []
+    long = F.length("text") >= min_chars
+    held = lambda text: F.when(F.length(text) >= min_chars, F.col(text)).otherwise(F.lit(""))
+    count = lambda some: settle(M.add_counts(M.count_changes(some.where(long).select(F.lit(None).cast("string").alias("before"), F.col("text").alias("after")), ngrams)), "counts")
+    counts = count(rows)
+    pool = settle(D.free_symbols(catalogs.symbol_pool(spark, private_use=True), rows), "pool")
+    history: list[tuple] = []
     for p in range(passes):
-        options = {"min_n": max(2, 3 - p // 3), "min_len": max(3, 8 - p)} if adaptive else {}
-        dictionary = build_dictionary(rows, **options)
-        done = settle(substitute(rows, dictionary).drop("text", "used").withColumnRenamed("compressed_text", "text"), "pass")
-        sums = done.agg(F.coalesce(F.sum("original_chars"), F.lit(0)).alias("before"), F.coalesce(F.sum("compressed_chars"), F.lit(0)).alias("after")).first()
+        min_n, min_len = (max(2, 3 - p // 3), max(3, 8 - p)) if adaptive else (3, 3)
+        mined = M.sum_patterns(M.patterns_of(counts), min_n=min_n)
+        dictionary = _assigned(mined, pool, [], 262, min_n, min_len)
+        active = rows.where(long)
+        done = settle(substitute(active, dictionary), "pass")
+        sums = done.agg(F.count("*").alias("rows"), F.coalesce(F.sum("original_chars"), F.lit(0)).alias("before"), F.coalesce(F.sum("compressed_chars"), F.lit(0)).alias("after"), F.count_if(F.size("used") > 0).alias("changed")).first()
         entries = dictionary.count()
-        history.append({"pass": p + 1, "entries": entries, "before": sums.before, "after": sums.after})
-        rows = done.select(*df.columns)
-        if not entries or sums.before - sums.after < least * sums.before:
+        if not sums.rows:
+            break
+        history.append((p + 1, min_n, min_len, entries, sums.changed, sums.before, sums.after))
+        new = done.drop("text").withColumnRenamed("compressed_text", "text").select(*df.columns)
+        rows = new.unionByName(rows.where(~long))
+        gain = (sums.before - sums.after) / max(sums.before, 1)
+        if not entries or gain < least or (adaptive and p >= 3 and gain < 0.001) or p + 1 == passes:
             break
-    return rows, history
+        touched = done.where(F.size("used") > 0)
+        if recount:
+            counts = count(rows)
+        else:
+            counts = settle(M.add_counts(counts, M.count_changes(touched.select(F.col("text").alias("before"), held("compressed_text").alias("after")), ngrams)), "counts")
+        pool = settle(pool.join(dictionary.select("symbol").hint("shuffle_merge"), "symbol", "left_anti"), "pool")
+    return rows, spark.createDataFrame(history, HISTORY)
 
 
 def renest_content(parts: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexipress import catalogs, sources
@@ -15,8 +18,9 @@ from lexipress.operators import reports as R
 from lexipress.operators import transform as C
 from lexipress.plans import derived as V
 from lexipress.plans.derived import CODE_SQL, COSTS_SQL, TURNS_SQL
-from lexipress.plans.text_queries import COUNTED, QUALITY_SQL, TOKENS_SQL
+from lexipress.plans.text_queries import COUNTED, QUALITY_SQL, TOKENS_SQL, _log_sql, _logs, tool_texts
 from lexipress.storage import fresh_path, settle
+from lexipress.streaming import conversations as live
 
 
 def _dictionary(s, d, k: int = 100):
@@ -32,11 +36,11 @@ def _pool_sql() -> str:
     return f"(select * from (values {values}) t(symbol, rank, kind, cost) union all select chr((57344 + i)::int), {len(catalogs.symbols(False))} + 1 + i, 'private', 3 from range(0, 6400) r(i))"
 
 
-def _dictionary_sql(k: int = 100) -> str:
+def _dictionary_sql(k: int = 100, docs: str = "documents") -> str:
     value = "greatest(0, (length(pattern) - length({0})) * n - (length(pattern) + length({0}) + 3)) / 4.0"
-    return f"""rows as (select doc_id, unnest({TOKENS_SQL}) as pattern from documents), counted as ({COUNTED.format(by='')}),
+    return f"""rows as (select doc_id, unnest({TOKENS_SQL}) as pattern from {docs} x), counted as ({COUNTED.format(by='')}),
 ranked as (select pattern, n from counted where n >= 3 and {QUALITY_SQL} qualify row_number() over (order by n * length(pattern) desc, pattern) <= {2 * k}),
-pool as (select p.* from {_pool_sql()} p where not exists (select 1 from documents where contains(text, p.symbol))),
+pool as (select p.* from {_pool_sql()} p where not exists (select 1 from {docs} x where contains(text, p.symbol))),
 symbols as (select symbol, row_number() over (order by cost + (kind = 'ascii')::int, length(symbol), rank) as srank from pool qualify srank <= {k}),
 best as (select pattern, n, row_number() over (order by {value.format("'α'")} desc, length(pattern) desc, pattern) as srank from ranked where {value.format("'α'")} > 0),
 dictionary as (select row_number() over (order by length(pattern) desc, pattern)::int as seq, symbol, pattern, n, round({value.format('symbol')}, 4) as value from best join symbols using (srank) where {value.format('symbol')} > 0)"""
@@ -67,7 +71,8 @@ def _rules(s, d):
     return rows.where(F.length("text") >= 10).select("conv_id", "turn", "text", F.upper(F.left("text", F.lit(2))).alias("symbol"), (F.col("n") * F.length("text")).alias("value"))
 
 
-RULES_SQL = f"""cand as (select conv_id, turn, text, upper(left(text, 2)) as symbol, n * length(text) as value from (select conv_id, turn, text, count(*) as n from (select conv_id, turn, unnest({TOKENS_SQL}) as text from conversations) u group by all) g where length(text) >= 10),
+RULE_ROWS_SQL = f"select conv_id, turn, text, upper(left(text, 2)) as symbol, n * length(text) as value from (select conv_id, turn, text, count(*) as n from (select conv_id, turn, unnest({TOKENS_SQL}) as text from conversations) u group by all) g where length(text) >= 10"
+RULES_SQL = f"""cand as ({RULE_ROWS_SQL}),
 firsts as (select * from cand qualify row_number() over (partition by conv_id, text order by turn, value desc, symbol) = 1),
 rules as (select conv_id, text, symbol, turn as first_turn, value from firsts qualify row_number() over (partition by conv_id order by turn, value desc, text) <= 40)"""
 
@@ -77,21 +82,35 @@ def _conflicts(s, d):
     return W.reassign_conflicts(W.additive_rules(_rules(s, d), 40), pool)
 
 
-def _sse(s, d):
-    """(request, seq, ts, value): a response per conversation, a line per turn, some empty, done or broken."""
-    m = V.messages(s, d)
-    body = F.to_json(F.struct(F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("id"), F.array(F.struct(F.lit(0).alias("index"), F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"), F.when(F.col("turn") % 2 == 1, F.struct(F.col("turn").alias("prompt_tokens"), F.length("text").cast("long").alias("completion_tokens"), (F.col("turn") + F.length("text")).cast("long").alias("total_tokens"))).alias("usage")))
+def _sse(s, d, m=None):
+    """(request, seq, ts, value): a response per conversation, a line per turn, some empty, done or broken. ``m``: messages with
+    a column ``said`` that is sent in place of the text."""
+    m = V.messages(s, d).withColumn("said", F.col("text")) if m is None else m
+    body = F.to_json(F.struct(F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("id"), F.array(F.struct(F.lit(0).alias("index"), F.struct(F.col("said").alias("content")).alias("delta"))).alias("choices"), F.when(F.col("turn") % 2 == 1, F.struct(F.col("turn").alias("prompt_tokens"), F.length("text").cast("long").alias("completion_tokens"), (F.col("turn") + F.length("text")).cast("long").alias("total_tokens"))).alias("usage")))
     value = F.when(F.col("turn") == 5, "data: {broken").when(F.col("turn") == 6, "").when(F.col("turn") == 7, "event: x").when(F.col("turn") == 3, "data: [DONE]").otherwise(F.concat(F.lit("data: "), body))
     return m.select(F.col("conv_id").alias("request"), F.col("turn").alias("seq"), F.timestamp_seconds(F.col("turn") + 1_700_000_000).alias("ts"), value.alias("value"))
 
 
+def _message_dictionary(s, d, k: int = 40):
+    m = V.messages(s, d)
+    pool = D.free_symbols(catalogs.symbol_pool(s, private_use=True), m, k=k)
+    return settle(D.assign_symbols(M.rank_patterns(M.mine_tokens(m), k=2 * k), D.rank_symbols(pool, k=k), k=k), "dictionary")
+
+
 def _chunks(s, d):
-    none = s.createDataFrame([(1, "§", "and")], "seq int, symbol string, pattern string")
-    return T.expand_stream(T.repair_chunks(T.parse_sse(_sse(s, d))), none)
+    """Turns are sent with symbols for their words, and expanded chunk by chunk."""
+    rules = _message_dictionary(s, d)
+    m = C.substitute(V.messages(s, d), rules).withColumn("said", F.col("compressed_text"))
+    return T.expand_stream(T.repair_chunks(T.parse_sse(_sse(s, d, m))), rules)
+
+
+SENT_SQL = "with " + _dictionary_sql(40, "(select conv_id, turn as doc_id, text from conversations)") + """, rules as (select list(struct_pack(s := symbol, p := pattern) order by seq) as r from dictionary),
+sent as (select *, list_reduce(list_prepend(struct_pack(s := '', p := text), (select r from rules)), lambda acc, x: struct_pack(s := '', p := replace(acc.p, x.p, x.s))).p as said from conversations)"""
 
 
 def _flat(df):
-    return df.select("request", "seq", "kind", "content")
+    sent = F.length(F.coalesce(F.get(F.col("chunk.choices"), F.lit(0))["delta"]["content"], F.lit("")))
+    return df.select("request", "seq", "kind", "content", sent.alias("sent_chars"))
 
 
 def _dict_round(s, d):
@@ -102,18 +121,35 @@ def _dict_round(s, d):
     return D.decode_dictionary(D.encode_dictionary(made, ["source"]), keys=["source"])
 
 
+ODD = ("a;b‖c⟦d", "list⟦int⟧", "x#DICT_END;y", "tail\\", "one\ntwo\\n", "plain text")
+
+
+def _odd_dictionary(s, d, plain: bool = False):
+    """(scope, seq, symbol, pattern): a dictionary per customer, an entry per order, patterns with separators and escapes."""
+    key = F.col("o_orderkey")
+    seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    odd = F.element_at(F.array(*[F.lit(x) for x in ODD]), (key % len(ODD) + 1).cast("int"))
+    return V.table(s, d, "orders").select(F.col("o_custkey").alias("scope"), seq.alias("seq"), F.decode(F.unhex(F.lpad(F.hex((F.lit(945) + seq).cast("long")), 4, "0")), "UTF-16BE").alias("symbol"), F.concat(odd, F.lit(" "), key.cast("string")).alias("pattern"))
+
+
+ODD_SQL = "odd as (select o_custkey as scope, row_number() over (partition by o_custkey order by o_orderkey)::int as seq, o_orderkey, ['a;b‖c⟦d', 'list⟦int⟧', 'x#DICT_END;y', 'tail' || chr(92), 'one' || chr(10) || 'two' || chr(92) || 'n', 'plain text'][o_orderkey % 6 + 1] || ' ' || o_orderkey as pattern from orders), entries as (select scope, seq, chr(945 + seq) as symbol, pattern from odd)"
+ESCAPED_SQL = "replace(replace(replace(replace(replace(pattern, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '‖', chr(92) || '‖'), '⟦', chr(92) || '⟦'), '#DICT_END', chr(92) || '#DICT_END')"
+
+
 def _stored(s, d):
     path = fresh_path(s, "stored")
-    sources.write_dictionary(_dictionary(s, d, 50), path)
-    return sources.read_dictionary(s, path).select("seq", "symbol", "pattern", "pattern_len")
+    sources.write_dictionary(_dictionary(s, d), path, prompt_chars=F.lit(1000).cast("long"))
+    return sources.read_dictionary(s, path).select("seq", "symbol", "pattern", "pattern_len", "prompt_chars", "savings", F.round("ratio", 6).alias("ratio"))
 
 
 def _requests(s, d):
-    """Conversations written as JSON lines of requests and read again."""
+    """Conversations written as JSON lines of requests, with fields that the schema doesn't name, and read again."""
     path = fresh_path(s, "requests")
     m = V.messages(s, d).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
-    m.select(F.col("conv_id").cast("string").alias("id"), F.lit("m").alias("model"), "messages").write.json(path)
-    return sources.read_requests(s, path).select("id", "model", "idx", "role", F.length("content").alias("chars"))
+    some = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("a"), F.col("conv_id").cast("string")))
+    m.select(F.col("conv_id").cast("string").alias("id"), F.lit("m").alias("model"), "messages", (F.col("conv_id") / 4).alias("temperature"), some.alias("stop"), F.struct(F.struct(F.col("conv_id").alias("k")).alias("inner")).alias("meta")).write.json(path)
+    field = lambda name, path, kind: F.try_variant_get(F.col("open")[name], path, kind)
+    return sources.read_requests(s, path).select("id", "model", "idx", "role", F.length("content").alias("chars"), field("temperature", "$", "double").alias("temperature"), field("stop", "$[1]", "string").alias("stop"), field("meta", "$.inner.k", "long").alias("k"), F.array_join(F.array_sort(F.map_keys("open")), ",").alias("names"))
 
 
 def _counts(s, d):
@@ -124,6 +160,16 @@ def _counts(s, d):
     return report
 
 
+def _token_store(s, d):
+    """A store on disk, run over half of the texts, then over all, then over all again a day and a half later."""
+    path = fresh_path(s, "token-store")
+    docs, at = V.documents(s, d), lambda x: F.lit(x).cast("timestamp")
+    runs = [D.update_token_store(some, path, at(now)) for some, now in ((docs.where("doc_id % 2 = 0"), "2026-01-02 00:00:00"), (docs, "2026-01-02 06:00:00"), (docs, "2026-01-02 07:00:00"), (docs, "2026-01-03 18:00:00"))]
+    reports = [r.select(F.lit(i + 1).alias("run"), "hits", "misses") for i, r in enumerate(runs)]
+    kept = D.read_token_store(s, path, at("2026-01-03 18:00:00")).agg(F.count("*").alias("stored"), F.sum("tokens").alias("tokens"))
+    return reduce(DataFrame.unionByName, reports).join(F.broadcast(kept))  # one row
+
+
 def _calls(s, d):
     return C.extract_tool_calls(V.tool_docs(s, d))
 
@@ -202,6 +248,50 @@ def _conversation_stream(s, d):
     return _stateful(s, V.turns(s, d).select("conv_id", "turn", "original_chars", "compressed_chars"), T.conversation_stream)
 
 
+def _live_turns(s, d, gap: int):
+    """Turns as they would arrive: (TURN columns, part); a minute apart, ``gap`` seconds more after each third."""
+    rules = _rules(s, d).groupBy("conv_id", "turn").agg(F.collect_list(F.struct("text", "symbol", "value")).alias("rules"))  # one turn's
+    m = _metrics(s, d, mode="stateful").select(*[F.col(c).cast("long").alias(c) for c in ("conv_id", "turn", "original_chars", "compressed_chars")], "net_efficiency")
+    ts = F.timestamp_seconds(1_700_000_000 + 60 * F.col("turn") + gap * F.floor(F.col("turn") / 3))
+    part = (F.pmod("conv_id", F.lit(3)) + F.pmod(F.xxhash64("conv_id", "turn"), F.lit(2))).cast("int")
+    return m.join(rules.hint("shuffle_merge"), ["conv_id", "turn"], "left").withColumn("ts", ts).withColumn("part", part)
+
+
+def _conversation_state(s, d, gap: int = 0):
+    """Turns shuffled over four files, a batch each, and a last row that lets the watermark pass them all."""
+    source, out = fresh_path(s, "turns-in"), fresh_path(s, "turns-out")
+    rows = settle(_live_turns(s, d, gap), "turns")
+    last = rows.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), "ts", F.lit(0).cast("long").alias("original_chars"), F.lit(0).cast("long").alias("compressed_chars"), F.lit(0.0).alias("net_efficiency"))
+    for part in range(4):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
+    last.join(rows.drop("part").limit(0).select("rules"), F.lit(True), "left").coalesce(1).write.mode("append").parquet(source)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(name)
+    s.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = s.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(source)
+        query = live.conversation_state(stream, "10 days", k=40).writeStream.format("parquet").option("checkpointLocation", fresh_path(s, "stream-cp")).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+    finally:
+        s.conf.set(name, before)
+    rule_names = F.array_join(F.array_sort(F.transform("rules", lambda x: F.concat(x["text"], F.lit("="), x["symbol"]))), " ")
+    return s.read.schema(live.OUTPUT).parquet(out).where("conv_id >= 0").select("conv_id", "turn", "turns", "original_chars", "compressed_chars", "cumulative_ratio", "trend", "symbols_used", "should_continue", rule_names.alias("rules"))
+
+
+def _state_sql(session: str) -> str:
+    """W6, W7, W3 and W8 by window, within sessions of a conversation."""
+    return f"""with {STATEFUL}, cand as (select *, {session} as session from ({RULE_ROWS_SQL}) c),
+firsts as (select * from cand qualify row_number() over (partition by conv_id, session, text order by turn, value desc, symbol) = 1),
+kept as (select * from firsts qualify row_number() over (partition by conv_id, session order by turn, value desc, text) <= 40),
+added as (select conv_id, turn, count(*) as n, string_agg(text || '=' || symbol, ' ' order by text || '=' || symbol) as rules from kept group by all),
+r as (select m.*, {session} as session, coalesce(n, 0) as n, coalesce(rules, '') as rules from m left join added using (conv_id, turn)),
+t as (select *, case when count(*) over w < 3 then 'insufficient_data' when net_efficiency - first_value(net_efficiency) over w > 0.01 then 'improving' when net_efficiency - first_value(net_efficiency) over w < -0.01 then 'declining' else 'stable' end as trend,
+  count(*) over a as turns, sum(original_chars) over a as o, sum(compressed_chars) over a as c, sum(n) over a as symbols_used, lag(net_efficiency) over v as prior
+  from r window v as (partition by conv_id, session order by turn), a as (partition by conv_id, session order by turn rows unbounded preceding), w as (partition by conv_id, session order by turn rows between 2 preceding and current row))
+select conv_id, turn, turns, o::bigint as original_chars, c::bigint as compressed_chars, round((o - c) / greatest(o, 1), 4) as cumulative_ratio, trend, symbols_used::bigint as symbols_used,
+  case when turns <= 2 then true when symbols_used >= 40 then false when net_efficiency < 0.01 and prior < 0.01 then false when trend = 'declining' and net_efficiency < 0.02 then false when turns > 20 and net_efficiency < 0.02 then false else true end as should_continue, rules from t"""
+
+
 def _read_sse(s, d):
     """S3: the lines of each response as a text file, read as a stream."""
     folder, out = fresh_path(s, "sse-in"), fresh_path(s, "sse-out")
@@ -211,6 +301,13 @@ def _read_sse(s, d):
     return s.read.parquet(out).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def _tagged(s, d):
+    """Messages with the first tag of the log catalog that they hold, by a join with the catalog."""
+    tags = F.broadcast(catalogs.log_tags(s))
+    rows = _logs(s, d).join(tags, F.expr("contains(upper(message), tag)"), "left").groupBy("event_id").agg(F.min_by("category", "priority").alias("category"))
+    return rows.groupBy(F.coalesce("category", F.lit(catalogs.DEFAULT_CATEGORY)).alias("category")).agg(F.count("*").alias("n"))
+
+
 def _upper_fields(s, d):
     """A caller's compressor that drops vowels."""
     done = C.substitute_fields(_calls(s, d), _dictionary(s, d, 5), 300, lambda text, rules: F.regexp_replace(text, "[aeiou]", ""))
@@ -226,6 +323,8 @@ def _long_words(df):
 QUERIES = {
     "s3_sse_stream": _read_sse,
     "t5_conversation_stream": _conversation_stream,
+    "t5_conversation_state": _conversation_state,
+    "t6_idle_state": lambda s, d: _conversation_state(s, d, 7200),
     "t5_rule_stream": lambda s, d: _stateful(s, _rules(s, d), lambda rows: T.rule_stream(rows, 40)),
     "w3_analyse": _analysed,
     "p7_session_key": _session_keys,
@@ -241,6 +340,9 @@ QUERIES = {
     "s6_expire": lambda s, d: sources.expire(V.table(s, d, "events"), "ts", F.lit("2024-01-03 00:00:00").cast("timestamp"), 24).agg(F.count("*").alias("n")),
     "s7_op_log": lambda s, d: V.op_log(s, d).groupBy("phase", "level").agg(F.count("*").alias("n")),
     "s8_catalogs": lambda s, d: V.code_docs(s, d).select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_like("text", F.lit(p)).alias("hit")) for k, p, *_ in catalogs.CODE_PATTERNS]))).groupBy("kind").agg(F.count_if("hit").alias("n")),
+    "s8_log_tags": lambda s, d: _tagged(s, d),
+    "s8_comment_rules": lambda s, d: V.code_docs(s, d).select("filename").unionByName(V.table(s, d, "pages").select("url").withColumnRenamed("url", "filename")).join(F.broadcast(catalogs.comment_rules(s).select("language", "line", F.explode("endings").alias("ending"))), F.expr("endswith(lower(filename), ending)")).groupBy("language", "line", "ending").agg(F.count("*").alias("n")),
+    "d2_by_scope": lambda s, d: D.free_symbols(catalogs.symbol_pool(s), V.documents(s, d).withColumn("text", F.concat("text", F.element_at(F.array(F.lit("α"), F.lit("|A"), F.lit("€")), F.length("source") % 3 + 1))), scope=["source"]).select("source", "symbol", "rank"),
     "d1_rank_symbols": lambda s, d: D.rank_symbols(V.symbol_costs(s, d).groupBy("symbol").agg(F.lit("unicode").alias("kind"), F.min(F.substring("symbol", 2, 9).cast("int")).alias("rank"), F.lit(9).alias("cost")), V.symbol_costs(s, d), "f1", 100),
     "d2_free_symbols": lambda s, d: D.free_symbols(catalogs.symbol_pool(s), V.documents(s, d)).select("symbol", "rank"),
     "d3_value": lambda s, d: M.rank_patterns(M.mine_tokens(V.documents(s, d)), k=300).select("pattern", F.round(D.assignment_value(F.col("pattern"), F.col("n"), F.lit("α")), 4).alias("by_tokens"), F.round(D.assignment_value(F.col("pattern"), F.col("n"), F.lit("α"), "chars"), 4).alias("by_chars")),
@@ -254,9 +356,12 @@ QUERIES = {
     "d11_compare_families": lambda s, d: D.compare_families(V.symbol_costs(s, d), "f0", "f1"),
     "d12_context_efficiency": lambda s, d: D.context_efficiency(V.symbol_costs(s, d).select("symbol").distinct(), [("the ", " of"), ("x=", ";")], lambda c: X.token_estimate(c, "words")),
     "d13_d14_dictionary_text": _dict_round,
+    "d13_encoded": lambda s, d: D.encode_dictionary(_odd_dictionary(s, d), ["scope"]),
+    "d14_odd_round_trip": lambda s, d: D.decode_dictionary(D.encode_dictionary(_odd_dictionary(s, d), ["scope"]), keys=["scope"]),
     "d15_prompt": lambda s, d: D.dictionary_prompt(_dictionary(s, d, 20)),
     "d16_overhead": lambda s, d: D.prompt_overhead(_dictionary(s, d, 20)),
     "d17_token_counts": _counts,
+    "d17_token_store": _token_store,
     "c1_substitute": lambda s, d: C.substitute(V.documents(s, d), _dictionary(s, d)).select("doc_id", F.md5("compressed_text").alias("md5"), "original_chars", "compressed_chars"),
     "c2_expand": lambda s, d: C.expand(C.substitute(V.documents(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", F.md5("expanded_text").alias("md5")),
     "c3_roundtrip": lambda s, d: C.roundtrip_report(V.documents(s, d), _dictionary(s, d), ["source"]),
@@ -264,9 +369,11 @@ QUERIES = {
     "c4_strip_html_comments": lambda s, d: V.table(s, d, "pages").select("page_id", F.md5(C.strip_comments(F.col("html"), F.lit("html"))).alias("md5")),
     "c5_comment_savings": lambda s, d: C.comment_savings(V.code_docs(s, d).withColumn("language", X.detect_language(F.col("text"), F.col("filename"))), ["language"]),
     "c6_tool_calls": lambda s, d: _calls(s, d).select("doc_id", "name", F.col("fields")["path"].alias("path"), F.md5(F.col("fields")["content"]).alias("content_md5")),
+    "c6_nested_calls": lambda s, d: C.extract_tool_calls(tool_texts(s, d)).select("doc_id", "call", "name", F.try_variant_get("value", "$.arguments.path", "string").alias("path"), F.try_variant_get("value", "$.arguments.opts.n[1].m", "int").alias("m"), F.try_variant_get("value", "$.deep.path", "string").alias("deep"), F.size(F.map_keys("fields")).alias("fields")),
     "c7_fields": lambda s, d: C.expand_fields(C.substitute_fields(_calls(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", F.md5(F.col("fields")["content"]).alias("content_md5")),
     "c8_multipass": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 3)[0].select("doc_id", F.length("text").alias("chars")),
-    "c9_adaptive": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 4, adaptive=True)[0].select("doc_id", F.length("text").alias("chars")),
+    "c9_adaptive": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 10, adaptive=True)[0].select("doc_id", F.length("text").alias("chars")),
+    "c8_history": lambda s, d: C.compress_multipass(V.messages(s, d).select("conv_id", "turn", "text"))[1],
     "c10_renest": lambda s, d: C.renest_content(V.messages(s, d).select("conv_id", "turn", F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("parts")), V.messages(s, d).select("conv_id", "turn", F.lit(0).alias("idx"), F.concat(F.lit("x"), "text").alias("text")), ["conv_id", "turn"]).select("conv_id", "turn", F.md5(F.col("parts")[0]["text"]).alias("md5")),
     "c11_compress": lambda s, d: C.compress(V.documents(s, d)).select("doc_id", "gate", "accepted", F.length("final_text").alias("chars")),
     "c12_estimate_ratio": lambda s, d: C.estimate_ratio(C.substitute(V.documents(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", "ratio"),
@@ -311,7 +418,7 @@ VALUE_SQL = f"least({EST.format('pattern')} - {EST.format('symbol')}, length(pat
 ENTRY_SQL = EST.format("(chr(10) || pattern || '=' || symbol)")
 TOKEN_VALUE_SQL = f"case when {VALUE_SQL} <= 0 then -1 when n >= 5 and {VALUE_SQL} * n - {ENTRY_SQL} > -2 then greatest({VALUE_SQL} * n - {ENTRY_SQL}, 0.1) else {VALUE_SQL} * n - {ENTRY_SQL} end"
 SYMBOLS_SQL = f"select symbol, row_number() over (order by cost + (kind = 'ascii')::int, length(symbol), rank)::int as srank from {_pool_sql()} p where kind <> 'private' qualify srank <= "
-PROMPT_TEXT = """prompt as (select case when count(*) >= 3 then '#DICT ' || case when bool_or(regexp_matches(pattern, '[;:]')) then string_agg(symbol || '⟦' || pattern, '‖' order by seq) else string_agg(symbol || ':' || pattern, ';' order by seq) end || '#DICT_END'
+PROMPT_TEXT = """prompt as (select case when count(*) >= 3 then '#DICT ' || case when bool_or(regexp_matches(pattern, '[;:]')) then string_agg(symbol || '⟦' || pattern || '‖', '' order by seq) else string_agg(symbol || ':' || pattern || ';', '' order by seq) end || '#DICT_END'
   else 'Symbols stand for text:' || chr(10) || string_agg(symbol || ' = ' || pattern, chr(10) order by seq) end as prompt from dictionary)"""
 PY, JS = "regexp_replace(text, '(?m) *#.*$', '', 'g')", "regexp_replace(text, '(?m)^//.*$', '', 'g')"
 WORDS_SQL = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> ''))"
@@ -341,6 +448,8 @@ SQL = {
     "d6_metrics": f"{DICT}, o as (select sum(length(text))::bigint as original_chars from documents), v as (select *, least(greatest({TOKEN_VALUE_SQL}, 0), (original_chars // 4) * 0.1::double)::double as each from dictionary, o), g as (select count(*) as entries, sum((length(pattern) - length(symbol)) * n)::bigint as chars_saved, greatest(0, least(floor(sum(each)), floor((original_chars // 4) * 0.8), original_chars // 4 - 1))::bigint as tokens_saved, original_chars from v group by original_chars) select *, round(least(0.95, tokens_saved / greatest(original_chars // 4, 1)), 4)::double as ratio from g",
     "d12_context_efficiency": f"with {COSTS_SQL}, x as (select distinct symbol from costs), y as (select symbol, unnest([{WORDS_SQL.format("('the ' || symbol || ' of')")} - {WORDS_SQL.format("'the  of'")}, {WORDS_SQL.format("('x=' || symbol || ';')")} - {WORDS_SQL.format("'x=;'")}]) as added from x) select symbol, round(avg(1.0 / greatest(1, added + 1)), 4)::double as efficiency from y group by 1",
     "d13_d14_dictionary_text": f"with rows as (select source, doc_id, unnest({TOKENS_SQL}) as pattern from documents), c as ({COUNTED.format(by='source,')}), r as (select source, pattern, n from c where n >= 3 and {QUALITY_SQL} qualify row_number() over (partition by source order by n * length(pattern) desc, pattern) <= 10), s as ({SYMBOLS_SQL} 10), b as (select *, row_number() over (partition by source order by greatest(0, (length(pattern) - 1) * n - (length(pattern) + 4)) desc, length(pattern) desc, pattern)::int as srank from r where (length(pattern) - 1) * n > length(pattern) + 4) select source, row_number() over (partition by source order by length(pattern) desc, pattern)::int as seq, symbol, pattern from b join s using (srank) where (length(pattern) - length(symbol)) * n > length(pattern) + length(symbol) + 3",
+    "d13_encoded": f"with {ODD_SQL}, e as (select scope, seq, symbol, {ESCAPED_SQL} as p, pattern from entries), o as (select scope, bool_or(contains(pattern, ';') or contains(pattern, ':') or contains(pattern, '#DICT_END')) as odd from entries group by 1) select scope, '#DICT ' || case when odd then string_agg(symbol || '⟦' || p || '‖', '' order by seq) else string_agg(symbol || ':' || p || ';', '' order by seq) end || '#DICT_END' as dict_text from e join o using (scope) group by scope, odd",
+    "d14_odd_round_trip": f"with {ODD_SQL} select * from entries",
     "d15_prompt": f"with {_dictionary_sql(20)}, {PROMPT_TEXT} select prompt from prompt",
     "d16_overhead": f"with {_dictionary_sql(20)}, {PROMPT_TEXT} select floor(length(prompt) / 3.5 * 1.15)::int as overhead_tokens from prompt",
     "c4_strip_comments": f"with {CODE_SQL} select doc_id, md5(case when doc_id % 2 = 0 then {PY} else {JS} end) as md5 from code_docs",
@@ -351,11 +460,14 @@ SQL = {
     "t4_response_metrics": f"with k as (select conv_id as request, turn, make_timestamp((turn + 1700000000) * 1000000) as ts, {SSE_KIND} as kind, case when turn in (3, 5, 6, 7) then '' else text end as content, turn not in (3, 5, 6, 7) and turn % 2 = 1 as counted, length(text) as n from conversations) select request, min(ts) filter (content <> '') as first_token_ts, arg_max(turn, turn) filter (counted) as prompt_tokens, arg_max(n, turn) filter (counted) as completion_tokens, arg_max(turn + n, turn) filter (counted) as total_tokens, coalesce(string_agg(content, '' order by turn), '') as text, bool_or(kind = 'done') as done from k group by 1",
     "slice_savings": f"{SUB}, g as (select source, lang, {SAVED} from sub group by all) select {SAVED_REST} from g",
     "s1_messages": "select role, count(*) as n, sum(length(text))::bigint as chars from conversations group by 1",
-    "s2_requests": "select conv_id::varchar as id, 'm' as model, (row_number() over (partition by conv_id order by turn) - 1)::int as idx, role, length(text)::int as chars from conversations",
-    "s5_stored_dictionary": "with " + _dictionary_sql(50) + " select seq, symbol, pattern, length(pattern)::int as pattern_len from dictionary",
+    "s2_requests": "select conv_id::varchar as id, 'm' as model, (row_number() over (partition by conv_id order by turn) - 1)::int as idx, role, length(text)::int as chars, conv_id / 4 as temperature, case when conv_id % 2 = 0 then conv_id::varchar end as stop, conv_id::bigint as k, case when conv_id % 2 = 0 then 'meta,stop,temperature' else 'meta,temperature' end as names from conversations",
+    "s5_stored_dictionary": "with " + _dictionary_sql() + " select seq, symbol, pattern, length(pattern)::int as pattern_len, 1000::bigint as prompt_chars, ((length(pattern) - length(symbol)) * n)::bigint as savings, round((length(pattern) - length(symbol)) * n / 1000, 6) as ratio from dictionary",
     "s6_expire": "select count(*) as n from events where ts >= timestamp '2024-01-02 00:00:00'",
     "s7_op_log": "select event_type as phase, 'INFO' as level, count(*) as n from events group by 1",
     "s8_catalogs": f"with {CODE_SQL}, k as (" + " union all ".join(f"select '{k}' as kind, count(*) filter (regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')) as n from code_docs group by 1" for k, p, *_ in catalogs.CODE_PATTERNS) + ") select kind, sum(n)::bigint as n from k group by 1",
+    "s8_log_tags": _log_sql(),
+    "s8_comment_rules": f"with {CODE_SQL}, f as (select filename from code_docs union all select url from pages), r as (select * from (values " + ", ".join(f"('{n}', {'null' if line is None else repr(line)}, '{e}')" for n, ends, _, _, line in catalogs.LANGUAGES for e in ends) + ") t(language, line, ending)) select language, line, ending, count(*) as n from f join r on ends_with(lower(filename), ending) group by all",
+    "d2_by_scope": f"with t as (select source, text || ['α', '|A', '€'][length(source) % 3 + 1] as text from documents), k as (select distinct source from documents) select k.source, symbol, rank from k, {_pool_sql()} p where kind <> 'private' and not exists (select 1 from t where t.source is not distinct from k.source and contains(t.text, p.symbol))",
     "d1_rank_symbols": f"with {COSTS_SQL}, c as (select symbol, coalesce(max(tokens) filter (family = 'f1'), floor(avg(tokens)))::int as cost, min(substr(symbol, 2)::int) as r from costs group by 1) select symbol, cost, row_number() over (order by cost, length(symbol), r)::int as srank from c qualify srank <= 100",
     "d2_free_symbols": f"select symbol, rank from {_pool_sql()} p where kind <> 'private' and not exists (select 1 from documents where contains(text, p.symbol))",
     "d4_dictionary": f"{DICT} select * from dictionary",
@@ -368,11 +480,13 @@ SQL = {
     "d10_symbol_stats": f"with {COSTS_SQL}, r as (select *, row_number() over (partition by family order by tokens, symbol) as b, row_number() over (partition by family order by tokens desc, symbol) as w from costs) select family, count(*) as n, min(tokens) as least, max(tokens) as most, round(avg(tokens), 4) as mean, count(*) filter (tokens = 1) as single, count(*) filter (tokens > 1) as multi, string_agg(symbol, ' ' order by b) filter (b <= 10) as best, string_agg(symbol, ' ' order by w) filter (w <= 10) as worst from r group by 1",
     "d11_compare_families": f"with {COSTS_SQL}, x as (select a.symbol, a.tokens - b.tokens as diff from costs a join costs b using (symbol) where a.family = 'f0' and b.family = 'f1'), g as (select count(*) filter (diff < 0) as better, count(*) filter (diff > 0) as worse, count(*) filter (diff = 0) as equal, round(avg(diff), 4) as mean_diff from x) select * from (select * from x order by abs(diff) desc, symbol limit 20) t, g",
     "d17_token_counts": "with k as (select md5('chars' || text) as key, count(*) as asked, bool_or(doc_id % 2 = 0) as known from documents group by 1) select sum(case when known then asked else asked - 1 end)::bigint as hits, count(*) filter (not known) as misses from k",
+    "d17_token_store": f"with k as (select md5(text) as key, any_value(text) as text, count(*) as asked, count(*) filter (doc_id % 2 = 0) as even from documents group by 1), t as (select count(*) as stored, sum({EST.format('text')})::bigint as tokens, sum(asked)::bigint as asked, sum(even)::bigint as even, count(*) filter (even > 0) as first, coalesce(sum(asked) filter (even > 0), 0)::bigint as again from k) select run, case run when 1 then even - first when 2 then again + (asked - again) - (stored - first) when 3 then asked else asked - stored end::bigint as hits, case run when 1 then first when 2 then stored - first when 3 then 0 else stored end::bigint as misses, stored, tokens from t, (select unnest([1, 2, 3, 4])::int as run) r",
     "c1_substitute": f"{SUB} select doc_id, md5(compressed_text) as md5, length(text)::int as original_chars, length(compressed_text)::int as compressed_chars from sub",
     "c2_expand": "select doc_id, md5(text) as md5 from documents",
     "c3_roundtrip": "select source, count(*) as docs, 0::bigint as broken from documents group by 1",
     "c4_strip_html_comments": r"select page_id, md5(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g')) as md5 from pages",
     "c6_tool_calls": f"select doc_id, 'read_file' as name, {PATH_} as path, md5({CLEAN}) as content_md5 from documents",
+    "c6_nested_calls": "select doc_id, case when doc_id % 7 = 1 then 1 else 0 end::int as call, case doc_id % 7 when 0 then 'write' when 1 then 'go' when 2 then '1' else 'run' || chr(10) || 'now' end as name, case when doc_id % 7 = 0 then 'f' || doc_id end as path, case when doc_id % 7 = 0 then 2 end::int as m, case when doc_id % 7 = 5 then 'x' end as deep, case doc_id % 7 when 0 then 3 when 2 then 1 else 2 end::int as fields from documents where doc_id % 7 in (0, 1, 2, 5)",
     "c7_fields": f"select doc_id, md5({CLEAN}) as content_md5 from documents",
     "c10_renest": "select conv_id, turn, md5('x' || text) as md5 from conversations",
     "c12_estimate_ratio": f"{SUB} select doc_id, round(greatest(0, least(1, 1 - length(compressed_text) / greatest(length(text), 1))), 4) as ratio from sub",
@@ -400,10 +514,12 @@ select conv_id, text, symbol, first_turn, value from kept union all select l.con
     "r4_timing_shares": f"{REQ_SQL} select conv_id, phase, seconds, round(seconds / (prompt_s + generation_s), 4) as share from (select *, unnest(['prompt_s', 'generation_s']) as phase, unnest([prompt_s, generation_s]) as seconds from q) x",
     "r5_op_timing": "with e as (select event_type as phase, ts, user_id::varchar as who, floor(value * 100) / 100 as s from events), r as (select *, row_number() over (partition by phase order by ts desc, who, s) as r from e) select phase, count(*) as n, round(avg(s), 4) as avg_s, min(s) as min_s, max(s) as max_s, round(avg(s) filter (r <= 10), 4) as recent_avg_s from r group by 1",
     "t1_parse_sse": "select case turn when 5 then 'bad' when 6 then 'empty' when 7 then 'field' when 3 then 'done' else 'data' end as kind, count(*) as n from conversations group by 1",
-    "t2_t3_chunks": "select conv_id as request, turn as seq, case turn when 5 then 'bad' when 6 then 'empty' when 7 then 'field' when 3 then 'done' else 'data' end as kind, case when turn in (3, 5, 6, 7) then '' else text end as content from conversations",
+    "t2_t3_chunks": SENT_SQL + " select conv_id as request, turn as seq, case turn when 5 then 'bad' when 6 then 'empty' when 7 then 'field' when 3 then 'done' else 'data' end as kind, case when turn in (3, 5, 6, 7) then '' else text end as content, case when turn in (3, 5, 6, 7) then 0 else length(said) end::int as sent_chars from sent",
     "t7_log_rates": "select date_trunc('hour', ts) as start, event_type as phase, 'request_processing' as category, count(*) as n, round(sum(value), 3) as seconds from events group by all",
 }
 
+SQL["t5_conversation_state"] = _state_sql("0")
+SQL["t6_idle_state"] = _state_sql("turn // 3")
 SQL["t5_rule_stream"] = SQL["w3_additive_rules"]
 SQL["w3_analyse"] = f"""with recursive {TURNS_SQL}, {RULES_SQL}, new as (select conv_id, turn, count(*) as n from firsts group by all),
 t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as place, compressed_chars > 100 as large, greatest(12, case when compressed_chars > 500 then 350 else 0 end, case when original_chars > 750 then 500 else 0 end) as most, coalesce(n, 0) as n from turns left join new using (conv_id, turn)),

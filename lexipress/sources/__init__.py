@@ -23,9 +23,13 @@ def _schema(ddl: str):
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Request logs as JSON lines, a row per message: (id, ts, model, headers, params, extras, idx, role, content).
-    Fields that the schema doesn't name are in no column; broken lines have null ids."""
-    rows = spark.read.schema(REQUEST).json(path)
+    """Request logs as JSON lines, a row per message: (id, ts, model, headers, params, extras, open, idx, role, content).
+    ``open``: fields that the schema doesn't name, each as a VARIANT, so that numbers, lists and nested objects keep their
+    form; null for broken lines, whose ids are null."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    named = [f.name for f in _schema(REQUEST)]
+    fields = F.map_filter(F.from_json("value", "map<string,variant>"), lambda k, _: ~k.isin(*named))
+    rows = lines.select(F.from_json("value", REQUEST).alias("r"), fields.alias("open")).select("r.*", "open")
     return rows.select(*[c for c in rows.columns if c != "messages"], F.posexplode_outer("messages").alias("idx", "m")).select("*", "m.role", F.coalesce("m.content", F.lit("")).alias("content")).drop("m")
 
 
@@ -58,11 +62,25 @@ def expire(df: DataFrame, ts: str, now: Column, hours: int = 24) -> DataFrame:
 
 
 def expire_stored(spark: SparkSession, path: str, ts: str, now: Column, hours: int = 24, scope_cols: list[str] = []) -> DataFrame:  # noqa: B006
-    """Rewrites stored rows without those older than so many hours and returns them; partitions with none left go. What
-    stays is in the shared folder before anything is overwritten, so a job that is cut off loses nothing."""
-    kept = settle(expire(spark.read.parquet(path), ts, now, hours), "kept")
-    kept.write.mode("overwrite").partitionBy(*scope_cols).parquet(path)
-    return spark.read.schema(kept.schema).parquet(path)
+    """Removes stored rows older than so many hours and returns what is left. Only partitions that hold such rows are
+    written anew, by dynamic partition overwrite; others keep their files, and partitions with nothing left go. What
+    stays of a partition is in the shared folder before it is overwritten, so a job that is cut off loses nothing."""
+    stored = spark.read.parquet(path)
+    old = F.coalesce(F.col(ts) < now - F.expr(f"interval {int(hours)} hours"), F.lit(True))
+    if not scope_cols:
+        kept = settle(expire(stored, ts, now, hours), "kept")
+        kept.write.mode("overwrite").parquet(path)
+        return spark.read.schema(kept.schema).parquet(path)
+    found = stored.select(*scope_cols, old.alias("old"), F.col("_metadata.file_path").alias("file")).groupBy(*scope_cols)
+    touched = settle(found.agg(F.count_if("old").alias("gone"), F.count_if(~F.col("old")).alias("left"), F.min("file").alias("file")).where("gone > 0"), "touched")
+    on = [stored[c].eqNullSafe(touched[c]) for c in scope_cols]
+    kept = settle(stored.join(touched.hint("shuffle_merge"), on, "left_semi").where(~old), "kept")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*scope_cols).parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for r in touched.where(F.col("left") == 0).select("file").toLocalIterator():  # a row a partition that is gone
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r.file)).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+    return spark.read.schema(stored.schema).parquet(path)
 
 
 def read_op_log(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from lexipress.functions import text as X
 from lexipress.operators import conversations as W
 from lexipress.operators import dictionary as D
 from lexipress.operators import mining as M
+from lexipress.operators import ngrams as N
 from lexipress.operators import prompts as P
 from lexipress.operators import transform as C
 from lexipress.operators.graph import connected_components
@@ -58,7 +59,8 @@ def test_sql_comments(spark):
 def test_tool_calls_and_gates(spark):
     call = 'see {"tool": "read_file", "path": "a.txt", "content": "x\ny"} end'
     assert one(spark, X.has_tool_call(F.lit(call))) and not one(spark, X.has_tool_call(F.lit('{"name": "x"}')))
-    assert one(spark, X.has_tool_call(F.lit("<tool_call>\nrun\n</tool_call>")))
+    assert one(spark, X.has_tool_call(F.lit("<tool_use id='1'>\n <name>run</name>\n<Parameters>")))
+    assert one(spark, X.has_tool_call(F.lit("<function_calls>\n<invoke name='x'>"))) and not one(spark, X.has_tool_call(F.lit("<tool_call>\nrun\n</tool_call>")))
     df = spark.createDataFrame([(1, call)], "doc_id long, text string")
     row = C.extract_tool_calls(df).first()
     assert row.name == "read_file" and row["fields"]["content"] == "x\ny"
@@ -79,7 +81,9 @@ def test_round_trip_and_symbols(spark):
     for scope in ([], ["doc_id"]):
         made = C.build_dictionary(df, scope)
         rows = made.collect()
-        assert rows and not {"α", "Ω"} & {r.symbol for r in rows}
+        own = {i: t or "" for t, i in texts}
+        assert rows and not [r for r in rows if any(r.symbol in t for i, t in own.items() if not scope or i == r.doc_id)]
+        assert bool({"α", "Ω"} & {r.symbol for r in rows}) == bool(scope)  # other scopes' texts hold them, not these
         assert len({(*[r[c] for c in scope], r.symbol) for r in rows}) == len(rows)
         out = C.substitute(df, made, scope)
         assert out.agg(F.sum("compressed_chars") < F.sum("original_chars")).first()[0]
@@ -89,7 +93,8 @@ def test_round_trip_and_symbols(spark):
 def test_multipass_shrinks(spark):
     df = spark.createDataFrame([(i, "alpha beta gamma delta epsilon " * 5) for i in range(30)], "doc_id long, text string")
     for adaptive in (False, True):
-        out, history = C.compress_multipass(df, 3, adaptive)
+        out, history = C.compress_multipass(df, 3, adaptive, ngrams=())
+        history = history.orderBy("pass").collect()
         assert out.count() == 30 and all(h["after"] <= h["before"] for h in history) and history[0]["after"] < history[0]["before"]
 
 
@@ -150,20 +155,63 @@ def test_similar_patterns_against_all_pairs(spark):
     assert M.cluster_patterns(spark.createDataFrame([], "pattern string, n long")).count() == 0
 
 
-@pytest.mark.parametrize("chars", [16_000_000, 3])
-def test_contexts_against_plain_search(spark, monkeypatch, chars):
-    monkeypatch.setattr(M, "LIST", 2 if chars == 3 else 1000)
-    monkeypatch.setattr(M, "LIST_CHARS", chars)
+@pytest.mark.parametrize("bits", [1 << 27, 32_768])
+def test_contexts_against_plain_search(spark, monkeypatch, bits):
+    monkeypatch.setattr(N, "MOST_BITS", bits)
     rng = random.Random(2)
-    texts = ["".join(rng.choice("aab.\\E ") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", None]
-    patterns = ["aa", "a.", "\\E", "ab", "zz"]
+    texts = ["".join(rng.choice("aab.\\E 🙂é") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", None]
+    patterns = ["aa", "a.", "\\E", "ab", "zz", "🙂", "a🙂é", "aab.", "aaaaa", "b. aa"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(map(tuple, M.contexts(df, spark.createDataFrame([(p,) for p in patterns], "pattern string"), 3, 4).collect()))
+    got = sorted(map(tuple, M.contexts(df, spark.createDataFrame([(p,) for p in [*patterns, "", "aa"]], "pattern string"), 3, 4).collect()))
     want = []
     for p in patterns:
         places = [(i, k) for i, t in enumerate(texts) for k in range(len(t or "")) if t.startswith(p, k)]
         want += [(p, i, k + 1, texts[i][max(0, k - 3) : k + len(p) + 3]) for i, k in places[:4]]
     assert got == sorted(want)
+    none = M.contexts(df, spark.createDataFrame([], "pattern string"))
+    assert none.count() == 0 and none.columns == ["pattern", "doc_id", "pos", "context"]
+
+
+def test_contexts_of_thousands(spark):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(0, 120))) for _ in range(80)]
+    whole = "\n".join(texts)
+    patterns = sorted({whole[i : i + rng.randint(3, 14)] for i in (rng.randrange(len(whole) - 20) for _ in range(5200))} | {"".join(rng.choice("abcdef") for _ in range(9)) for _ in range(800)})
+    assert len(patterns) > 5000
+    got = M.contexts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"), 5, 3)
+    want = set()
+    for p in patterns:
+        places = ((i, k) for i, t in enumerate(texts) for k in range(len(t)) if t.startswith(p, k)) if p in whole else ()
+        want |= {(p, i, k + 1, texts[i][max(0, k - 5) : k + len(p) + 5]) for (i, k), _ in zip(places, range(3))}
+    assert set(map(tuple, got.collect())) == want
+
+
+def plain_ngrams(texts, lengths, min_n, max_ngram=None):
+    n, docs = Counter(), {}
+    for i, t in enumerate(texts):
+        most = min(max_ngram, max(50, len(t or "") // 20)) - 1 if max_ngram else 10**9
+        for length in (x for x in lengths if x <= most):
+            for k in range(len(t or "") - length + 1):
+                n[t[k : k + length]] += 1
+                docs.setdefault(t[k : k + length], set()).add(i)
+    return {p: (c, len(docs[p])) for p, c in n.items() if c >= min_n and any(x.isalpha() for x in p) and p.strip()}
+
+
+@pytest.mark.parametrize(("lengths", "max_ngram"), [(range(1, 41), None), ((8, 16, 32), None), ((5,), None), (range(3, 70), 60), ((7, 8, 9, 15, 31), 100)])
+def test_ngrams_of_any_length(spark, lengths, max_ngram):
+    """Against brute force: every length of a range, overlaps, copies, characters beyond 16 bits, and long texts' own limit."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abc é🙂\n") for _ in range(90))
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 50))) for _ in range(12)] + [base + "x", "y" + base, base[5:60], "aaaaaaaaaaaa", "", None, "ab" * 600]
+    df = spark.createDataFrame([(i % 5, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.pattern: (r.n, r.df) for r in M.mine_char_ngrams(df, lengths, ["source"], max_ngram=max_ngram, min_len=2).collect()}
+    assert got == plain_ngrams(texts, sorted(lengths), 2, max_ngram) and got
+
+
+def test_ngrams_by_scope(spark):
+    df = spark.createDataFrame([(1, "abcdefgh abcdefgh", "x"), (2, "abcdefgh", "y"), (3, "abcdefgh", "y"), (4, "abcdefgh", None), (5, "zzz", "z")], "doc_id long, text string, source string")
+    got = {(r.source, r.pattern): (r.n, r.df) for r in M.mine_char_ngrams(df, (8,), ["source"]).collect()}
+    assert got == {("x", "abcdefgh"): (2, 1), ("y", "abcdefgh"): (2, 2)}
 
 
 def test_ranks_without_a_bound(spark):
