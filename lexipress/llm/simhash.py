@@ -313,48 +313,48 @@ def _across(prefixes: DataFrame, component: DataFrame, similarity: float, exact:
     return met.where(f"(least(n - at, n2 - at2)) * (1 + {t}) >= {t} * (n + n2)").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id), a row per distinct non-null id: groups of texts of which each is at least ``similarity``
-    alike (Jaccard, on sets of shingles of ``width`` words) to another of its group.
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, fp, digest, n) and sets (fp, digest, n, id, key, component): each row's text as a digest (``key``) and its
+    set of shingles; each different set with the row of least (id, key) that has it, and its group.
 
-    64 bits can't tell this: texts 0.8 to 1 alike differ in 4 to 18 bits, as many as some unlike ones. So texts
-    whose fingerprints link are candidates, and so are those that share a band of MinHash values; each pair of
+    64 bits can't tell which texts are alike: texts 0.8 to 1 alike differ in 4 to 18 bits, as many as some unlike ones. So
+    texts whose fingerprints link are candidates, and so are those that share a band of MinHash values; each pair of
     candidates is verified on its shingles. Texts with the same set are one before that. In buckets of over
     BUCKET_PAIRS different texts, each meets the bucket's first, last and middle text (by hash) first; then all texts of
     such buckets that aren't in one group by now are compared exactly (``_crowd_prefixes``, ``_across``).
-    Texts without a word are one group. Repeated ids count as one document, with the text of least hash.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    key = F.md5(F.coalesce("text", F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             found = [_sketch(t, width) for t in column(batch, "text").to_pylist()]
             fp, digest, n, keys = zip(*found, strict=True) if found else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(fp, pa.int64()), pa.array(digest, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "digest", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "key"), pa.array(fp, pa.int64()), pa.array(digest, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "key", "fp", "digest", "n", "keys"])
 
-    rows = settle(source.mapInArrow(run, "id long, fp long, digest long, n long, keys array<long>"), "sketches")
-    first = rows.groupBy("id").agg(F.min("digest").alias("digest"))
-    sets = settle(rows.groupBy("digest", "n").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sketch-sets")
-    bands = settle(sets.select("rep", "n", F.posexplode("keys").alias("band", "key")), "sketch-bands")
-    size = bands.groupBy("band", "key").agg(F.count("*").alias("c"), F.array(F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep"))).alias("pivots")).where("c > 1")
+    rows = settle(source.withColumn("key", F.unhex(key)).mapInArrow(run, "id long, key binary, fp long, digest long, n long, keys array<long>"), "sketches")
+    sets = rows.groupBy("fp", "digest", "n").agg(F.min(F.struct("id", "key")).alias("one"), F.first("keys").alias("keys"))
+    sets = settle(sets.select("fp", "digest", "n", "one.id", "one.key", "keys", F.monotonically_increasing_id().alias("rep")), "sketch-sets")
+    bands = settle(sets.select("rep", "n", F.posexplode("keys").alias("band", "hash")), "sketch-bands")
+    size = bands.groupBy("band", "hash").agg(F.count("*").alias("c"), F.array(F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep"))).alias("pivots")).where("c > 1")
     size = settle(size, "sketch-buckets")
-    small = bands.join(size.where(F.col("c") <= BUCKET_PAIRS).select("band", "key").hint("shuffle_merge"), ["band", "key"])
-    other = small.select("band", "key", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
+    small = bands.join(size.where(F.col("c") <= BUCKET_PAIRS).select("band", "hash").hint("shuffle_merge"), ["band", "hash"])
+    other = small.select("band", "hash", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
     alike = "least(n, n2) >= {0} * greatest(n, n2)".format(similarity - 1e-9)
-    pairs = small.join(other.hint("shuffle_merge"), ["band", "key"]).where("rep < rep2").where(alike).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    large = size.where(F.col("c") > BUCKET_PAIRS).select("band", "key", "pivots")
-    stars = bands.join(large.hint("shuffle_merge"), ["band", "key"]).select("rep", F.explode("pivots").alias("pivot")).where("rep <> pivot")
+    pairs = small.join(other.hint("shuffle_merge"), ["band", "hash"]).where("rep < rep2").where(alike).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    large = size.where(F.col("c") > BUCKET_PAIRS).select("band", "hash", "pivots")
+    stars = bands.join(large.hint("shuffle_merge"), ["band", "hash"]).select("rep", F.explode("pivots").alias("pivot")).where("rep <> pivot")
     nodes = sets.where("n > 0").groupBy("fp").agg(F.min("rep").alias("rep"))
     near = links(settle(nodes, "simhash-nodes"))
     twins = sets.where("n > 0").join(nodes.withColumnRenamed("rep", "low").hint("shuffle_merge"), "fp").where("rep <> low")
     every = pairs.unionByName(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))).unionByName(near.select(F.col("src").alias("a"), F.col("dst").alias("b"))).unionByName(twins.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     repeated = not rows.groupBy("id").count().where("count > 1").isEmpty()
 
-    def texts_of(ids: DataFrame, name: str) -> DataFrame:
-        texts = source.join(ids.hint("shuffle_merge"), "id", "left_semi")
-        if repeated:
-            texts = texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-        return settle(texts, name)
+    def texts_of(reps: DataFrame, name: str) -> DataFrame:
+        """(rep, text): the text of the row that stands for each set; one of several rows that are alike."""
+        wanted = sets.select("rep", "id", F.col("key").alias("wanted")).join(reps.hint("shuffle_merge"), "rep", "left_semi")
+        texts = source.join(wanted.hint("shuffle_merge"), "id").where(F.unhex(key) == F.col("wanted")).select("rep", "text")
+        return settle(texts.groupBy("rep").agg(F.first("text").alias("text")) if repeated else texts, name)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "left"):
@@ -366,24 +366,40 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def verified(some: DataFrame) -> DataFrame:
         some = settle(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        texts = texts_of(some.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-texts")
-        both = some.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")).hint("shuffle_merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")).hint("shuffle_merge"), "b")
+        texts = texts_of(some.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "candidate-texts")
+        both = some.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("left")).hint("shuffle_merge"), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("right")).hint("shuffle_merge"), "b")
         return settle(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"), "similar")
 
     edges = verified(every)
     if not large.isEmpty():
-        crowd = bands.join(large.select("band", "key").hint("shuffle_merge"), ["band", "key"], "left_semi").select(F.col("rep").alias("id")).distinct()
-        prefixes = _crowd_prefixes(texts_of(crowd, "crowd-texts"), width, similarity)
+        crowd = bands.join(large.select("band", "hash").hint("shuffle_merge"), ["band", "hash"], "left_semi").select("rep").distinct()
+        prefixes = _crowd_prefixes(texts_of(crowd, "crowd-texts").withColumnRenamed("rep", "id"), width, similarity)
         for turn in range(STAR_ROUNDS + 1):
             last = turn == STAR_ROUNDS
             found = settle(_across(prefixes, connected_components(edges, "a", "b"), similarity, exact=last), "crowd-pairs")
             if last or not found.isEmpty():
                 edges = settle(edges.unionByName(verified(found)), "similar")
     component = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
-    named = sets.select("digest", "rep").join(component.hint("shuffle_merge"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return first.join(settle(named, "similar-sets").hint("shuffle_merge"), "digest").select(F.col("id").alias(id_col), "component_id")
+    named = sets.drop("keys").join(component.hint("shuffle_merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("rep")
+    return rows.drop("keys"), settle(named, "similar-sets")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id), a row per distinct pair of a non-null id and a text: groups of texts of which each is at least
+    ``similarity`` alike (Jaccard, on sets of shingles of ``width`` words) to another of its group, by their smallest id.
+
+    Texts without a word are one group. An id with several texts has a row for each; equal rows are one.
+    """
+    rows, sets = _grouped(docs, id_col, text_col, width, similarity)
+    low = sets.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = settle(sets.select("fp", "digest", "n", "component").join(low.hint("shuffle_merge"), "component").drop("component"), "similar-names")
+    each = rows.select("id", "key", "fp", "digest", "n").distinct()
+    return each.join(named.hint("shuffle_merge"), ["fp", "digest", "n"]).select(F.col("id").alias(id_col), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id): of each group of ``similar_components`` the smallest id."""
-    return similar_components(docs, id_col, text_col, width, similarity).where(F.col(id_col) == F.col("component_id")).select(id_col)
+    """(id, text_md5): of each group of ``similar_components`` the row that stays, as its id and its text's md5 in binary: the
+    smallest id, and of its texts in the group that of least md5."""
+    sets = _grouped(docs, id_col, text_col, width, similarity)[1]
+    best = sets.groupBy("component").agg(F.min(F.struct("id", "key")).alias("one"))
+    return best.select(F.col("one.id").alias(id_col), F.col("one.key").alias("text_md5"))

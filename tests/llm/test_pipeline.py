@@ -100,3 +100,30 @@ def test_odd_rows(spark):
     every = ["1", "1", "2", "3", "4", "None"]
     assert kept["benchmark_decontamination"] == every and kept["byte_bpe"] == every
     assert set(kept["quality_classifier"]) | set(kept["language_id"]) <= {"1", "2"} and kept["quality_classifier"].count("1") in (0, 2)
+
+
+def test_ids_with_several_texts(spark):
+    """Different texts under one id are different documents: none is lost without a near copy, none stays beside one."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(40):
+        for side in (0, 1):
+            base = [word() for _ in range(rng.randint(20, 60))]
+            near = [*base]
+            near[rng.randrange(2)] = word()
+            rows += [(i, " ".join(base)), (1000 + 2 * i + side, " ".join(near))]
+    rows += rows[:9] + [(5, None), (6, ""), (7, "one"), (8, "one")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, rng.choice(["en", None]), "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    every = sorted(set((i, t or "") for i, t in rows))
+    groups = plain_groups({k: t for k, (_, t) in enumerate(every)})
+    assert len(set(groups.values())) < len(every) > len({i for i, _ in every})
+    out = [(r.doc_id, r.text or "") for r in C.near_duplicate_stage(spark, df, SF).collect()]
+    assert len(out) == len(set(out)) and set(out) <= set(every)
+    kept = [groups[every.index(x)] for x in out]
+    assert sorted(kept) == sorted(set(groups.values()))  # one of each group, and no group without one
+    ids = {g: min(every[k][0] for k in groups if groups[k] == g) for g in groups.values()}
+    assert all(i == ids[groups[every.index((i, t))]] for i, t in out)
+    named = {(r.doc_id, r.component_id) for r in simhash.similar_components(df).collect()}
+    assert named == {(every[k][0], ids[g]) for k, g in groups.items()}
