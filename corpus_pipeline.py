@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexipress.llm import bpe, decontaminate, language, quality, simhash
 from lexipress.storage import settle
@@ -41,16 +42,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Shingles of five words, 0.8 alike; null texts count as empty ones, and texts without a word are alike. Rows without
-    an id can't be told apart by one and stay; of rows with the same id one stays. Very long texts, other columns and
-    empty tables as in the first stage."""
+    Shingles of five words, 0.8 alike; null texts count as empty ones, and texts without a word are alike. A document is
+    an id with a text: an id that comes with different texts is several documents, each judged by its own text, and of equal
+    ones (id and text) the row of least lang, source and n_chars stays. Rows without an id can't be told apart by one and
+    stay. Very long texts, other columns and empty tables as in the first stage."""
     docs = docs.select(*COLUMNS)
-    some = _spread(docs)
-    kept = settle(simhash.representatives(some, width=5, similarity=0.8), "representatives")
-    out = docs.join(kept.hint("shuffle_merge"), "doc_id", "left_semi")
+    kept = settle(simhash.representatives(_spread(docs), width=5, similarity=0.8), "representatives")
+    out = docs.withColumn("text_md5", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).join(kept.hint("shuffle_merge"), ["doc_id", "text_md5"], "left_semi")
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+        rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+        out = out.groupBy("doc_id", "text_md5").agg(F.first("text", ignorenulls=True).alias("text"), F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
+    return out.select(*COLUMNS).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
