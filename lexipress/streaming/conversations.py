@@ -40,7 +40,7 @@ class Conversation(StatefulProcessor):
         self.tally = handle.getValueState("tally", "turns long, original_chars long, compressed_chars long, last array<double>, symbols long, at long")
         self.known = handle.getMapState("rules", "text string", "symbol string, first_turn long")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for frame in rows:
             for r in frame.itertuples():
                 at = _millis(r.ts)
@@ -49,8 +49,8 @@ class Conversation(StatefulProcessor):
                 self.handle.registerTimer(at)
         return iter(())
 
-    def handleExpiredTimer(self, key, timer_values, info) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now = info.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
         due = sorted((v[0], k[0]) for k, v in self.waiting.iterator() if v[0] <= now)
         out = [self._turn(key[0], turn) for _, turn in due]
         if not out and self.tally.exists() and self.tally.get()[5] + self.idle_ms <= now:
