@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,14 @@ from lexipress.operators.conversations import gate_reason
 from lexipress.storage import settle
 
 RULES = "array<struct<seq:int,symbol:string,pattern:string>>"
+#: Rules of one dictionary at most: they go to every task, or to every row of their scope.
+MOST_RULES = 10_000
 
 
 def rules_of(dictionary: DataFrame, scope: list[str] = []) -> DataFrame:  # noqa: B006
-    """(scope, rules): a scope's entries as an array by seq; entries are bounded by the pool of symbols."""
-    return dictionary.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), "symbol", "pattern"))).alias("rules"))
+    """(scope, rules): a scope's entries as an array by seq, at most MOST_RULES."""
+    every = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), "symbol", "pattern")))
+    return dictionary.groupBy(*scope).agg(F.when(F.count("*") <= MOST_RULES, every).otherwise(F.raise_error(f"a dictionary has at most {MOST_RULES} rules")).alias("rules"))
 
 
 def _with_rules(df: DataFrame, dictionary: DataFrame, scope: list[str]) -> DataFrame:
@@ -27,10 +32,85 @@ def _with_rules(df: DataFrame, dictionary: DataFrame, scope: list[str]) -> DataF
     if scope:
         out = df.join(rules.hint("shuffle_merge"), scope, "left")
     else:
-        out = df.join(F.broadcast(rules), F.lit(True), "left")  # one row
+        out = df.join(F.broadcast(rules), F.lit(True), "left")  # one row of MOST_RULES rules at most
     return out.withColumn("rules", F.coalesce("rules", F.array().cast(RULES)))
 
 
+class RuleIndex:
+    """Routes a text to the rules that it can hold: one pass over the text by an automaton of all patterns (or symbols)
+    finds them, and only these are tried in turn. Where a pattern holds a symbol, replacing one may make another rule
+    fit, so all rules are tried."""
+
+    def __init__(self, rules: list[tuple[str, str]]):
+        self.rules = rules
+        marks = [s for s, _ in rules if s]
+        self.nested = bool(marks) and any(s in p for _, p in rules for s in marks)
+        self.patterns, self.symbols = self._automaton([p for _, p in rules]), self._automaton([s for s, _ in rules])
+
+    def _automaton(self, keys: list[str]) -> tuple[ahocorasick.Automaton | None, dict[str, list[int]]]:
+        found, at = ahocorasick.Automaton(), {}
+        for i, key in enumerate(keys):
+            if key:
+                at.setdefault(key, []).append(i)
+        for key in at:
+            found.add_word(key, key)
+        if at:
+            found.make_automaton()
+        return (found if at else None), at
+
+    def _held(self, which: tuple, text: str) -> list[int]:
+        automaton, at = which
+        if automaton is None:
+            return []
+        return list(range(len(self.rules))) if self.nested else sorted(i for key in {k for _, k in automaton.iter(text)} for i in at[key])
+
+    def substitute(self, text: str) -> tuple[str, list[str]]:
+        used = []
+        for i in self._held(self.patterns, text):
+            symbol, pattern = self.rules[i]
+            if len(pattern) >= 3 and len(pattern) > len(symbol) and pattern in text:
+                text = text.replace(pattern, symbol)
+                used.append(symbol)
+        return text, used
+
+    def expand(self, text: str) -> str:
+        for i in reversed(self._held(self.symbols, text)):
+            symbol, pattern = self.rules[i]
+            text = text.replace(symbol, pattern) if symbol else text
+        return text
+
+
+def rule_list(dictionary: DataFrame) -> list[tuple[str, str]]:
+    """(symbol, pattern) by seq of a dictionary without a scope, which has at most MOST_RULES rules."""
+    rows = dictionary.select("seq", "symbol", "pattern").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a dictionary has at most {MOST_RULES} rules")
+    return [(r.symbol, r.pattern) for r in sorted(rows, key=lambda r: r.seq) if r.symbol is not None and r.pattern is not None]
+
+
+def _substituted(rules: list[tuple[str, str]], text: Column) -> Column:
+    """struct(text, used), as ``apply_rules`` gives it."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        index = RuleIndex(rules)
+        for part in parts:
+            done = [index.substitute(t) for t in part]
+            yield pd.DataFrame({"text": [t for t, _ in done], "used": [u for _, u in done]})
+
+    return F.pandas_udf(run, "text string, used array<string>")(text)
+
+
+def expanded(rules: list[tuple[str, str]], text: Column) -> Column:
+    """A text with its symbols expanded, as ``expand_text`` gives it."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = RuleIndex(rules)
+        for part in parts:
+            yield pd.Series([index.expand(t) for t in part], dtype=object)
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def apply_rules(text: Column, rules: Column) -> Column:
     """struct(text, used): each rule in turn replaces its pattern, of 3 characters at least, where that shortens the text."""
     start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("used"))
@@ -40,9 +120,14 @@ def apply_rules(text: Column, rules: Column) -> Column:
 
 
 def substitute(df: DataFrame, dictionary: DataFrame, scope: list[str] = [], col: str = "text") -> DataFrame:  # noqa: B006
-    """Adds compressed_text, used (symbols, in order of use), original_chars and compressed_chars."""
-    done = _with_rules(df, dictionary, scope).withColumn("done", apply_rules(X.text_of(F.col(col)), F.col("rules")))
-    return done.select(*df.columns, F.col("done.text").alias("compressed_text"), F.col("done.used").alias("used"), F.length(X.text_of(F.col(col))).alias("original_chars"), F.length("done.text").alias("compressed_chars"))
+    """Adds compressed_text, used (symbols, in order of use), original_chars and compressed_chars. One dictionary for all
+    is routed (``RuleIndex``): a text tries only the rules that it holds. With a scope each row folds its scope's rules."""
+    text = X.text_of(F.col(col))
+    if scope:
+        done = _with_rules(df, dictionary, scope).withColumn("done", apply_rules(text, F.col("rules")))
+    else:
+        done = df.withColumn("done", _substituted(rule_list(dictionary), text))
+    return done.select(*df.columns, F.col("done.text").alias("compressed_text"), F.col("done.used").alias("used"), F.length(text).alias("original_chars"), F.length("done.text").alias("compressed_chars"))
 
 
 def expand_text(text: Column, rules: Column) -> Column:
@@ -52,8 +137,11 @@ def expand_text(text: Column, rules: Column) -> Column:
 
 
 def expand(df: DataFrame, dictionary: DataFrame, scope: list[str] = [], col: str = "compressed_text") -> DataFrame:  # noqa: B006
-    """Adds expanded_text."""
-    return _with_rules(df, dictionary, scope).withColumn("expanded_text", expand_text(X.text_of(F.col(col)), F.col("rules"))).drop("rules")
+    """Adds expanded_text; routed as C1."""
+    text = X.text_of(F.col(col))
+    if not scope:
+        return df.withColumn("expanded_text", expanded(rule_list(dictionary), text))
+    return _with_rules(df, dictionary, scope).withColumn("expanded_text", expand_text(text, F.col("rules"))).drop("rules")
 
 
 def roundtrip_report(df: DataFrame, dictionary: DataFrame, by: list[str], scope: list[str] = []) -> DataFrame:  # noqa: B006

@@ -23,11 +23,11 @@ from lexipress.storage import fresh_path, settle
 from lexipress.streaming import conversations as live
 
 
-def _dictionary(s, d, k: int = 100):
+def _dictionary(s, d, k: int = 262):
     """The slice's dictionary: ranked tokens take free private-use and pool symbols."""
     docs = V.documents(s, d)
     ranked = M.rank_patterns(M.mine_tokens(docs), k=2 * k)
-    pool = D.free_symbols(catalogs.symbol_pool(s, private_use=True), docs)
+    pool = D.free_symbols(catalogs.symbol_pool(s, private_use=True), docs, k=k)
     return settle(D.assign_symbols(ranked, D.rank_symbols(pool, k=k), k=k), "dictionary")
 
 
@@ -36,7 +36,7 @@ def _pool_sql() -> str:
     return f"(select * from (values {values}) t(symbol, rank, kind, cost) union all select chr((57344 + i)::int), {len(catalogs.symbols(False))} + 1 + i, 'private', 3 from range(0, 6400) r(i))"
 
 
-def _dictionary_sql(k: int = 100, docs: str = "documents") -> str:
+def _dictionary_sql(k: int = 262, docs: str = "documents") -> str:
     value = "greatest(0, (length(pattern) - length({0})) * n - (length(pattern) + length({0}) + 3)) / 4.0"
     return f"""rows as (select doc_id, unnest({TOKENS_SQL}) as pattern from {docs} x), counted as ({COUNTED.format(by='')}),
 ranked as (select pattern, n from counted where n >= 3 and {QUALITY_SQL} qualify row_number() over (order by n * length(pattern) desc, pattern) <= {2 * k}),
@@ -91,7 +91,7 @@ def _sse(s, d, m=None):
     return m.select(F.col("conv_id").alias("request"), F.col("turn").alias("seq"), F.timestamp_seconds(F.col("turn") + 1_700_000_000).alias("ts"), value.alias("value"))
 
 
-def _message_dictionary(s, d, k: int = 40):
+def _message_dictionary(s, d, k: int = 262):
     m = V.messages(s, d)
     pool = D.free_symbols(catalogs.symbol_pool(s, private_use=True), m, k=k)
     return settle(D.assign_symbols(M.rank_patterns(M.mine_tokens(m), k=2 * k), D.rank_symbols(pool, k=k), k=k), "dictionary")
@@ -104,7 +104,7 @@ def _chunks(s, d):
     return T.expand_stream(T.repair_chunks(T.parse_sse(_sse(s, d, m))), rules)
 
 
-SENT_SQL = "with " + _dictionary_sql(40, "(select conv_id, turn as doc_id, text from conversations)") + """, rules as (select list(struct_pack(s := symbol, p := pattern) order by seq) as r from dictionary),
+SENT_SQL = "with " + _dictionary_sql(262, "(select conv_id, turn as doc_id, text from conversations)") + """, rules as (select list(struct_pack(s := symbol, p := pattern) order by seq) as r from dictionary),
 sent as (select *, list_reduce(list_prepend(struct_pack(s := '', p := text), (select r from rules)), lambda acc, x: struct_pack(s := '', p := replace(acc.p, x.p, x.s))).p as said from conversations)"""
 
 
@@ -310,7 +310,7 @@ def _tagged(s, d):
 
 def _upper_fields(s, d):
     """A caller's compressor that drops vowels."""
-    done = C.substitute_fields(_calls(s, d), _dictionary(s, d, 5), 300, lambda text, rules: F.regexp_replace(text, "[aeiou]", ""))
+    done = C.substitute_fields(_calls(s, d), _dictionary(s, d), 300, lambda text, rules: F.regexp_replace(text, "[aeiou]", ""))
     return done.select("doc_id", F.md5(F.col("compressed")["content"]).alias("content_md5"))
 
 
@@ -349,7 +349,7 @@ QUERIES = {
     "d4_dictionary": lambda s, d: _dictionary(s, d),
     "d5_by_priority": lambda s, d: D.assign_by_priority(M.rank_patterns(M.mine_tokens(V.documents(s, d)), k=300).withColumn("priority", F.length("pattern")), D.rank_symbols(catalogs.symbol_pool(s)), k=200),
     "d6_metrics": lambda s, d: D.dictionary_metrics(_dictionary(s, d), V.documents(s, d).agg(F.sum(F.length("text")).alias("original_chars"))),
-    "d7_rejected": lambda s, d: D.rejected(M.rank_patterns(M.mine_tokens(V.documents(s, d)), k=300), _dictionary(s, d)).select("pattern", "n", "value"),
+    "d7_rejected": lambda s, d: D.rejected(M.rank_patterns(M.mine_tokens(V.documents(s, d)), k=600), _dictionary(s, d)).select("pattern", "n", "value"),
     "d8_accept": lambda s, d: D.accept(C.substitute(V.documents(s, d), _dictionary(s, d)), 0.05).select("doc_id", "accepted", F.md5("final_text").alias("final_md5")),
     "d9_token_efficiency": lambda s, d: D.token_efficiency(C.substitute(V.documents(s, d), _dictionary(s, d))).select("doc_id", "original_tokens", "compressed_tokens", "saved", "ratio", "valid"),
     "d10_symbol_stats": lambda s, d: D.symbol_stats(V.symbol_costs(s, d)),
@@ -358,25 +358,25 @@ QUERIES = {
     "d13_d14_dictionary_text": _dict_round,
     "d13_encoded": lambda s, d: D.encode_dictionary(_odd_dictionary(s, d), ["scope"]),
     "d14_odd_round_trip": lambda s, d: D.decode_dictionary(D.encode_dictionary(_odd_dictionary(s, d), ["scope"]), keys=["scope"]),
-    "d15_prompt": lambda s, d: D.dictionary_prompt(_dictionary(s, d, 20)),
-    "d16_overhead": lambda s, d: D.prompt_overhead(_dictionary(s, d, 20)),
+    "d15_prompt": lambda s, d: D.dictionary_prompt(_dictionary(s, d)),
+    "d16_overhead": lambda s, d: D.prompt_overhead(_dictionary(s, d)),
     "d17_token_counts": _counts,
     "d17_token_store": _token_store,
     "c1_substitute": lambda s, d: C.substitute(V.documents(s, d), _dictionary(s, d)).select("doc_id", F.md5("compressed_text").alias("md5"), "original_chars", "compressed_chars"),
-    "c2_expand": lambda s, d: C.expand(C.substitute(V.documents(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", F.md5("expanded_text").alias("md5")),
+    "c2_expand": lambda s, d: (lambda made: C.expand(C.substitute(V.documents(s, d), made), made))(_dictionary(s, d)).select("doc_id", F.md5("expanded_text").alias("md5")),
     "c3_roundtrip": lambda s, d: C.roundtrip_report(V.documents(s, d), _dictionary(s, d), ["source"]),
     "c4_strip_comments": lambda s, d: V.code_docs(s, d).select("doc_id", F.md5(C.strip_comments(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "python").otherwise("javascript"))).alias("md5")),
     "c4_strip_html_comments": lambda s, d: V.table(s, d, "pages").select("page_id", F.md5(C.strip_comments(F.col("html"), F.lit("html"))).alias("md5")),
     "c5_comment_savings": lambda s, d: C.comment_savings(V.code_docs(s, d).withColumn("language", X.detect_language(F.col("text"), F.col("filename"))), ["language"]),
     "c6_tool_calls": lambda s, d: _calls(s, d).select("doc_id", "name", F.col("fields")["path"].alias("path"), F.md5(F.col("fields")["content"]).alias("content_md5")),
     "c6_nested_calls": lambda s, d: C.extract_tool_calls(tool_texts(s, d)).select("doc_id", "call", "name", F.try_variant_get("value", "$.arguments.path", "string").alias("path"), F.try_variant_get("value", "$.arguments.opts.n[1].m", "int").alias("m"), F.try_variant_get("value", "$.deep.path", "string").alias("deep"), F.size(F.map_keys("fields")).alias("fields")),
-    "c7_fields": lambda s, d: C.expand_fields(C.substitute_fields(_calls(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", F.md5(F.col("fields")["content"]).alias("content_md5")),
+    "c7_fields": lambda s, d: (lambda made: C.expand_fields(C.substitute_fields(_calls(s, d), made), made))(_dictionary(s, d)).select("doc_id", F.md5(F.col("fields")["content"]).alias("content_md5")),
     "c8_multipass": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 3)[0].select("doc_id", F.length("text").alias("chars")),
     "c9_adaptive": lambda s, d: C.compress_multipass(V.documents(s, d).select("doc_id", "text"), 10, adaptive=True)[0].select("doc_id", F.length("text").alias("chars")),
     "c8_history": lambda s, d: C.compress_multipass(V.messages(s, d).select("conv_id", "turn", "text"))[1],
     "c10_renest": lambda s, d: C.renest_content(V.messages(s, d).select("conv_id", "turn", F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("parts")), V.messages(s, d).select("conv_id", "turn", F.lit(0).alias("idx"), F.concat(F.lit("x"), "text").alias("text")), ["conv_id", "turn"]).select("conv_id", "turn", F.md5(F.col("parts")[0]["text"]).alias("md5")),
     "c11_compress": lambda s, d: C.compress(V.documents(s, d)).select("doc_id", "gate", "accepted", F.length("final_text").alias("chars")),
-    "c12_estimate_ratio": lambda s, d: C.estimate_ratio(C.substitute(V.documents(s, d), _dictionary(s, d)), _dictionary(s, d)).select("doc_id", "ratio"),
+    "c12_estimate_ratio": lambda s, d: (lambda made: C.estimate_ratio(C.substitute(V.documents(s, d), made), made))(_dictionary(s, d)).select("doc_id", "ratio"),
     "w1_w2_context": lambda s, d: W.short_turn(W.request_context(V.messages(s, d))),
     "w3_additive_rules": lambda s, d: W.additive_rules(_rules(s, d), 40),
     "w4_conflicts": _conflicts,
@@ -450,8 +450,8 @@ SQL = {
     "d13_d14_dictionary_text": f"with rows as (select source, doc_id, unnest({TOKENS_SQL}) as pattern from documents), c as ({COUNTED.format(by='source,')}), r as (select source, pattern, n from c where n >= 3 and {QUALITY_SQL} qualify row_number() over (partition by source order by n * length(pattern) desc, pattern) <= 10), s as ({SYMBOLS_SQL} 10), b as (select *, row_number() over (partition by source order by greatest(0, (length(pattern) - 1) * n - (length(pattern) + 4)) desc, length(pattern) desc, pattern)::int as srank from r where (length(pattern) - 1) * n > length(pattern) + 4) select source, row_number() over (partition by source order by length(pattern) desc, pattern)::int as seq, symbol, pattern from b join s using (srank) where (length(pattern) - length(symbol)) * n > length(pattern) + length(symbol) + 3",
     "d13_encoded": f"with {ODD_SQL}, e as (select scope, seq, symbol, {ESCAPED_SQL} as p, pattern from entries), o as (select scope, bool_or(contains(pattern, ';') or contains(pattern, ':') or contains(pattern, '#DICT_END')) as odd from entries group by 1) select scope, '#DICT ' || case when odd then string_agg(symbol || '⟦' || p || '‖', '' order by seq) else string_agg(symbol || ':' || p || ';', '' order by seq) end || '#DICT_END' as dict_text from e join o using (scope) group by scope, odd",
     "d14_odd_round_trip": f"with {ODD_SQL} select * from entries",
-    "d15_prompt": f"with {_dictionary_sql(20)}, {PROMPT_TEXT} select prompt from prompt",
-    "d16_overhead": f"with {_dictionary_sql(20)}, {PROMPT_TEXT} select floor(length(prompt) / 3.5 * 1.15)::int as overhead_tokens from prompt",
+    "d15_prompt": f"with {_dictionary_sql()}, {PROMPT_TEXT} select prompt from prompt",
+    "d16_overhead": f"with {_dictionary_sql()}, {PROMPT_TEXT} select floor(length(prompt) / 3.5 * 1.15)::int as overhead_tokens from prompt",
     "c4_strip_comments": f"with {CODE_SQL} select doc_id, md5(case when doc_id % 2 = 0 then {PY} else {JS} end) as md5 from code_docs",
     "c5_comment_savings": f"with {CODE_SQL}, t as (select case when ends_with(filename, '.py') then 'python' else 'javascript' end as language, text, case when ends_with(filename, '.py') then {PY} else {JS} end as stripped from code_docs), g as (select language, count(*) as docs, sum(length(text))::bigint as original_chars, sum(length(stripped))::bigint as stripped_chars, sum({EST.format('text')} - {EST.format('stripped')})::bigint as saved_tokens from t group by 1) select *, original_chars - stripped_chars as saved_chars, round(100 * (original_chars - stripped_chars) / greatest(original_chars, 1), 2) as percent from g",
     "w9_symbol_usage": f"with {RULES_SQL}, uses as (select conv_id, turn, symbol, count(*) as n from cand group by all), totals as (select conv_id, symbol, sum(n) as n from uses group by all), top as (select conv_id, count(*) as used, string_agg(symbol, ' ' order by r) filter (r <= 5) as top from (select *, row_number() over (partition by conv_id order by n desc, symbol) as r from totals) x group by 1), per as (select conv_id, round(avg(s), 4) as avg_per_turn from (select conv_id, turn, count(distinct symbol) as s from uses group by all) x group by 1), born as (select conv_id, symbol, min(first_turn) as born from rules group by all), have as (select conv_id, count(*) as available, (count(*) filter (born > start))::int as added from (select *, min(born) over (partition by conv_id) as start from born) x group by 1) select conv_id, available, added, coalesce(used, 0) as used, coalesce(avg_per_turn, 0) as avg_per_turn, round(coalesce(used, 0) / greatest(available, 1), 4) as efficiency, coalesce(top, '') as top from have left join top using (conv_id) left join per using (conv_id)",
@@ -472,7 +472,7 @@ SQL = {
     "d2_free_symbols": f"select symbol, rank from {_pool_sql()} p where kind <> 'private' and not exists (select 1 from documents where contains(text, p.symbol))",
     "d4_dictionary": f"{DICT} select * from dictionary",
     "d3_value": f"with rows as (select doc_id, unnest({TOKENS_SQL}) as pattern from documents), c as ({COUNTED.format(by='')}), r as (select pattern, n from c where n >= 3 and {QUALITY_SQL} qualify row_number() over (order by n * length(pattern) desc, pattern) <= 300), v as (select *, least({EST.format('pattern')} - 1, length(pattern) // 3) as each, least({EST.format('pattern')} - 1, length(pattern) // 3) * n - {EST.format("(chr(10) || pattern || '=α')")} as net from r) select pattern, round(case when each <= 0 then -1 when n >= 5 and net > -2 then greatest(net, 0.1) else net end, 4)::double as by_tokens, round(greatest(0, (length(pattern) - 1) * n - (length(pattern) + 4)) / 4.0, 4)::double as by_chars from v",
-    "d7_rejected": f"{DICT}, r as (select pattern, n from counted where n >= 3 and {QUALITY_SQL} qualify row_number() over (order by n * length(pattern) desc, pattern) <= 300) select pattern, n, n * length(pattern) as value from r where pattern not in (select pattern from dictionary) order by value desc, pattern limit 20",
+    "d7_rejected": f"{DICT}, r as (select pattern, n from counted where n >= 3 and {QUALITY_SQL} qualify row_number() over (order by n * length(pattern) desc, pattern) <= 600) select pattern, n, n * length(pattern) as value from r where pattern not in (select pattern from dictionary) order by value desc, pattern limit 20",
     "r6_op_frequency": "with g as (select event_type as phase, count(*) as n, greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 1) as span from events where contains(lower(event_type), 'c') or contains(lower(event_type), 'p') group by 1 having count(*) >= 2) select phase, n, round(span, 4) as span_s, round(n / span, 6) as per_s from g",
     "w14_skipped_turns": f"with {TURNS_SQL}, r as (select conv_id, case when role = 'user' or original_chars = 0 then 0 else round(1 - compressed_chars / original_chars, 4) end as ratio from turns) select conv_id, count(*) as turns, sum(round(ratio * 10000)::bigint)::bigint as ratio_sum_e4 from r group by 1",
     "d8_accept": f"{SUB}, a as (select *, 1 - length(compressed_text) / greatest(length(text), 1) >= 0.05 - 1e-6 and 1 - {EST.format('compressed_text')} / {EST.format('text')} >= 0.05 - 1e-6 as accepted from sub) select doc_id, accepted, md5(case when accepted then compressed_text else text end) as final_md5 from a",

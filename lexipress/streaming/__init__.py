@@ -26,11 +26,10 @@ def parse_sse(lines: DataFrame) -> DataFrame:
 
 
 def expand_stream(chunks: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Adds content: the chunk's text, expanded where it holds a symbol. The dictionary is a static table."""
+    """Adds content: the chunk's text, expanded where it holds a symbol. The dictionary is a static table, routed as in
+    C2."""
     content = F.coalesce(F.get(F.col("chunk.choices"), F.lit(0))["delta"]["content"], F.lit(""))
-    rules = C.rules_of(dictionary)
-    out = chunks.join(F.broadcast(rules), F.lit(True), "left")  # one row
-    return out.withColumn("content", C.expand_text(content, F.coalesce("rules", F.array().cast(C.RULES)))).drop("rules")
+    return chunks.withColumn("content", C.expanded(C.rule_list(dictionary), content))
 
 
 def repair_chunks(chunks: DataFrame, model: str = "unknown", created: int = 0) -> DataFrame:
