@@ -334,7 +334,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
 
     rows = settle(source.withColumn("key", F.unhex(key)).mapInArrow(run, "id long, key binary, fp long, digest long, n long, keys array<long>"), "sketches")
     sets = rows.groupBy("fp", "digest", "n").agg(F.min(F.struct("id", "key")).alias("one"), F.first("keys").alias("keys"))
-    sets = settle(sets.select("fp", "digest", "n", "one.id", "one.key", "keys", F.monotonically_increasing_id().alias("rep")), "sketch-sets")
+    # Numbers of sets follow ids: the first text of a bucket or group is its oldest, which its later copies are most alike to.
+    sets = sets.select("fp", "digest", "n", "one.id", "one.key", "keys").repartitionByRange("id", "key").sortWithinPartitions("id", "key")
+    sets = settle(sets.withColumn("rep", F.monotonically_increasing_id()), "sketch-sets")
     bands = settle(sets.select("rep", "n", F.posexplode("keys").alias("band", "hash")), "sketch-bands")
     size = bands.groupBy("band", "hash").agg(F.count("*").alias("c"), F.array(F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep"))).alias("pivots")).where("c > 1")
     size = settle(size, "sketch-buckets")
