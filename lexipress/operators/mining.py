@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lexipress import catalogs
 from lexipress.functions import text as X
 from lexipress.operators.graph import connected_components
-from lexipress.operators.ngrams import contexts, gram_changes, mine_char_ngrams  # noqa: F401
+from lexipress.operators.ngrams import contexts, gram_changes, mine_char_ngrams, mine_word_ngrams  # noqa: F401
 from lexipress.storage import settle
 
 
@@ -62,18 +62,6 @@ def line_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo
     return rows.withColumn("later", F.count("*").over(w)).groupBy("pattern").agg(F.sum("later").alias("pairs")).where("pairs > 0")
 
 
-def mine_word_ngrams(df: DataFrame, n_lo: int = 2, n_hi: int = 5, scope: list[str] = [], id_col: str = "doc_id", text_col: str = "text", min_n: int = 3, min_len: int = 5) -> DataFrame:  # noqa: B006
-    """A4: (scope, pattern, n, df, confidence) of runs of words; confidence is n / 10, at most 1."""
-    base = df.select(*scope, X.words(F.col(text_col)).alias("w"))
-
-    def run(k: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))
-        return F.when(F.size("w") >= k, every).otherwise(F.array().cast("array<string>"))
-
-    runs = F.filter(F.concat(*[run(k) for k in range(n_lo, n_hi + 1)]), lambda x: F.length(x) >= min_len)
-    return _counted(base, scope, runs).where(F.col("n") >= min_n).withColumn("confidence", F.least(F.lit(1.0), F.col("n") / 10))
-
-
 def literal_of(pattern: str) -> str:
     """The longest plain text that every match of a pattern holds, "" if there is none: runs of characters that are neither
     optional nor in a class or group."""

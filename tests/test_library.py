@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -214,6 +215,28 @@ def test_ngrams_by_scope(spark):
     assert got == {("x", "abcdefgh"): (2, 1), ("y", "abcdefgh"): (2, 2)}
 
 
+@pytest.mark.parametrize(("lo", "hi", "min_n"), [(2, 5, 3), (1, 1, 2), (3, 9, 2), (2, 4, 1), (5, 7, 2)])
+def test_word_runs_of_any_length(spark, lo, hi, min_n):
+    """Against brute force: by scope, with copies, overlaps, marks between words, short rows and rows without a word."""
+    rng = random.Random(6)
+    words = ["a", "bb", "Été", "x_y", "数据", "🙂", "word"]
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" ", ", ", "\n", " - "]) for _ in range(n))
+    rows = [(i, text(rng.choice((0, 1, 4, 30))), "xy"[i % 2]) for i in range(40)] + [(90, None, "x"), (91, "...", "x"), (92, "bb " * 40, None), (93, "bb " * 40, "y"), (93, text(3_000), "y")]
+    n, docs = Counter(), {}
+    for i, (_, t, s) in enumerate(rows):
+        w = re.findall(r"\w+", t or "")
+        for k in range(lo, hi + 1):
+            for j in range(len(w) - k + 1):
+                key = (s, " ".join(w[j : j + k]))
+                n[key] += 1
+                docs.setdefault(key, set()).add(i)
+    want = {k: (c, len(docs[k]), min(1.0, c / 10)) for k, c in n.items() if c >= min_n and len(k[1]) >= 5}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mine_word_ngrams(df, lo, hi, ["source"], min_n=min_n).collect()
+    assert {(r.source, r.pattern): (r.n, r.df, r.confidence) for r in got} == want and len(got) == len(want)
+    assert M.mine_word_ngrams(df.limit(0), lo, hi).count() == 0
+
+
 def test_ranks_without_a_bound(spark):
     """Ranks over all patterns come from ranges and agree with a plain sort."""
     rows = [(f"pattern {i:04d}", 3 + i * 7919 % 13) for i in range(500)]
