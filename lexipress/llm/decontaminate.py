@@ -151,15 +151,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def select_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item; rows with a null id are judged like any other."""
+    """The rows of ``docs``, all columns whatever their names, that contain no item; rows with a null id are judged like any
+    other, and null texts contain none. Either table empty: ``docs`` as it is."""
     known = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item")).where("item is not null").distinct()
     known = settle(known, "items")
     size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("chars")).first()
     if size.n > TASK_ITEMS or size.chars > TASK_CHARS:
-        keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
-        found = _by_join(keyed.select(F.col("__row").alias("id"), F.col(text_col).cast("string").alias("text")), known, threshold, width)
-        found = settle(found.select(F.col("id").alias("__row")).distinct(), "contaminated")
-        return keyed.join(found.hint("shuffle_merge"), "__row", "left_anti").drop("__row")
+        row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+        found = _by_join(docs.select(row.alias("id"), F.col(text_col).cast("string").alias("text")), known, threshold, width)
+        found = settle(found.select(F.col("id").alias("key")).distinct(), "contaminated")
+        whole = docs.select(row.alias("key"), F.struct("*").alias("whole"))  # a caller's columns keep their names
+        return whole.join(found.hint("shuffle_merge"), "key", "left_anti").select("whole.*")
     sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.item) for r in known.collect()])  # bounded as above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

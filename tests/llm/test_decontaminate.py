@@ -51,6 +51,19 @@ def test_rows(spark, cases, monkeypatch, task_items):
     assert D.contaminated(left.limit(0), right).count() == 0 and D.contaminated(left, right.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("task_items", [10_000, 3])
+def test_clean_rows_keep_all_columns(spark, cases, monkeypatch, task_items):
+    docs, items = cases
+    monkeypatch.setattr(D, "TASK_ITEMS", task_items)
+    left = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in docs], "doc_id long, text string, __row int, key int, whole int, id int")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    dirty = {r[0] for r in plain(docs, items)}
+    got = D.select_clean(left, right)
+    assert got.columns == left.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((i, t, 1, 2, 3, 4) for i, t in docs if i not in dirty), key=str)
+    assert D.select_clean(left.limit(0), right).count() == 0 and D.select_clean(left, right.limit(0)).count() == len(docs)
+
+
 def test_sketch_makes_a_miss_impossible():
     for n in range(1, 200):
         assert D.sketch_size([n], 0.8) + D.needed(n, 0.8) > n
