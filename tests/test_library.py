@@ -353,3 +353,29 @@ def test_sse_stream(spark, tmp_path):
 def test_symbols():
     some = catalogs.symbols()
     assert len(some) == 312 and len({s for s, _ in some}) == 312 and some[0] == ("α", "unicode") and some[-1] == ("?H?", "ascii")
+
+
+def test_windows_are_counted_in_tasks_and_pruned_by_near_lengths(spark, monkeypatch):
+    from lexipress.operators import ngrams
+
+    seen, plain = [], ngrams._windows
+
+    def noted(texts, read, sizes, half, *rest):
+        out = plain(texts, read, sizes, half, *rest)
+        seen.append((sizes, half, out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(ngrams, "_windows", noted)
+    texts = ["abcabcabcabd", "abcabcabcabd", "xbcabcabcy", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {(r.pattern, r.n, r.df) for r in ngrams.mine_char_ngrams(docs, range(6, 13)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for size in range(6, 13):
+            for at in range(len(t or "") - size + 1):
+                want.setdefault(t[at : at + size], []).append(i)
+    assert got == {(p, len(v), len(set(v))) for p, v in want.items() if len(v) >= 2}
+    for sizes, half, plan in seen:
+        assert half is None or sizes[-1] <= half + max(1, half // 4) or len(sizes) == 1
+        lines = plan.splitlines()
+        assert not any("HashAggregate" in x for x in lines[next(i for i, x in enumerate(lines) if "Exchange" in x) :])  # none before the shuffle, where it would spill
