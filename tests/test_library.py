@@ -379,3 +379,11 @@ def test_windows_are_counted_in_tasks_and_pruned_by_near_lengths(spark, monkeypa
         assert half is None or sizes[-1] <= half + max(1, half // 4) or len(sizes) == 1
         lines = plan.splitlines()
         assert not any("HashAggregate" in x for x in lines[next(i for i, x in enumerate(lines) if "Exchange" in x) :])  # none before the shuffle, where it would spill
+
+
+def test_patterns_with_a_beginning_in_common_do_not_meet_in_pairs(spark):
+    texts = [f"common {i * i:07d} end" for i in range(3000)] + ["common 0000004", "comm", "x" * 40, "y" + "x" * 41]
+    rows = spark.createDataFrame([(t, 1) for t in texts], "pattern string, n long")
+    assert M._met(rows).count() < 5 * len(texts)
+    got = {(r.inner, r.outer) for r in M._inside(rows).select("inner", "outer").distinct().collect()}
+    assert got == {(a, b) for a in texts[-4:] for b in texts if a in b and a != b}
