@@ -290,3 +290,14 @@ def test_repetition_counts(spark):
     texts = ["a b a\tc  a b", "", " x ", "a"]
     got = {r.doc_id: tuple(r.w) for r in frame(spark, texts).select("doc_id", W.repetition(F.col("text"), 2).alias("w")).select("doc_id", F.struct("w.total", "w.different", "w.repeated").alias("w")).collect()}
     assert got == {0: (6, 3, 2), 1: (0, 0, 0), 2: (1, 1, 0), 3: (1, 1, 0)}
+
+
+def test_passes_count_ngrams_by_names(spark, monkeypatch):
+    def text(*_):
+        raise AssertionError("n-grams leave tasks as text")
+
+    monkeypatch.setattr(M, "gram_changes", text)
+    df = frame(spark, [f"{i} the same long run of words in every text, and then {'some ' * (i % 5)}more of it " * 3 for i in range(30)])
+    out, history = C.compress_multipass(df, 1, ngrams=(8, 16), min_chars=20)
+    row = history.first()
+    assert row.entries and row.after < row.before and out.count() == 30
