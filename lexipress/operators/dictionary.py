@@ -6,10 +6,14 @@ most ``k`` rows a scope, so a scope's rules fit a row as an array.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexipress.functions import text as X
+from lexipress.functions.pieces import pieces
 from lexipress.sources import expire_stored
 from lexipress.storage import settle
 
@@ -31,17 +35,41 @@ def rank_symbols(pool: DataFrame, costs: DataFrame | None = None, family: str =
 
 #: Bits of a bitmap of symbols, by their rank in the pool.
 POOL_BITS = 32_768
+#: Scopes whose symbols a task remembers so as not to pass them on twice.
+SCOPES = 1_000
 
 
 def used_bits(pool: DataFrame, df: DataFrame, scope: list[str] = [], text_col: str = "text") -> DataFrame:  # noqa: B006
     """(scope, bits): which symbols of the pool occur in the texts of each scope, a bitmap by rank. One pass: a text's
     distinct characters beyond ASCII, and what it holds of the pool's other symbols; tasks pass on a bitmap a scope."""
     text = X.text_of(F.col(text_col))
-    ascii_symbols = [r.symbol for r in pool.where((F.length("symbol") > 1) | (F.col("symbol") <= "\x7f")).select("symbol").collect()]  # a catalog
-    held = F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]", ""), ""))
-    if ascii_symbols:
-        held = F.concat(held, F.filter(F.array(*[F.lit(x) for x in ascii_symbols]), lambda x: F.contains(text, x)))
-    ranks = df.select(*scope, F.explode(held).alias("symbol")).join(F.broadcast(pool.select("symbol", "rank")), "symbol")  # a catalog
+    plain = [r.symbol for r in pool.where((F.length("symbol") > 1) | (F.col("symbol") <= "\x7f")).select("symbol").collect()]  # a catalog
+    texts = df.select(text.alias("text"), *scope)
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, tuple[set, list]] = {}  # by scope: what was passed on, symbols of ``plain`` still looked for
+        for batch in batches:
+            names, row = [batch.column(1 + i) for i in range(len(scope))], 0
+            for piece in pieces(batch.column(0)):
+                keys = zip(*(x.slice(row, len(piece)).to_pylist() for x in names), strict=True) if scope else [()] * len(piece)
+                at, out = [], []
+                for i, (one, key) in enumerate(zip(piece.to_pylist(), keys, strict=True)):
+                    known, left = seen.setdefault(key, (set(), list(plain)))
+                    new = set() if one.isascii() else {c for c in set(one) - known if c > "\x7f"}
+                    new |= {x for x in left if x in one}
+                    if new:
+                        known |= new
+                        left[:] = [x for x in left if x not in new]
+                        at, out = at + [row + i] * len(new), out + list(new)
+                    if len(seen) > SCOPES:
+                        seen.clear()
+                row += len(piece)
+                if out:
+                    yield pa.RecordBatch.from_arrays([*(x.take(pa.array(at)) for x in names), pa.array(out, pa.string())], names=[*scope, "symbol"])
+
+    held = texts.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in scope), "symbol string"]))
+    ranks = held.join(F.broadcast(pool.select("symbol", "rank")), "symbol")  # a catalog
     return ranks.groupBy(*scope).agg(F.bitmap_construct_agg(F.col("rank").cast("long")).alias("bits"))
 
 
