@@ -24,10 +24,10 @@ from lexipress.storage import fresh_path, settle
 from lexipress.streaming import conversations as live
 
 
-def _dictionary(s, d, k: int = 262):
-    """The slice's dictionary: ranked tokens take free private-use and pool symbols."""
+def _dictionary(s, d, k: int = 262, counts: DataFrame | None = None):
+    """The slice's dictionary: ranked tokens (``counts``, where they are mined already) take free private-use and pool symbols."""
     docs = V.documents(s, d)
-    ranked = M.rank_patterns(M.mine_tokens(docs), k=2 * k)
+    ranked = M.rank_patterns(M.mine_tokens(docs) if counts is None else counts, k=2 * k)
     pool = D.free_symbols(catalogs.symbol_pool(s, private_use=True), docs, k=k)
     return settle(D.assign_symbols(ranked, D.rank_symbols(pool, k=k), k=k), "dictionary")
 
@@ -58,6 +58,12 @@ def slice_savings(s, d):
     return R.savings_report(C.substitute(V.documents(s, d), _dictionary(s, d)), ["source", "lang"])
 
 
+def _rejected(s, d):
+    """Tokens are mined once, for the dictionary and for what it leaves out."""
+    counts = settle(M.mine_tokens(V.documents(s, d)), "counts")
+    return D.rejected(M.rank_patterns(counts, k=600), _dictionary(s, d, counts=counts)).select("pattern", "n", "value")
+
+
 def _metrics(s, d, **kw):
     return W.turn_metrics(V.turns(s, d), **kw)
 
@@ -350,7 +356,7 @@ QUERIES = {
     "d4_dictionary": lambda s, d: _dictionary(s, d),
     "d5_by_priority": lambda s, d: D.assign_by_priority(M.rank_patterns(M.mine_tokens(V.documents(s, d)), k=300).withColumn("priority", F.length("pattern")), D.rank_symbols(catalogs.symbol_pool(s)), k=200),
     "d6_metrics": lambda s, d: D.dictionary_metrics(_dictionary(s, d), V.documents(s, d).agg(F.sum(F.length("text")).alias("original_chars"))),
-    "d7_rejected": lambda s, d: D.rejected(M.rank_patterns(M.mine_tokens(V.documents(s, d)), k=600), _dictionary(s, d)).select("pattern", "n", "value"),
+    "d7_rejected": _rejected,
     "d8_accept": lambda s, d: D.accept(C.substitute(V.documents(s, d), _dictionary(s, d)), 0.05).select("doc_id", "accepted", F.md5("final_text").alias("final_md5")),
     "d9_token_efficiency": lambda s, d: D.token_efficiency(C.substitute(V.documents(s, d), _dictionary(s, d))).select("doc_id", "original_tokens", "compressed_tokens", "saved", "ratio", "valid"),
     "d10_symbol_stats": lambda s, d: D.symbol_stats(V.symbol_costs(s, d)),
