@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexipress import catalogs
 from lexipress.functions import text as X
+from lexipress.functions.pieces import pieces
 from lexipress.operators import dictionary as D
 from lexipress.operators import mining as M
 from lexipress.operators.conversations import gate_reason
@@ -88,27 +89,47 @@ def rule_list(dictionary: DataFrame) -> list[tuple[str, str]]:
     return [(r.symbol, r.pattern) for r in sorted(rows, key=lambda r: r.seq) if r.symbol is not None and r.pattern is not None]
 
 
+USED = pa.struct([("text", pa.string()), ("used", pa.list_(pa.string()))])
+
+
 def _substituted(rules: list[tuple[str, str]], text: Column) -> Column:
-    """struct(text, used), as ``apply_rules`` gives it."""
+    """struct(text, used), as ``apply_rules`` gives it. Only a piece of a batch becomes Python objects at once."""
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = RuleIndex(rules)
         for part in parts:
-            done = [index.substitute(t) for t in part]
-            yield pd.DataFrame({"text": [t for t, _ in done], "used": [u for _, u in done]})
+            for piece in pieces(part):
+                done = [index.substitute(t) for t in piece.to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), pa.array([u for _, u in done], pa.list_(pa.string()))], fields=list(USED))
+            pa.default_memory_pool().release_unused()
 
-    return F.pandas_udf(run, "text string, used array<string>")(text)
+    return F.arrow_udf(run, "text string, used array<string>")(text)
 
 
 def expanded(rules: list[tuple[str, str]], text: Column) -> Column:
-    """A text with its symbols expanded, as ``expand_text`` gives it."""
+    """A text with its symbols expanded, as ``expand_text`` gives it; piece by piece."""
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = RuleIndex(rules)
         for part in parts:
-            yield pd.Series([index.expand(t) for t in part], dtype=object)
+            for piece in pieces(part):
+                yield pa.array([index.expand(t) for t in piece.to_pylist()], pa.string())
+            pa.default_memory_pool().release_unused()
+
+    return F.arrow_udf(run, "string")(text)
 
-    return F.pandas_udf(run, "string")(text)
+
+def _each(change: Callable[[RuleIndex, str], str], rules: list[tuple[str, str]], texts: Column) -> Column:
+    """An array of texts with every one changed by the rules, null staying null; piece by piece."""
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = RuleIndex(rules)
+        for part in parts:
+            for piece in pieces(part):
+                yield pa.array([None if some is None else [None if t is None else change(index, t) for t in some] for some in piece.to_pylist()], pa.list_(pa.string()))
+            pa.default_memory_pool().release_unused()
+
+    return F.arrow_udf(run, "array<string>")(texts)
 
 
 def apply_rules(text: Column, rules: Column) -> Column:
@@ -200,17 +221,23 @@ LARGE_FIELDS = ("content", "text", "code", "body", "data", "source", "script", "
 
 def substitute_fields(calls: DataFrame, dictionary: DataFrame, min_size: int = 300, compressor: Callable[[Column, Column], Column] | None = None, id_col: str = "doc_id") -> DataFrame:
     """Calls with ``compressed`` fields: those whose name holds a hint, of ``min_size`` characters and more, where it
-    shortens them by a tenth. ``compressor`` (U2): text and rules to text, in place of C1."""
-    work = compressor or (lambda t, r: apply_rules(t, r)["text"])
-    rows = _with_rules(calls, dictionary, [])
-    fits = lambda k, v: X.contains_any(F.lower(k), LARGE_FIELDS) & (F.length(v) >= min_size)
-    change = lambda k, v: F.when(fits(k, v) & (F.length(work(v, F.col("rules"))) * 10 <= F.length(v) * 9), work(v, F.col("rules"))).otherwise(v)
-    return rows.withColumn("compressed", F.transform_values("fields", change)).drop("rules")
+    shortens them by a tenth; routed as C1. ``compressor`` (U2): text and rules to text, in place of C1."""
+    fits = lambda k, v: F.coalesce(X.contains_any(F.lower(k), LARGE_FIELDS) & (F.length(v) >= min_size), F.lit(False))
+    entries = F.map_entries("fields")
+    large = F.transform(entries, lambda e: F.when(fits(e["key"], e["value"]), e["value"]))
+    if compressor is None:
+        rows = calls.withColumn("__small", _each(lambda index, t: index.substitute(t)[0], rule_list(dictionary), large))
+    else:
+        rows = _with_rules(calls, dictionary, []).withColumn("__small", F.transform(large, lambda v: F.when(v.isNotNull(), compressor(v, F.col("rules"))))).drop("rules")
+    better = lambda e, v: F.when(F.length(v) * 10 <= F.length(e["value"]) * 9, v).otherwise(e["value"])
+    changed = F.map_from_entries(F.zip_with(F.map_entries("fields"), F.col("__small"), lambda e, v: F.struct(e["key"].alias("key"), better(e, v).alias("value"))))
+    return rows.withColumn("compressed", changed).drop("__small")
 
 
 def expand_fields(calls: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The fields again."""
-    return _with_rules(calls, dictionary, []).withColumn("fields", F.transform_values("compressed", lambda k, v: expand_text(v, F.col("rules")))).drop("rules")
+    """The fields again; routed as C2."""
+    texts = _each(lambda index, t: index.expand(t), rule_list(dictionary), F.map_values("compressed"))
+    return calls.withColumn("fields", F.map_from_arrays(F.map_keys("compressed"), texts))
 
 
 def _assigned(mined: DataFrame, pool: DataFrame, scope: list[str], k: int, min_n: int, min_len: int) -> DataFrame:
