@@ -69,3 +69,15 @@ def test_gate_folds_a_text_once(spark):
     df = spark.range(1).select(F.lit("x").alias("text"))
     plan = df.select(W.gate_reason(F.col("text")).alias("reason"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("aggregate(array_sort(") == 1, plan
+
+
+def test_word_runs_write_no_hashes(spark, monkeypatch):
+    """What A4 writes of texts is their words; hashes are made in each pass, and documents without a place stay out."""
+    from lexipress.operators import ngrams as N
+
+    kept = {}
+    monkeypatch.setattr(N, "settle", lambda df, name: kept.setdefault(name, df) if name == "texts" else df)
+    rows = [(i, f"one two three w{i} x{i}") for i in range(40)]
+    got = N.mine_word_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), 2, 3)
+    assert kept["texts"].columns == ["body", "most", "doc", "seed"]
+    assert {(r.pattern, r.n, r.df) for r in got.collect()} == {("one two", 40, 40), ("two three", 40, 40), ("one two three", 40, 40)}
