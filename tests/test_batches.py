@@ -1,5 +1,8 @@
 """Steps inside tasks against the expressions that define them."""
 
+from collections import Counter
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from lexipress.functions import text as X
 from lexipress.operators import conversations as W
 from lexipress.operators import dictionary as D
 from lexipress.operators import mining as M
+from lexipress.operators import ngrams as N
 from lexipress.operators import transform as C
 
 TEXTS = ["", None, "a.b.c.d self.x foo.bar ab.cd 1st.x _ab.c", "naïve Ⅷ² x²y3.z４５ 漢字.かな.名前 𝒜𝒷𝒸.𐐀𐐁 éléments", "newࡰletters 𞓐ab.cd ᲊabc ᲊ.abc x\U000323afy", "α |A one two α.β€", "a" * 50 + ".b"]
@@ -81,3 +85,36 @@ def test_word_runs_write_no_hashes(spark, monkeypatch):
     got = N.mine_word_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), 2, 3)
     assert kept["texts"].columns == ["body", "most", "doc", "seed"]
     assert {(r.pattern, r.n, r.df) for r in got.collect()} == {("one two", 40, 40), ("two three", 40, 40), ("one two three", 40, 40)}
+
+
+def test_windows_of_short_rows_are_named_together(spark, monkeypatch):
+    """Naming takes steps by units, not by rows, and no window crosses from one row into the next."""
+
+    class Task:
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+        def __getattr__(self, _):
+            return lambda *a, **kw: self
+
+    steps = []
+    mixed = N._mixed
+    monkeypatch.setattr(N, "_mixed", lambda *a: steps.append(1) or mixed(*a))
+    texts = [["abcabcabc", "", "bcabc", "cabcabcabcabc", "ab"][i % 5] for i in range(1000)]
+    most = [6 if i % 3 else 4 for i in range(1000)]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(1000), pa.int64()), pa.array(most, pa.int32()), pa.array([i % 2 - 1 for i in range(1000)], pa.int64())], names=["units", "doc", "most", "seed"])
+    want = Counter()
+    for i, (t, m) in enumerate(zip(texts, most, strict=True)):
+        want.update((i % 2, t[p : p + n]) for n in (4, 6) if n <= m for p in range(len(t) - n + 1))
+    for together in (1, 50, N.TOGETHER):
+        monkeypatch.setattr(N, "TOGETHER", together)
+        steps.clear()
+        for bits, half in ((None, None), (np.full(4096, 255, np.uint8), 4)):
+            task = Task()
+            N._windows(task, N._characters, [4, 6], half, bits, 1, 1)
+            (out,) = task.run(iter([rows]))
+            assert len(set(zip(*(out.column(i).to_pylist() for i in (0, 1, 2)), strict=True))) == out.num_rows
+            got = Counter({(r["doc"] % 2, texts[r["doc"]][r["pos"] : r["pos"] + r["size"]]): r["k"] for r in out.to_pylist()})
+            assert got == want
+    assert len(steps) < 100
