@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,53 +131,173 @@ def _log_softmax_at(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np
     return found - np.log(s @ np.ones(s.shape[1], s.dtype))
 
 
-def _gradients(model: Gru, tokens: np.ndarray, classes: np.ndarray, members: np.ndarray, weight: np.ndarray, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Gradients of a window's loss (steps x texts), and the state after it. Backpropagation ends at the window."""
+def _gradients(model: Gru, tokens: np.ndarray, classes: np.ndarray, members: np.ndarray, weight: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Gradients of a window's loss (steps x texts), and the state after it. Backpropagation ends at the window, and where
+    ``keep`` is 0, since the state before such a step is zero: another text starts there."""
     steps, k = len(tokens), HIDDEN
-    past, kept = [], []
+    shape = (steps, len(h), k)
+    x = model.inputs[tokens.ravel()].reshape(steps, len(h), 3 * k)
+    past, hs, gates, n, un = np.empty(shape, h.dtype), np.empty(shape, x.dtype), np.empty((steps, len(h), 2 * k), x.dtype), np.empty(shape, x.dtype), np.empty(shape, x.dtype)
     for t in range(steps):
-        past.append(h)
-        h, *rest = model.step(tokens[t], h)
-        kept.append((h, *rest))
-    hs = np.concatenate([x[0] for x in kept])
-    c, m, w = classes.ravel(), members.ravel(), weight.ravel()[:, None].astype(np.float32)
-    logits = hs @ model.to_class + model.class_bias
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(c)), c] -= 1
-    p *= w
-    d_to_class, d_class_bias, dh = hs.T @ p, p.sum(axis=0), p @ model.to_class.T
-    d_to_member, d_member_bias = np.zeros_like(model.to_member), np.zeros_like(model.member_bias)
-    for g in np.unique(c[(c < len(model.member_bias)) & (w[:, 0] > 0)]):
-        at = np.flatnonzero((c == g) & (w[:, 0] > 0))
-        s = hs[at] @ model.to_member[g] + model.member_bias[g]
-        q = np.exp(s - s.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        q[np.arange(len(at)), m[at]] -= 1
-        d_to_member[g], d_member_bias[g] = hs[at].T @ q, q.sum(axis=0)
-        dh[at] += q @ model.to_member[g].T
-    dh = dh.reshape(steps, -1, k)
-    d_inputs, d_state, back = np.zeros_like(model.inputs), np.zeros_like(model.state), np.zeros_like(h)
+        if keep is not None:
+            h = h * keep[t][:, None]
+        past[t] = h
+        u = h @ model.state
+        g = x[t, :, : 2 * k]
+        g += u[:, : 2 * k]
+        g *= 0.5
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
+        gates[t], un[t] = g, u[:, 2 * k :]
+        c = g[:, k:] * un[t]
+        c += x[t, :, 2 * k :]
+        np.tanh(c, out=n[t])
+        h = h - n[t]
+        h *= g[:, :k]
+        h += n[t]
+        hs[t] = h
+    dh, (d_to_class, d_class_bias, d_to_member, d_member_bias) = _output_gradients(model, hs.reshape(-1, k), classes.ravel(), members.ravel(), weight.ravel())
+    dh, z, r = dh.reshape(shape), gates[..., :k], gates[..., k:]
+    from_n = (1 - z) * (1 - n * n)
+    from_z = (past - n) * z * (1 - z)
+    from_r = un * r * (1 - r)
+    d_x, d_u = np.empty_like(x), np.empty_like(x)
+    back, back_by = np.zeros_like(h), np.ascontiguousarray(model.state.T)
     for t in range(steps - 1, -1, -1):
-        _, z, r, n, un = kept[t]
         g = dh[t] + back
-        d_n = g * (1 - z) * (1 - n * n)
-        d_z = g * (past[t] - n) * z * (1 - z)
-        d_r = d_n * un * r * (1 - r)
-        d_u = np.concatenate((d_z, d_r, d_n * r), axis=1)
-        np.add.at(d_inputs, tokens[t], np.concatenate((d_z, d_r, d_n), axis=1))
-        d_state += past[t].T @ d_u
-        back = g * z + d_u @ model.state.T
+        d_n = g * from_n[t]
+        np.multiply(g, from_z[t], out=d_u[t, :, :k])
+        np.multiply(d_n, from_r[t], out=d_u[t, :, k : 2 * k])
+        np.multiply(d_n, r[t], out=d_u[t, :, 2 * k :])
+        d_x[t, :, 2 * k :] = d_n
+        g *= z[t]
+        back = d_u[t] @ back_by
+        back += g
+        if keep is not None:
+            back *= keep[t][:, None]
+    d_x[..., : 2 * k] = d_u[..., : 2 * k]
+    d_state = past.reshape(-1, k).T @ d_u.reshape(-1, 3 * k)
+    d_inputs, read = np.zeros_like(model.inputs), tokens.ravel()
+    order = np.argsort(read.astype(np.int16) if len(d_inputs) < 1 << 15 else read, kind="stable")
+    read = read[order]
+    starts = np.flatnonzero(np.r_[True, read[1:] != read[:-1]])
+    d_inputs[read[starts]] = np.add.reduceat(d_x.reshape(-1, 3 * k)[order], starts, axis=0)
     return [d_inputs, d_state, d_to_class, d_class_bias, d_to_member, d_member_bias], h
 
 
+def _output_gradients(model: Gru, h: np.ndarray, classes: np.ndarray, members: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Gradients of the loss by the states, and by the output's weights. Rows are put in order of class and member, so that
+    a class's rows lie side by side; biases are the weights of a unit that is always 1."""
+    k, (n_frequent, _, n_members) = HIDDEN, model.to_member.shape
+    name = classes * n_members + np.where(classes < n_frequent, members, 0)
+    order = np.argsort(name.astype(np.int16) if len(model.class_bias) * n_members < 1 << 15 else name, kind="stable")
+    if not live.all():
+        order = order[live[order]]
+    name, c, m = name[order], classes[order], members[order]
+    unit = np.ones((len(order), k + 1), h.dtype)
+    unit[:, :k] = h[order]
+    d_state = np.empty((len(order), k), h.dtype)
+    d_class, d_member = np.zeros((k + 1, len(model.class_bias)), h.dtype), np.zeros((n_frequent, k + 1, n_members), h.dtype)
+    to, by = _with_unit(model.to_class, model.class_bias)
+    for i in range(0, len(order), ROWS):
+        s = slice(i, i + ROWS)
+        d_state[s], d = _pull(unit[s], to, by)
+        d_class += d
+    by_member = np.empty((n_frequent, n_members, k), h.dtype)
+    cuts = np.searchsorted(c, np.arange(n_frequent + 1))
+    for j in range(n_frequent):
+        by_member[j] = model.to_member[j].T
+        for i in range(cuts[j], cuts[j + 1], ROWS):
+            s = slice(i, min(i + ROWS, cuts[j + 1]))
+            x, d = _pull(unit[s], *_with_unit(model.to_member[j], model.member_bias[j]))
+            d_state[s] += x
+            d_member[j] += d
+    d_state -= model.to_class.T[c]
+    d_state[: cuts[-1]] -= by_member[c[: cuts[-1]], m[: cuts[-1]]]
+    if len(order):
+        starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        seen, some = np.add.reduceat(unit, starts, axis=0), c[starts]
+        heads = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+        d_class[:, some[heads]] -= np.add.reduceat(seen, heads, axis=0).T
+        f = some < n_frequent
+        d_member[some[f], :, m[starts][f]] -= seen[f]
+    dh = np.zeros_like(h)
+    dh[order] = d_state
+    return dh, [d_class[:k], d_class[k], d_member[:, :k], d_member[:, k]]
+
+
+def _with_unit(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights with the bias as a last row; and turned, with ones as a last column."""
+    return np.concatenate((weights, bias[None])), np.concatenate((weights.T, np.ones((len(bias), 1), weights.dtype)), axis=1)
+
+
+def _pull(unit: np.ndarray, to: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows' softmax: the mean weights of each row, and the gradient by ``to`` of the log of its sum."""
+    p = unit @ to
+    reach = np.abs(to[:-1]).sum(axis=0)  # units of a state are between -1 and 1
+    if (to[-1] + reach).max() > 80 or (to[-1] - reach).max() < -80:
+        p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    mean = p @ by
+    one = 1 / mean[:, -1:]
+    return mean[:, :-1] * one, (unit * one).T @ p
+
+
+class Adam:
+    """The moments of a model's weights, and steps by them."""
+
+    def __init__(self, model: Gru):
+        self.model, self.first, self.second, self.turn = model, [np.zeros_like(a) for a in model.arrays()], [np.zeros_like(a) for a in model.arrays()], 0
+
+    def step(self, grads: list[np.ndarray], scale: float, rate: float) -> None:
+        self.turn += 1
+        by, root = rate / (1 - 0.9**self.turn), 1 / math.sqrt(1 - 0.99**self.turn)
+        for a, g, m, v in zip(self.model.arrays(), grads, self.first, self.second, strict=True):
+            g *= scale
+            np.clip(g, -1, 1, out=g)
+            m *= 0.9
+            m += 0.1 * g
+            g *= g
+            g *= 0.01
+            v *= 0.99
+            v += g
+            np.sqrt(v, out=g)
+            g *= root
+            g += 1e-6
+            np.divide(m, g, out=g)
+            g *= by
+            a -= g
+
+
+def learn(adam: Adam, inputs: np.ndarray, classes: np.ndarray, members: np.ndarray, lengths: np.ndarray, start: int, rate: float, lanes: int = 256, window: int = WINDOW) -> None:
+    """One pass over every token of texts laid end to end, which are cut into so many lanes that are read side by side. The
+    state goes on from window to window and is zero where a text, or a lane, starts."""
+    n = len(inputs)
+    if not n:
+        return
+    lanes = max(1, min(lanes, n // window))
+    most = -(-n // lanes)
+    before, first = np.empty_like(inputs), np.zeros(n, bool)
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    before[1:], before[starts], first[starts] = inputs[:-1], start, True
+    side = lambda x: np.ascontiguousarray(np.pad(x, (0, lanes * most - n)).reshape(lanes, most).T)
+    before, classes, members, live = side(before), side(classes), side(members), side(np.ones(n, bool))
+    keep = side(~first).astype(np.float32)
+    h = np.zeros((lanes, HIDDEN), np.float32)
+    for t in range(0, most, window):
+        s = slice(t, t + window)
+        grads, h = _gradients(adam.model, before[s], classes[s], members[s], live[s], h, keep[s])
+        adam.step(grads, 1 / max(1, live[s].sum()), rate)
+
+
 def train(model: Gru, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], start: int, rate: float = 0.01, batch: int = 24, window: int = WINDOW, seed: int = 0) -> Gru:
     """One pass over texts (inputs, classes, members) with Adam; the state goes on from window to window."""
     rng = np.random.default_rng(seed)
     texts = sorted(texts, key=lambda x: len(x[0]))
     groups = [texts[i : i + batch] for i in range(0, len(texts), batch)]
     rng.shuffle(groups)
-    first, second, turn = [np.zeros_like(a) for a in model.arrays()], [np.zeros_like(a) for a in model.arrays()], 0
+    adam = Adam(model)
     for group in groups:
         most = max(len(x[0]) for x in group)
         pad = lambda i, fill: np.array([np.pad(x[i], (0, most - len(x[i])), constant_values=fill) for x in group]).T  # noqa: B023, E731
@@ -187,13 +308,7 @@ def train(model: Gru, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], st
         for t in range(0, most, window):
             s = slice(t, t + window)
             grads, h = _gradients(model, before[s], classes[s], members[s], live[s], h)
-            scale = 1 / max(1, live[s].sum())
-            turn += 1
-            for a, g, m, v in zip(model.arrays(), grads, first, second, strict=True):
-                g = np.clip(g * scale, -1, 1)
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                a -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-6)
+            adam.step(grads, 1 / max(1, live[s].sum()), rate)
     return model
 
 

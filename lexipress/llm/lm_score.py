@@ -23,10 +23,13 @@ from lexipress.storage import settle
 #: Frequent words, which have a chance of their own in the model; endings of rare words that are a class of their own,
 #: and classes that the other endings share.
 FREQUENT, ENDINGS, SHARED = 2048, 96, 32
-#: The recurrent weights are trained on whole documents of least hash that hold about one in TRAIN_SHARE of the training
-#: tokens, but TRAIN_TOKENS at least, in SHARDS parts at least. Parts grow with the root of the sample, to PART_TOKENS,
-#: and so does their number; after each of ROUNDS rounds weights are averaged, AVERAGED models at once.
+#: The recurrent weights are trained on all training tokens. They start from ROUNDS rounds on whole documents of least hash
+#: that hold about one in TRAIN_SHARE of the tokens, but TRAIN_TOKENS at least, in SHARDS parts at least. Parts grow with
+#: the root of that number, to PART_TOKENS, and so does their number. After each round weights are averaged, AVERAGED
+#: models at once.
 TRAIN_SHARE, TRAIN_TOKENS, SHARDS, PART_TOKENS, ROUNDS, AVERAGED = 256, 400_000, 6, 2_000_000, 3, 16
+#: Then every chunk of documents is read once, in PASSES turns with these rates, each task from the same weights.
+PASSES = (0.004, 0.002)
 END = "\n"  # no word holds white space
 
 
@@ -150,14 +153,58 @@ def _classes(vocabulary: DataFrame) -> tuple[Classes, np.ndarray]:
 
 
 def sample_size(n_tokens: int) -> tuple[int, int]:
-    """How many tokens train the recurrent weights, of ``n_tokens``, and in how many parts."""
+    """How many tokens the recurrent weights start from, of ``n_tokens``, and in how many parts."""
     wanted = min(n_tokens, max(TRAIN_TOKENS, n_tokens // TRAIN_SHARE))
     part = min(PART_TOKENS, TRAIN_TOKENS / SHARDS * max(1.0, wanted / TRAIN_TOKENS) ** 0.5)
     return wanted, max(SHARDS, math.ceil(wanted / part))
 
 
-def _train(source: DataFrame, classes: Classes, counts: np.ndarray, n_tokens: int) -> gru.Gru:
-    """Local training on parts of a sample that grows with the corpus, weights averaged after each round."""
+def _train(source: DataFrame, blocks: DataFrame, classes: Classes, counts: np.ndarray, n_tokens: int) -> gru.Gru:
+    """Local training on all training texts, weights averaged after each turn."""
+    model = _start(source, classes, counts, n_tokens)
+    if not n_tokens:
+        return model
+    for turn in range(len(PASSES)):
+        found = settle(_learned(blocks, model, classes, turn), "lm-models")
+        left = found.count()  # a row a task
+        model = _mean(found.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(max(1, left))).cast("int")), left, model)
+    return model
+
+
+def _learned(blocks: DataFrame, model: gru.Gru, classes: Classes, turn: int) -> DataFrame:
+    """(shard, n, model): what each task makes of ``model`` from all training tokens of its chunks of that turn, and how many
+    these are. A chunk's turn is by the hash of its ids."""
+    sent, rate, turns = model.to_bytes(), PASSES[turn], len(PASSES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adam, start, n, shard = gru.Adam(gru.Gru.from_bytes(sent)), classes.frequent[END], 0, 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda name: column(batch, name)[i].values  # noqa: B023, E731
+                lengths = get("lengths").to_numpy().astype(np.int64)
+                learn = get("ids").is_valid().to_numpy(zero_copy_only=False) & ~get("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                t = _unsqueeze(column(batch, "tokens")[i].as_py())[np.repeat(learn, lengths)]
+                inputs, kinds, members = (x.astype(np.int32)[t] for x in classes.place(get("words").to_pylist()))
+                gru.learn(adam, inputs, kinds, np.maximum(members, 0, out=members), lengths[learn], start, rate)
+                n, shard = n + len(t), shard or int(column(batch, "block")[i].as_py() & 0x7FFFFFFF)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(n)]), pa.array([adam.model.to_bytes()], pa.binary())], names=["shard", "n", "model"])
+
+    part = F.pmod(F.xxhash64("ids"), F.lit(turns))
+    return blocks.where(part == turn).select("block", "ids", "held_out", "lengths", "tokens", "words").mapInArrow(run, _MODEL)
+
+
+def _mean(found: DataFrame, left: int, model: gru.Gru) -> gru.Gru:
+    """The average of models (shard, n, model) with shards below ``left``; ``model`` if there are none."""
+    while left > AVERAGED:
+        left = -(-left // AVERAGED)
+        found = settle(found, "lm-models").groupBy((F.col("shard") % left).alias("shard")).applyInPandas(_averaged, _MODEL)
+    found = found.collect()  # few models
+    return gru.average([(p.n, gru.Gru.from_bytes(bytes(p.model))) for p in sorted(found, key=lambda p: p.shard)]) if found else model
+
+
+def _start(source: DataFrame, classes: Classes, counts: np.ndarray, n_tokens: int) -> gru.Gru:
+    """The weights that training starts from: words' frequencies, and rounds on parts of some texts."""
     n = classes.n_frequent
     member = np.full((n, gru.MEMBERS), -1e4)
     member.ravel()[: len(counts)] = np.log(counts + 0.5)
@@ -187,13 +234,7 @@ def _train(source: DataFrame, classes: Classes, counts: np.ndarray, n_tokens: in
             out = gru.train(gru.Gru.from_bytes(sent), texts, start, rate=0.01 / (1 + turn), seed=turn)  # noqa: B023
             return pd.DataFrame({"shard": [key[0]], "n": [float(sum(len(t[0]) for t in texts))], "model": [out.to_bytes()]})
 
-        found, left = placed.repartition(parts, "shard").groupBy("shard").applyInPandas(fit, _MODEL), parts
-        while left > AVERAGED:
-            left = -(-left // AVERAGED)
-            found = settle(found, "lm-models").groupBy((F.col("shard") % left).alias("shard")).applyInPandas(_averaged, _MODEL)
-        found = found.collect()  # AVERAGED models at most
-        if found:
-            model = gru.average([(p.n, gru.Gru.from_bytes(bytes(p.model))) for p in sorted(found, key=lambda p: p.shard)])
+        model = _mean(placed.repartition(parts, "shard").groupBy("shard").applyInPandas(fit, _MODEL), parts, model)
     return model
 
 
@@ -218,9 +259,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     0.5 counts. Null and empty texts are one end. Null ids don't take part in learning and aren't held out; repeated
     rows stay rows and count as often; other columns are ignored; an empty table gives an empty table.
 
-    The recurrent weights learn from whole documents with about one in TRAIN_SHARE training tokens, so from more the
-    larger the corpus is (``sample_size``). Counts cover all training texts: chunks of documents give their different words, which meet the corpus counts in a
-    join and return to their chunk. Texts are read twice and never shuffled; a chunk is bounded in bytes.
+    The recurrent weights learn from all training tokens: every chunk is read once by a task that starts from the same
+    weights, and tasks' weights are averaged by their tokens. Counts cover all training texts: chunks of documents give their different words, which meet the corpus counts in a
+    join and return to their chunk. Texts are read twice, never shuffled; a chunk is bounded in bytes.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"), in_training(id_col).alias("learn"))
     blocks = settle(_blocks(source), "lm-blocks")
@@ -228,7 +269,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     vocabulary = counted.where("word is not null").select("word", "c")
     size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     classes, frequent = _classes(vocabulary)
-    model = _train(source, classes, frequent, size.n)
+    model = _train(source, blocks, classes, frequent, size.n)
     known = counted.groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("known"))  # the different words of a chunk
     sent = docs.sparkSession.sparkContext.broadcast((model.to_bytes(), classes))
     n, v = size.n, size.v
