@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,16 +58,59 @@ def test_lines_in_tasks_are_those_of_the_jvm(spark):
 
 
 def test_dictionaries_do_not_count_every_ngram(spark, monkeypatch):
-    """C11: no list of all n-grams is made for a dictionary."""
-    seen, plain = [], ngrams._windows
+    """C11: no list of all n-grams is made for a dictionary; few windows are counted."""
+    seen, plain = [], ngrams._patterns
 
-    def noted(texts, read, sizes, half, bits, min_n, parts, own=None):
-        out = plain(texts, read, sizes, half, bits, min_n, parts, own)
-        seen.append((own is not None, out.count()))
+    def noted(*rest):
+        out = plain(*rest)
+        seen.append(out.count())
         return out
 
-    monkeypatch.setattr(ngrams, "_windows", noted)
+    def every(*_):
+        raise AssertionError("all n-grams are counted")
+
+    monkeypatch.setattr(ngrams, "_patterns", noted)
+    monkeypatch.setattr(ngrams, "_windows", every)
     df = spark.createDataFrame([(i, (t or "") + " and again") for i, t in enumerate(_texts(400))], "doc_id long, text string")
     rows = C.build_dictionary(df, k=20).collect()
     total = df.agg(F.sum(F.length("text"))).first()[0]
-    assert len(rows) and len(seen) == 1 and seen[0][0] and seen[0][1] < total / 100
+    assert len(rows) and len(seen) == 1 and seen[0] < total / 50
+
+
+@pytest.mark.parametrize(("lengths", "min_n"), [((8, 16), 3), (range(6, 20), 2), ((8,), 300)])
+def test_windows_that_come_too_rarely_are_not_passed_on(spark, monkeypatch, lengths, min_n):
+    """A2, of many windows: names alone are listed first; counts are those of plain search, in batches of any size."""
+    seen, plain = [], ngrams._windows
+
+    def noted(*rest):
+        seen.append(rest[7] is not None)
+        return plain(*rest)
+
+    monkeypatch.setattr(ngrams, "_windows", noted)
+    for name, value in (("LISTED", 500), ("BATCH", 300), ("LIST_ROWS", 1000), ("TOGETHER", 100)):
+        monkeypatch.setattr(ngrams, name, value)
+    texts = [*_texts(), *(["ab" * 90] * 6)]
+    want: dict = {}
+    for i, t in enumerate(texts):
+        for size in lengths:
+            for at in range(len(t or "") - size + 1):
+                want.setdefault(t[at : at + size], []).append(i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r.pattern, r.n, r.df) for r in M.mine_char_ngrams(df, lengths, min_n=min_n).collect()}
+    assert got == {(p, len(v), len(set(v))) for p, v in want.items() if len(v) >= min_n and any(x.isalpha() for x in p) and p.strip()} and got
+    assert all(seen) and seen
+
+
+def test_a_task_passes_a_window_on_once(spark, monkeypatch):
+    """Windows that come in many of a task's batches become one row; ``repartition`` gets the rows that tasks pass on."""
+    monkeypatch.setattr(ngrams, "BATCH", 1000)
+    passed, plain = [], type(spark.range(0)).repartition
+
+    def noted(df, *rest):
+        passed.append(df.count())
+        return plain(df, *rest)
+
+    df = spark.createDataFrame([("the same words again and again", i, 99, 0) for i in range(3000)], "units string, doc long, most int, seed long").coalesce(1)
+    monkeypatch.setattr(type(df), "repartition", noted)
+    rows = ngrams._windows(df, ngrams._characters, [8], None, None, 2, 4).collect()
+    assert passed == [23] and len(rows) == 23 and all(r.df == 3000 for r in rows) and sum(r.n for r in rows) == 23 * 3000
